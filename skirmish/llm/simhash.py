@@ -30,9 +30,11 @@ from .common import materialize
 from .components import connected_components
 
 SEED = 42
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _BLOCK = 1 << 15
 _TILE = 256
 _SMALL = 48
+_HELD = 1 << 20
 
 
 def _fingerprint(text: bytes | None, words_each: int) -> int:
@@ -68,15 +70,24 @@ def as_hex(column: str):
     return F.lpad(F.lower(F.hex(F.col(column))), 16, "0")
 
 
-def _unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Give both ends of each pair the smaller label; labels point at rows with equal or smaller labels."""
-    while len(a):
-        la, lb = label[a], label[b]
-        apart = la != lb
-        a, b = a[apart], b[apart]
-        np.minimum.at(label, np.maximum(la, lb)[apart], np.minimum(la, lb)[apart])
-        while (label != (up := label[label])).any():
-            label[:] = up
+def _span(size: int, a: np.ndarray, b: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Those of the links that connect what all of them connect, taking links of fewer bits first."""
+    label = np.arange(size)
+    taken = []
+    for bits in np.unique(far):
+        at = np.flatnonzero(far == bits)
+        while True:
+            la, lb = label[a[at]], label[b[at]]
+            at, high, low = at[la != lb], np.maximum(la, lb)[la != lb], np.minimum(la, lb)[la != lb]
+            if not len(at):
+                break
+            roots, first = np.unique(high, return_index=True)  # each root is tied to one smaller root
+            taken.append(at[first])
+            label[roots] = low[first]
+            while (label != (up := label[label])).any():
+                label = up
+    kept = np.concatenate(taken) if taken else np.zeros(0, np.int64)
+    return a[kept], b[kept], far[kept]
 
 
 def _forest(values: np.ndarray, groups: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -86,34 +97,41 @@ def _forest(values: np.ndarray, groups: np.ndarray, radius: int) -> tuple[np.nda
     values, groups, counts = values[order], groups[order], counts[order]
     starts = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
     ends = np.r_[starts[1:], len(groups)]
-    label = np.arange(len(values))
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    held = 0
+
+    def add(a: np.ndarray, b: np.ndarray) -> None:
+        nonlocal held, found
+        if len(a):
+            found.append((a, b, np.bitwise_count(values[a] ^ values[b])))
+            held += len(a)
+        if held > _HELD:  # the forest of a forest and more links is the forest of all
+            found = [_span(len(values), *(np.concatenate(x) for x in zip(*found, strict=True)))]
+            held = 0
+
     end_of = np.repeat(ends, ends - starts)
     rows = np.flatnonzero(np.repeat(ends - starts, ends - starts) <= _SMALL)
-    a, b = [], []
     for gap in range(1, _SMALL):
         rows = rows[rows + gap < end_of[rows]]
         if not len(rows):
             break
         near = rows[counts[rows + gap] - counts[rows] <= radius]
         near = near[np.bitwise_count(values[near] ^ values[near + gap]) <= radius]
-        a.append(near)
-        b.append(near + gap)
-    if a:
-        _unite(label, np.concatenate(a), np.concatenate(b))
+        add(near, near + gap)
     for lo, hi in zip(starts, ends, strict=True):
         if hi - lo <= _SMALL:
             continue
-        own = label[lo:hi] - lo
-        v, c = values[lo:hi], counts[lo:hi]
-        for i in range(0, hi - lo, _TILE):
-            for j in range(i, hi - lo, _TILE):
-                if c[j] - c[min(i + _TILE, hi - lo) - 1] > radius:
+        for i in range(lo, hi, _TILE):
+            for j in range(i, hi, _TILE):
+                if counts[j] - counts[min(i + _TILE, hi) - 1] > radius:
                     break
-                x, y = np.nonzero(np.bitwise_count(v[i : i + _TILE, None] ^ v[None, j : j + _TILE]) <= radius)
-                _unite(own, x + i, y + j)
-        label[lo:hi] = own + lo
-    far = np.flatnonzero(label != np.arange(len(label)))
-    return values[far].view(np.int64), values[label[far]].view(np.int64)
+                x, y = np.nonzero(np.bitwise_count(values[i : min(i + _TILE, hi), None] ^ values[None, j : min(j + _TILE, hi)]) <= radius)
+                apart = x + i < y + j
+                add(x[apart] + i, y[apart] + j)
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    a, b, _ = _span(len(values), *(np.concatenate(x) for x in zip(*found, strict=True)))
+    return values[a].view(np.int64), values[b].view(np.int64)
 
 
 def links(distinct: DataFrame, radius: int = 4, unit: int = 8192, column: str = "fingerprint") -> DataFrame:
@@ -176,10 +194,49 @@ def near_duplicates(docs: DataFrame, words_each: int = 4, radius: int = 4, doc_i
     return narrow.join(found, "fingerprint").select("doc_id", "text_hash", "fingerprint", "component_id")
 
 
-def one_of_each(docs: DataFrame, words_each: int = 4, radius: int = 4) -> DataFrame:
-    """The documents whose doc_id stands for their component, each once, with all their columns."""
-    found = near_duplicates(docs, words_each, radius)
-    best = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("fingerprint").alias("_print")).distinct()
-    hashed = docs.withColumn("_text_hash", F.xxhash64("text"))
-    kept = hashed.join(best, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")))
-    return kept.dropDuplicates(["_id", "_print"]).select(*docs.columns)
+def _shingles(column: str, words_each: int):
+    """Sorted distinct hashes of a text's word shingles, of all words if they are fewer."""
+    words = F.filter(F.split(F.translate(F.coalesce(F.col(column), F.lit("")), _UPPER, _UPPER.lower()), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    hashed = F.transform(words, lambda w: F.xxhash64(w))
+    n = F.greatest(F.size(hashed) - (words_each - 1), F.lit(1))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.slice(hashed, i, words_each))))
+
+
+def similar_groups(docs: DataFrame, words_each: int = 5, radius: int = 10, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, text_hash, component_id) per document: groups of texts whose shingles are alike.
+
+    Links within ``radius`` bits are candidates; of each bucket's, the nearest that
+    connect it are compared, and those with a Jaccard similarity of word shingles
+    below ``similarity`` go. Texts with equal fingerprints are one text or, if they
+    differ, compared by the same measure with the first of them.
+    """
+    named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    narrow = materialize(fingerprints(named, words_each, keep=["doc_id", "text_hash"]), "fingerprints")
+    texts = narrow.groupBy("fingerprint", "text_hash").agg(F.min("doc_id").alias("least"))
+    first = texts.groupBy("fingerprint").agg(F.min("text_hash").alias("first"))
+    same = texts.join(first, "fingerprint").where("text_hash <> first").select(F.col("text_hash").alias("a"), F.col("first").alias("b"))
+    near = links(first, radius).distinct()
+    near = near.join(first.select(F.col("fingerprint").alias("a"), F.col("first").alias("fa")), "a").join(first.select(F.col("fingerprint").alias("b"), F.col("first").alias("fb")), "b")
+    pairs = materialize(same.union(near.select("fa", "fb")).distinct(), "candidates")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("text_hash")).distinct()
+    # one row a text: copies are pre-aggregated by their hash before any text moves
+    shingled = named.join(wanted, "text_hash", "left_semi").groupBy("text_hash").agg(F.min("text").alias("text")).select("text_hash", _shingles("text", words_each).alias("s"))
+    shingled = materialize(shingled, "shingles")
+    both = pairs.join(shingled.select(F.col("text_hash").alias("a"), F.col("s").alias("sa")), "a").join(shingled.select(F.col("text_hash").alias("b"), F.col("s").alias("sb")), "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    true = both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+    nodes = connected_components(true).withColumnRenamed("node", "text_hash")
+    linked = texts.join(nodes, "text_hash", "left").withColumn("component", F.coalesce("component", "text_hash"))
+    least = linked.groupBy("component").agg(F.min("least").alias("component_id"))
+    found = linked.select("text_hash", "component").join(least, "component").select("text_hash", "component_id")
+    return narrow.join(found, "text_hash").select("doc_id", "text_hash", "component_id")
+
+
+def one_of_each(docs: DataFrame, words_each: int = 5, radius: int = 10, similarity: float = 0.8) -> DataFrame:
+    """One document of each group of near-duplicates, the one of smallest doc_id, with all its columns."""
+    found = similar_groups(docs, words_each, radius, similarity)
+    best = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    # repeated rows of one doc_id: the least text stays; rows without an id stand for themselves
+    best = best.groupBy("_id", F.when(F.col("_id").isNull(), F.col("_hash")).alias("_own")).agg(F.min("_hash").alias("_hash")).drop("_own")
+    kept = docs.withColumn("_text_hash", F.xxhash64("text")).join(best, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")))
+    return kept.dropDuplicates(["_id", "_hash"]).select(*docs.columns)
