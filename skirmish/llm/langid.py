@@ -150,13 +150,14 @@ def predict(spark: SparkSession, docs: DataFrame, model: Model, text: str = "tex
     """``keep`` columns (all, if none are named) with ``lang_pred`` and ``score``; the text alone decides them."""
     shared = spark.sparkContext.broadcast((model.langs, model.matrix))
     names = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
-    sent = docs.select(*names, F.col(text).alias("_text"))
+    sent = docs.select(*names, *([] if text in names else [F.col(text).alias("_text")]))
+    place = names.index(text) if text in names else len(names)
     schema = docs.select(*names).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learned = Model(*shared.value)
         for batch in batches:
-            langs, scores = _classify(batch.column(len(names)).to_pylist(), learned)
+            langs, scores = _classify(batch.column(place).to_pylist(), learned)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
 
     return sent.mapInArrow(score, schema)

@@ -294,7 +294,8 @@ def repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES, shard: int = SHA
     named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     every = materialize(segments(named, min_bytes), "segments")
     anchors = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n"), F.min("digest").alias("_lo"), F.max("digest").alias("_hi")).where("_n > 1")
-    anchors = anchors.select(F.col("anchor").alias("_anchor"), (F.col("_lo") != F.col("_hi")).alias("mixed"))
+    # written, so that the join deals both sides anew and Spark can split an anchor that very many segments share
+    anchors = materialize(anchors.select(F.col("anchor").alias("_anchor"), (F.col("_lo") != F.col("_hi")).alias("mixed")), "anchors")
     repeated = materialize(every.join(anchors, F.col("anchor") == F.col("_anchor")).drop("_anchor"), "repeated")
     whole = repeated.where("not mixed").select("doc_id", "text_hash", F.col("at").alias("lo"), (F.col("at") + F.col("n") - 1 + min_bytes).alias("hi"))
 
