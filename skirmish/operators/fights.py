@@ -140,9 +140,10 @@ def attribute_heals(heals: DataFrame, assigned: DataFrame, fights: DataFrame, fr
     for_names = assigned.where(F.col("kind").isin("hit", "miss")).select("fight_id", "seq", F.explode(F.array("source", "target")).alias("member"))
     members = for_names.groupBy("fight_id", "member").agg(F.min("seq").alias("since"))
     end = seconds("updated_on") + F.when(F.col("status") == "Killed", 0).otherwise(gap)
-    active = fights.select("fight_id", "log_id", "foe", "start_seq", "end_seq", "status", "started_on", "updated_on", F.explode(F.sequence(F.floor(seconds("started_on") / BUCKET), F.floor(end / BUCKET))).alias("_b"))
+    killed = (F.col("status") == "Killed").alias("_killed")
+    active = fights.select("fight_id", "log_id", "foe", "start_seq", "end_seq", killed, "started_on", "updated_on", F.explode(F.sequence(F.floor(seconds("started_on") / BUCKET), F.floor(end / BUCKET))).alias("_b"))
     placed = last_fight(heals, assigned, fights).withColumn("_b", F.floor(seconds("ts") / BUCKET))
-    live = (F.col("seq") > F.col("start_seq")) & F.when(F.col("status") == "Killed", F.col("seq") < F.col("end_seq")).otherwise(seconds("ts") < seconds("updated_on") + gap)
+    live = (F.col("seq") > F.col("start_seq")) & F.when(F.col("_killed"), F.col("seq") < F.col("end_seq")).otherwise(seconds("ts") < seconds("updated_on") + gap)
     meeting = placed.drop("foe").join(active, ["log_id", "_b"]).where(live)
     who = members.withColumnsRenamed({"fight_id": "_f"})
     named = meeting.join(who, (F.col("fight_id") == F.col("_f")) & F.col("member").isin(F.col("source"), F.col("target")) & (F.col("since") < F.col("seq")), "left")
@@ -155,7 +156,7 @@ def attribute_heals(heals: DataFrame, assigned: DataFrame, fights: DataFrame, fr
     tier = F.when((F.col("_members") > 0) & F.col("last_fight").eqNullSafe(F.col("fight_id")), 1).when(F.col("_members") > 0, 2).when(F.col("_friend"), 3)
     order = Window.partitionBy("log_id", "seq").orderBy("_tier", F.when(F.col("_tier") == 3, -F.col("start_seq")).otherwise(F.col("start_seq")))
     best = named.withColumn("_tier", tier).where(F.col("_tier").isNotNull()).withColumn("_n", F.row_number().over(order)).where("_n = 1")
-    return best.where(~F.col("target").eqNullSafe(F.col("foe"))).drop("_n", "_tier", "_members", "_friend", "_b", "last_fight", "start_seq", "end_seq", "status", "updated_on")
+    return best.where(~F.col("target").eqNullSafe(F.col("foe"))).drop("_n", "_tier", "_members", "_friend", "_b", "last_fight", "start_seq", "end_seq", "_killed", "updated_on")
 
 
 def attribute_deaths(deaths: DataFrame, assigned: DataFrame, fights: DataFrame) -> DataFrame:

@@ -115,8 +115,8 @@ _FIGHTS = (
   FROM defenses d JOIN people p USING (fight_id, name)
 ), series AS (
   SELECT fight_id, name, metric, tick, CAST(sum(amount) AS BIGINT) AS value FROM (
-    SELECT fight_id, source AS name, 'dps' AS metric, CAST(greatest(0, epoch(ts) // 6 - epoch(started_on) // 6) AS BIGINT) AS tick, amount FROM frows WHERE kind = 'hit'
-    UNION ALL SELECT fight_id, target, 'tank_dps', CAST(greatest(0, epoch(ts) // 6 - epoch(started_on) // 6) AS BIGINT), amount FROM frows WHERE kind = 'hit' AND spell IS NULL
+    SELECT fight_id, source AS name, 'dps' AS metric, CAST(greatest(0, CAST(epoch(ts) AS BIGINT) // 6 - CAST(epoch(started_on) AS BIGINT) // 6) AS BIGINT) AS tick, amount FROM frows WHERE kind = 'hit'
+    UNION ALL SELECT fight_id, target, 'tank_dps', CAST(greatest(0, CAST(epoch(ts) AS BIGINT) // 6 - CAST(epoch(started_on) AS BIGINT) // 6) AS BIGINT), amount FROM frows WHERE kind = 'hit' AND spell IS NULL
   ) GROUP BY 1, 2, 3, 4 HAVING sum(amount) <> 0
 )"""
 )
@@ -200,7 +200,7 @@ def wide_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ticks.widen(ticks.tick_series(Tables(spark, sf_dir).rows), 5)
 
 
-@query(_FIGHTS + ", lasts AS (SELECT fight_id, name, metric, max(tick) AS last FROM series GROUP BY 1, 2, 3), grid AS (SELECT l.fight_id, l.name, l.metric, g.tick FROM lasts l, LATERAL (SELECT unnest(range(0, l.last + 1)) AS tick) g) SELECT fight_id, name, metric, string_agg(CAST(coalesce(s.value, 0) AS VARCHAR), ',' ORDER BY g.tick) AS values FROM grid g LEFT JOIN series s USING (fight_id, name, metric, tick) GROUP BY 1, 2, 3")
+@query(_FIGHTS + ", lasts AS (SELECT fight_id, name, metric, max(tick) AS last FROM series GROUP BY 1, 2, 3), grid AS (SELECT fight_id, name, metric, unnest(range(0, last + 1)) AS tick FROM lasts) SELECT fight_id, name, metric, string_agg(CAST(coalesce(s.value, 0) AS VARCHAR), ',' ORDER BY g.tick) AS values FROM grid g LEFT JOIN series s USING (fight_id, name, metric, tick) GROUP BY 1, 2, 3")
 def dense_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ticks.dense(ticks.tick_series(Tables(spark, sf_dir).rows))
     return found.withColumn("values", F.array_join(F.col("values").cast("array<string>"), ","))
@@ -208,11 +208,11 @@ def dense_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _AS_OF = """, marks AS (SELECT seq, log_id, CAST(NULL AS VARCHAR) AS zone, CAST(NULL AS VARCHAR) AS party, true AS hit FROM combat WHERE kind = 'hit'
   UNION ALL SELECT seq, log_id, name, NULL, false FROM extra WHERE kind = 'zone'
-  UNION ALL SELECT seq, log_id, NULL, name, false FROM extra WHERE kind = 'party'), asof AS (
+  UNION ALL SELECT seq, log_id, NULL, name, false FROM extra WHERE kind = 'party'), placed AS (
   SELECT *, last_value(zone IGNORE NULLS) OVER w AS z, last_value(CASE party WHEN 'RaidJoined' THEN 'Raid' WHEN 'RaidLeft' THEN 'Group' END IGNORE NULLS) OVER w AS p,
     last_value(CASE WHEN party IN ('RaidJoined', 'RaidLeft') THEN seq END IGNORE NULLS) OVER w AS p_seq, last_value(CASE WHEN party = 'GroupLeft' THEN seq END IGNORE NULLS) OVER w AS g_seq
   FROM marks WINDOW w AS (PARTITION BY log_id ORDER BY seq ROWS UNBOUNDED PRECEDING))
-SELECT seq, z AS zone, CASE WHEN p = 'Group' AND g_seq > p_seq THEN 'Solo' ELSE p END AS party FROM asof WHERE hit"""
+SELECT seq, z AS zone, CASE WHEN p = 'Group' AND g_seq > p_seq THEN 'Solo' ELSE p END AS party FROM placed WHERE hit"""
 
 
 @query(_COMBAT + _AS_OF)
@@ -222,7 +222,7 @@ def zone_and_party(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.where(F.col("kind") == "hit").select("seq", "zone", "party")
 
 
-@query(_FIGHTS + ", marks AS (SELECT log_id, start_seq AS at, 1 AS d, NULL AS fight_id FROM fights UNION ALL SELECT log_id, end_seq, -1, fight_id FROM fights), run AS (SELECT *, sum(d) OVER (PARTITION BY log_id ORDER BY at, d DESC, fight_id ROWS UNBOUNDED PRECEDING) AS open FROM marks) SELECT fight_id, CAST(open AS BIGINT) AS cohort_count FROM run WHERE d = -1")
+@query(_FIGHTS + ", marks AS (SELECT log_id, start_seq AS pos, 1 AS d, NULL AS fight_id FROM fights UNION ALL SELECT log_id, end_seq, -1, fight_id FROM fights), run AS (SELECT *, sum(d) OVER (PARTITION BY log_id ORDER BY pos, d DESC, fight_id ROWS UNBOUNDED PRECEDING) AS n_open FROM marks) SELECT fight_id, CAST(n_open AS BIGINT) AS cohort_count FROM run WHERE d = -1")
 def cohorts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fights.cohorts(Tables(spark, sf_dir).fights).select("fight_id", "cohort_count")
 
@@ -311,9 +311,9 @@ def player_board(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.player_board(rollups.participant_rollup(t.rows), t.fights, rollups.attack_rollup(t.rows), died)
 
 
-_MERGE = _FIGHTS + """, m AS (SELECT fight_id, log_id AS merge_id, started_on, updated_on, foe, hp, CAST(epoch(started_on) // 6 AS BIGINT) AS head, CAST(epoch(updated_on) // 6 AS BIGINT) AS tail FROM fights),
-covered AS (SELECT DISTINCT merge_id, g.at FROM m, LATERAL (SELECT unnest(range(m.head, m.tail + 1)) AS at) g), placed AS (SELECT merge_id, at, row_number() OVER (PARTITION BY merge_id ORDER BY at) - 1 AS n FROM covered),
-offsets AS (SELECT m.merge_id, m.fight_id, CAST(p.n AS BIGINT) AS "offset" FROM m JOIN placed p ON p.merge_id = m.merge_id AND p.at = m.head)"""
+_MERGE = _FIGHTS + """, m AS (SELECT fight_id, log_id AS merge_id, started_on, updated_on, foe, hp, CAST(epoch(started_on) AS BIGINT) // 6 AS head, CAST(epoch(updated_on) AS BIGINT) // 6 AS tail FROM fights),
+covered AS (SELECT DISTINCT merge_id, unnest(range(head, tail + 1)) AS pos FROM m), placed AS (SELECT merge_id, pos, row_number() OVER (PARTITION BY merge_id ORDER BY pos) - 1 AS n FROM covered),
+offsets AS (SELECT m.merge_id, m.fight_id, CAST(p.n AS BIGINT) AS "offset" FROM m JOIN placed p ON p.merge_id = m.merge_id AND p.pos = m.head)"""
 
 
 def _by_log(f: DataFrame) -> DataFrame:
@@ -407,7 +407,7 @@ def pets_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.attack_rollup(rollups.merge_pets(t.rows, owners))
 
 
-@query(_COMBAT + " SELECT log_id, source AS name, TIMESTAMP '2024-01-01' + to_seconds(CAST((epoch(ts) - epoch(TIMESTAMP '2024-01-01')) // 6 * 6 AS BIGINT)) AS window_start, CAST(sum(amount) AS BIGINT) AS damage FROM combat WHERE kind = 'hit' GROUP BY 1, 2, 3")
+@query(_COMBAT + " SELECT log_id, source AS name, TIMESTAMP '2024-01-01' + to_seconds(CAST(epoch(ts) - epoch(TIMESTAMP '2024-01-01') AS BIGINT) // 6 * 6) AS window_start, CAST(sum(amount) AS BIGINT) AS damage FROM combat WHERE kind = 'hit' GROUP BY 1, 2, 3")
 def tumbling_damage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.tumbling_damage(rendered.combat(spark, sf_dir))
 
@@ -453,7 +453,7 @@ def order_top_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.where("rank <= 3").select("fight_id", "name", "total", "rank", F.floor(F.col("total") * 100 / F.col("top")).cast("long").alias("pct_of_top"))
 
 
-@query("SELECT CAST(l_suppkey AS VARCHAR) AS name, CAST(epoch(l_shipdate) // 86400 // 30 AS BIGINT) AS tick, CAST(sum(floor(l_extendedprice)) AS BIGINT) AS value FROM lineitem GROUP BY 1, 2")
+@query("SELECT CAST(l_suppkey AS VARCHAR) AS name, CAST(epoch(l_shipdate) AS BIGINT) // 2592000 AS tick, CAST(sum(floor(l_extendedprice)) AS BIGINT) AS value FROM lineitem GROUP BY 1, 2")
 def supplier_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Amounts by supplier in buckets of 30 days."""
     hits = _order_hits(spark, sf_dir)

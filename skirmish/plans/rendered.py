@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from skirmish.operators.fights import assign_fights, fight_table, in_fights, with_killshots, with_party, with_zone
 from skirmish.operators.lines import split_lines
 from skirmish.operators.rules import extract_events
+from skirmish.sources.store import stored
 
 OWNER = "Larry"
 EVENTS_A_LOG = 2000
@@ -70,7 +71,8 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract_events(split_lines(lines(spark, sf_dir)))
+    """The log's events, stored: most queries read them more than once."""
+    return stored(extract_events(split_lines(lines(spark, sf_dir))), "events")
 
 
 def with_foe(rows: DataFrame) -> DataFrame:
@@ -94,6 +96,6 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.events = combat(spark, sf_dir)
-        self.assigned = assigned(self.events)
+        self.assigned = stored(assigned(self.events), "assigned")
         self.fights = fight_table(self.assigned)
         self.rows = in_fights(self.assigned, self.fights)
