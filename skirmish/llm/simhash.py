@@ -194,12 +194,15 @@ def near_duplicates(docs: DataFrame, words_each: int = 4, radius: int = 4, doc_i
     return narrow.join(found, "fingerprint").select("doc_id", "text_hash", "fingerprint", "component_id")
 
 
-def _shingles(column: str, words_each: int):
-    """Sorted distinct hashes of a text's word shingles, of all words if they are fewer."""
-    words = F.filter(F.split(F.translate(F.coalesce(F.col(column), F.lit("")), _UPPER, _UPPER.lower()), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    hashed = F.transform(words, lambda w: F.xxhash64(w))
-    n = F.greatest(F.size(hashed) - (words_each - 1), F.lit(1))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.slice(hashed, i, words_each))))
+def _with_shingles(df: DataFrame, words_each: int) -> DataFrame:
+    """Adds ``s``: distinct hashes of a text's word shingles, of all words if they are fewer.
+
+    The words stand in a column of their own: inside the lambda they would be cut anew for every shingle.
+    """
+    words = F.filter(F.split(F.translate(F.coalesce("text", F.lit("")), _UPPER, _UPPER.lower()), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    df = df.withColumn("_w", F.transform(words, lambda w: F.xxhash64(w)))
+    n = F.greatest(F.size("_w") - words_each, F.lit(0))
+    return df.withColumn("s", F.array_distinct(F.transform(F.sequence(F.lit(0), n), lambda i: F.xxhash64(*[F.get("_w", i + k) for k in range(words_each)])))).drop("_w")
 
 
 def similar_groups(docs: DataFrame, words_each: int = 5, radius: int = 10, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -220,8 +223,8 @@ def similar_groups(docs: DataFrame, words_each: int = 5, radius: int = 10, simil
     pairs = materialize(same.union(near.select("fa", "fb")).distinct(), "candidates")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("text_hash")).distinct()
     # one row a text: copies are pre-aggregated by their hash before any text moves
-    shingled = named.join(wanted, "text_hash", "left_semi").groupBy("text_hash").agg(F.min("text").alias("text")).select("text_hash", _shingles("text", words_each).alias("s"))
-    shingled = materialize(shingled, "shingles")
+    shingled = named.join(wanted, "text_hash", "left_semi").groupBy("text_hash").agg(F.min("text").alias("text"))
+    shingled = materialize(_with_shingles(shingled, words_each).select("text_hash", "s"), "shingles")
     both = pairs.join(shingled.select(F.col("text_hash").alias("a"), F.col("s").alias("sa")), "a").join(shingled.select(F.col("text_hash").alias("b"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     true = both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
