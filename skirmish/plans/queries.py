@@ -425,7 +425,8 @@ def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions of users: six hours without an event or a purchase end one."""
     user = Window.partitionBy("user_id").orderBy("ts", "event_id")
     e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", "value")
-    idle = F.col("ts").cast("double") - F.lag("ts").over(user).cast("double")
+    at = F.col("ts").cast("timestamp").cast("double")
+    idle = at - F.lag(at).over(user)
     fresh = F.coalesce((F.lag("event_type").over(user) == "purchase") | (idle >= 21600), F.lit(True)).cast("int")
     runs = e.withColumn("_f", fresh).withColumn("run", F.sum("_f").over(user.rowsBetween(Window.unboundedPreceding, 0)))
     return runs.groupBy("user_id", F.col("run").cast("int").alias("session")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.floor(F.col("value") * 100)).cast("long").alias("cents"), F.bool_or(F.col("event_type") == "purchase").alias("ended"))
@@ -473,7 +474,10 @@ def supplier_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.fold_tail(rows, damage=0.95)
 
 
-@query("SELECT p_partkey AS id, CASE WHEN f = 0 THEN 0 WHEN f IN (1, 6, 12) THEN least(v, 127) WHEN f = 5 THEN least(v, 2) WHEN f = 7 THEN least(v, 254) ELSE v END AS duration_ticks, mask AS class_mask, CAST(bit_count(mask) AS INTEGER) AS class_count FROM (SELECT p_partkey, (p_partkey % 8) AS f, CASE p_partkey % 8 WHEN 2 THEN 100 WHEN 3 THEN 100 WHEN 4 THEN 50 ELSE 100 END AS v, CAST(list_sum(list_transform(range(16), k -> CASE WHEN (p_partkey * 7 + k * 31) % 300 < 255 THEN 1 << CAST(k AS INTEGER) ELSE 0 END)) AS INTEGER) AS mask FROM part)")
+_MASK = " + ".join(f"CASE WHEN (p_partkey * 7 + {k * 31}) % 300 < 255 THEN {1 << k} ELSE 0 END" for k in range(16))
+
+
+@query("SELECT p_partkey AS id, CASE WHEN f = 0 THEN 0 WHEN f IN (1, 6, 12) THEN least(v, 127) WHEN f = 5 THEN least(v, 2) WHEN f = 7 THEN least(v, 254) ELSE v END AS duration_ticks, CAST(mask AS INTEGER) AS class_mask, CAST(bit_count(CAST(mask AS INTEGER)) AS INTEGER) AS class_count FROM (SELECT p_partkey, (p_partkey % 8) AS f, CASE p_partkey % 8 WHEN 2 THEN 100 WHEN 3 THEN 100 WHEN 4 THEN 50 ELSE 100 END AS v, " + _MASK + " AS mask FROM part)")
 def spell_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A spell table made of ``part``: durations by formula (cap 100) and class masks from levels."""
     key = F.col("p_partkey")
@@ -498,13 +502,13 @@ def fixed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", fixed.alias("fixed"), names.strip_rank(F.concat(name, F.lit(" Rk. III"))).alias("base"), (names.fix_name(name, F.lit("Larry")) == "Larry").alias("own"))
 
 
-@query("SELECT 'P' || c_custkey AS name, 'RNG' AS class, CAST(NULL AS VARCHAR) AS owner, true AS is_player, DATE '2024-02-01' - CAST(c_custkey % 60 AS INTEGER) AS updated_on FROM customer WHERE c_custkey % 60 <= 30")
+@query("SELECT name, class, owner, is_player, strftime(d, '%Y-%m-%d') AS updated_on FROM (SELECT 'P' || c_custkey AS name, 'RNG' AS class, CAST(NULL AS VARCHAR) AS owner, true AS is_player, DATE '2024-02-01' - CAST(c_custkey % 60 AS INTEGER) AS d FROM customer WHERE c_custkey % 60 <= 30)")
 def registry_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as known players: exported to text and read back as of a day."""
     day = F.date_sub(F.lit("2024-02-01").cast("date"), (F.col("c_custkey") % 60).cast("int"))
     known = table(spark, sf_dir, "customer").select(F.concat(F.lit("P"), F.col("c_custkey")).alias("name"), F.lit("RNG").alias("class"), F.lit(None).cast("string").alias("owner"), F.lit(True).alias("is_player"), day.alias("updated_on"))
     text = rosters.export_registry(known).select(F.concat_ws(":", "name", "class", F.coalesce("owner", F.lit("")), F.date_format("updated_on", "yyyy-MM-dd")).alias("data"))
-    return rosters.import_registry(text, F.lit("2024-02-01").cast("date"))
+    return rosters.import_registry(text, F.lit("2024-02-01").cast("date")).withColumn("updated_on", F.col("updated_on").cast("string"))
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
