@@ -110,4 +110,4 @@ def test_lines(spark):
     assert set(kept) == {0, 4}
     assert kept[0]["text"] == "Welcome!" and str(kept[0]["ts"]) == "2020-07-05 20:31:58"
     assert str(kept[4]["ts"]) == "2018-12-18 00:00:00"
-    assert {r["seq"] for r in rejected_lines(df).collect()} == {1, 2, 6}
+    assert {r["seq"] for r in rejected_lines(df).collect()} == {1, 2, 6, 7}
