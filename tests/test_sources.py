@@ -1,6 +1,7 @@
 """Readers, writers, reports and streams on small files."""
 
 import datetime
+import os
 
 from pyspark.sql import functions as F
 
@@ -74,7 +75,9 @@ def _combat(spark, folder):
     chunks = [[LINE.format(i, x) for i, x in enumerate(lines)], [LINE.format(40, "A slashes Mob1 for 3 points of damage.")], ["[Sun Jul 05 21:31:00 2020] A slashes Rat for 1 points of damage."]]
     folder.mkdir()
     for k, chunk in enumerate(chunks):
-        (folder / f"eqlog_Me_test-{k}.txt").write_text("\n".join(chunk))
+        path = folder / f"eqlog_Me_test-{k}.txt"
+        path.write_text("\n".join(chunk))
+        os.utime(path, (1600000000 + k, 1600000000 + k))  # chunks are taken in the order of their times
     return str(folder)
 
 
