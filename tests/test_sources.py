@@ -42,10 +42,10 @@ def test_spells(spark, tmp_path):
 
 
 def test_rosters_registry_and_templates(spark, tmp_path):
-    (tmp_path / "RaidRoster_erollisi-20200101-120000.txt").write_text("0\tRumstil\t115\tRanger\tRaid Leader\n")
+    (tmp_path / "RaidRoster_erollisi-20200101-120000.txt").write_text("0\tHollin\t115\tRanger\tRaid Leader\n")
     (tmp_path / "Guild_erollisi-20200102-120000.txt").write_text("Larry\t60\tShadow Knight\tMember\nbad line\n")
     got = {r["name"]: (r["level"], r["class"], str(r["ts"])) for r in rosters.read_rosters(spark, str(tmp_path), "erollisi").collect()}
-    assert got == {"Rumstil": (115, "RNG", "2020-01-01 12:00:00"), "Larry": (60, "SHD", "2020-01-02 12:00:00")}
+    assert got == {"Hollin": (115, "RNG", "2020-01-01 12:00:00"), "Larry": (60, "SHD", "2020-01-02 12:00:00")}
     day = F.lit("2024-02-01").cast("date")
     text = spark.createDataFrame([("Bob:RNG::2024-01-30;Jabober::Bob:2024-01-20;Kebartik::Bob:2024-01-31;Old:WAR::2023-01-01;bad;A:B;",)], "data string")
     assert {r["name"]: (r["class"], r["owner"], r["is_player"]) for r in rosters.import_registry(text, day).collect()} == {"Bob": ("RNG", None, True), "Kebartik": (None, "Bob", False)}
