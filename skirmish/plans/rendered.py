@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from skirmish.operators.fights import assign_fights, fight_table, in_fights, with_killshots, with_party, with_zone
 from skirmish.operators.lines import split_lines
 from skirmish.operators.rules import extract_events
-from skirmish.sources.store import stored
+from skirmish.sources.store import spread, stored
 
 OWNER = "Larry"
 EVENTS_A_LOG = 2000
@@ -72,7 +72,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log's events, stored: most queries read them more than once."""
-    return stored(extract_events(split_lines(lines(spark, sf_dir))), "events")
+    return stored(extract_events(split_lines(spread(lines(spark, sf_dir)))), "events")
 
 
 def with_foe(rows: DataFrame) -> DataFrame:

@@ -23,3 +23,9 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over all cores if the input has fewer splits than that: one small or gzip file is one split, and patterns cost far more than the shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
