@@ -36,6 +36,12 @@ def merged_series(membership: DataFrame, fights: DataFrame, series: DataFrame) -
     return moved.groupBy(F.col("merge_id").alias("fight_id"), "name", "metric", "tick").agg(F.sum("value").alias("value"))
 
 
+def targets_as_x(series: DataFrame, fights: DataFrame) -> DataFrame:
+    """Series of fights' targets under the name that merged targets have."""
+    foes = fights.select("fight_id", F.col("foe").alias("_foe"))
+    return series.join(foes, "fight_id").withColumn("name", F.when(F.col("name") == F.col("_foe"), "X").otherwise(F.col("name"))).drop("_foe")
+
+
 def merged_rollup(membership: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
     """Any child table summed over merged fights; columns ending in ``_max`` take the largest."""
     rest = [c for c, kind in table.dtypes if c not in ("fight_id", *keys) and kind in ("bigint", "int")]
@@ -44,7 +50,10 @@ def merged_rollup(membership: DataFrame, table: DataFrame, keys: list[str]) -> D
 
 
 def merged_participants(membership: DataFrame, participants: DataFrame, series: DataFrame) -> DataFrame:
-    """Counters summed by name (targets merge into X); the duration is six seconds for every tick in which a name did or took something."""
+    """Counters summed by name (targets merge into X); the duration is six seconds for every tick in which a name did or took something.
+
+    ``series`` are the merged series, with targets named by :func:`targets_as_x` before they were merged.
+    """
     named = participants.withColumn("name", F.when(F.col("is_target"), "X").otherwise(F.col("name")))
     sums = merged_rollup(membership, named.drop("duration"), ["name", "is_target"])
     busy = series.where(F.col("metric").isin("dps", "hps", "tank_dps")).groupBy("fight_id", "name").agg((F.count_distinct("tick") * WIDTH).alias("duration"))

@@ -304,7 +304,18 @@ def fight_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.long_summary(people, t.fights, rollups.attack_rollup(t.rows), rollups.defense_rollup(t.rows, people))
 
 
-@query()
+_BOARD = _FIGHTS + """, cut AS (SELECT fight_id, name, least(r, 5) AS slot, CASE WHEN r <= 4 THEN attack ELSE 'other' END AS label, sum(hit_sum) AS s
+  FROM (SELECT *, row_number() OVER (PARTITION BY fight_id, name ORDER BY hit_sum DESC, attack) AS r FROM attacks) GROUP BY 1, 2, 3, 4),
+rates AS (SELECT fight_id, name, slot, label, CAST(s // duration AS BIGINT) AS n FROM cut JOIN fights USING (fight_id) WHERE slot <= 4 OR s > 0),
+notes AS (SELECT fight_id, name, string_agg(CASE WHEN n >= 1000000 THEN CAST((n + 5000) // 10000 // 100 AS VARCHAR) || '.' || lpad(CAST((n + 5000) // 10000 % 100 AS VARCHAR), 2, '0') || 'M'
+  WHEN n >= 10000 THEN CAST((n + 500) // 1000 AS VARCHAR) || 'K' WHEN n > 1000 THEN CAST((n + 50) // 100 // 10 AS VARCHAR) || '.' || CAST((n + 50) // 100 % 10 AS VARCHAR) || 'K' ELSE CAST(n AS VARCHAR) END || ' ' || label, ', ' ORDER BY slot) AS notes FROM rates GROUP BY 1, 2),
+fell AS (SELECT DISTINCT fight_id, died AS name FROM assigned WHERE kind = 'touch')
+SELECT p.fight_id, p.name, outbound_hit_sum AS damage, CAST(outbound_hit_sum * 100 // max(outbound_hit_sum) OVER (PARTITION BY p.fight_id) AS BIGINT) AS pct_of_top, CAST(outbound_hit_sum // f.duration AS BIGINT) AS dps,
+  CASE WHEN d.name IS NOT NULL THEN 'DIED - ' ELSE '' END || n.notes AS notes
+FROM people p JOIN fights f ON f.fight_id = p.fight_id LEFT JOIN notes n ON n.fight_id = p.fight_id AND n.name = p.name LEFT JOIN fell d ON d.fight_id = p.fight_id AND d.name = p.name WHERE NOT p.is_target AND outbound_hit_sum > 0"""
+
+
+@query(_BOARD)
 def player_board(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
     died = fights.attribute_deaths(t.events.where(F.col("kind") == "death"), t.assigned, t.fights).withColumnRenamed("died", "name")
@@ -347,12 +358,19 @@ def merged_attacks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.merged_rollup(_by_log(t.fights), rollups.attack_rollup(t.rows), ["name", "attack"])
 
 
-@query()
+_COUNTERS = ("outbound_hit_count", "outbound_hit_sum", "outbound_miss_count", "outbound_strike_count", "inbound_hit_count", "inbound_hit_sum", "inbound_melee_count", "inbound_melee_sum", "inbound_riposte_sum", "inbound_strike_count", "inbound_miss_count")
+_MERGED_PEOPLE = _MERGE + f""", named AS (SELECT f.log_id AS merge_id, p.* REPLACE (CASE WHEN p.is_target THEN 'X' ELSE p.name END AS name) FROM people p JOIN fights f ON f.fight_id = p.fight_id),
+busy AS (SELECT merge_id, name, count(DISTINCT tick) * 6 AS busy FROM (
+  SELECT o.merge_id, CASE WHEN s.name = f.foe THEN 'X' ELSE s.name END AS name, s.tick + o."offset" AS tick FROM series s JOIN offsets o USING (fight_id) JOIN fights f USING (fight_id)) GROUP BY 1, 2)
+SELECT merge_id AS fight_id, name, is_target, {", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in _COUNTERS)}, CAST(coalesce(any_value(busy), 0) AS BIGINT) AS duration FROM named LEFT JOIN busy USING (merge_id, name) GROUP BY 1, 2, 3"""
+
+
+@query(_MERGED_PEOPLE)
 def merged_fights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Participants of each log's merged fights with the time they were active."""
     t = Tables(spark, sf_dir)
     members = _by_log(t.fights)
-    return merge.merged_participants(members, rollups.participant_rollup(t.rows), merge.merged_series(members, t.fights, ticks.tick_series(t.rows)))
+    return merge.merged_participants(members, rollups.participant_rollup(t.rows), merge.merged_series(members, t.fights, merge.targets_as_x(ticks.tick_series(t.rows), t.fights)))
 
 
 _TAIL = """ SELECT fight_id, name, CAST(sum(a) AS BIGINT) AS outbound_hit_sum, CAST(sum(b) AS BIGINT) AS inbound_melee_sum, CAST(0 AS BIGINT) AS outbound_heal_sum FROM (
@@ -373,7 +391,19 @@ def anonymous_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.anonymize(people, F.col("rank_in_fight"))[1]
 
 
-@query()
+_RAIDS = _FIGHTS + """, marks AS (SELECT DISTINCT log_id, seq, CAST(NULL AS VARCHAR) AS zone, CAST(NULL AS VARCHAR) AS party FROM acts
+  UNION ALL SELECT log_id, seq, name, NULL FROM extra WHERE kind = 'zone' UNION ALL SELECT log_id, seq, NULL, name FROM extra WHERE kind = 'party'),
+placed AS (SELECT log_id, seq, last_value(zone IGNORE NULLS) OVER w AS z, last_value(CASE party WHEN 'RaidJoined' THEN 'Raid' WHEN 'RaidLeft' THEN 'Group' END IGNORE NULLS) OVER w AS p,
+    last_value(CASE WHEN party IN ('RaidJoined', 'RaidLeft') THEN seq END IGNORE NULLS) OVER w AS p_seq, last_value(CASE WHEN party = 'GroupLeft' THEN seq END IGNORE NULLS) OVER w AS g_seq
+  FROM marks WINDOW w AS (PARTITION BY log_id ORDER BY seq ROWS UNBOUNDED PRECEDING)),
+held AS (SELECT fight_id, first(z ORDER BY a.seq) AS zone, last(CASE WHEN p = 'Group' AND g_seq > p_seq THEN 'Solo' ELSE p END ORDER BY a.seq) AS party FROM assigned a JOIN placed USING (log_id, seq) GROUP BY 1),
+part AS (SELECT f.*, h.zone, replace(h.zone, 'Zone', 'Raid') AS raid, foe = 'Mob8' AND status = 'Killed' AS ended FROM fights f JOIN held h USING (fight_id) WHERE party = 'Raid' AND zone IS NOT NULL),
+rounds AS (SELECT *, coalesce(sum(CAST(ended AS INTEGER)) OVER (PARTITION BY log_id, raid ORDER BY updated_on, end_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS turn FROM part),
+hours AS (SELECT *, CAST(epoch(started_on) - epoch(min(started_on) OVER (PARTITION BY log_id, raid, turn)) AS BIGINT) // 3601 AS hour FROM rounds)
+SELECT sha256(log_id || '|' || raid || '|' || CAST(turn AS BIGINT) || '|' || hour) AS merge_id, log_id, raid, zone, count(*) AS cohort_count, bool_or(ended) AS finished, CAST(sum(hp) AS BIGINT) AS hp FROM hours GROUP BY log_id, raid, zone, turn, hour"""
+
+
+@query(_RAIDS)
 def raids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fights of raids by template: one raid a zone, whose last mob ends it."""
     templates = spark.sql("SELECT concat('Raid', z) AS raid, concat('Zone', z) AS zone, concat('Mob', m) AS mob, m = 8 AS ends_on_death FROM (SELECT explode(sequence(0, 4)) AS z) CROSS JOIN (SELECT explode(sequence(0, 8)) AS m)")
