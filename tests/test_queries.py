@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as entry
 
 DATA = Path("/root/testdata/sf0.001")
-QUICK = ("rule_counts", "bad_lines", "fight_sessions", "participants", "tick_series", "merged_timeline", "folded_tail", "user_sessions", "order_attacks", "spell_dimension", "short_numbers", "fixed_names")
+QUICK = ("rule_counts", "bad_lines", "fight_sessions", "participants", "tick_series", "merged_timeline", "merged_fights", "player_board", "raids", "known_entities", "folded_tail", "user_sessions", "order_attacks", "spell_dimension", "short_numbers", "fixed_names")
 
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test tables")
 
