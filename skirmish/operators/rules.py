@@ -365,10 +365,13 @@ def _value(way: Value, match: Match, kind: str) -> Column:
 def extract_events(lines: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES) -> DataFrame:
     """(log_id, seq, owner, server, ts, kind, text, family columns): kind is ``raw`` where no rule matches.
 
-    A number too large for its column is null.
+    A number too large for its column is null. Form and groups come out of a
+    generator, as the optimizer would copy their patterns into every later filter
+    on a column if they were plain columns.
     """
     kinds, forms = zip(*((r.kind, f) for r in rules for f in r.forms), strict=True)
-    found = lines.withColumn("_form", _form_number(forms)).withColumn("_groups", _groups(forms))
+    numbered = lines.withColumn("_form", _form_number(forms))
+    found = numbered.select(*lines.columns, F.inline(F.array(F.struct("_form", _groups(forms).alias("_groups")))))
     kind = F.coalesce(F.get(F.array(*map(F.lit, kinds)), F.col("_form")), F.lit("raw"))
     return found.select("log_id", "seq", "owner", "server", "ts", kind.alias("kind"), "text", *[_column(n, k, forms).alias(n) for n, k in FAMILY_COLUMNS.items()])
 
