@@ -35,17 +35,25 @@ _BLOCK = 1 << 15
 _TILE = 256
 _SMALL = 48
 _HELD = 1 << 20
+_SLOTS = 64
+_DENSE = 2
+_OUT = 1 << 16
 
 
-def _fingerprint(text: bytes | None, words_each: int) -> int:
+def _hashes(text: bytes | None, words_each: int) -> list[int]:
     words = text.lower().split() if text else []
     if not words:
-        return 0
+        return []
     joined = b" ".join(words)
     starts = list(accumulate((len(w) + 1 for w in words[:-1]), initial=0))
     ends = [a + len(w) for a, w in zip(starts, words, strict=True)]
     digest = xxhash.xxh64_intdigest
-    hashes = [digest(joined[a:b], SEED) for a, b in zip(starts, ends[words_each - 1 :], strict=False)] or [digest(joined, SEED)]
+    return [digest(joined[a:b], SEED) for a, b in zip(starts, ends[words_each - 1 :], strict=False)] or [digest(joined, SEED)]
+
+
+def _fingerprint(hashes: list[int]) -> int:
+    if not hashes:
+        return 0
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), _BLOCK):
         part = np.array(hashes[at : at + _BLOCK], np.uint64)
@@ -60,12 +68,35 @@ def fingerprints(docs: DataFrame, words_each: int = 4, text: str = "text", keep:
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.fromiter((_fingerprint(x.as_py(), words_each) for x in batch.column(len(names))), np.uint64, batch.num_rows)
+            found = np.fromiter((_fingerprint(_hashes(x.as_py(), words_each)) for x in batch.column(len(names))), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(found.view(np.int64))], [*names, "fingerprint"])
 
     return sent.mapInArrow(hashed, docs.select(*names).withColumn("fingerprint", F.lit(0).cast("long")).schema)
 
 
+def _sketched(named: DataFrame, words_each: int) -> DataFrame:
+    """doc_id, text_hash, fingerprint and ``counts``: how many distinct shingles fall into each of ``_SLOTS`` slots.
+
+    Two texts share no more shingles than the lesser counts of all slots sum up to.
+    """
+    sent = named.select("doc_id", "text_hash", F.col("text").cast("binary").alias("_text"))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = np.zeros(batch.num_rows, np.uint64)
+            counts = np.zeros((batch.num_rows, _SLOTS), np.int32)
+            for i, x in enumerate(batch.column(2)):
+                hashes = _hashes(x.as_py(), words_each)
+                prints[i] = _fingerprint(hashes)
+                # a text without words has one shingle of none
+                counts[i] = np.bincount((np.unique(np.array(hashes or [0], np.uint64)) % _SLOTS).astype(np.int64), minlength=_SLOTS)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * _SLOTS), pa.array(counts.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(prints.view(np.int64)), lists], ["doc_id", "text_hash", "fingerprint", "counts"])
+
+    schema = named.select("doc_id", "text_hash", F.lit(0).cast("long").alias("fingerprint"), F.array(F.lit(0)).alias("counts")).schema
+    return sent.mapInArrow(hashed, schema)
+
+
 def as_hex(column: str):
     return F.lpad(F.lower(F.hex(F.col(column))), 16, "0")
 
@@ -179,6 +210,137 @@ def links(distinct: DataFrame, radius: int = 4, unit: int = 8192, column: str =
     return together.mapInArrow(compare, "a long, b long")
 
 
+def candidates(distinct: DataFrame, radius: int, unit: int = 1 << 16, column: str = "fingerprint", label: str | None = None) -> DataFrame:
+    """(a, b, open): pairs of fingerprints within ``radius`` bits, each once: in the first bucket that holds both.
+
+    Without ``label``, a bucket with more than ``_DENSE`` pairs a member gives a
+    spanning forest of them, marked as open: all other pairs of the bucket are
+    between fingerprints of open pairs. With it, every pair whose labels differ
+    comes. A task deals its rows as one array a bucket; buckets beyond ``unit``
+    members are dealt as pairs of parts.
+    """
+    cuts = np.linspace(0, 64, radius + 3).round().astype(int)
+    shift, mask = cuts[:-1].astype(np.uint64), (np.uint64(1) << np.diff(cuts).astype(np.uint64)) - np.uint64(1)
+    first, second = np.array(list(combinations(range(radius + 2), 2))).T
+    half = int(np.diff(cuts).max())
+
+    def keys(v: np.ndarray) -> np.ndarray:
+        blocks = (v[:, None] >> shift & mask).astype(np.int64)
+        return (np.arange(len(first)) << 2 * half | blocks[:, first] << half | blocks[:, second]).ravel()
+
+    def column_of(batch: pa.RecordBatch, i: int) -> np.ndarray:
+        return np.ascontiguousarray(batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64)).view(np.uint64)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k, n = np.unique(keys(column_of(batch, 0)), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], ["k", "n"])
+
+    sent = distinct.select(F.col(column).alias("v"), *([F.col(label).alias("l")] if label else []))
+    sizes = sent.select("v").mapInArrow(counted, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).where(F.col("n") > unit)
+    large = sorted((r["k"], min(1023, -(-r["n"] // unit))) for r in sizes.collect())  # buckets are as many as there are keys, whatever the input
+    large_keys, large_parts = np.array([k for k, _ in large], np.int64), np.array([n for _, n in large], np.int64)
+
+    def parts_of(k: np.ndarray) -> np.ndarray:
+        if not len(large_keys):
+            return np.ones(len(k), np.int64)
+        at = np.minimum(np.searchsorted(large_keys, k), len(large_keys) - 1)
+        return np.where(large_keys[at] == k, large_parts[at], 1)
+
+    def own_part(v: np.ndarray, parts: np.ndarray | int) -> np.ndarray:
+        return (v * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % parts
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = column_of(batch, 0)
+            k, row = keys(v), np.repeat(np.arange(len(v)), len(first))
+            parts = parts_of(k)
+            own = own_part(v[row], parts)
+            jobs, rows = [], []
+            for other in range(parts.max(initial=0)):
+                at = np.flatnonzero(parts > other)
+                jobs.append(k[at] << 20 | np.minimum(own[at], other) << 10 | np.maximum(own[at], other))
+                rows.append(row[at])
+            if not jobs:
+                continue
+            job, row = np.concatenate(jobs), np.concatenate(rows)
+            order = np.argsort(job, kind="stable")
+            job, row = job[order], row[order]
+            starts = np.flatnonzero(np.r_[True, job[1:] != job[:-1]])
+            offsets = pa.py_buffer((np.r_[starts, len(job)] * 8).astype(np.int32).tobytes())
+            sets = [pa.Array.from_buffers(pa.binary(), len(starts), [None, offsets, pa.py_buffer(column_of(batch, i)[row].tobytes())]) for i in range(batch.num_columns)]
+            yield pa.RecordBatch.from_arrays([pa.array(job[starts]), *sets], ["job", *(["v", "l"][: len(sets)])])
+
+    dealt = sent.mapInArrow(deal, "job long, v binary" + (", l binary" if label else ""))
+
+    def pairs(job: int, v: np.ndarray, labels: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+        k, i, j = job >> 20, job >> 10 & 1023, job & 1023
+        n = k >> 2 * half
+        own = own_part(v, int(parts_of(np.array([k]))[0])) if i != j else None
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held, dense = 0, False
+        for lo in range(0, len(v), _TILE):
+            a, b = np.nonzero(np.bitwise_count(v[lo : lo + _TILE, None] ^ v[None, lo:]) <= radius)
+            a, b = a[a < b] + lo, b[a < b] + lo
+            if labels is not None:
+                a, b = a[labels[a] != labels[b]], b[labels[a] != labels[b]]
+            if own is not None:
+                a, b = a[own[a] != own[b]], b[own[a] != own[b]]
+            if not len(a):
+                continue
+            alike = ((v[a] ^ v[b])[:, None] >> shift & mask) == 0
+            one = alike.argmax(axis=1)
+            alike[np.arange(len(a)), one] = False
+            here = (one == first[n]) & (alike.argmax(axis=1) == second[n])
+            a, b = a[here], b[here]
+            if labels is not None:
+                yield v[a], v[b], False
+                continue
+            found.append((a, b, np.bitwise_count(v[a] ^ v[b])))
+            held += len(a)
+            if held > _HELD:  # the forest of a forest and more links is the forest of all
+                found, held, dense = [_span(len(v), *(np.concatenate(x) for x in zip(*found, strict=True)))], 0, True
+        if found:
+            a, b, far = (np.concatenate(x) for x in zip(*found, strict=True))
+            if dense or len(a) > _DENSE * len(np.unique(np.r_[a, b])):
+                a, b, far = _span(len(v), a, b, far)
+                dense = True
+            yield v[a], v[b], dense
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def buckets() -> Iterator[tuple[int, list[np.ndarray]]]:
+            job, held = None, []
+            for batch in batches:
+                sets = [batch.column(i) for i in range(1, batch.num_columns)]
+                for r, at in enumerate(batch.column(0).to_pylist()):
+                    if at != job and held:
+                        yield job, [np.concatenate(x) for x in zip(*held, strict=True)]
+                        held = []
+                    job = at
+                    held.append([np.frombuffer(x[r].as_buffer(), np.uint64) for x in sets])
+            if held:
+                yield job, [np.concatenate(x) for x in zip(*held, strict=True)]
+
+        def out(found: list[tuple[np.ndarray, np.ndarray, bool]]) -> pa.RecordBatch:
+            marks = np.concatenate([np.full(len(a), mark) for a, _, mark in found])
+            return pa.RecordBatch.from_arrays([*(pa.array(np.concatenate([x[i] for x in found]).view(np.int64)) for i in (0, 1)), pa.array(marks)], ["a", "b", "open"])
+
+        found, rows = [], 0
+        for job, sets in buckets():
+            if len(sets[0]) < 2:
+                continue
+            for x in pairs(job, sets[0], sets[1] if len(sets) > 1 else None):
+                found.append(x)
+                rows += len(x[0])
+                if rows > _OUT:
+                    yield out(found)
+                    found, rows = [], 0
+        if found:
+            yield out(found)
+
+    return dealt.repartition("job").sortWithinPartitions("job").mapInArrow(compare, "a long, b long, open boolean")
+
+
 def near_duplicates(docs: DataFrame, words_each: int = 4, radius: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text_hash, fingerprint, component_id) per document: the smallest doc_id reachable over links, itself included.
 
@@ -205,30 +367,59 @@ def _with_shingles(df: DataFrame, words_each: int) -> DataFrame:
     return df.withColumn("s", F.array_distinct(F.transform(F.sequence(F.lit(0), n), lambda i: F.xxhash64(*[F.get("_w", i + k) for k in range(words_each)])))).drop("_w")
 
 
+def _true_pairs(pairs: DataFrame, named: DataFrame, texts: DataFrame, words_each: int, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) of text hashes whose shingles have a Jaccard similarity of ``similarity``.
+
+    Pairs go before any text moves if even all shingles that their slots could share are too few.
+    """
+    def joined(left: DataFrame, right: DataFrame, column: str) -> DataFrame:
+        both = left.join(right.select(F.col("text_hash").alias("a"), F.col(column).alias("sa")), "a")
+        return both.join(right.select(F.col("text_hash").alias("b"), F.col(column).alias("sb")), "b")
+
+    def enough(shared, all_a, all_b):
+        return shared >= similarity * (all_a + all_b - shared)
+
+    def total(counts):
+        return F.aggregate(counts, F.lit(0), lambda x, y: x + y)
+
+    most = total(F.zip_with("sa", "sb", lambda x, y: F.least(x, y)))
+    likely = materialize(joined(pairs, texts, "counts").where(enough(most, total(F.col("sa")), total(F.col("sb")))).select("a", "b"), "candidates")
+    wanted = likely.select(F.explode(F.array("a", "b")).alias("text_hash")).distinct()
+    # one row a text: copies are pre-aggregated by their hash before any text moves
+    shingled = named.join(wanted, "text_hash", "left_semi").groupBy("text_hash").agg(F.min("text").alias("text"))
+    shingled = materialize(_with_shingles(shingled, words_each).select("text_hash", "s"), "shingles")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    return materialize(joined(likely, shingled, "s").where(enough(shared, F.size("sa"), F.size("sb"))).select("a", "b"), "alike")
+
+
 def similar_groups(docs: DataFrame, words_each: int = 5, radius: int = 10, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text_hash, component_id) per document: groups of texts whose shingles are alike.
 
-    Links within ``radius`` bits are candidates; of each bucket's, the nearest that
-    connect it are compared, and those with a Jaccard similarity of word shingles
-    below ``similarity`` go. Texts with equal fingerprints are one text or, if they
+    Pairs within ``radius`` bits are candidates, and those with a Jaccard similarity
+    of word shingles below ``similarity`` go. Of buckets with very many pairs, the
+    nearest that connect it are compared first; then all pairs of theirs that are
+    not in one group yet. Texts with equal fingerprints are one text or, if they
     differ, compared by the same measure with the first of them.
     """
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    narrow = materialize(fingerprints(named, words_each, keep=["doc_id", "text_hash"]), "fingerprints")
-    texts = narrow.groupBy("fingerprint", "text_hash").agg(F.min("doc_id").alias("least"))
+    narrow = materialize(_sketched(named, words_each), "fingerprints")
+    texts = materialize(narrow.groupBy("fingerprint", "text_hash").agg(F.min("doc_id").alias("least"), F.first("counts").alias("counts")), "texts")
     first = texts.groupBy("fingerprint").agg(F.min("text_hash").alias("first"))
+
+    def of_texts(near: DataFrame) -> DataFrame:
+        named_a, named_b = (first.select(F.col("fingerprint").alias(c), F.col("first").alias(f"f{c}")) for c in "ab")
+        return near.join(named_a, "a").join(named_b, "b").select(F.col("fa").alias("a"), F.col("fb").alias("b"))
+
     same = texts.join(first, "fingerprint").where("text_hash <> first").select(F.col("text_hash").alias("a"), F.col("first").alias("b"))
-    near = links(first, radius).distinct()
-    near = near.join(first.select(F.col("fingerprint").alias("a"), F.col("first").alias("fa")), "a").join(first.select(F.col("fingerprint").alias("b"), F.col("first").alias("fb")), "b")
-    pairs = materialize(same.union(near.select("fa", "fb")).distinct(), "candidates")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("text_hash")).distinct()
-    # one row a text: copies are pre-aggregated by their hash before any text moves
-    shingled = named.join(wanted, "text_hash", "left_semi").groupBy("text_hash").agg(F.min("text").alias("text"))
-    shingled = materialize(_with_shingles(shingled, words_each).select("text_hash", "s"), "shingles")
-    both = pairs.join(shingled.select(F.col("text_hash").alias("a"), F.col("s").alias("sa")), "a").join(shingled.select(F.col("text_hash").alias("b"), F.col("s").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    true = both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+    near = materialize(candidates(first, radius), "near")
+    true = _true_pairs(same.union(of_texts(near)), named, texts, words_each, similarity)
     nodes = connected_components(true).withColumnRenamed("node", "text_hash")
+    again = near.where("open").select(F.explode(F.array("a", "b")).alias("fingerprint")).distinct()
+    again = again.join(first, "fingerprint").join(nodes, F.col("first") == F.col("text_hash"), "left").select("fingerprint", F.coalesce("component", "first").alias("label"))
+    rest = materialize(candidates(again, radius, label="label"), "near")
+    if not rest.isEmpty():
+        true = true.union(_true_pairs(of_texts(rest), named, texts, words_each, similarity))
+        nodes = connected_components(true).withColumnRenamed("node", "text_hash")
     linked = texts.join(nodes, "text_hash", "left").withColumn("component", F.coalesce("component", "text_hash"))
     least = linked.groupBy("component").agg(F.min("least").alias("component_id"))
     found = linked.select("text_hash", "component").join(least, "component").select("text_hash", "component_id")

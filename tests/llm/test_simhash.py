@@ -98,3 +98,57 @@ def test_one_of_each(spark, docs):
     kept = simhash.one_of_each(docs(rows, extra=True)).collect()
     assert sorted(r["doc_id"] or -1 for r in kept) == [-1, 3, 9, 11]
     assert simhash.one_of_each(docs(rows).where("doc_id < 0")).count() == 0
+
+
+def _shingles(text, each=5):
+    words = text.split()
+    return {tuple(words[i : i + each]) for i in range(max(1, len(words) - each + 1))}
+
+
+def _groups(texts, radius, similarity=0.8):
+    """Least index reachable over all pairs within the radius and alike."""
+    v = np.array([fingerprint(t, 5) for t in texts], np.uint64)
+    s = [_shingles(t) for t in texts]
+    label = list(range(len(texts)))
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if int(v[i] ^ v[j]).bit_count() <= radius and len(s[i] & s[j]) >= similarity * len(s[i] | s[j]):
+                a, b = root(i), root(j)
+                label[max(a, b)] = min(a, b)
+    return [root(i) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize(("seed", "radius"), [(1, 10), (2, 10), (3, 14)])
+def test_families_of_edited_texts_against_all_pairs(spark, docs, seed, radius):
+    """Links within the radius that fail the similarity must not hide others of the same bucket."""
+    r = random.Random(seed)
+    base = [f"w{r.randrange(5000)}" for _ in range(120)]
+    texts = []
+    for _ in range(150):
+        words = list(base)
+        for at in r.sample(range(120), r.randint(1, 3)):
+            words[at] = f"v{r.randrange(5000)}"
+        texts.append(" ".join(words))
+    want = _groups(texts, radius)
+    got = {x["doc_id"]: x["component_id"] for x in simhash.similar_groups(docs([(i, t, "en", "s") for i, t in enumerate(texts)]), radius=radius).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
+@pytest.mark.parametrize("unit", [1 << 16, 20])
+def test_candidates_are_all_pairs_once(spark, unit):
+    """Also where a bucket is dealt over several tasks; labels leave out what is joined."""
+    r = np.random.default_rng(6)
+    v = np.unique(r.integers(0, 2**63, 3, dtype=np.int64).astype(np.uint64)[r.integers(0, 3, 120)] ^ np.array([np.bitwise_or.reduce(np.uint64(1) << r.integers(0, 64, 6).astype(np.uint64)) for _ in range(120)], np.uint64))
+    rows = [(int(x), i % 4) for i, x in enumerate(v.view(np.int64))]
+    df = spark.createDataFrame(rows, "fingerprint long, label long")
+    label = dict(rows)
+    got = sorted(tuple(sorted((x["a"], x["b"]))) for x in simhash.candidates(df, 10, unit, label="label").collect())
+    far = np.bitwise_count(v[:, None] ^ v[None, :])
+    want = sorted(tuple(sorted((rows[i][0], rows[j][0]))) for i in range(len(v)) for j in range(i) if far[i, j] <= 10 and label[rows[i][0]] != label[rows[j][0]])
+    assert got == want
