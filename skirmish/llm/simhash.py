@@ -392,14 +392,27 @@ def _true_pairs(pairs: DataFrame, named: DataFrame, texts: DataFrame, words_each
     return materialize(joined(likely, shingled, "s").where(enough(shared, F.size("sa"), F.size("sb"))).select("a", "b"), "alike")
 
 
+def _apart(near: DataFrame, labelled: DataFrame, prints: DataFrame, unit: int = 256) -> DataFrame:
+    """(a, b): the texts of pairs of fingerprints whose labels differ. Fingerprints of many texts meet part by part."""
+    sizes = prints.select("fingerprint", F.ceil(F.col("n") / unit).cast("int").alias("parts"))
+    dealt = labelled.join(sizes, "fingerprint").withColumn("part", F.pmod(F.xxhash64("text_hash"), F.col("parts")).cast("int"))
+    found = near
+    for c in "ab":
+        found = found.join(sizes.select(F.col("fingerprint").alias(c), F.col("parts").alias(f"n{c}")), c).withColumn(f"p{c}", F.explode(F.sequence(F.lit(0), F.col(f"n{c}") - 1))).drop(f"n{c}")
+    for c in "ab":
+        found = found.join(dealt.select(F.col("fingerprint").alias(c), F.col("part").alias(f"p{c}"), F.col("text_hash").alias(f"t{c}"), F.col("label").alias(f"l{c}")), [c, f"p{c}"])
+    return found.where("la <> lb and (a <> b or ta < tb)").select(F.col("ta").alias("a"), F.col("tb").alias("b"))
+
+
 def similar_groups(docs: DataFrame, words_each: int = 5, radius: int = 10, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text_hash, component_id) per document: groups of texts whose shingles are alike.
 
     Pairs within ``radius`` bits are candidates, and those with a Jaccard similarity
     of word shingles below ``similarity`` go. Of buckets with very many pairs, the
     nearest that connect it are compared first; then all pairs of theirs that are
-    not in one group yet. Texts with equal fingerprints are one text or, if they
-    differ, compared by the same measure with the first of them.
+    not in one group yet. Of texts that share a fingerprint the first goes before;
+    then each is compared with all of its own and of near fingerprints that are
+    not in one group with it.
     """
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     narrow = materialize(_sketched(named, words_each), "fingerprints")
@@ -414,11 +427,17 @@ def similar_groups(docs: DataFrame, words_each: int = 5, radius: int = 10, simil
     near = materialize(candidates(first, radius), "near")
     true = _true_pairs(same.union(of_texts(near)), named, texts, words_each, similarity)
     nodes = connected_components(true).withColumnRenamed("node", "text_hash")
+    labelled = materialize(texts.join(nodes, "text_hash", "left").select("fingerprint", "text_hash", F.coalesce("component", "text_hash").alias("label")), "labels")
+    prints = labelled.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
     again = near.where("open").select(F.explode(F.array("a", "b")).alias("fingerprint")).distinct()
-    again = again.join(first, "fingerprint").join(nodes, F.col("first") == F.col("text_hash"), "left").select("fingerprint", F.coalesce("component", "first").alias("label"))
-    rest = materialize(candidates(again, radius, label="label"), "near")
+    again = again.join(prints, "fingerprint").select("fingerprint", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.col("fingerprint")).alias("label"))
+    rest = materialize(candidates(again, radius, label="label").select("a", "b"), "near")
+    many = prints.where("n > 1")
+    either = near.where("not open").join(many.select(F.col("fingerprint").alias("a"), F.lit(True).alias("ma")), "a", "left").join(many.select(F.col("fingerprint").alias("b"), F.lit(True).alias("mb")), "b", "left")
+    rest = rest.union(either.where("ma or mb").select("a", "b")).union(prints.where("low <> high").select("fingerprint", "fingerprint"))
+    rest = materialize(_apart(rest, labelled, prints), "apart")
     if not rest.isEmpty():
-        true = true.union(_true_pairs(of_texts(rest), named, texts, words_each, similarity))
+        true = true.union(_true_pairs(rest, named, texts, words_each, similarity))
         nodes = connected_components(true).withColumnRenamed("node", "text_hash")
     linked = texts.join(nodes, "text_hash", "left").withColumn("component", F.coalesce("component", "text_hash"))
     least = linked.groupBy("component").agg(F.min("least").alias("component_id"))

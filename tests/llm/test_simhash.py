@@ -152,3 +152,19 @@ def test_candidates_are_all_pairs_once(spark, unit):
     far = np.bitwise_count(v[:, None] ^ v[None, :])
     want = sorted(tuple(sorted((rows[i][0], rows[j][0]))) for i in range(len(v)) for j in range(i) if far[i, j] <= 10 and label[rows[i][0]] != label[rows[j][0]])
     assert got == want
+
+
+def test_all_texts_of_a_fingerprint_are_compared(spark, docs):
+    """Repeated lines decide the fingerprint, while the distinct shingles differ: the first text stands for none of the others."""
+    r = random.Random(8)
+    line = "alpha beta gamma delta eps " * 400
+    texts = []
+    for _ in range(5):
+        tail = [f"w{r.randrange(5000)}" for _ in range(150)]
+        edited = [*tail[:70], "other", *tail[71:]]
+        texts += [line + " ".join(tail), line + " ".join(edited), line + "zz " * 600 + " ".join(tail)]
+    assert len({fingerprint(t, 5) for t in texts}) == 2
+    want = [i - i % 3 for i in range(len(texts))]
+    assert _groups(texts, 40) == want
+    got = {x["doc_id"]: x["component_id"] for x in simhash.similar_groups(docs([(i, t, "en", "s") for i, t in enumerate(texts)]), radius=40).collect()}
+    assert [got[i] for i in range(len(texts))] == want
