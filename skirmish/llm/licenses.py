@@ -8,14 +8,21 @@ is calibrated: of the phrases held out from training, the least probability that
 lets none of the unknown ones through. A family is confirmed only if one of its
 templates is found in the paragraph by ``CONFIRM`` of its word pairs.
 
-Only paragraphs that hold a cue can match a template, as every template holds
-one; others are not scored. Defined results: null and empty texts have no
-paragraph; repeated rows are rows each; ties go to the family first by name.
+Paragraphs are lines, and blocks of lines between blank ones. A line is scored if
+it holds a cue or could match a template: by the word pairs of the templates
+themselves (:func:`required`), so no match is passed over. A block is scored
+besides, and counts once if it is of a family that none of its lines is of.
+Lines without a cue that no template confirms are none, not unknown. Defined
+results: null and empty texts have no paragraph; repeated rows are rows each;
+ties go to the family first by name.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import product
+from math import ceil
+from operator import or_
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
@@ -42,21 +49,21 @@ NAMES = {
     "lgpl": ["gnu lesser general public license", "lgpl license", "lgpl version 2.1"],
     "mit": ["mit license", "mit licence", "expat license"],
     "mpl": ["mozilla public license", "mpl 2.0 license"],
-    "proprietary": ["all rights reserved copyright", "copyright all rights reserved", "proprietary license"],
+    "proprietary": ["all rights reserved", "all rights reserved copyright", "copyright all rights reserved", "proprietary license"],
 }
 WORDINGS = {
     "apache-2.0": ["you may not use this file except in compliance with the license you may obtain a copy of the license at apache org licenses license 2.0"],
-    "bsd": ["redistribution and use in source and binary forms with or without modification are permitted under this license provided that the following conditions are met"],
+    "bsd": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
     "gpl": ["this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"],
     "isc": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice"],
-    "mit": ["permission is hereby granted free of charge to any person obtaining a copy of this software this license and associated documentation files", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"],
+    "mit": ["permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"],
     "mpl": ["this source code form is subject to the terms of the mozilla public license"],
 }
 FRAMES = ["{}", "licensed under {}", "licensed under the {}", "released under the {}", "this work is licensed under the {}", "this work is licensed under {}", "distributed under the terms of the {}", "the code is available under the {} version 2.0", "spdx license identifier {}", "see the file for the {} text", "{} version 3", "covered by the {}", "published under {}"]
 #: Sentences that use the same words without naming a licence.
 OTHER = ["{} license", "the driver showed a license", "a license plate was found", "they lost the license to {}", "license fees for {} rose", "the {} license was revoked by the court", "copyright law and {}", "under the terms of the contract {}", "released under pressure from {}", "version 2.0 of the {} plan", "the public {} opened", "the general public saw {}", "creative {} in common", "notice to the public about {}", "permission is granted to enter {}", "a fishing license costs {}", "a copyright question about {}", "the {} was published under another name", "available under {}"]
 FILLERS = ["fishing", "radio", "marriage", "house", "the office", "a river", "music", "software", "general", "business", "this work", "an animal", "professor", "museum", "the mill", "trade"]
-#: Every template holds one of these.
+#: A line with one of these that is of no family is unknown.
 CUES = ("licen", "copyright", "creative commons", "public domain", "cc by", "cc-by", "cc0", "gpl")
 
 
@@ -109,45 +116,85 @@ def _scored(fitted: PipelineModel, families: list[str], rows: DataFrame) -> Data
     return out.withColumn("probability_of", F.array_max(vector_to_array("probability")))
 
 
+def _pairs(template: str) -> list[str]:
+    words = template.split()
+    return [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+
+
 def _templates() -> Column:
     """Family -> list of the word pairs of each template."""
     entries = []
     for family in sorted(NAMES):
-        texts = NAMES[family] + WORDINGS.get(family, [])
-        pairs = [[f"{a} {b}" for a, b in zip(t.split(), t.split()[1:], strict=False)] for t in texts]
+        pairs = [_pairs(t) for t in NAMES[family] + WORDINGS.get(family, [])]
         entries += [F.lit(family), F.array(*[F.array(*map(F.lit, p)) for p in pairs])]
     return F.create_map(*entries)
 
 
-def paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, at, paragraph) of every line with a cue, numbered from 0."""
-    def cued(c: Column) -> Column:
-        low = F.lower(c)
-        found = low.contains(CUES[0])
-        for cue in CUES[1:]:
-            found = found | low.contains(cue)
-        return found
+def required() -> list[tuple[str, ...]]:
+    """Words of which a text holds all of at least one entry if any template is found in it.
+
+    A template of n distinct pairs needs ``CONFIRM`` of them, so of any
+    n - needed + 1 pairs one is there: the longest are taken, as their words are rare.
+    """
+    found = set()
+    for template in (t for texts in (*NAMES.values(), *WORDINGS.values()) for t in texts):
+        pairs, size = sorted(set(_pairs(template)), key=lambda p: (-len(p), p)), len(_pairs(template))
+        needed = ceil(CONFIRM * size - 1e-9)
+        found.update(tuple(sorted(p.split())) for p in pairs[: len(pairs) - needed + 1])
+    return sorted(found)
+
 
-    lines = docs.where(cued(F.col(text))).select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(F.col(text), "\n")).alias("at", "paragraph"))
-    return lines.where(cued(F.col("paragraph")))
+def _cued(text: Column) -> Column:
+    low = F.lower(text)
+    return reduce(or_, [low.contains(cue) for cue in CUES])
 
 
-def classify(found: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, at, paragraph, family, probability): unknown unless the probability reaches the threshold and a template confirms."""
+def _may_match(text: Column) -> Column:
+    """Whether a template could be found: a word of normal text is a part of the lowered text."""
+    low = F.lower(text)
+    return reduce(or_, [reduce(lambda a, b: a & b, [low.contains(w) for w in words]) for words in required()])
+
+
+def paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, text_hash, at, whole, paragraph): lines and, if they have more than one, blocks that hold a cue or could match; ``at`` numbers the blocks from 0."""
+    scored = lambda c: _cued(c) | _may_match(c)
+    blocks = docs.where(scored(F.col(text))).select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.posexplode(F.split(F.col(text), r"\n[\x20\t\r]*\n")).alias("at", "block"))
+    lines = F.transform(F.split("block", "\n"), lambda x: F.struct(F.lit(False).alias("whole"), x.alias("paragraph")))
+    whole = F.array(F.struct(F.lit(True).alias("whole"), F.col("block").alias("paragraph")))
+    every = F.when(F.size(lines) > 1, F.concat(lines, whole)).otherwise(lines)
+    found = blocks.where(scored(F.col("block"))).select("doc_id", "text_hash", "at", F.explode(every).alias("p")).select("doc_id", "text_hash", "at", "p.*")
+    return found.where(scored(F.col("paragraph")))
+
+
+def classify(found: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, at, paragraph, family, probability) and the ``keep`` columns: unknown unless the probability reaches the threshold and a template confirms."""
     scored = _scored(model.fitted, model.families, _featured(found))
     templates = F.try_element_at(_templates(), F.col("family_pred"))
     alike = F.exists(templates, lambda t: F.size(F.array_intersect(t, F.col("grams"))) >= F.lit(CONFIRM) * F.size(t))
     sure = (F.col("family_pred") != UNKNOWN) & (F.col("probability_of") > model.threshold) & F.coalesce(alike, F.lit(False))
     family = F.when(sure, F.col("family_pred")).otherwise(F.lit(UNKNOWN))
-    return scored.select("doc_id", "at", "paragraph", family.alias("family"), F.col("probability_of").alias("probability"))
+    return scored.select("doc_id", "at", "paragraph", family.alias("family"), F.col("probability_of").alias("probability"), *keep)
 
 
 def scan(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, families, n_licensed, n_unknown) for documents with a cue: families by name, joined by commas."""
-    found = classify(paragraphs(docs, doc_id, text), model)
+    """(doc_id, families, n_licensed, n_unknown) for documents with a licence or a cue: families by name, joined by commas."""
+    found = classify(paragraphs(docs, doc_id, text), model, keep=("text_hash", "whole"))
     known = F.when(F.col("family") != UNKNOWN, F.col("family"))
-    return found.groupBy("doc_id").agg(
-        F.array_join(F.array_sort(F.collect_set(known)), ",").alias("families"),
-        F.count(known).alias("n_licensed"),
-        F.count_if(F.col("family") == UNKNOWN).alias("n_unknown"),
+    of_lines, of_block = F.when(~F.col("whole"), known), F.when(F.col("whole"), known)
+    blocks = found.groupBy("doc_id", "text_hash", "at").agg(
+        F.collect_set(of_lines).alias("lines"),
+        F.max(of_block).alias("block"),
+        F.count(of_lines).alias("n_lines"),
+        F.count(of_block).alias("n_blocks"),
+        F.count_if(~F.col("whole") & (F.col("family") == UNKNOWN) & _cued(F.col("paragraph"))).alias("n_unknown"),
+    )
+    # a licence that runs over lines: the block is of it, and its lines for themselves are not unknown
+    more = F.col("block").isNotNull() & ~F.coalesce(F.array_contains("lines", F.col("block")), F.lit(False))
+    blocks = blocks.select(
+        "doc_id",
+        F.when(more, F.array_append("lines", F.col("block"))).otherwise(F.col("lines")).alias("families"),
+        (F.col("n_lines") + F.when(more, F.col("n_blocks")).otherwise(0)).alias("n_licensed"),
+        F.when(more, 0).otherwise(F.col("n_unknown")).alias("n_unknown"),
     )
+    sums = blocks.groupBy("doc_id").agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("families")))), ",").alias("families"), F.sum("n_licensed").alias("n_licensed"), F.sum("n_unknown").alias("n_unknown"))
+    return sums.where("n_licensed > 0 or n_unknown > 0")

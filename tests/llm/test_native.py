@@ -88,3 +88,29 @@ def test_held_out_phrases(spark):
     found = licenses.classify(rows, model).join(rows.select("doc_id", "family_true"), "doc_id")
     right, wrong = found.selectExpr("count_if(family = family_true)", "count_if(family <> 'unknown' AND family <> family_true)").first()
     assert right >= 0.9 * found.count() and wrong == 0
+
+
+def test_licenses_by_their_real_wordings(spark, docs, tiny):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction"
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+    rows = [
+        (1, "intro\nAll rights reserved.\nmore", "en", "s"),
+        (2, mit, "en", "s"),
+        (3, mit.replace("\n", " "), "en", "s"),
+        (4, "text\n\n" + bsd + "\n\ntext", "en", "s"),
+        (5, "the seats were reserved and all had their rights", "en", "s"),
+        (1, "intro\nAll rights reserved.\nmore", "en", "s"),
+    ]
+    got = {r["doc_id"]: (r["families"], r["n_licensed"], r["n_unknown"]) for r in op8_license_scan(spark, tiny(documents=docs(rows))).collect()}
+    assert got == {1: ("proprietary", 2, 0), 2: ("mit", 1, 0), 3: ("mit", 1, 0), 4: ("bsd", 1, 0)}
+
+
+def test_no_template_is_passed_over(spark):
+    """Every template, and what is left of it when as many words as may be missing are cut from either end."""
+    texts = []
+    for t in (t for part in (licenses.NAMES, licenses.WORDINGS) for texts_of in part.values() for t in texts_of):
+        words = t.split()
+        cut = int((1 - licenses.CONFIRM) * (len(words) - 1) + 1e-9)
+        texts += [t.upper(), " ".join(words[cut:]), " ".join(words[: len(words) - cut])]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert df.where(licenses._may_match(F.col("text"))).count() == len(texts)
