@@ -135,7 +135,8 @@ def attribute_heals(heals: DataFrame, assigned: DataFrame, fights: DataFrame, fr
     """Heals with the fight they count for: of the active ones the last hit if it has either name, else the oldest that has, else the newest if the healer is a friend.
 
     Members are those who hit, missed or were hit before the heal. Heals on the foe
-    itself count for nothing. Fights and heals meet per log and minute.
+    itself count for nothing. Fights and heals meet per log and minute. ``friends``
+    has (log_id, name), or with ``seq`` those who are friends at that heal.
     """
     for_names = assigned.where(F.col("kind").isin("hit", "miss")).select("fight_id", "seq", F.explode(F.array("source", "target")).alias("member"))
     members = for_names.groupBy("fight_id", "member").agg(F.min("seq").alias("since"))
@@ -151,8 +152,12 @@ def attribute_heals(heals: DataFrame, assigned: DataFrame, fights: DataFrame, fr
     if friends is None:
         named = named.withColumn("_friend", F.lit(False))
     else:
-        known = friends.select(F.col("log_id").alias("_l"), F.col("name").alias("_n")).distinct().withColumn("_friend", F.lit(True))
-        named = named.join(known, (F.col("log_id") == F.col("_l")) & (F.col("source") == F.col("_n")), "left").withColumn("_friend", F.coalesce("_friend", F.lit(False))).drop("_l", "_n")
+        at = [F.col("seq").alias("_s")] if "seq" in friends.columns else []
+        known = friends.select(F.col("log_id").alias("_l"), F.col("name").alias("_n"), *at).distinct().withColumn("_friend", F.lit(True))
+        same = (F.col("log_id") == F.col("_l")) & (F.col("source") == F.col("_n"))
+        if at:
+            same &= F.col("seq") == F.col("_s")
+        named = named.join(known, same, "left").withColumn("_friend", F.coalesce("_friend", F.lit(False))).drop("_l", "_n", "_s")
     tier = F.when((F.col("_members") > 0) & F.col("last_fight").eqNullSafe(F.col("fight_id")), 1).when(F.col("_members") > 0, 2).when(F.col("_friend"), 3)
     order = Window.partitionBy("log_id", "seq").orderBy("_tier", F.when(F.col("_tier") == 3, -F.col("start_seq")).otherwise(F.col("start_seq")))
     best = named.withColumn("_tier", tier).where(F.col("_tier").isNotNull()).withColumn("_n", F.row_number().over(order)).where("_n = 1")

@@ -238,7 +238,15 @@ def deaths_in_fights(spark: SparkSession, sf_dir: str) -> DataFrame:
 def heals_in_fights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Heals with the fight they count for, summed by healer and target."""
     t = Tables(spark, sf_dir)
-    heals = fights.attribute_heals(t.events.where(F.col("kind") == "heal").drop("foe"), t.assigned, t.fights)
+    healed = t.events.where(F.col("kind") == "heal").drop("foe")
+    _, changes = entities.resolve_foes(t.events)
+    who = entities.entities_as_of(healed.select("log_id", "seq", "source"), changes, "source", "seq")
+    # of an unknown pet the owner's type counts
+    who = who.select("log_id", "seq", "source", F.col("type_of").alias("own_type"), F.coalesce("pet_owner", names.pet_owner(F.col("source"))).alias("owner"))
+    who = entities.entities_as_of(who, changes, "owner", "seq")
+    kind = F.when(F.col("own_type") == entities.UNKNOWN, F.col("type_of")).otherwise(F.col("own_type"))
+    friends = who.where(kind == entities.FRIEND).select("log_id", "seq", F.col("source").alias("name"))
+    heals = fights.attribute_heals(healed, t.assigned, t.fights, friends)
     return rollups.heal_rollup(heals)
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skirmish.operators import buffs, entities, fights, loot, merge, rollups, ticks
-from skirmish.plans import reports
+from skirmish.plans import queries, reports
 
 SCHEMA = "log_id string, seq long, t long, kind string, source string, target string, amount long, full_amount long, type string, spell string, mods array<string>, name string, killshot string, channel string, message string, status string, foe string, owner string, text string, class string, level int, faction string, item string, server string"
 FIELDS = [f.split()[0] for f in SCHEMA.split(", ")]
@@ -139,6 +139,49 @@ def test_heals(table):
     assert sorted(r["seq"] for r in fights.attribute_heals(df.where("kind = 'heal'").drop("foe"), rows, table_, friends).collect()) == [1, 3]
 
 
+def test_heals_query_against_brute_force(table, monkeypatch):
+    """All three tiers, with friends as known at each heal."""
+    r = random.Random(11)
+    rows, t = [{"kind": "who", "name": "A"}], 0
+    for i in range(220):
+        t += r.choice([0, 1, 1, 2, 3, 20])
+        foe, who = r.choice([("Mob", "A"), ("Rat", "B"), ("Bat", "C"), ("Bat", "D")])
+        healed = {"t": t, "kind": "heal", "source": r.choice(["A", "B", "C", "H", "J", "K", "A`s pet"]), "target": r.choice(["A", "B", "H", "J", "X", "Mob"]), "amount": 2**20 + i, "full_amount": 2**20 + i}
+        told = {"t": t, "kind": "who", "name": r.choice(["H", "J"])}
+        rows.append(r.choice([hit(t, who, foe, foe=foe), hit(t, who, foe, foe=foe), healed, healed, death(t, foe)] + ([told] if i > 100 else [])))
+    df = table(*rows)
+    assigned, fights_ = sessions(df)
+    hits = [(x["seq"], x["fight_id"], {x["source"], x["target"]}) for x in assigned.where("kind in ('hit', 'miss')").collect()]
+    opened = sorted((f.asDict() | {"last": f["updated_on"].timestamp()} for f in fights_.collect()), key=lambda f: f["start_seq"])
+    changes = sorted((x["seq"], x["name"], x["type"]) for x in entities.resolve_foes(df)[1].collect())
+    want, tiers = {}, set()
+    for h in df.where("kind = 'heal'").collect():
+        live = [f for f in opened if f["start_seq"] < h["seq"] and (h["seq"] < f["end_seq"] if f["status"] == "Killed" else h["ts"].timestamp() < f["last"] + 15)]
+        named = [f for f in live if any(s < h["seq"] and f["fight_id"] == g and m & {h["source"], h["target"]} for s, g, m in hits)]
+        # a kill forgets the last fight
+        marks = [(s, g) for s, g, _ in hits] + [(f["end_seq"], None) for f in opened if f["status"] == "Killed"]
+        last = max((m for m in marks if m[0] < h["seq"]), default=(0, None), key=lambda m: m[0])[1]
+        types = [k for s, n, k in changes if n == h["source"] and s <= h["seq"]]
+        first = [f for f in named if f["fight_id"] == last] or named
+        if h["source"] == "A`s pet" and (types or ["Unknown"])[-1] == "Unknown":
+            types = [k for s, n, k in changes if n == "A" and s <= h["seq"]]
+        friend = bool(types) and types[-1] == "Friend"
+        best = first[0] if first else live[-1] if live and friend else None
+        if best and h["target"] != best["foe"]:
+            tiers.add(1 if first and first[0]["fight_id"] == last else 2 if first else 3)
+            key = (best["fight_id"], h["source"], h["target"])
+            want[key] = want.get(key, 0) + h["amount"]
+    assert tiers == {1, 2, 3}
+
+    class Given:
+        def __init__(self, *_):
+            self.events, self.assigned, self.fights = df, assigned, fights_
+
+    monkeypatch.setattr(queries, "Tables", Given)
+    got = {(x["fight_id"], x["name"], x["target"]): x["hit_sum"] for x in queries.heals_in_fights(None, "").collect()}
+    assert got == want
+
+
 def test_six_second_split(table):
     # a start at second 34 leaves two seconds of the first bucket
     rows, _ = _rows(table(hit(34, amount=100), hit(35, amount=50), hit(37, amount=21), hit(38, source="B", amount=35)))
