@@ -404,7 +404,7 @@ def _apart(near: DataFrame, labelled: DataFrame, prints: DataFrame, unit: int =
     return found.where("la <> lb and (a <> b or ta < tb)").select(F.col("ta").alias("a"), F.col("tb").alias("b"))
 
 
-def similar_groups(docs: DataFrame, words_each: int = 5, radius: int = 10, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def similar_groups(docs: DataFrame, words_each: int = 5, radius: int = 14, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text_hash, component_id) per document: groups of texts whose shingles are alike.
 
     Pairs within ``radius`` bits are candidates, and those with a Jaccard similarity
@@ -445,7 +445,7 @@ def similar_groups(docs: DataFrame, words_each: int = 5, radius: int = 10, simil
     return narrow.join(found, "text_hash").select("doc_id", "text_hash", "component_id")
 
 
-def one_of_each(docs: DataFrame, words_each: int = 5, radius: int = 10, similarity: float = 0.8) -> DataFrame:
+def one_of_each(docs: DataFrame, words_each: int = 5, radius: int = 14, similarity: float = 0.8) -> DataFrame:
     """One document of each group of near-duplicates, the one of smallest doc_id, with all its columns."""
     found = similar_groups(docs, words_each, radius, similarity)
     best = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()

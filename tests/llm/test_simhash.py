@@ -168,3 +168,14 @@ def test_all_texts_of_a_fingerprint_are_compared(spark, docs):
     assert _groups(texts, 40) == want
     got = {x["doc_id"]: x["component_id"] for x in simhash.similar_groups(docs([(i, t, "en", "s") for i, t in enumerate(texts)]), radius=40).collect()}
     assert [got[i] for i in range(len(texts))] == want
+
+
+def test_alike_texts_beyond_ten_bits_are_one_group(spark, docs):
+    r = random.Random(4)
+    while True:
+        words = [f"w{r.randrange(5000)}" for _ in range(60)]
+        edited = [*words[:30], "other", *words[31:]]
+        texts = [" ".join(words), " ".join(edited)]
+        if 10 < (fingerprint(texts[0], 5) ^ fingerprint(texts[1], 5)).bit_count() <= 14 and _groups(texts, 14) == [0, 0]:
+            break
+    assert [x["doc_id"] for x in simhash.one_of_each(docs([(i, t, "en", "s") for i, t in enumerate(texts)])).collect()] == [0]
