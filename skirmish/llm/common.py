@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import re
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,12 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset
-    (or holds Spark's own default of a local run) a temporary folder is made.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a local
+    session, as in tests, gets a temporary folder; any other is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     made = f"file://{tempfile.mkdtemp(prefix='skirmish-')}"
     spark.conf.set("spark.checkpoint.dir", made)
     return made
@@ -48,6 +54,43 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Spark keeps worker processes, and what they hold counts beside the next task's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def giving_back(rows: Iterator) -> Iterator:
+    """The rows, and at their end :func:`give_back`."""
+    try:
+        yield from rows
+    finally:
+        give_back()
+
+
+def fresh_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names like those wanted that no column of ``df`` has, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def small_batches(batches: Iterator[pa.RecordBatch], limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of about ``limit`` bytes each, of one row at least, so that what a task makes of a batch is bounded."""
+    for batch in batches:
+        step = max(1, batch.num_rows * limit // max(batch.nbytes, 1))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
 def rank_in_groups(df: DataFrame, keys: Sequence[str], order: Column, out: str, buckets: int = 256) -> DataFrame:
     """Number the rows of each group from 0 by the long ``order``, without one task per group.
 
@@ -57,18 +100,19 @@ def rank_in_groups(df: DataFrame, keys: Sequence[str], order: Column, out: str,
     Ties in ``order`` are numbered in any order.
     """
     width = 64 - (buckets - 1).bit_length()
-    dealt = df.withColumn("_o", order).withColumn("_b", F.shiftright("_o", width))
-    sizes = dealt.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    inside = Window.partitionBy(*keys, "_b").orderBy("_o")
-    ranked = dealt.withColumn("_r", F.row_number().over(inside) - 1)
-    sizes = sizes.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_b").alias("_kb"), "_before")
-    same = F.col("_b") == F.col("_kb")
-    for i, k in enumerate(keys):
-        same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    o, b, n, past, r, kb, *own = fresh_names(df, "_o", "_b", "_n", "_before", "_r", "_kb", *(f"_k{i}" for i in range(len(keys))))
+    dealt = df.withColumn(o, order).withColumn(b, F.shiftright(o, width))
+    sizes = dealt.groupBy(*keys, b).agg(F.count(F.lit(1)).alias(n))
+    before = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn(past, F.coalesce(F.sum(n).over(before), F.lit(0))).drop(n)
+    inside = Window.partitionBy(*keys, b).orderBy(o)
+    ranked = dealt.withColumn(r, F.row_number().over(inside) - 1)
+    sizes = sizes.select(*(F.col(k).alias(name) for name, k in zip(own, keys, strict=True)), F.col(b).alias(kb), past)
+    same = F.col(b) == F.col(kb)
+    for name, k in zip(own, keys, strict=True):
+        same &= F.col(k).eqNullSafe(F.col(name))
     joined = ranked.join(sizes, same, "left")
-    return joined.withColumn(out, (F.col("_r") + F.col("_before")).cast("long")).select(*df.columns, out)
+    return joined.withColumn(out, (F.col(r) + F.col(past)).cast("long")).select(*df.columns, out)
 
 
 def with_columns_like(df: DataFrame, columns: Sequence[str] = DOCUMENT_COLUMNS) -> DataFrame:

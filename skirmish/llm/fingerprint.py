@@ -8,7 +8,9 @@ much of a text another contains, however unequal they are.
 
 Defined results: a null text is empty; a text without words has an empty sketch;
 two empty sketches are alike (1), an empty and another are not (0); fewer words
-than a shingle make one shingle of them all; repeated shingles count once.
+than a shingle make one shingle of them all; repeated shingles count once. A very
+long text is one value with its sketch; other columns are not read; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -20,6 +22,9 @@ from pyspark.sql.window import Window
 WORDS = 5
 #: One of 2^SCALE hashes is kept.
 SCALE = 3
+#: Bytes of text that a range of neighbours holds, and the number of quantiles that ranges are made of.
+RANGE = 24 << 20
+CUTS = 2048
 
 
 def kept(hashes: Column, scale: int = SCALE) -> Column:
@@ -65,15 +70,16 @@ def containment(a: Column, b: Column) -> Column:
 def with_next(rows: DataFrame, key: str, carried: list[str], tie: str) -> DataFrame:
     """Adds next_<column> for the carried columns: those of the next row by descending ``key``, after the last the first.
 
-    Keys are cut at their quantiles into as many ranges as shuffles have tasks; each
-    range gets a copy of the row that follows it, so one window a range gives all
-    next rows and no task sees all. A null key comes last.
+    Keys are cut at their quantiles into ranges of about ``RANGE`` bytes of text, as
+    many as shuffles have tasks at least; each range gets a copy of the row that
+    follows it and is a task of its own, so one window a range gives all next rows
+    and no task sees all. A null key comes last.
     """
     spark = rows.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shares = [k / parts for k in range(1, parts)] or [0.5]
-    cuts = rows.select(F.percentile_approx(key, F.lit(shares), F.lit(100 * parts)).alias("c")).first()["c"] or []
-    cuts = sorted(set(cuts))
+    some = rows.agg(F.percentile_approx(key, F.lit([k / CUTS for k in range(1, CUTS)]), F.lit(20 * CUTS)).alias("c"), F.sum(F.octet_length(F.col(carried[0]))).alias("n")).first()
+    parts = min(CUTS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(some["n"] or 0) // RANGE)))
+    cuts = some["c"] or []
+    cuts = sorted({cuts[k * CUTS // parts - 1] for k in range(1, parts)}) if cuts else []
     place = F.size(F.filter(F.lit(cuts).cast("array<bigint>"), lambda c: c < F.col(key))) if cuts else F.lit(0)
     rows = rows.withColumn("_range", F.when(F.col(key).isNull(), F.lit(-1)).otherwise(place))
     firsts = rows.groupBy("_range").agg(F.max(key).alias("first")).orderBy(F.col("_range").desc()).collect()  # at most one row a range
@@ -82,6 +88,7 @@ def with_next(rows: DataFrame, key: str, carried: list[str], tie: str) -> DataFr
     # each row once in its range and, if it is the first of a range, again at the end of the one before
     spread = rows.withColumn("_at", F.explode(_places(firsts, key)))
     spread = spread.drop("_range").select("*", "_at._range", "_at._copy").drop("_at")
+    spread = spread.repartitionByRange(len(cuts) + 2, "_range")  # ranges do not share a task, as they may by hash
     order = Window.partitionBy("_range").orderBy("_copy", F.col(key).desc_nulls_last(), tie)
     found = spread.withColumns({f"next_{c}": F.lead(c).over(order) for c in carried})
     return found.where("not _copy").drop("_range", "_copy")

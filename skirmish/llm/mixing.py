@@ -11,7 +11,9 @@ top. Which documents of a length these are is decided by a seeded hash.
 
 Defined results: a null text has 0 words and is never taken for its words; null
 sources are one source, last in order; documents without an id or repeated rows
-are documents like others; an empty table gives no rows.
+are documents like others; an empty table gives no rows. Very long texts are
+counted where they are read and only their sizes are shuffled. Columns that clash
+with those the plan needs are kept as they are.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, rank_in_groups
+from .common import fresh_names, materialize, rank_in_groups
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -118,11 +120,25 @@ def mix(docs: DataFrame, seed: int = 7, doc_id: str = "doc_id", text: str = "tex
 
 
 def mixed(docs: DataFrame, seed: int = 7) -> DataFrame:
-    """The documents of the mix with all their columns, each as often as it is taken."""
-    plan = mix(docs, seed).groupBy("key").agg(F.sort_array(F.collect_list("copies"), asc=False).alias("_copies")).withColumnRenamed("key", "_key")
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    joined = keyed.join(plan, "_key")
-    # repeated rows share a key: the nth of them takes the nth number of copies
-    nth = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
-    joined = joined.withColumn("_n", F.element_at("_copies", nth)).where("_n > 0")
-    return joined.withColumn("_i", F.explode(F.sequence(F.lit(1), "_n"))).select(*docs.columns)
+    """The documents of the mix with all their columns, whatever their names, each as often as it is taken.
+
+    Repeated rows share a key; as a row is taken 0 to ``MOST`` times, a key has as
+    many numbers of copies at most, and the nth of its rows takes the nth of them.
+    """
+    key, runs, nth, times, copy = fresh_names(docs, "_key", "_runs", "_nth", "_times", "_copy")
+    counted = mix(docs, seed).groupBy("key", "copies").agg(F.count(F.lit(1)).alias("n"))
+    plan = counted.groupBy(F.col("key").alias(f"{key}_of_plan")).agg(F.sort_array(F.collect_list(F.struct("copies", "n")), asc=False).alias(runs))
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    joined = keyed.join(plan, F.col(key) == F.col(f"{key}_of_plan"))
+    joined = joined.withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(key)).cast("long"))
+    start = F.struct(F.col(nth).alias("left"), F.lit(-1).alias("copies"))
+    found = F.aggregate(
+        F.col(runs),
+        start,
+        lambda s, x: F.when(s["copies"] >= 0, s)
+        .when(s["left"] <= x["n"], F.struct(s["left"].alias("left"), x["copies"].alias("copies")))
+        .otherwise(F.struct((s["left"] - x["n"]).alias("left"), F.lit(-1).alias("copies"))),
+        lambda s: s["copies"],
+    )
+    joined = joined.withColumn(times, found).where(F.col(times) > 0)
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)

@@ -8,7 +8,8 @@ packs. Pieces then get a seeded rank among those of their length, and a join on
 length and rank range gives each its sequence and offset.
 
 Defined results: a null or empty text is the end id alone; repeated rows are
-packed as often as they come; an empty table gives no rows. A join row stands
+packed as often as they come; an empty table gives no rows; a very long text is
+many pieces; other columns are not read. A join row stands
 for a run of equal lengths in a pattern, so the table it joins has at most
 (patterns x 63) rows at size 2048: distinct lengths of one pattern add up to
 ``size`` at most.
@@ -25,6 +26,8 @@ from .common import materialize, rank_in_groups
 from .tokens import pieces
 
 SIZE = 2048
+#: Pieces and runs of a length meet by rank, so many ranks at a time: no length is one key.
+RUN = 1 << 14
 
 
 @dataclass
@@ -91,8 +94,10 @@ def pack(docs: DataFrame, path: str, size: int = SIZE, doc_id: str = "doc_id", t
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     found = places(pack_histogram(histogram, size))
     table = spark.createDataFrame(found, "p_length long, lo long, hi long, n long, first long, p_offset long")
-    ranked = rank_in_groups(cut, ["length"], F.xxhash64("doc_id", "start", "ids_crc32"), "rank")
-    placed = ranked.join(table, (F.col("length") == F.col("p_length")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
+    table = table.withColumn("p_bucket", F.explode(F.sequence(F.expr(f"lo div {RUN}"), F.expr(f"(hi - 1) div {RUN}"))))
+    ranked = rank_in_groups(cut, ["length"], F.xxhash64("doc_id", "start", "ids_crc32"), "rank").withColumn("bucket", F.expr(f"rank div {RUN}"))
+    same = (F.col("length") == F.col("p_length")) & (F.col("bucket") == F.col("p_bucket"))
+    placed = ranked.join(table, same & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
     nth = F.col("rank") - F.col("lo")
     return placed.select(
         *cut.columns,

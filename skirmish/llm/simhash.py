@@ -12,7 +12,9 @@ pairs, and the forests are joined into components.
 
 Defined results: a text that is null or has no word has fingerprint 0 and links
 like any other; fewer words than a shingle make one shingle of them all; an
-exact half is a 0 bit. Repeated rows stay in the output, each with its component.
+exact half is a 0 bit. Repeated rows stay in the output, each with its component;
+an empty table gives no rows; very long texts are hashed in blocks. Other columns,
+whatever their names, are carried along by :func:`one_of_each`.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import fresh_names, giving_back, materialize
 from .components import connected_components
 
 SEED = 42
@@ -94,7 +96,7 @@ def _sketched(named: DataFrame, words_each: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(prints.view(np.int64)), lists], ["doc_id", "text_hash", "fingerprint", "counts"])
 
     schema = named.select("doc_id", "text_hash", F.lit(0).cast("long").alias("fingerprint"), F.array(F.lit(0)).alias("counts")).schema
-    return sent.mapInArrow(hashed, schema)
+    return sent.mapInArrow(lambda batches: giving_back(hashed(batches)), schema)
 
 
 def as_hex(column: str):
@@ -338,7 +340,7 @@ def candidates(distinct: DataFrame, radius: int, unit: int = 1 << 16, column: st
         if found:
             yield out(found)
 
-    return dealt.repartition("job").sortWithinPartitions("job").mapInArrow(compare, "a long, b long, open boolean")
+    return dealt.repartition("job").sortWithinPartitions("job").mapInArrow(lambda batches: giving_back(compare(batches)), "a long, b long, open boolean")
 
 
 def near_duplicates(docs: DataFrame, words_each: int = 4, radius: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -448,8 +450,9 @@ def similar_groups(docs: DataFrame, words_each: int = 5, radius: int = 14, simil
 def one_of_each(docs: DataFrame, words_each: int = 5, radius: int = 14, similarity: float = 0.8) -> DataFrame:
     """One document of each group of near-duplicates, the one of smallest doc_id, with all its columns."""
     found = similar_groups(docs, words_each, radius, similarity)
-    best = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    own, other, of = fresh_names(docs, "_id", "_hash", "_text_hash")
+    best = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(own), F.col("text_hash").alias(other)).distinct()
     # repeated rows of one doc_id: the least text stays; rows without an id stand for themselves
-    best = best.groupBy("_id", F.when(F.col("_id").isNull(), F.col("_hash")).alias("_own")).agg(F.min("_hash").alias("_hash")).drop("_own")
-    kept = docs.withColumn("_text_hash", F.xxhash64("text")).join(best, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")))
-    return kept.dropDuplicates(["_id", "_hash"]).select(*docs.columns)
+    best = best.groupBy(own, F.when(F.col(own).isNull(), F.col(other)).alias("alone")).agg(F.min(other).alias(other)).drop("alone")
+    kept = docs.withColumn(of, F.xxhash64("text")).join(best, F.col("doc_id").eqNullSafe(F.col(own)) & (F.col(of) == F.col(other)))
+    return kept.dropDuplicates([own, other]).select(*docs.columns)

@@ -18,8 +18,9 @@
    them are merged by binary search: a string found in another run repeats.
 
 Defined results: a null text is empty; texts shorter than ``min_bytes`` keep all;
-repeated rows of a text of ``min_bytes`` or more lose all of it. Other columns are
-carried along by :func:`remove_repeats`.
+repeated rows of a text of ``min_bytes`` or more lose all of it; an empty table
+gives no rows; texts of any length are cut where they are read. Other columns,
+whatever their names, are carried along by :func:`remove_repeats`.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import fresh_names, giving_back, materialize
 
 MIN_BYTES = 400
 GRAM = 16
@@ -123,7 +124,7 @@ def segments(docs: DataFrame, min_bytes: int) -> DataFrame:
                     )
 
     sent = docs.select("doc_id", "text_hash", F.col("text").cast("binary").alias("text"))
-    return sent.mapInArrow(find, "doc_id long, text_hash long, anchor long, digest long, at long, n int")
+    return sent.mapInArrow(lambda batches: giving_back(find(batches)), "doc_id long, text_hash long, anchor long, digest long, at long, n int")
 
 
 def suffix_array(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -249,7 +250,7 @@ def _repeats(rows: DataFrame, min_bytes: int, shard: int) -> DataFrame:
         if held:
             yield solve(held)
 
-    return rows.select("anchor", "digest", "at", "n", "copies", "part", "content").mapInArrow(work, _FOUND)
+    return rows.select("anchor", "digest", "at", "n", "copies", "part", "content").mapInArrow(lambda batches: giving_back(work(batches)), _FOUND)
 
 
 def _merged(found: DataFrame) -> DataFrame:
@@ -328,10 +329,13 @@ def _runs(spans: list[dict] | None) -> list[list[int]]:
     return runs
 
 
-def _with_spans(docs: DataFrame, min_bytes: int) -> DataFrame:
-    spans = repeated_spans(docs, min_bytes).withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash", "spans": "_spans"})
-    hashed = docs.withColumn("_text_hash", F.xxhash64("text"))
-    return hashed.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left").drop("_id", "_hash", "_text_hash")
+def _with_spans(docs: DataFrame, min_bytes: int) -> tuple[DataFrame, str]:
+    """The documents and their spans, and the name of the column that has them."""
+    own, other, of, named = fresh_names(docs, "_id", "_hash", "_text_hash", "_spans")
+    spans = repeated_spans(docs, min_bytes).withColumnsRenamed({"doc_id": own, "text_hash": other, "spans": named})
+    hashed = docs.withColumn(of, F.xxhash64("text"))
+    joined = hashed.join(spans, F.col("doc_id").eqNullSafe(F.col(own)) & (F.col(of) == F.col(other)), "left")
+    return joined.select(*docs.columns, named), named
 
 
 def removal_report(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
@@ -351,7 +355,8 @@ def removal_report(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
             n_bytes, removed, count, sums = zip(*rows, strict=True) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(sums, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    sent = _with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), min_bytes).select("doc_id", F.col("text").cast("binary").alias("text"), "_spans")
+    found, named = _with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), min_bytes)
+    sent = found.select("doc_id", F.col("text").cast("binary").alias("text"), named)
     return sent.mapInArrow(report, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -362,7 +367,7 @@ def remove_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     something was removed from it. ``n_chars`` follows the text, if it is there.
     """
     names = docs.columns
-    joined = _with_spans(docs, min_bytes)
+    joined, _ = _with_spans(docs, min_bytes)
     place = names.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -389,7 +394,7 @@ def remove_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
             columns = [pa.array(texts, pa.string()) if i == place else batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep, pa.bool_()))
 
-    out = joined.select(*names, "_spans").mapInArrow(cut, docs.schema)
+    out = joined.mapInArrow(cut, docs.schema)
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out

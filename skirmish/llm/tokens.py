@@ -3,8 +3,12 @@
 A tokenizer of the ``tokenizers`` library gives a word the same ids wherever it
 stands, if the cuts between words are cuts of the tokenizer too. So each task
 cuts texts at such places, has the library encode every distinct word once, and
-joins ids by array indexing. The cache of a task is emptied when it holds
-``CACHE`` words, so its memory is bounded.
+joins ids by array indexing. The cache is emptied when its words hold
+``CACHE`` characters and at the end of a task, so its memory is bounded and
+given back.
+
+Ids are those of the plain call: a special token's string in a text becomes that
+token's id, unless ``special_as_text`` is set. Such texts are encoded whole.
 
 Two kinds of cuts are known: before a blank between two characters that are not
 blank (byte-level vocabularies, whose words carry the blank before them), and at
@@ -14,6 +18,7 @@ all white space (vocabularies that drop it). Anything else is encoded whole.
 from __future__ import annotations
 
 import json
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -24,7 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE = 800_000
+from .common import give_back
+
+#: Characters of the words that a worker keeps, each counted with ``_ENTRY`` for what a dictionary entry takes.
+CACHE = 50_000_000
+_ENTRY = 100
 END_ID = 1
 _MARK = "\x01"
 _UNSAFE = re.compile(r"\s ")
@@ -41,27 +50,34 @@ class _Words(dict):
     def __init__(self):
         super().__init__()
         self.fresh: list = []
+        self.held = 0
 
     def __missing__(self, word):
         self[word] = number = len(self)
         self.fresh.append(word)
+        self.held += _ENTRY + len(word)
         return number
 
 
 class TextEncoder:
-    """Ids of texts by the tokenizer file at ``path``; special tokens' strings count as ordinary text."""
+    """Ids of texts by the tokenizer file at ``path``."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; threads of its own would only wait
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
         with open(path, encoding="utf-8") as f:
             told = json.load(f)
         before = told.get("pre_tokenizer") or {}
         normal = json.dumps(told.get("normalizer"))
         self.leading = told.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
         self.dropped = "Lowercase" in normal and '"Removed"' in json.dumps(before) and r"\\s\\p{L}" in json.dumps(before) and "Prepend" not in normal
+        added = list(self.tokenizer.get_added_tokens_decoder().values())
+        self.marks = [] if special_as_text else [x.content for x in added]
+        if any(x.normalized or x.lstrip or x.rstrip or x.single_word for x in added):
+            self.leading = self.dropped = False  # such a token may take text around it, so no cut is safe
         if self.leading:
             vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
             self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -69,9 +85,10 @@ class TextEncoder:
         elif self.dropped:
             found = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
             self.mark = found[0] if len(found) == 1 else None
-        self._clear()
+        self.clear()
 
-    def _clear(self) -> None:
+    def clear(self) -> None:
+        """Forget all words."""
         self.words = _Words()
         self.ids = np.zeros(1 << 16, np.uint32)
         self.used = 0
@@ -81,14 +98,22 @@ class TextEncoder:
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _store(self, sizes: np.ndarray, ids: np.ndarray) -> None:
+    def _store(self, starts: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
         self.ids[self.used : self.used + len(ids)] = ids
-        self.starts.append(self.used + np.cumsum(sizes) - sizes)
+        self.starts.append(self.used + starts)
         self.sizes.append(sizes)
         self.used += len(ids)
 
+    def _joined(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words encoded in one call, and the place of each word's first id and of the end."""
+        ids = np.array(self._whole(["".join(texts) if self.leading else f" {_MARK} ".join(texts)])[0], np.uint32)
+        if self.leading:
+            return ids, np.r_[np.flatnonzero(self.opens[ids]), len(ids)]
+        marks = np.flatnonzero(ids == self.mark)
+        return ids[ids != self.mark], np.r_[0, marks - np.arange(len(marks)), len(ids) - len(marks)]
+
     def _learn(self) -> None:
         """Encode the words not met before, many joined in one call where their ids can be told apart again."""
         fresh, self.words.fresh = self.words.fresh, []
@@ -99,31 +124,21 @@ class TextEncoder:
                 joins = [type(w) is not tuple and w != "" and not w[-1].isspace() and " " not in w for w in part]
             else:
                 joins = [self.mark is not None and _MARK not in w for w in part]
-            joined = [t for t, j in zip(texts, joins, strict=True) if j]
-            sizes = np.zeros(len(part), np.int64)
-            pieces: list = [None] * len(part)
-            where = np.flatnonzero(joins)
-            if joined:
-                ids = np.array(self._whole(["".join(joined) if self.leading else f" {_MARK} ".join(joined)])[0], np.uint32)
-                if self.leading:
-                    cuts = np.r_[np.flatnonzero(self.opens[ids]), len(ids)]
+            starts, sizes = np.zeros(len(part), np.int64), np.zeros(len(part), np.int64)
+            where, ids = np.flatnonzero(joins), np.zeros(0, np.uint32)
+            if len(where):
+                ids, cuts = self._joined([t for t, j in zip(texts, joins, strict=True) if j])
+                if len(cuts) == len(where) + 1:
+                    starts[where], sizes[where] = cuts[:-1], np.diff(cuts)
                 else:
-                    marks = np.flatnonzero(ids == self.mark)
-                    cuts = np.r_[marks - np.arange(len(marks)), len(ids) - len(marks)]
-                    ids = ids[ids != self.mark]
-                    cuts = np.r_[0, cuts]
-                if len(cuts) != len(joined) + 1:
-                    where, ids = where[:0], ids[:0]
-                    joins = [False] * len(part)
-                else:
-                    sizes[where] = np.diff(cuts)
-                    for k, lo, hi in zip(where, cuts[:-1], cuts[1:], strict=True):
-                        pieces[k] = ids[lo:hi]
+                    joins, ids = [False] * len(part), ids[:0]
             alone = [k for k, j in enumerate(joins) if not j]
-            for k, found in zip(alone, self._whole([texts[k] for k in alone]), strict=True):
-                pieces[k] = np.array(found, np.uint32)
-                sizes[k] = len(found)
-            self._store(sizes, np.concatenate(pieces))
+            if alone:
+                found = self._whole([texts[k] for k in alone])
+                sizes[alone] = [len(x) for x in found]
+                starts[alone] = len(ids) + np.cumsum(sizes[alone]) - sizes[alone]
+                ids = np.concatenate([ids, np.array([i for x in found for i in x], np.uint32)])
+            self._store(starts, sizes, ids)
 
     def _cut(self, text: str) -> list:
         if self.leading:
@@ -134,13 +149,30 @@ class TextEncoder:
             text = text.lower()
         return _BLANKS.split(text) if _SEPARATORS.search(text) else text.split()
 
+    def _marked(self, text: str) -> bool:
+        """Whether the text, or what is looked up of it, holds a special token's string."""
+        text = text.lower() if self.dropped else text
+        return any(mark in text for mark in self.marks)
+
+    def _with_marks(self, texts: list[str | None], marked: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids where some texts hold a special token's string: those whole, the others as ever."""
+        apart = set(marked)
+        ids, sizes = self.encode([None if i in apart else t for i, t in enumerate(texts)])
+        whole = [np.array(x, np.uint32) for x in self._whole([texts[i] for i in marked])]
+        at = (np.cumsum(sizes) - sizes)[marked]
+        sizes[marked] = [len(x) for x in whole]
+        return np.insert(ids, np.repeat(at, sizes[marked]), np.concatenate(whole)), sizes
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and the number of ids of each text; null is empty."""
         if not (self.leading or self.dropped):
             found = self._whole([t or "" for t in texts])
             return np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found], np.int64)
-        if len(self.words) > CACHE:
-            self._clear()
+        marked = [i for i, text in enumerate(texts) if text and self._marked(text)]
+        if marked:
+            return self._with_marks(texts, marked)
+        if self.words.held > CACHE:
+            self.clear()
         number, get = [], self.words.__getitem__
         counts = np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
@@ -167,7 +199,7 @@ def encoder(path: str) -> TextEncoder:
     return _loaded[path]
 
 
-def _parts(column: pa.Array, limit: int = 2_000_000) -> Iterator[tuple[int, list[str | None]]]:
+def _parts(column: pa.Array, limit: int = 500_000) -> Iterator[tuple[int, list[str | None]]]:
     """Texts of a column in lists of about ``limit`` characters, with the row each starts at."""
     at, held, size = 0, [], 0
     for i, x in enumerate(column):
@@ -183,11 +215,15 @@ def _parts(column: pa.Array, limit: int = 2_000_000) -> Iterator[tuple[int, list
 def encode_batches(batches: Iterator[pa.RecordBatch], column: int, path: str, end_id: int = END_ID) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Parts of the batches with the ids of all their texts, the end id after each, and each text's number of ids."""
     tokenizer = encoder(path)
-    for batch in batches:
-        for at, texts in _parts(batch.column(column)):
-            ids, sizes = tokenizer.encode(texts)
-            ends = np.cumsum(sizes)
-            yield batch.slice(at, len(texts)), np.insert(ids, ends, np.uint32(end_id)), sizes + 1
+    try:
+        for batch in batches:
+            for at, texts in _parts(batch.column(column)):
+                ids, sizes = tokenizer.encode(texts)
+                ends = np.cumsum(sizes)
+                yield batch.slice(at, len(texts)), np.insert(ids, ends, np.uint32(end_id)), sizes + 1
+    finally:
+        tokenizer.clear()
+        give_back()
 
 
 def crc32(ids: np.ndarray) -> int:

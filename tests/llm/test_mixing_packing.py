@@ -12,9 +12,10 @@ from skirmish.llm.tokens import TextEncoder, tokenizer_path
 ODD = [None, "", " ", "  a  b ", "a \n b", "\n\nx", " lead", "trail ", "a\x01b c", "it's <|endoftext|> ok", "ΑΣ ΣΑ Σ İx", "x\t y", "é e\u0301 ́a", "a\x1c b", "tail\n", "word " * 900]
 
 
-def _ids(name):
+def _ids(name, special_as_text=False):
     t = Tokenizer.from_file(tokenizer_path(name))
-    t.encode_special_tokens = True
+    if special_as_text:
+        t.encode_special_tokens = True
     return lambda texts: [x.ids for x in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -22,10 +23,26 @@ def _ids(name):
 def test_encoder_gives_the_library_ids(name):
     r = random.Random(1)
     texts = ODD + [" ".join(r.choice(["the", "Über", "x.y", "it's", "12,5", "\n", "", "—", "日本"]) for _ in range(30)) for _ in range(50)]
-    ids, sizes = TextEncoder(tokenizer_path(name)).encode(texts)
-    expected = _ids(name)(texts)
-    assert sizes.tolist() == [len(x) for x in expected]
-    assert ids.tolist() == [i for x in expected for i in x]
+    texts += ["<|endoftext|>", "a <|endoftext|> b", "x<|endoftext|><|startoftext|>y " * 3, "<|ENDOFTEXT|>", "end <|endoftext|>"]
+    for special_as_text in (False, True):
+        ids, sizes = TextEncoder(tokenizer_path(name), special_as_text).encode(texts)
+        expected = _ids(name, special_as_text)(texts)
+        assert sizes.tolist() == [len(x) for x in expected]
+        assert ids.tolist() == [i for x in expected for i in x]
+
+
+def test_the_plain_call_gives_special_ids():
+    for name, ids in (("word_bpe_49k.json", [320, 49407, 321]), ("byte_bpe_50k.json", [64, 220, 50256, 275])):
+        assert TextEncoder(tokenizer_path(name)).encode(["a <|endoftext|> b"])[0].tolist() == ids
+
+
+def test_a_full_cache_is_emptied(monkeypatch):
+    monkeypatch.setattr("skirmish.llm.tokens.CACHE", 2000)
+    encoder, texts = TextEncoder(tokenizer_path("byte_bpe_50k.json")), [f"word{i} and word{i + 1}" for i in range(60)]
+    for at in range(0, 60, 10):
+        ids, _ = encoder.encode(texts[at : at + 10])
+        assert ids.tolist() == [i for x in _ids("byte_bpe_50k.json")(texts[at : at + 10]) for i in x]
+        assert encoder.words.held < 2000 + 10 * 3 * 110
 
 
 def test_packing(spark, docs, tiny):
