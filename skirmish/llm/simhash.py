@@ -359,18 +359,23 @@ def near_duplicates(docs: DataFrame, words_each: int = 4, radius: int = 4, doc_i
 
 
 def _with_shingles(df: DataFrame, words_each: int) -> DataFrame:
-    """Adds ``s``: distinct hashes of a text's word shingles, of all words if they are fewer.
+    """Adds ``s``: distinct hashes of a text's word shingles (32 bits: sets are what moves most), of all words if they are fewer.
 
     The words stand in a column of their own: inside the lambda they would be cut anew for every shingle.
     """
     words = F.filter(F.split(F.translate(F.coalesce("text", F.lit("")), _UPPER, _UPPER.lower()), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     df = df.withColumn("_w", F.transform(words, lambda w: F.xxhash64(w)))
     n = F.greatest(F.size("_w") - words_each, F.lit(0))
-    return df.withColumn("s", F.array_distinct(F.transform(F.sequence(F.lit(0), n), lambda i: F.xxhash64(*[F.get("_w", i + k) for k in range(words_each)])))).drop("_w")
+    return df.withColumn("s", F.array_distinct(F.transform(F.sequence(F.lit(0), n), lambda i: F.hash(*[F.get("_w", i + k) for k in range(words_each)])))).drop("_w")
 
 
-def _true_pairs(pairs: DataFrame, named: DataFrame, texts: DataFrame, words_each: int, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) of text hashes whose shingles have a Jaccard similarity of ``similarity``.
+def _ends(pairs: DataFrame, name: str) -> DataFrame:
+    """Both ends of pairs (a, b), each once: either side is made distinct before they meet."""
+    return pairs.select(F.col("a").alias(name)).distinct().union(pairs.select(F.col("b").alias(name)).distinct()).distinct()
+
+
+def _true_pairs(pairs: DataFrame, held: DataFrame, texts: DataFrame, words_each: int, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) of text hashes whose shingles have a Jaccard similarity of ``similarity``; ``held`` has the texts.
 
     Pairs go before any text moves if even all shingles that their slots could share are too few.
     """
@@ -386,10 +391,8 @@ def _true_pairs(pairs: DataFrame, named: DataFrame, texts: DataFrame, words_each
 
     most = total(F.zip_with("sa", "sb", lambda x, y: F.least(x, y)))
     likely = materialize(joined(pairs, texts, "counts").where(enough(most, total(F.col("sa")), total(F.col("sb")))).select("a", "b"), "candidates")
-    wanted = likely.select(F.explode(F.array("a", "b")).alias("text_hash")).distinct()
-    # one row a text: copies are pre-aggregated by their hash before any text moves
-    shingled = named.join(wanted, "text_hash", "left_semi").groupBy("text_hash").agg(F.min("text").alias("text"))
-    shingled = materialize(_with_shingles(shingled, words_each).select("text_hash", "s"), "shingles")
+    wanted = _ends(likely, "text_hash")
+    shingled = materialize(_with_shingles(held.join(wanted, "text_hash", "left_semi"), words_each).select("text_hash", "s"), "shingles")
     shared = F.size(F.array_intersect("sa", "sb"))
     return materialize(joined(likely, shingled, "s").where(enough(shared, F.size("sa"), F.size("sb"))).select("a", "b"), "alike")
 
@@ -427,19 +430,22 @@ def similar_groups(docs: DataFrame, words_each: int = 5, radius: int = 14, simil
 
     same = texts.join(first, "fingerprint").where("text_hash <> first").select(F.col("text_hash").alias("a"), F.col("first").alias("b"))
     near = materialize(candidates(first, radius), "near")
-    true = _true_pairs(same.union(of_texts(near)), named, texts, words_each, similarity)
+    # the texts of all candidates move once, one row a text
+    found = _ends(near, "fingerprint").union(texts.join(first, "fingerprint").where("text_hash <> first").select("fingerprint")).distinct()
+    wanted = texts.join(found, "fingerprint", "left_semi").select("text_hash")
+    held = materialize(named.join(wanted, "text_hash", "left_semi").groupBy("text_hash").agg(F.min("text").alias("text")), "texts")
+    true = _true_pairs(same.union(of_texts(near)), held, texts, words_each, similarity)
     nodes = connected_components(true).withColumnRenamed("node", "text_hash")
     labelled = materialize(texts.join(nodes, "text_hash", "left").select("fingerprint", "text_hash", F.coalesce("component", "text_hash").alias("label")), "labels")
     prints = labelled.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
-    again = near.where("open").select(F.explode(F.array("a", "b")).alias("fingerprint")).distinct()
-    again = again.join(prints, "fingerprint").select("fingerprint", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.col("fingerprint")).alias("label"))
+    again = _ends(near.where("open"), "fingerprint").join(prints, "fingerprint").select("fingerprint", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.col("fingerprint")).alias("label"))
     rest = materialize(candidates(again, radius, label="label").select("a", "b"), "near")
     many = prints.where("n > 1")
     either = near.where("not open").join(many.select(F.col("fingerprint").alias("a"), F.lit(True).alias("ma")), "a", "left").join(many.select(F.col("fingerprint").alias("b"), F.lit(True).alias("mb")), "b", "left")
     rest = rest.union(either.where("ma or mb").select("a", "b")).union(prints.where("low <> high").select("fingerprint", "fingerprint"))
     rest = materialize(_apart(rest, labelled, prints), "apart")
     if not rest.isEmpty():
-        true = true.union(_true_pairs(rest, named, texts, words_each, similarity))
+        true = true.union(_true_pairs(rest, held, texts, words_each, similarity))
         nodes = connected_components(true).withColumnRenamed("node", "text_hash")
     linked = texts.join(nodes, "text_hash", "left").withColumn("component", F.coalesce("component", "text_hash"))
     least = linked.groupBy("component").agg(F.min("least").alias("component_id"))
