@@ -2,11 +2,14 @@
 
 Most rules are columns: each event gives evidence rows about a name. Only the foe
 of a pair depends on all before it and changes both names, so it is a fold: per
-log, in order, over narrow rows, with one small record a name.
+log, in order, over narrow rows, with one small record a name. Rosters come in as
+who events (``rosters.as_who_events``).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,8 +20,9 @@ from skirmish.sources.spells import is_pet_target
 
 FRIEND, FOE, UNKNOWN = "Friend", "Foe", "Unknown"
 PET_EMOTE_SECONDS = 5
-_LEADER = r"My leader is (\w+)\."
-_MASTER = r"Master[.!]?$"
+_LEADER = r"^My leader is (\w+)\.$"
+# What pets tell their master.
+_MASTER = r"^(?:Attacking .+? Master|Sorry, Master\.\.\. calming down|Following you, Master|By your command, master|I live again\.\.)\.$"
 _NOT_HOSTILE = ("regards you indifferently", "judges you amiably")
 
 
@@ -86,15 +90,6 @@ def entity_evidence(events: DataFrame, spells: DataFrame | None = None) -> DataF
     return opened.unionByName(spread)
 
 
-def class_hints(events: DataFrame, spells: DataFrame) -> DataFrame:
-    """(log_id, name, class): where nothing better is known, the class whose spells a name cast most; ties go to the first cast."""
-    single = spells.where("class_count = 1").select(F.col("name").alias("spell"), F.col("classes").alias("class"))
-    casts = events.where(F.col("kind") == "casting").select("log_id", "seq", F.col("source").alias("name"), "spell").join(single, "spell")
-    counts = casts.groupBy("log_id", "name", "class").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first"))
-    best = Window.partitionBy("log_id", "name").orderBy(F.col("n").desc(), "first")
-    return counts.withColumn("_r", F.row_number().over(best)).where("_r = 1").select("log_id", "name", "class")
-
-
 def pet_emotes(events: DataFrame, spells: DataFrame, within: int = PET_EMOTE_SECONDS) -> DataFrame:
     """(log_id, seq, name, owner): a pet's spell was cast, and within seconds a line ends with its landing text.
 
@@ -110,16 +105,22 @@ def pet_emotes(events: DataFrame, spells: DataFrame, within: int = PET_EMOTE_SEC
     return met.select("log_id", "seq", F.substring(F.col("text"), F.lit(1), F.length("text") - F.length("land_pet")).alias("name"), "owner")
 
 
-_FOES = "log_id string, seq long, name string, type string, is_player boolean, owner string, class string, level int, foe string, ts timestamp"
+_FOES = "log_id string, seq long, name string, type string, is_player boolean, owner string, class string, level int, foe string, ts timestamp, changed boolean"
 
 
 class _Known:
     """What is known of one name."""
 
-    __slots__ = ("aggro", "cls", "level", "owner", "player", "type")
+    __slots__ = ("aggro", "cls", "hints", "level", "owner", "player", "told", "type")
 
     def __init__(self, owner: str | None):
         self.type, self.player, self.owner, self.cls, self.level, self.aggro = UNKNOWN, False, owner, None, None, None
+        self.hints: dict[str, int] = {}  # one entry a class at most
+        self.told: tuple | None = None
+
+    def hinted(self) -> str | None:
+        """The class whose spells were cast most, the first of those that tie."""
+        return max(self.hints, key=self.hints.__getitem__, default=None)
 
 
 def _decide(a: _Known, b: _Known, a_pet: bool, b_pet: bool) -> int:
@@ -136,16 +137,82 @@ def _decide(a: _Known, b: _Known, a_pet: bool, b_pet: bool) -> int:
     return 0 if a_pet == b_pet else 2 if a_pet else 1
 
 
+def _take(r, known: dict[str, _Known], out: list[tuple]) -> None:
+    """One row of the fold: evidence (step 0), a swing (1), a heal (2) or a death (3)."""
+
+    def state(name: str, owner) -> _Known:
+        if name not in known:
+            known[name] = _Known(owner if isinstance(owner, str) else None)
+        return known[name]
+
+    def tell(name: str, foe: str | None = None) -> None:
+        k = known[name]
+        state = (k.type, k.player, k.owner, k.cls or k.hinted(), k.level)
+        changed = r.step == 0 or state != k.told
+        if changed or foe:
+            out.append((r.log_id, r.seq, name, *state, foe, r.ts, changed))
+        k.told = state
+
+    k = state(r.a, r.a_owner)
+    if r.step == 0:
+        if r.type == "pet-friend":
+            if not k.player:
+                k.type, k.owner = FRIEND, r.owner
+        else:
+            k.type = r.type if isinstance(r.type, str) else k.type
+            k.owner = r.owner if isinstance(r.owner, str) and not k.player and k.owner is None else k.owner
+        k.player = k.player or r.is_player is True
+        k.owner = None if r.clears_owner is True else k.owner
+        k.cls = r.cls if isinstance(r.cls, str) else k.cls
+        k.level = int(r.level) if r.level == r.level and r.level is not None else k.level
+        if isinstance(r.hint, str):
+            k.hints[r.hint] = k.hints.get(r.hint, 0) + 1
+        tell(r.a)
+    elif r.step == 1:
+        other = state(r.b, r.b_owner)
+        if other.player:
+            k.aggro = r.t
+        friends = r.a == r.b or k.owner == r.b or other.owner == r.a or (k.player and other.player)
+        foe = 0 if friends else _decide(k, other, r.a_pet, r.b_pet)
+        if foe:
+            k.type, other.type = (FOE, FRIEND) if foe == 1 else (FRIEND, FOE)
+            tell(r.b)
+        tell(r.a, r.a if foe == 1 else r.b if foe == 2 else None)
+    elif r.step == 2:
+        if isinstance(r.b, str) and state(r.b, r.b_owner).player:
+            k.type = FRIEND
+            tell(r.a)
+    else:
+        k.aggro = None
+        if not k.player:
+            k.type = UNKNOWN
+            tell(r.a)
+
+
 def resolve_foes(events: DataFrame, spells: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(foes, changes): the foe of every hit and miss, and the names' states after each event that changed one.
+    """(foes, changes): the foe of every hit and miss, and the names' states after each event that told of or changed one."""
+    return foes_and_changes(fold_entities(events, spells))
+
+
+def foes_and_changes(folded: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return folded.where(F.col("foe").isNotNull()).select("log_id", "seq", "foe"), folded.where("changed").drop("foe", "changed")
+
+
+def fold_entities(events: DataFrame, spells: DataFrame | None = None) -> DataFrame:
+    """The rows that :func:`foes_and_changes` tells apart.
 
-    One fold a log; logs are spread over tasks, and its rows are narrow.
+    One fold a log over narrow rows, which Spark sorts and streams: a task holds a
+    record a name, whatever the length of the log. Where no evidence tells a class,
+    it is that of most casts so far.
     """
-    evidence = entity_evidence(events, spells)
+    evidence = entity_evidence(events, spells).withColumn("hint", F.lit(None).cast("string"))
     if spells is not None:
         pets = pet_emotes(events, spells)
         told = pets.join(events.select("log_id", "seq", "ts"), ["log_id", "seq"])
         evidence = evidence.unionByName(told, allowMissingColumns=True)
+        single = spells.where("class_count = 1").select(F.col("name").alias("spell"), F.col("classes").alias("hint"))
+        casts = events.where((F.col("kind") == "casting") & F.col("source").isNotNull()).select("log_id", "seq", "ts", F.col("source").alias("name"), "spell")
+        evidence = evidence.unionByName(casts.join(single, "spell").drop("spell"), allowMissingColumns=True)
     facts = evidence.withColumns({"step": F.lit(0), "a": F.col("name")})
     pair = F.col("kind").isin("hit", "miss") & F.col("source").isNotNull() & F.col("target").isNotNull()
     combat = events.where(pair).select("log_id", "seq", "ts", F.lit(1).alias("step"), F.col("source").alias("a"), F.col("target").alias("b"))
@@ -154,57 +221,18 @@ def resolve_foes(events: DataFrame, spells: DataFrame | None = None) -> tuple[Da
     rows = facts.drop("name").unionByName(combat, True).unionByName(heals, True).unionByName(deaths, True)
     rows = rows.withColumns({"a_owner": pet_owner(F.col("a")), "b_owner": pet_owner(F.col("b")), "a_pet": F.coalesce(is_pet_name(F.col("a")), F.lit(False)), "b_pet": F.coalesce(is_pet_name(F.col("b")), F.lit(False)), "t": F.unix_timestamp("ts")})
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        known: dict[str, _Known] = {}
-        out = []
-
-        def state(name: str, owner) -> _Known:
-            if name not in known:
-                known[name] = _Known(owner if isinstance(owner, str) else None)
-            return known[name]
-
-        def tell(r, name: str, foe: str | None = None) -> None:
-            k = known[name]
-            out.append((r.log_id, r.seq, name, k.type, k.player, k.owner, k.cls, k.level, foe, r.ts))
-
-        for r in pdf.sort_values(["seq", "step"], kind="stable").itertuples():
-            k = state(r.a, r.a_owner)
-            if r.step == 0:
-                if r.type == "pet-friend":
-                    if not k.player:
-                        k.type, k.owner = FRIEND, r.owner
-                else:
-                    k.type = r.type if isinstance(r.type, str) else k.type
-                    k.owner = r.owner if isinstance(r.owner, str) and not k.player and k.owner is None else k.owner
-                k.player = k.player or r.is_player is True
-                k.owner = None if r.clears_owner is True else k.owner
-                k.cls = r.cls if isinstance(r.cls, str) else k.cls
-                k.level = int(r.level) if r.level == r.level and r.level is not None else k.level
-                tell(r, r.a)
-            elif r.step == 1:
-                other = state(r.b, r.b_owner)
-                if other.player:
-                    k.aggro = r.t
-                friends = r.a == r.b or k.owner == r.b or other.owner == r.a or (k.player and other.player)
-                foe = 0 if friends else _decide(k, other, r.a_pet, r.b_pet)
-                if foe:
-                    k.type, other.type = (FOE, FRIEND) if foe == 1 else (FRIEND, FOE)
-                    tell(r, r.b)
-                tell(r, r.a, r.a if foe == 1 else r.b if foe == 2 else None)
-            elif r.step == 2:
-                if state(r.b, r.b_owner).player if isinstance(r.b, str) else False:
-                    k.type = FRIEND
-                    tell(r, r.a)
-            else:
-                k.aggro = None
-                if not k.player:
-                    k.type = UNKNOWN
-                    tell(r, r.a)
-        return pd.DataFrame(out, columns=["log_id", "seq", "name", "type", "is_player", "owner", "class", "level", "foe", "ts"])
-
-    found = rows.withColumnRenamed("class", "cls").groupBy("log_id").applyInPandas(fold, _FOES)
-    foes = found.where(F.col("foe").isNotNull()).select("log_id", "seq", "foe")
-    return foes, found.drop("foe")
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        log, known = None, {}
+        for rows in batches:
+            out: list[tuple] = []
+            for r in rows.itertuples():
+                if r.log_id != log:
+                    log, known = r.log_id, {}
+                _take(r, known, out)
+            yield pd.DataFrame(out, columns=["log_id", "seq", "name", "type", "is_player", "owner", "class", "level", "foe", "ts", "changed"])
+
+    ordered = rows.withColumnRenamed("class", "cls").repartition("log_id").sortWithinPartitions("log_id", "seq", "step")
+    return ordered.mapInPandas(fold, _FOES)
 
 
 def entities_as_of(df: DataFrame, changes: DataFrame, name: str, seq: str) -> DataFrame:

@@ -14,30 +14,48 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skirmish.operators.entities import FRIEND, entities_as_of
+
 GROUP_GAP = 15
 RAID_GAP = 120
 PENDING = 60
 BUCKET = 60
+#: Lines of a log, by ``seq``, that one task looks at for what was last known.
+CHUNK = 1 << 20
 
 
 def seconds(ts: str | Column) -> Column:
     return F.unix_timestamp(ts)
 
 
-def with_zone(events: DataFrame) -> DataFrame:
+def last_known(rows: DataFrame, values: dict[str, Column], bucket: int = CHUNK) -> DataFrame:
+    """Adds columns: each the last value that was not null up to a row of the log, by ``seq``.
+
+    A log is cut into ranges of ``seq``, so a long one is many tasks: windows run
+    inside a range, and what the ranges before it left over comes from one row each.
+    """
+    cut = rows.withColumns({"_b": F.floor(F.col("seq") / bucket), **{f"_v_{n}": v for n, v in values.items()}})
+    inside = Window.partitionBy("log_id", "_b").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    told = cut.groupBy("log_id", "_b").agg(*[F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), F.col("seq"))).alias(f"_l_{n}") for n in values])
+    before = Window.partitionBy("log_id").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = told.select("log_id", "_b", *[F.last(f"_l_{n}", ignorenulls=True).over(before).alias(f"_c_{n}") for n in values])
+    found = cut.withColumns({f"_v_{n}": F.last(f"_v_{n}", ignorenulls=True).over(inside) for n in values})
+    joined = found.join(carried, ["log_id", "_b"])
+    return joined.select(*rows.columns, *[F.coalesce(f"_v_{n}", f"_c_{n}").alias(n) for n in values])
+
+
+def with_zone(events: DataFrame, bucket: int = CHUNK) -> DataFrame:
     """Adds ``zone``: the last zone entered in the log."""
-    log = Window.partitionBy("log_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return events.withColumn("zone", F.last(F.when(F.col("kind") == "zone", F.col("name")), ignorenulls=True).over(log))
+    return last_known(events, {"zone": F.when(F.col("kind") == "zone", F.col("name"))}, bucket)
 
 
-def with_party(events: DataFrame) -> DataFrame:
+def with_party(events: DataFrame, bucket: int = CHUNK) -> DataFrame:
     """Adds ``party`` (Solo, Group, Raid or null before any sign of it).
 
     Experience, raid messages and leaving a raid set it. Leaving a group and group
     chat only move between Group and Solo; as each of them ends in the same state
     from either, the last of them after the last setting decides.
     """
-    log = Window.partitionBy("log_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     kind, own = F.col("kind"), F.col("name") == F.col("owner")
     fixed = (
         F.when((kind == "xp") & (F.col("type") == "RaidXP"), "Raid")
@@ -48,11 +66,13 @@ def with_party(events: DataFrame) -> DataFrame:
         .when((kind == "chat") & (F.col("channel") == "raid"), "Raid")
     )
     moved = F.when((kind == "party") & (F.col("status") == "GroupLeft") & own, "Solo").when((kind == "chat") & (F.col("channel") == "group"), "Group")
-    last_set = F.last(F.when(fixed.isNotNull(), F.struct(F.col("seq"), fixed.alias("p"))), ignorenulls=True).over(log)
-    last_move = F.last(F.when(moved.isNotNull(), F.struct(F.col("seq"), moved.alias("p"))), ignorenulls=True).over(log)
-    out = events.withColumn("_s", last_set).withColumn("_m", last_move)
-    party = F.when((F.col("_m.seq") > F.col("_s.seq")) & F.col("_s.p").isin("Solo", "Group"), F.col("_m.p")).otherwise(F.col("_s.p"))
-    return out.withColumn("party", party).drop("_s", "_m")
+
+    def mark(party: Column) -> Column:
+        return F.when(party.isNotNull(), F.struct(F.col("seq").alias("at"), party.alias("p")))
+
+    out = last_known(events, {"_set": mark(fixed), "_move": mark(moved)}, bucket)
+    party = F.when((F.col("_move.at") > F.col("_set.at")) & F.col("_set.p").isin("Solo", "Group"), F.col("_move.p")).otherwise(F.col("_set.p"))
+    return out.withColumn("party", party).drop("_set", "_move")
 
 
 def with_killshots(combat: DataFrame) -> DataFrame:
@@ -68,100 +88,135 @@ def fight_key(log_id: Column, foe: Column, start: Column) -> Column:
 def assign_fights(combat: DataFrame, group_gap: int = GROUP_GAP, raid_gap: int = RAID_GAP) -> DataFrame:
     """Combat rows with ``fight_id`` and ``start_seq``; rows outside any fight go.
 
-    A fight opens with a hit or miss and holds until its foe dies or nothing
-    happens for the gap (that of a raid where ``party`` is Raid). Deaths and touch
-    rows keep a fight open but open none. Every idle time at or over the gap
+    A fight opens with a hit or miss that has a source, and holds until its foe dies
+    or nothing happens for the gap (that of a raid where ``party`` is Raid). Deaths and touch
+    rows keep a fight open but open none; a ``forced`` row ends it without more. Every idle time at or over the gap
     closes a fight at once, whenever the log goes on.
     """
-    foe = Window.partitionBy("log_id", "foe").orderBy("seq")
+    foe = Window.partitionBy("log_id", "foe").orderBy("seq", F.col("kind") == "forced")
     gap = F.lit(group_gap) if "party" not in combat.columns else F.when(F.col("party") == "Raid", raid_gap).otherwise(group_gap)
     idle = seconds("ts") - seconds(F.lag("ts").over(foe))
-    rows = combat.where(F.col("foe").isNotNull()).withColumn("_new", F.coalesce((F.lag("kind").over(foe) == "death") | (idle >= gap), F.lit(True)).cast("int"))
+    rows = combat.where(F.col("foe").isNotNull() & ~(F.col("kind").isin("hit", "miss") & F.col("source").isNull()))
+    rows = rows.withColumn("_new", F.coalesce(F.lag("kind").over(foe).isin("death", "forced") | (idle >= gap), F.lit(True)).cast("int"))
     rows = rows.withColumn("_run", F.sum("_new").over(foe.rowsBetween(Window.unboundedPreceding, 0)))
     run = Window.partitionBy("log_id", "foe", "_run")
     rows = rows.withColumn("start_seq", F.min(F.when(F.col("kind").isin("hit", "miss"), F.col("seq"))).over(run))
-    rows = rows.where(F.col("seq") >= F.col("start_seq")).drop("_new", "_run")
+    rows = rows.where((F.col("seq") >= F.col("start_seq")) & (F.col("kind") != "forced")).drop("_new", "_run")
     return rows.withColumn("fight_id", fight_key(F.col("log_id"), F.col("foe"), F.col("start_seq")))
 
 
 def fight_table(assigned: DataFrame) -> DataFrame:
-    """One row a fight; fights that only timed out without damage to the foe are discarded."""
+    """One row a fight. Those that only timed out without damage to the foe are discarded, and those in which nobody dealt or took any.
+
+    Pending hits (before ``start_seq``) count for the foe's hit points, not for the times.
+    """
     killed = (F.col("kind") == "death") & (F.col("name") == F.col("foe"))
-    extra = [F.min_by(c, "seq").alias(c) for c in ("zone",) if c in assigned.columns] + [F.coalesce(F.max_by(c, "seq"), F.lit("Solo")).alias(c) for c in ("party",) if c in assigned.columns]
+    own = F.when(F.col("seq") >= F.col("start_seq"), F.col("seq"))
+    landed = (F.col("kind") == "hit") & (F.col("amount") > 0)
+    extra = [F.min_by(c, own).alias(c) for c in ("zone",) if c in assigned.columns] + [F.coalesce(F.max_by(c, own), F.lit("Solo")).alias(c) for c in ("party",) if c in assigned.columns]
     fights = assigned.groupBy("fight_id", "log_id", "foe", "start_seq").agg(
-        F.min_by("ts", "seq").alias("started_on"),
-        F.max_by("ts", "seq").alias("updated_on"),
+        F.min_by("ts", own).alias("started_on"),
+        F.max_by("ts", own).alias("updated_on"),
         F.max("seq").alias("end_seq"),
         F.when(F.bool_or(killed), "Killed").otherwise("Timeout").alias("status"),
         F.coalesce(F.sum(F.when((F.col("kind") == "hit") & (F.col("target") == F.col("foe")), F.col("amount"))), F.lit(0)).alias("hp"),
+        F.coalesce(F.bool_or(landed & ((F.col("source") != F.col("foe")) | (F.col("target") != F.col("foe")))), F.lit(False)).alias("_anyone"),
         *extra,
     )
-    fights = fights.where((F.col("status") == "Killed") | (F.col("hp") > 0))
+    fights = fights.where(((F.col("status") == "Killed") | (F.col("hp") > 0)) & F.col("_anyone")).drop("_anyone")
     return fights.withColumn("duration", (seconds("updated_on") - seconds("started_on") + 1).cast("long"))
 
 
+def without_friends(fights: DataFrame, changes: DataFrame) -> DataFrame:
+    """Fights whose foe was no friend when they ended: players and pets fight before it is known what they are."""
+    known = entities_as_of(fights.select("fight_id", "log_id", "foe", "end_seq"), changes, "foe", "end_seq")
+    return fights.join(known.where(F.col("type_of") == FRIEND).select("fight_id"), "fight_id", "left_anti")
+
+
+def with_finish_state(participants: DataFrame, fights: DataFrame, changes: DataFrame) -> DataFrame:
+    """Adds each participant's ``class`` and ``pet_owner`` as known when its fight ended."""
+    ended = participants.join(fights.select("fight_id", "log_id", F.col("end_seq").alias("_end")), "fight_id")
+    known = entities_as_of(ended, changes, "name", "_end")
+    return known.select(*participants.columns, F.col("class_of").alias("class"), "pet_owner")
+
+
 def in_fights(assigned: DataFrame, fights: DataFrame) -> DataFrame:
-    """The rows of fights that were kept, with the fight's start."""
-    return assigned.join(fights.select("fight_id", "started_on"), "fight_id")
+    """The rows of fights that were kept, with the fight's start and duration."""
+    return assigned.join(fights.select("fight_id", "started_on", F.col("duration").alias("fight_duration")), "fight_id")
 
 
-def pending_hits(hits: DataFrame, fights: DataFrame, within: int = PENDING) -> DataFrame:
-    """Hits without a known foe that name one whose fight starts within a minute: they count from its first tick.
+def pending_hits(hits: DataFrame, assigned: DataFrame, within: int = PENDING) -> DataFrame:
+    """Hits without a known foe that name one whose fight starts within a minute, as rows of that fight: they count from its first tick.
 
     Names and minutes make an equi-join of it; the seconds are checked after.
     """
     named = hits.where(F.col("foe").isNull() & F.col("source").isNotNull() & (F.col("source") != F.col("target")))
     named = named.drop("foe").withColumn("foe", F.explode(F.array("source", "target"))).withColumn("_b", F.explode(F.array(*[F.floor(seconds("ts") / within) + k for k in (0, 1)])))
-    starts = fights.select("log_id", "foe", "fight_id", "start_seq", "started_on", F.floor(seconds("started_on") / within).alias("_b"))
-    joined = named.join(starts, ["log_id", "foe", "_b"]).where((F.col("seq") < F.col("start_seq")) & (seconds("started_on") - seconds("ts") <= within))
+    opened = assigned.groupBy("log_id", "foe", "fight_id", "start_seq").agg(F.min_by("ts", "seq").alias("_on"))
+    opened = opened.withColumn("_b", F.floor(seconds("_on") / within))
+    joined = named.join(opened, ["log_id", "foe", "_b"]).where((F.col("seq") < F.col("start_seq")) & (seconds("_on") - seconds("ts") <= within))
     first = Window.partitionBy("log_id", "foe", "seq").orderBy("start_seq")
-    return joined.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", "_b")
+    return joined.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", "_b", "_on")
+
+
+def last_fight(events: DataFrame, assigned: DataFrame, fights: DataFrame, group_gap: int = GROUP_GAP, raid_gap: int = RAID_GAP) -> DataFrame:
+    """Adds ``last_fight``: the fight last hit in the log before a row, null once any fight has finished since.
+
+    A kill finishes a fight where it stands, idle time a gap after the last row.
+    Only (log_id, seq, ts) of the rows are sorted.
+    """
+    gap = F.when(F.col("party") == "Raid", raid_gap).otherwise(group_gap) if "party" in fights.columns else F.lit(group_gap)
+    killed = F.col("status") == "Killed"
+    hits = assigned.where(F.col("kind").isin("hit", "miss") & (F.col("seq") >= F.col("start_seq"))).select("log_id", seconds("ts").alias("t"), "seq", F.struct(F.col("fight_id").alias("f")).alias("mark"))
+    ends = fights.select("log_id", (seconds("updated_on") + F.when(killed, 0).otherwise(gap)).alias("t"), F.when(killed, F.col("end_seq")).otherwise(-1).alias("seq"), F.struct(F.lit(None).cast("string").alias("f")).alias("mark"))
+    asked = events.select("log_id", seconds("ts").alias("t"), "seq", F.lit(None).cast("struct<f:string>").alias("mark"))
+    log = Window.partitionBy("log_id").orderBy("t", "seq", F.col("mark.f").isNull(), F.col("mark").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
+    found = asked.unionByName(hits).unionByName(ends).withColumn("last_fight", F.last("mark", ignorenulls=True).over(log)["f"]).where("mark is null")
+    return events.join(found.select("log_id", "seq", "last_fight"), ["log_id", "seq"])
 
 
-def last_fight(events: DataFrame, assigned: DataFrame, fights: DataFrame) -> DataFrame:
-    """Adds ``last_fight``: the fight last hit in the log before a row, null once a fight has finished since."""
-    hits = assigned.where(F.col("kind").isin("hit", "miss")).select("log_id", "seq", "fight_id").distinct()
-    ends = fights.select("log_id", F.col("end_seq").alias("seq"), F.lit(None).cast("string").alias("fight_id"), (F.col("status") == "Killed").alias("_end")).where("_end")
-    marks = hits.withColumn("_end", F.lit(False)).unionByName(ends)
-    columns = events.columns
-    rows = events.withColumn("_mark", F.lit(None).cast("struct<f:string>"))
-    marks = marks.select("log_id", "seq", F.struct(F.col("fight_id").alias("f")).alias("_mark"))
-    both = rows.unionByName(marks, allowMissingColumns=True).withColumn("_is_row", F.col("_mark").isNull())
-    log = Window.partitionBy("log_id").orderBy("seq", F.col("_is_row").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    return both.withColumn("last_fight", F.last("_mark", ignorenulls=True).over(log)["f"]).where("_is_row").select(*columns, "last_fight")
+def members(assigned: DataFrame) -> DataFrame:
+    """(fight_id, member, since): who hit, missed or was hit in a fight, and from which row on."""
+    names = assigned.where(F.col("kind").isin("hit", "miss")).select("fight_id", F.greatest("seq", "start_seq").alias("seq"), F.explode(F.array("source", "target")).alias("member"))
+    return names.groupBy("fight_id", "member").agg(F.min("seq").alias("since"))
 
 
-def attribute_heals(heals: DataFrame, assigned: DataFrame, fights: DataFrame, friends: DataFrame | None = None, gap: int = GROUP_GAP) -> DataFrame:
+def attribute_heals(heals: DataFrame, assigned: DataFrame, fights: DataFrame, friends: DataFrame | None = None, gap: int = GROUP_GAP, raid_gap: int = RAID_GAP, joined_by: DataFrame | None = None) -> DataFrame:
     """Heals with the fight they count for: of the active ones the last hit if it has either name, else the oldest that has, else the newest if the healer is a friend.
 
-    Members are those who hit, missed or were hit before the heal. Heals on the foe
+    Members are those who hit, missed or were hit before the heal, and those of
+    ``joined_by`` (fight_id, member, since), as casters are. Heals on the foe
     itself count for nothing. Fights and heals meet per log and minute. ``friends``
     has (log_id, name), or with ``seq`` those who are friends at that heal.
     """
-    for_names = assigned.where(F.col("kind").isin("hit", "miss")).select("fight_id", "seq", F.explode(F.array("source", "target")).alias("member"))
-    members = for_names.groupBy("fight_id", "member").agg(F.min("seq").alias("since"))
-    end = seconds("updated_on") + F.when(F.col("status") == "Killed", 0).otherwise(gap)
-    killed = (F.col("status") == "Killed").alias("_killed")
-    active = fights.select("fight_id", "log_id", "foe", "start_seq", "end_seq", killed, "started_on", "updated_on", F.explode(F.sequence(F.floor(seconds("started_on") / BUCKET), F.floor(end / BUCKET))).alias("_b"))
-    placed = last_fight(heals, assigned, fights).withColumn("_b", F.floor(seconds("ts") / BUCKET))
-    live = (F.col("seq") > F.col("start_seq")) & F.when(F.col("_killed"), F.col("seq") < F.col("end_seq")).otherwise(seconds("ts") < seconds("updated_on") + gap)
-    meeting = placed.drop("foe").join(active, ["log_id", "_b"]).where(live)
-    who = members.withColumnsRenamed({"fight_id": "_f"})
-    named = meeting.join(who, (F.col("fight_id") == F.col("_f")) & F.col("member").isin(F.col("source"), F.col("target")) & (F.col("since") < F.col("seq")), "left")
-    named = named.groupBy(*[c for c in meeting.columns]).agg(F.count("member").alias("_members"))
+    inside = members(assigned) if joined_by is None else members(assigned).unionByName(joined_by)
+    idle = F.when(F.col("party") == "Raid", raid_gap).otherwise(gap) if "party" in fights.columns else F.lit(gap)
+    end = seconds("updated_on") + F.when(F.col("status") == "Killed", 0).otherwise(idle)
+    active = fights.select("fight_id", "log_id", "foe", "start_seq", "end_seq", (F.col("status") == "Killed").alias("killed"), "started_on", end.alias("until"), F.explode(F.sequence(F.floor(seconds("started_on") / BUCKET), F.floor(end / BUCKET))).alias("b"))
+    asked = last_fight(heals.select("log_id", "seq", "ts", "source", "target"), assigned, fights, gap, raid_gap).withColumn("b", F.floor(seconds("ts") / BUCKET))
+    live = (F.col("seq") > F.col("start_seq")) & F.when(F.col("killed"), F.col("seq") < F.col("end_seq")).otherwise(seconds("ts") < F.col("until"))
+    meeting = asked.join(active, ["log_id", "b"]).where(live).select("log_id", "seq", "source", "target", "last_fight", "fight_id", "foe", "start_seq", "started_on")
+    either = meeting.select("log_id", "seq", "fight_id", F.explode(F.array_distinct(F.array("source", "target"))).alias("member"))
+    named = either.join(inside, ["fight_id", "member"]).where("since < seq").select("log_id", "seq", "fight_id").distinct().withColumn("named", F.lit(True))
+    meeting = meeting.join(named, ["log_id", "seq", "fight_id"], "left")
     if friends is None:
-        named = named.withColumn("_friend", F.lit(False))
+        meeting = meeting.withColumn("friend", F.lit(False))
     else:
-        at = [F.col("seq").alias("_s")] if "seq" in friends.columns else []
-        known = friends.select(F.col("log_id").alias("_l"), F.col("name").alias("_n"), *at).distinct().withColumn("_friend", F.lit(True))
-        same = (F.col("log_id") == F.col("_l")) & (F.col("source") == F.col("_n"))
-        if at:
-            same &= F.col("seq") == F.col("_s")
-        named = named.join(known, same, "left").withColumn("_friend", F.coalesce("_friend", F.lit(False))).drop("_l", "_n", "_s")
-    tier = F.when((F.col("_members") > 0) & F.col("last_fight").eqNullSafe(F.col("fight_id")), 1).when(F.col("_members") > 0, 2).when(F.col("_friend"), 3)
-    order = Window.partitionBy("log_id", "seq").orderBy("_tier", F.when(F.col("_tier") == 3, -F.col("start_seq")).otherwise(F.col("start_seq")))
-    best = named.withColumn("_tier", tier).where(F.col("_tier").isNotNull()).withColumn("_n", F.row_number().over(order)).where("_n = 1")
-    return best.where(~F.col("target").eqNullSafe(F.col("foe"))).drop("_n", "_tier", "_members", "_friend", "_b", "last_fight", "start_seq", "end_seq", "_killed", "updated_on")
+        keys = ["log_id", "source", *(["seq"] if "seq" in friends.columns else [])]
+        meeting = meeting.join(friends.withColumnRenamed("name", "source").select(*keys).distinct().withColumn("friend", F.lit(True)), keys, "left")
+    tier = F.when(F.col("named") & F.col("last_fight").eqNullSafe(F.col("fight_id")), 1).when(F.col("named"), 2).when(F.col("friend"), 3)
+    order = Window.partitionBy("log_id", "seq").orderBy("tier", F.when(F.col("tier") == 3, -F.col("start_seq")).otherwise(F.col("start_seq")))
+    best = meeting.withColumn("tier", tier).where("tier is not null").withColumn("n", F.row_number().over(order)).where("n = 1")
+    best = best.where(~F.col("target").eqNullSafe(F.col("foe"))).select("log_id", "seq", "fight_id", "foe", "started_on")
+    return heals.drop("foe", "fight_id", "started_on").join(best, ["log_id", "seq"])
+
+
+def attribute_casts(casts: DataFrame, assigned: DataFrame, fights: DataFrame, friends: DataFrame) -> DataFrame:
+    """(fight_id, member, since): casters who joined the last fight by casting, as its foe or as a friend at that row (``friends``: log_id, seq, name)."""
+    known = friends.select("log_id", "seq", F.col("name").alias("source")).distinct().withColumn("friend", F.lit(True))
+    placed = last_fight(casts.select("log_id", "seq", "ts", "source"), assigned, fights).where("last_fight is not null").join(known, ["log_id", "seq", "source"], "left")
+    joined = placed.join(fights.select(F.col("fight_id").alias("last_fight"), "foe"), "last_fight").where((F.col("source") == F.col("foe")) | F.coalesce("friend", F.lit(False)))
+    return joined.groupBy(F.col("last_fight").alias("fight_id"), F.col("source").alias("member")).agg(F.min("seq").alias("since"))
 
 
 def attribute_deaths(deaths: DataFrame, assigned: DataFrame, fights: DataFrame) -> DataFrame:
@@ -196,40 +251,55 @@ def reset_points(events: DataFrame, quiet: int = 5, idle: int = RAID_GAP) -> Dat
 _EXACT = "log_id string, seq long, foe string, start_seq long, role string"
 
 
-def _replay(rows: pd.DataFrame, group_gap: int, raid_gap: int, every: int) -> Iterator[tuple]:
+class _Replay:
     """The fights of one chunk event by event, with timeouts looked at every few seconds only."""
-    live: dict[str, list] = {}  # foe -> [start_seq, last second]
-    checked = None
-    for r in rows.itertuples():
-        if checked is None or r.t - checked >= every or checked > r.t:
-            gap = raid_gap if r.party == "Raid" else group_gap
+
+    def __init__(self, group_gap: int, raid_gap: int, every: int):
+        self.gaps, self.every = (group_gap, raid_gap), every
+        self.live: dict[str, list] = {}  # foe -> [start_seq, last second]
+        self.checked: int | None = None
+
+    def take(self, r) -> tuple | None:
+        live = self.live
+        if self.checked is None or r.t - self.checked >= self.every or self.checked > r.t:
+            gap = self.gaps[r.party == "Raid"]
             for foe in [f for f, (_, at) in live.items() if at + gap <= r.t]:
                 del live[foe]
-            checked = r.t
+            self.checked = r.t
         if r.kind in ("hit", "miss") and isinstance(r.foe, str):
             fight = live.setdefault(r.foe, [r.seq, r.t])
             fight[1] = r.t
-            yield r.log_id, r.seq, r.foe, fight[0], r.kind
-        elif r.kind == "death":
+            return r.log_id, r.seq, r.foe, fight[0], r.kind
+        if r.kind == "death":
             if r.foe in live:
-                yield r.log_id, r.seq, r.foe, live.pop(r.foe)[0], "death"
-            elif r.killshot in live:
+                return r.log_id, r.seq, r.foe, live.pop(r.foe)[0], "death"
+            if r.killshot in live:
                 live[r.killshot][1] = r.t
-                yield r.log_id, r.seq, r.killshot, live[r.killshot][0], "touch"
+                return r.log_id, r.seq, r.killshot, live[r.killshot][0], "touch"
+        return None
 
 
 def assign_fights_exact(events: DataFrame, group_gap: int = GROUP_GAP, raid_gap: int = RAID_GAP, every: int = 5) -> DataFrame:
     """(log_id, seq, foe, start_seq, role, fight_id) with timeouts checked as a live reader does: at most every 5 s, on any event.
 
     A fight idle for a little longer than the gap can go on if no event came to
-    check it. Logs are cut at :func:`reset_points`, so a long log is many groups.
+    check it. Logs are cut at :func:`reset_points`, so a long log is many keys.
+    Rows are sorted by Spark and streamed; a task holds the open fights of one chunk.
     """
     party = F.col("party") if "party" in events.columns else F.lit(None).cast("string")
     narrow = reset_points(events).select("log_id", "chunk", "seq", seconds("ts").alias("t"), "kind", "foe", "killshot", party.alias("party"))
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        found = list(_replay(rows.sort_values("seq"), group_gap, raid_gap, every))
-        return pd.DataFrame(found, columns=["log_id", "seq", "foe", "start_seq", "role"])
-
-    found = narrow.groupBy("log_id", "chunk").applyInPandas(fold, _EXACT)
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = None, None
+        for rows in batches:
+            found = []
+            for r in rows.itertuples():
+                if (r.log_id, r.chunk) != key:
+                    key, state = (r.log_id, r.chunk), _Replay(group_gap, raid_gap, every)
+                row = state.take(r)
+                if row:
+                    found.append(row)
+            yield pd.DataFrame(found, columns=["log_id", "seq", "foe", "start_seq", "role"])
+
+    found = narrow.repartition("log_id", "chunk").sortWithinPartitions("log_id", "chunk", "seq").mapInPandas(fold, _EXACT)
     return found.withColumn("fight_id", fight_key(F.col("log_id"), F.col("foe"), F.col("start_seq")))

@@ -92,6 +92,20 @@ def fit_series(header: DataFrame, series: DataFrame) -> DataFrame:
     return known.withColumn("tick", tick).groupBy("fight_id", "name", "metric", "tick").agg(F.sum("value").alias("value"))
 
 
+def fold_crowds(participants: DataFrame, crowd: int = CROWD, **shares: float) -> DataFrame:
+    """:func:`fold_tail` for merged fights of more than ``crowd`` participants; those of others stay as they are."""
+    kept = ["fight_id", "name", "outbound_hit_sum", "inbound_melee_sum", "outbound_heal_sum"]
+    counted = participants.withColumn("_n", F.sum(F.when(F.col("is_target"), 0).otherwise(1)).over(Window.partitionBy("fight_id")))
+    many = counted.where((F.col("_n") > crowd) & ~F.col("is_target"))
+    return fold_tail(many, **shares).unionByName(counted.where((F.col("_n") <= crowd) | F.col("is_target")).select(*kept))
+
+
+def unmerged(fights: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
+    """Fights that a user may merge: those chosen (fight_id), if any are named, and no merged ones (``mob_count``)."""
+    plain = fights.where(F.coalesce("mob_count", F.lit(0)) == 0) if "mob_count" in fights.columns else fights
+    return plain if chosen is None else plain.join(chosen.select("fight_id").distinct(), "fight_id", "left_semi")
+
+
 def fold_tail(participants: DataFrame, damage: float = 0.05, tank: float = 0.1, heal: float = 0.1) -> DataFrame:
     """Small shares folded into one ``*Other``: damage, tanking and healing each against a share of the largest of the fight.
 
@@ -107,31 +121,52 @@ def fold_tail(participants: DataFrame, damage: float = 0.05, tank: float = 0.1,
 
 
 def raid_membership(fights: DataFrame, templates: DataFrame, stale_seconds: int = 3600) -> tuple[DataFrame, DataFrame]:
-    """(membership, raids): fights of raids by template, cut after a killed boss and an hour after a raid's start.
+    """(membership, raids): fights of raids by template; a raid ends with a killed boss and takes no fight that starts over an hour after it began.
 
     Fights take part if the party was a raid and zone and mob are the template's.
-    Raids are numbered by the boss deaths before, then by hours since the start.
+    They are numbered in the order in which they finish. A fight that starts over an
+    hour after the one before cannot belong to its raid, so a log's fights are cut
+    there (and after boss kills) first, and only such a run, which no gap of an hour
+    interrupts, is folded.
     """
     raid = fights.where(F.col("party") == "Raid").join(templates, (fights.zone == templates.zone) & (fights.foe == templates.mob)).drop(templates.zone, templates.mob)
     order = Window.partitionBy("log_id", "raid").orderBy("updated_on", "end_seq")
-    ended = F.col("ends_on_death") & (F.col("status") == "Killed")
-    rows = raid.withColumn("_round", F.coalesce(F.sum(ended.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    first = F.min(F.unix_timestamp("started_on")).over(Window.partitionBy("log_id", "raid", "_round"))
-    rows = rows.withColumn("_hour", F.floor((F.unix_timestamp("started_on") - first) / (stale_seconds + 1)))
-    rows = rows.withColumn("merge_id", F.sha2(F.concat_ws("|", "log_id", "raid", "_round", "_hour"), 256))
-    raids = rows.groupBy("merge_id", "log_id", "raid", "zone").agg(F.count(F.lit(1)).alias("cohort_count"), F.bool_or(ended).alias("finished"))
-    return rows.select("merge_id", "fight_id"), raids
+    rows = raid.withColumn("ended", F.col("ends_on_death") & (F.col("status") == "Killed")).withColumn("began", F.unix_timestamp("started_on"))
+    earlier = F.min("began").over(Window.partitionBy("log_id", "raid").orderBy("updated_on", "end_seq").rowsBetween(-1, -1))
+    cut = F.lag("ended").over(order) | (F.col("began") - earlier > stale_seconds)
+    rows = rows.withColumn("run", F.sum(F.coalesce(cut, F.lit(False)).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    inside = F.array_sort(F.collect_list(F.struct("updated_on", "end_seq", "began", "fight_id")))
+    empty = F.struct(F.lit(None).cast("long").alias("since"), F.lit(0).alias("n"), F.array().cast("array<struct<fight_id:string,n:int>>").alias("out"))
+
+    def step(state: Column, fight: Column) -> Column:
+        stale = fight["began"] - state["since"] > stale_seconds
+        n = F.when(stale, state["n"] + 1).otherwise(state["n"])
+        since = F.when(stale | state["since"].isNull(), fight["began"]).otherwise(F.least(state["since"], fight["began"]))
+        return F.struct(since.alias("since"), n.alias("n"), F.array_append(state["out"], F.struct(fight["fight_id"].alias("fight_id"), n.alias("n"))).alias("out"))
+
+    runs = rows.groupBy("log_id", "raid", "run").agg(inside.alias("fights"))
+    placed = runs.select("log_id", "raid", "run", F.inline(F.aggregate("fights", empty, step, lambda s: s["out"])))
+    placed = placed.select("fight_id", F.sha2(F.concat_ws("|", "log_id", "raid", "run", "n"), 256).alias("merge_id"))
+    found = rows.join(placed, "fight_id").groupBy("merge_id", "log_id", "raid", "zone").agg(F.count(F.lit(1)).alias("cohort_count"), F.bool_or("ended").alias("finished"))
+    return placed.select("merge_id", "fight_id"), found
 
 
 def boss_terminators(combat: DataFrame, templates: DataFrame) -> DataFrame:
-    """Combat rows with an extra end for every mob of a raid when its boss dies, so that those fights end with it."""
+    """Combat rows with a ``forced`` end for every other mob of a raid when its boss dies, so that those fights end with it."""
     bosses = templates.where("ends_on_death").select("raid", F.col("mob").alias("_boss"), F.col("zone").alias("_zone"))
-    mobs = templates.select("raid", F.col("mob").alias("_mob"))
-    ends = combat.where(F.col("kind") == "death").join(bosses, (F.col("name") == F.col("_boss")) & (F.col("zone") == F.col("_zone"))).join(mobs, "raid").where("_mob <> _boss")
-    forced = ends.withColumn("foe", F.col("_mob")).select(*combat.columns)
+    mobs = templates.select(F.col("raid").alias("_raid"), F.col("mob").alias("_mob"))
+    died = (F.col("kind") == "death") & (F.col("party") == "Raid")
+    ends = combat.where(died).join(bosses, (F.col("name") == F.col("_boss")) & (F.col("zone") == F.col("_zone"))).join(mobs, F.col("raid") == F.col("_raid")).where("_mob <> _boss")
+    forced = ends.withColumn("foe", F.col("_mob")).withColumn("kind", F.lit("forced")).select(*combat.columns)
     return combat.unionByName(forced)
 
 
+def raid_headers(membership: DataFrame, raids: DataFrame, fights: DataFrame) -> DataFrame:
+    """Merged headers of raids: named after their template, in its zone, with the number of their mobs."""
+    named = raids.select(F.col("merge_id").alias("fight_id"), F.col("raid").alias("_name"), F.col("zone").alias("_zone"), "cohort_count", "finished")
+    return merged_header(membership, fights).join(named, "fight_id").withColumns({"name": F.col("_name"), "zone": F.col("_zone")}).drop("_name", "_zone")
+
+
 def anonymize(participants: DataFrame, order: Column) -> tuple[DataFrame, DataFrame]:
     """(participants, decoder): names become Player1, Player2, ... in order, owners after those they come with; targets keep theirs."""
     named = participants.withColumn("_o", order)

@@ -37,8 +37,13 @@ def with_unknown_misses(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_derived", F.lit(False)).unionByName(extra)
 
 
-def participant_rollup(rows: DataFrame) -> DataFrame:
-    """Counters of every participant: hits, misses, melee, strikes, first and last action, duration and rank by damage."""
+def participant_rollup(rows: DataFrame, heals: DataFrame | None = None) -> DataFrame:
+    """Counters of every participant: hits, misses, melee, strikes, first and last action, duration and rank by damage.
+
+    The target's duration is the fight's. With ``heals`` (attributed to fights) there
+    are the sums of :func:`heals_by_name` too. Others than the target who neither
+    dealt nor took damage nor healed are left out.
+    """
     both = sides(with_unknown_misses(rows.where(F.col("kind").isin("hit", "miss"))))
     hit, miss = F.col("kind") == "hit", F.col("kind") == "miss"
     out, into = F.col("side") == "out", F.col("side") == "in"
@@ -61,10 +66,24 @@ def participant_rollup(rows: DataFrame) -> DataFrame:
         F.count_if(miss & into).alias("inbound_miss_count"),
         F.min_by("ts", "seq").alias("first_action"),
         F.max_by("ts", "seq").alias("last_action"),
+        F.max("fight_duration").alias("_whole"),
     )
-    found = found.withColumn("duration", F.unix_timestamp("last_action") - F.unix_timestamp("first_action") + 1)
+    if heals is not None:
+        healed = heals_by_name(heals)
+        sums = [c for c in healed.columns if c.endswith("_sum")]
+        foes = rows.groupBy("fight_id").agg(F.first("foe").alias("_foe"), F.max("fight_duration").alias("_long"))
+        found = found.join(healed, ["fight_id", "name"], "full").join(foes, "fight_id")
+        counters = [c for c, kind in found.dtypes if kind == "bigint" and c not in ("_whole", "_long")]
+        found = found.withColumns({c: F.coalesce(c, F.lit(0)) for c in {*counters, *sums}} | {"foe": F.col("_foe"), "_whole": F.col("_long"), "first_action": F.least("first_action", "first_heal"), "last_action": F.greatest("last_action", "last_heal")})
+        found = found.drop("_foe", "_long", "first_heal", "last_heal")
+    target = F.col("name") == F.col("foe")
+    own = F.unix_timestamp("last_action") - F.unix_timestamp("first_action") + 1
+    found = found.withColumn("duration", F.when(target, F.col("_whole")).otherwise(F.coalesce(own, F.lit(0)))).withColumn("is_target", target).drop("_whole", "foe")
+    active = (F.col("outbound_hit_sum") > 0) | (F.col("inbound_hit_sum") > 0)
+    if heals is not None:
+        active |= F.col("outbound_heal_sum") > 0
     by_damage = Window.partitionBy("fight_id").orderBy(F.col("outbound_hit_sum").desc(), "name")
-    return found.withColumn("is_target", F.col("name") == F.col("foe")).withColumn("rank_in_fight", F.row_number().over(by_damage)).drop("foe")
+    return found.where(F.col("is_target") | active).withColumn("rank_in_fight", F.row_number().over(by_damage))
 
 
 def attack_rollup(rows: DataFrame) -> DataFrame:
@@ -106,9 +125,11 @@ def heals_by_name(rows: DataFrame) -> DataFrame:
     """Healing done and received; a heal on oneself is both, once each."""
     heals = rows.where(F.col("kind") == "heal")
     both = F.array(F.struct(F.col("source").alias("name"), F.lit(True).alias("out")), F.struct(F.col("target").alias("name"), F.lit(False).alias("out")))
-    spread = heals.select("fight_id", "amount", "full_amount", F.explode(both).alias("s")).where(F.col("s.name").isNotNull())
+    spread = heals.select("fight_id", "ts", "amount", "full_amount", F.explode(both).alias("s")).where(F.col("s.name").isNotNull())
     out = F.col("s.out")
     return spread.groupBy("fight_id", F.col("s.name").alias("name")).agg(
+        F.min(F.when(out, F.col("ts"))).alias("first_heal"),
+        F.max(F.when(out, F.col("ts"))).alias("last_heal"),
         *[F.coalesce(F.sum(F.when(side, F.col(c))), F.lit(0)).alias(f"{label}_{n}_sum") for side, label in ((out, "outbound"), (~out, "inbound")) for c, n in (("amount", "heal"), ("full_amount", "full_heal"))]
     )
 
@@ -134,15 +155,15 @@ def death_rollup(deaths: DataFrame) -> DataFrame:
     return deaths.groupBy("fight_id", F.col("died").alias("name")).agg(F.count(F.lit(1)).alias("death_count"))
 
 
-def fight_summary(fights: DataFrame, participants: DataFrame) -> DataFrame:
-    """Fights with their participants' number and top damage; those left without participants go."""
-    found = participants.where(~F.col("is_target")).groupBy("fight_id").agg(F.count(F.lit(1)).alias("participant_count"), F.max("outbound_hit_sum").alias("top_hit_sum"))
-    return fights.join(found, "fight_id")
+def trash(duration: Column, hits: Column, hp: Column) -> Column:
+    """Whether a fight is too short, has too few hits on its foe or too few hit points."""
+    return (duration < 10) | (hits < 5) | (hp < 1000)
 
 
-def is_trash() -> Column:
-    """A fight that is too short, has too few hits or too few hit points; needs hit_count, the hits on the foe."""
-    return (F.col("duration") < 10) | (F.col("hit_count") < 5) | (F.col("hp") < 1000)
+def ordered_children(table: DataFrame, by: str, then: str | None = None, within: tuple[str, ...] = ("fight_id", "name")) -> DataFrame:
+    """Adds ``place``: a child row's number by its sum, larger ones first, ties by ``then``."""
+    order = [F.col(by).desc(), *([F.col(then)] if then else [])]
+    return table.withColumn("place", F.row_number().over(Window.partitionBy(*within).orderBy(*order)))
 
 
 def merge_pets(rows: DataFrame, owners: DataFrame) -> DataFrame:

@@ -388,7 +388,7 @@ def normalize_sources(events: DataFrame) -> DataFrame:
 
 
 def without_corpses(hits: DataFrame, foe: str = "foe") -> DataFrame:
-    """Hits by a corpse count for its former self if they land on the foe; others go."""
-    corpse = F.col("source").endswith("'s corpse")
-    kept = hits.where(~F.coalesce(corpse, F.lit(False)) | (F.col("target") == F.col(foe)))
-    return kept.withColumn("source", F.regexp_replace("source", "'s corpse$", ""))
+    """Hits by a corpse count for its former self if they land on the foe; others with a foe go."""
+    corpse = F.coalesce(F.col("source").endswith("'s corpse"), F.lit(False)) & F.col(foe).isNotNull() & (F.col("kind") == "hit")
+    kept = hits.where(~corpse | (F.col("target") == F.col(foe)))
+    return kept.withColumn("source", F.when(corpse, F.regexp_replace("source", "'s corpse$", "")).otherwise(F.col("source")))

@@ -11,9 +11,9 @@ from pyspark.sql.window import Window
 from skirmish.functions import text as names
 from skirmish.operators import buffs, entities, fights, loot, merge, rollups, rules, ticks
 from skirmish.operators.lines import rejected_lines
-from skirmish.plans import rendered, reports
+from skirmish.plans import expected, rendered, reports
 from skirmish.plans.rendered import Tables, table
-from skirmish.sources import rosters, sinks, spells
+from skirmish.sources import logs, rosters, sinks, spells, store
 from skirmish.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,93 +33,7 @@ def query(sql: str | None = None):
     return register
 
 
-# Tables that the SQL of many queries starts from, computed from the columns of events.
-_COMBAT = """
-WITH raw AS (
-  SELECT event_id AS i, 'eqlog_Larry_' || CAST(event_id // 2000 AS VARCHAR) AS log_id, TIMESTAMP '2024-01-01' + to_seconds(2 * event_id) AS ts,
-    'Player' || (user_id % 12) AS actor, 'Player' || ((user_id + 1) % 12) AS other, 'Mob' || (((event_id // 50) + (user_id % 2)) % 9) AS foe,
-    event_type AS et, value, CAST(floor(value * 100) AS BIGINT) AS amount FROM events
-), combat AS (
-  SELECT i * 4 AS seq, i, log_id, ts, foe, actor, other,
-    CASE WHEN et = 'view' THEN 'miss' WHEN et = 'signup' THEN 'heal' WHEN et = 'purchase' AND value > 100 THEN 'death' ELSE 'hit' END AS kind,
-    CASE WHEN (et = 'click' AND i % 5 = 0) OR (et = 'view' AND i % 2 = 0) THEN foe WHEN et = 'purchase' AND value > 100 THEN NULL ELSE actor END AS source,
-    CASE WHEN (et = 'click' AND i % 5 = 0) OR (et = 'view' AND i % 2 = 0) THEN actor WHEN et = 'signup' THEN other WHEN et = 'purchase' AND value > 100 THEN NULL ELSE foe END AS target,
-    CASE WHEN et IN ('click', 'error') OR (et = 'purchase' AND NOT value > 100) THEN amount WHEN et = 'signup' THEN amount // 2 END AS amount,
-    CASE WHEN et = 'signup' THEN amount END AS full_amount,
-    CASE WHEN et = 'click' THEN CASE WHEN i % 5 = 0 THEN 'bite' ELSE 'slash' END WHEN et = 'error' THEN 'dot' WHEN et = 'view' THEN CASE WHEN i % 2 = 0 THEN 'dodge' ELSE 'miss' END WHEN et = 'purchase' AND NOT value > 100 THEN 'ds' END AS type,
-    CASE WHEN et = 'error' THEN 'Plague Bolt' WHEN et = 'signup' THEN 'Light Touch' END AS spell,
-    et IN ('click', 'error') AND i % 13 <> 0 AND i % 11 <> 0 AND i % 7 = 0 AS crit,
-    et IN ('click', 'error') AND (i % 13 = 0 OR i % 11 = 0) AS strike,
-    et IN ('click', 'error') AND i % 13 = 0 AS riposte
-  FROM raw WHERE i % 101 <> 0
-), extra AS (
-  SELECT i * 4 + 1 AS seq, log_id, ts, 'pdeath' AS kind, actor AS name, foe AS other FROM raw WHERE i % 61 = 0
-  UNION ALL SELECT i * 4 + 2, log_id, ts, 'zone', 'Zone' || ((i // 97) % 5), NULL FROM raw WHERE i % 97 = 0
-  UNION ALL SELECT i * 4 + 2, log_id, ts, 'loot', 'Gem' || (i % 6), foe FROM raw WHERE i % 97 <> 0 AND i % 41 = 0
-  UNION ALL SELECT i * 4 + 2, log_id, ts, 'who', actor, NULL FROM raw WHERE i % 97 <> 0 AND i % 41 <> 0 AND i % 29 = 0
-  UNION ALL SELECT i * 4 + 3, log_id, ts, 'party', CASE (i // 211) % 3 WHEN 0 THEN 'RaidJoined' WHEN 1 THEN 'RaidLeft' ELSE 'GroupLeft' END, NULL FROM raw WHERE i % 211 = 0
-  UNION ALL SELECT i * 4 + 3, log_id, ts, 'casting', actor, NULL FROM raw WHERE i % 211 <> 0 AND i % 53 = 0
-)"""
-_FIGHTS = (
-    _COMBAT
-    + """, acts AS (
-  SELECT seq, log_id, ts, kind, foe, source, target, amount, type, spell, crit, strike, riposte, CAST(NULL AS VARCHAR) AS died FROM combat WHERE kind IN ('hit', 'miss', 'death')
-  UNION ALL SELECT seq, log_id, ts, 'touch', other, NULL, NULL, NULL, NULL, NULL, false, false, false, name FROM extra WHERE kind = 'pdeath'
-), flagged AS (
-  SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR lag(kind) OVER w = 'death' OR epoch(ts) - epoch(lag(ts) OVER w) >= 15 THEN 1 ELSE 0 END AS isnew
-  FROM acts WINDOW w AS (PARTITION BY log_id, foe ORDER BY seq)
-), runs AS (
-  SELECT *, sum(isnew) OVER (PARTITION BY log_id, foe ORDER BY seq ROWS UNBOUNDED PRECEDING) AS run FROM flagged
-), opened AS (
-  SELECT *, min(CASE WHEN kind IN ('hit', 'miss') THEN seq END) OVER (PARTITION BY log_id, foe, run) AS start_seq FROM runs
-), assigned AS (
-  SELECT *, sha256(log_id || '|' || foe || '|' || start_seq) AS fight_id FROM opened WHERE seq >= start_seq
-), fights AS (
-  SELECT fight_id, log_id, foe, start_seq, min(ts) AS started_on, max(ts) AS updated_on, max(seq) AS end_seq,
-    CASE WHEN bool_or(kind = 'death') THEN 'Killed' ELSE 'Timeout' END AS status,
-    CAST(coalesce(sum(CASE WHEN kind = 'hit' AND target = foe THEN amount END), 0) AS BIGINT) AS hp,
-    CAST(epoch(max(ts)) - epoch(min(ts)) + 1 AS BIGINT) AS duration
-  FROM assigned GROUP BY ALL HAVING bool_or(kind = 'death') OR coalesce(sum(CASE WHEN kind = 'hit' AND target = foe THEN amount END), 0) > 0
-), frows AS (
-  SELECT a.*, f.started_on FROM assigned a JOIN fights f USING (fight_id)
-), swings AS (
-  SELECT fight_id, foe, seq, ts, kind, source, target, amount, type, spell, crit, strike, riposte, false AS derived FROM frows WHERE kind IN ('hit', 'miss')
-  UNION ALL SELECT fight_id, foe, seq, ts, 'miss', source, target, NULL, 'unknown', NULL, false, false, false, true FROM frows WHERE kind = 'hit' AND strike AND NOT riposte
-), sides AS (
-  SELECT *, source AS name, 'out' AS side FROM swings UNION ALL SELECT *, target, 'in' FROM swings
-), people AS (
-  SELECT fight_id, name, name = foe AS is_target,
-    count(*) FILTER (kind = 'hit' AND side = 'out') AS outbound_hit_count,
-    CAST(coalesce(sum(amount) FILTER (kind = 'hit' AND side = 'out'), 0) AS BIGINT) AS outbound_hit_sum,
-    count(*) FILTER (kind = 'miss' AND side = 'out' AND NOT derived) AS outbound_miss_count,
-    count(*) FILTER (kind = 'hit' AND side = 'out' AND strike) AS outbound_strike_count,
-    count(*) FILTER (kind = 'hit' AND side = 'in') AS inbound_hit_count,
-    CAST(coalesce(sum(amount) FILTER (kind = 'hit' AND side = 'in'), 0) AS BIGINT) AS inbound_hit_sum,
-    count(*) FILTER (kind = 'hit' AND side = 'in' AND spell IS NULL) AS inbound_melee_count,
-    CAST(coalesce(sum(amount) FILTER (kind = 'hit' AND side = 'in' AND spell IS NULL), 0) AS BIGINT) AS inbound_melee_sum,
-    CAST(coalesce(sum(amount) FILTER (kind = 'hit' AND side = 'in' AND riposte), 0) AS BIGINT) AS inbound_riposte_sum,
-    count(*) FILTER (kind = 'hit' AND side = 'in' AND strike) AS inbound_strike_count,
-    count(*) FILTER (kind = 'miss' AND side = 'in') AS inbound_miss_count,
-    min(ts) AS first_action, max(ts) AS last_action, CAST(epoch(max(ts)) - epoch(min(ts)) + 1 AS BIGINT) AS duration
-  FROM sides GROUP BY fight_id, name, foe
-), ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY fight_id ORDER BY outbound_hit_sum DESC, name) AS rank_in_fight FROM people
-), attacks AS (
-  SELECT fight_id, source AS name, CASE WHEN riposte THEN 'riposte' ELSE type END AS attack, count(*) AS hit_count, CAST(sum(amount) AS BIGINT) AS hit_sum, max(amount) AS hit_max,
-    count(*) FILTER (crit) AS crit_count, CAST(coalesce(sum(amount) FILTER (crit), 0) AS BIGINT) AS crit_sum FROM frows WHERE kind = 'hit' GROUP BY 1, 2, 3
-), defenses AS (
-  SELECT fight_id, target AS name, type, count(*) AS count FROM swings WHERE kind = 'miss' GROUP BY 1, 2, 3
-), waterfall AS (
-  SELECT d.*, CAST(p.inbound_melee_count + p.inbound_miss_count - p.inbound_strike_count - coalesce(sum(d.count) OVER (PARTITION BY d.fight_id, d.name
-    ORDER BY list_position(['miss', 'invul', 'block', 'riposte', 'parry', 'dodge', 'shield', 'unknown', 'rune'], d.type) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS attempts
-  FROM defenses d JOIN people p USING (fight_id, name)
-), series AS (
-  SELECT fight_id, name, metric, tick, CAST(sum(amount) AS BIGINT) AS value FROM (
-    SELECT fight_id, source AS name, 'dps' AS metric, CAST(greatest(0, CAST(epoch(ts) AS BIGINT) // 6 - CAST(epoch(started_on) AS BIGINT) // 6) AS BIGINT) AS tick, amount FROM frows WHERE kind = 'hit'
-    UNION ALL SELECT fight_id, target, 'tank_dps', CAST(greatest(0, CAST(epoch(ts) AS BIGINT) // 6 - CAST(epoch(started_on) AS BIGINT) // 6) AS BIGINT), amount FROM frows WHERE kind = 'hit' AND spell IS NULL
-  ) GROUP BY 1, 2, 3, 4 HAVING sum(amount) <> 0
-)"""
-)
+_COMBAT, _FIGHTS = expected.COMBAT, expected.FIGHTS
 _SHORT = """
 SELECT fight_id, foe, hp, rank, name, damage, CAST(damage // fd AS BIGINT) AS dps, CAST(damage * 100 // top AS BIGINT) AS pct_of_top FROM (
   SELECT p.fight_id, f.foe, f.hp, p.name, p.outbound_hit_sum AS damage, f.duration AS fd, max(p.outbound_hit_sum) OVER (PARTITION BY p.fight_id) AS top,
@@ -134,15 +48,42 @@ def top_damage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.short_summary(rollups.participant_rollup(t.rows), t.fights)
 
 
-@query(_COMBAT + " SELECT kind, count(*) AS n FROM (SELECT kind FROM combat UNION ALL SELECT CASE kind WHEN 'pdeath' THEN 'death' ELSE kind END FROM extra) GROUP BY kind")
+_KINDS = "['chat', 'consider', 'rot', 'craft', 'xp', 'aaxp', 'aa_purchase', 'skill', 'shield', 'rescued', 'taunt', 'dice', 'coin', 'output_file', 'cast_fail', 'cure', 'raw']"
+
+
+@query(_COMBAT + f" SELECT kind, count(*) AS n FROM (SELECT kind FROM combat UNION ALL SELECT CASE kind WHEN 'pdeath' THEN 'death' ELSE kind END FROM extra UNION ALL SELECT {_KINDS}[k + 1] FROM aside) GROUP BY kind")
 def rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches of every rule; the log has messages of all 25 kinds."""
     return rules.rule_counts(rendered.events(spark, sf_dir))
 
 
+_ASIDE = f""" SELECT seq, {_KINDS}[k + 1] AS kind, CASE WHEN k IN (0, 10, 11, 14) THEN actor WHEN k = 2 THEN foe WHEN k = 8 THEN 'Bulwark' WHEN k = 15 THEN actor END AS source,
+  CASE WHEN k IN (8, 9) THEN actor WHEN k = 10 THEN foe WHEN k = 15 THEN other END AS target, CASE k WHEN 1 THEN foe WHEN 3 THEN 'Larry' WHEN 6 THEN 'Tear' WHEN 7 THEN 'Swimming' END AS name,
+  CASE k WHEN 4 THEN 'SoloXP' WHEN 14 THEN 'fizzle' END AS type, CASE WHEN k IN (14, 15) THEN 'Plague Bolt' END AS spell, CASE k WHEN 2 THEN gem WHEN 3 THEN gem || ' Ring' WHEN 11 THEN gem END AS item,
+  CASE k WHEN 0 THEN 'group' END AS channel, CASE k WHEN 0 THEN 'pull now' END AS message, CASE k WHEN 1 THEN 44 WHEN 7 THEN i % 200 END AS level, CASE k WHEN 1 THEN true END AS rare, CASE k WHEN 1 THEN 'it appears quite formidable.' END AS strength,
+  CASE k WHEN 4 THEN '1.500000' END AS xp, CASE k WHEN 5 THEN 1 END AS amount, CASE k WHEN 5 THEN i % 50 END AS total, CASE k WHEN 6 THEN i % 7 END AS cost, CASE k WHEN 11 THEN 1 END AS min, CASE k WHEN 11 THEN 1000 END AS max, CASE k WHEN 11 THEN i % 1000 + 1 END AS roll,
+  CASE k WHEN 12 THEN i % 9 + 1 END AS gold, CASE k WHEN 12 THEN i % 10 END AS copper, CASE k WHEN 13 THEN 'list' || i || '.txt' END AS file_name FROM aside WHERE k < 16"""
+_INTS = ("level", "total", "cost", "min", "max", "roll", "gold", "copper")
+
+
+@query(_COMBAT + f", told AS ({_ASIDE.replace(chr(39) + 'Tear' + chr(39), chr(39) + 'Tin Ear ' + chr(39) + ' || (i % 5)')}) SELECT * REPLACE ({', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in ('amount', *_INTS))}) FROM told")
+def side_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chat, considering, trade, progress, dice, coins, cures and the like, with their columns."""
+    kinds = ("chat", "consider", "rot", "craft", "xp", "aaxp", "aa_purchase", "skill", "shield", "rescued", "taunt", "dice", "coin", "output_file", "cast_fail", "cure")
+    e = rendered.events(spark, sf_dir).where(F.col("kind").isin(*kinds) & (F.col("seq") % rendered.PLACES == 5))
+    return e.select("seq", "kind", "source", "target", "name", "type", "spell", "item", "channel", "message", "rare", "strength", F.col("xp").cast("string").alias("xp"), "amount", *[F.col(c).cast("long").alias(c) for c in _INTS], "file_name")
+
+
+@query(_COMBAT + " SELECT log_id, seq, 'The crowd counts ' || i || ' coins.' AS text FROM aside WHERE k = 16 UNION ALL SELECT log_id, seq, name || ' glistens.' FROM extra WHERE kind = 'raw' AND name <> 'Larry'")
+def unmatched_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with a number that no rule knows."""
+    return rules.unmatched(rendered.events(spark, sf_dir)).select("log_id", "seq", "text")
+
+
 @query(_COMBAT + " SELECT seq, log_id, ts, kind, source, target, amount, full_amount, type, spell, CASE WHEN riposte THEN 'Riposte,Strikethrough' WHEN strike THEN 'Strikethrough' WHEN crit THEN 'Critical' ELSE '' END AS mods FROM combat WHERE kind <> 'death'")
 def combat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hits, misses and heals as text, read back to columns."""
-    e = rendered.events(spark, sf_dir).where(F.col("kind").isin("hit", "miss", "heal"))
+    """Hits, misses and heals as text, read back to columns; a ward's heals are its owner's."""
+    e = rules.normalize_sources(rendered.events(spark, sf_dir).where(F.col("kind").isin("hit", "miss", "heal")))
     return e.select("seq", "log_id", "ts", "kind", "source", "target", "amount", "full_amount", "type", "spell", F.array_join(F.coalesce("mods", F.array().cast("array<string>")), ",").alias("mods"))
 
 
@@ -157,9 +98,10 @@ def mod_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("seq", names.mod_bits(F.coalesce("mods", F.array().cast("array<string>"))).alias("mod_bits"))
 
 
-@query(_FIGHTS + " SELECT fight_id, log_id, foe, start_seq, started_on, updated_on, end_seq, status, hp, duration FROM fights")
+@query(expected.SESSIONS + " SELECT fight_id, log_id, foe, start_seq, started_on, updated_on, end_seq, status, hp, zone, party, duration FROM fights")
 def fight_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Tables(spark, sf_dir).fights.drop("zone", "party")
+    """Fights around inferred foes, with pending hits, raid gaps, zone and party."""
+    return Tables(spark, sf_dir).fights
 
 
 @query(_FIGHTS + " SELECT * REPLACE (CAST(rank_in_fight AS INTEGER) AS rank_in_fight) FROM ranked")
@@ -206,23 +148,14 @@ def dense_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("values", F.array_join(F.col("values").cast("array<string>"), ","))
 
 
-_AS_OF = """, marks AS (SELECT seq, log_id, CAST(NULL AS VARCHAR) AS zone, CAST(NULL AS VARCHAR) AS party, true AS hit FROM combat WHERE kind = 'hit'
-  UNION ALL SELECT seq, log_id, name, NULL, false FROM extra WHERE kind = 'zone'
-  UNION ALL SELECT seq, log_id, NULL, name, false FROM extra WHERE kind = 'party'), placed AS (
-  SELECT *, last_value(zone IGNORE NULLS) OVER w AS z, last_value(CASE party WHEN 'RaidJoined' THEN 'Raid' WHEN 'RaidLeft' THEN 'Group' END IGNORE NULLS) OVER w AS p,
-    last_value(CASE WHEN party IN ('RaidJoined', 'RaidLeft') THEN seq END IGNORE NULLS) OVER w AS p_seq, last_value(CASE WHEN party = 'GroupLeft' THEN seq END IGNORE NULLS) OVER w AS g_seq
-  FROM marks WINDOW w AS (PARTITION BY log_id ORDER BY seq ROWS UNBOUNDED PRECEDING))
-SELECT seq, z AS zone, CASE WHEN p = 'Group' AND g_seq > p_seq THEN 'Solo' ELSE p END AS party FROM placed WHERE hit"""
-
-
-@query(_COMBAT + _AS_OF)
+@query(_COMBAT + ", hits AS (SELECT log_id, seq FROM combat WHERE kind = 'hit')" + expected.placed("found", "hits") + " SELECT seq, zone, party FROM found")
 def zone_and_party(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The zone and party that held at every hit."""
-    e = fights.with_party(fights.with_zone(rendered.events(spark, sf_dir)))
+    e = fights.with_party(fights.with_zone(rendered.events(spark, sf_dir).select(*rendered.COMBAT)))
     return e.where(F.col("kind") == "hit").select("seq", "zone", "party")
 
 
-@query(_FIGHTS + ", marks AS (SELECT log_id, start_seq AS pos, 1 AS d, NULL AS fight_id FROM fights UNION ALL SELECT log_id, end_seq, -1, fight_id FROM fights), run AS (SELECT *, sum(d) OVER (PARTITION BY log_id ORDER BY pos, d DESC, fight_id ROWS UNBOUNDED PRECEDING) AS n_open FROM marks) SELECT fight_id, CAST(n_open AS BIGINT) AS cohort_count FROM run WHERE d = -1")
+@query(_FIGHTS + ", ends AS (SELECT log_id, start_seq AS pos, 1 AS d, CAST(NULL AS VARCHAR) AS fight_id FROM fights UNION ALL SELECT log_id, end_seq, -1, fight_id FROM fights), run AS (SELECT *, sum(d) OVER (PARTITION BY log_id ORDER BY pos, d DESC, fight_id ROWS UNBOUNDED PRECEDING) AS n_open FROM ends) SELECT fight_id, CAST(n_open AS BIGINT) AS cohort_count FROM run WHERE d = -1")
 def cohorts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fights.cohorts(Tables(spark, sf_dir).fights).select("fight_id", "cohort_count")
 
@@ -234,49 +167,87 @@ def deaths_in_fights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.death_rollup(died)
 
 
-@query()
-def heals_in_fights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Heals with the fight they count for, summed by healer and target."""
-    t = Tables(spark, sf_dir)
-    healed = t.events.where(F.col("kind") == "heal").drop("foe")
-    _, changes = entities.resolve_foes(t.events)
-    who = entities.entities_as_of(healed.select("log_id", "seq", "source"), changes, "source", "seq")
-    # of an unknown pet the owner's type counts
+def _friends_at(rows: DataFrame, changes: DataFrame) -> DataFrame:
+    """(log_id, seq, name): sources that were friends at their row; of an unknown pet the owner's type counts."""
+    who = entities.entities_as_of(rows.select("log_id", "seq", "source"), changes, "source", "seq")
     who = who.select("log_id", "seq", "source", F.col("type_of").alias("own_type"), F.coalesce("pet_owner", names.pet_owner(F.col("source"))).alias("owner"))
     who = entities.entities_as_of(who, changes, "owner", "seq")
     kind = F.when(F.col("own_type") == entities.UNKNOWN, F.col("type_of")).otherwise(F.col("own_type"))
-    friends = who.where(kind == entities.FRIEND).select("log_id", "seq", F.col("source").alias("name"))
-    heals = fights.attribute_heals(healed, t.assigned, t.fights, friends)
-    return rollups.heal_rollup(heals)
+    return who.where(kind == entities.FRIEND).select("log_id", "seq", F.col("source").alias("name"))
+
+
+def _heals(t: Tables) -> DataFrame:
+    healed = t.events.where(F.col("kind") == "heal").drop("foe")
+    return fights.attribute_heals(healed, t.assigned, t.fights, _friends_at(healed, t.changes))
+
+
+@query(_FIGHTS + expected.HEALS + " SELECT fight_id, source AS name, target, count(*) AS hit_count, CAST(sum(amount) AS BIGINT) AS hit_sum, CAST(sum(full_amount) AS BIGINT) AS full_sum, CAST(sum(full_amount) - sum(amount) AS BIGINT) AS overheal FROM healed GROUP BY 1, 2, 3 HAVING sum(amount) > 0")
+def heals_in_fights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heals with the fight they count for, summed by healer and target."""
+    return rollups.heal_rollup(_heals(Tables(spark, sf_dir)))
+
+
+@query(_FIGHTS + expected.HEALS + """, both_ways AS (SELECT fight_id, ts, source AS name, 'out' AS side, amount, full_amount FROM healed UNION ALL SELECT fight_id, ts, target, 'in', amount, full_amount FROM healed
+), sums AS (SELECT fight_id, name, CAST(coalesce(sum(amount) FILTER (side = 'out'), 0) AS BIGINT) AS outbound_heal_sum, CAST(coalesce(sum(full_amount) FILTER (side = 'out'), 0) AS BIGINT) AS outbound_full_heal_sum,
+  CAST(coalesce(sum(amount) FILTER (side = 'in'), 0) AS BIGINT) AS inbound_heal_sum, CAST(coalesce(sum(full_amount) FILTER (side = 'in'), 0) AS BIGINT) AS inbound_full_heal_sum, min(ts) FILTER (side = 'out') AS a, max(ts) FILTER (side = 'out') AS b FROM both_ways GROUP BY 1, 2
+), joined AS (SELECT fight_id, name, coalesce(outbound_hit_sum, 0) AS outbound_hit_sum, coalesce(inbound_hit_sum, 0) AS inbound_hit_sum, coalesce(outbound_heal_sum, 0) AS outbound_heal_sum, coalesce(outbound_full_heal_sum, 0) AS outbound_full_heal_sum,
+  coalesce(inbound_heal_sum, 0) AS inbound_heal_sum, coalesce(inbound_full_heal_sum, 0) AS inbound_full_heal_sum, f.duration AS whole, name = f.foe AS is_target, epoch(greatest(last_action, b)) - epoch(least(first_action, a)) + 1 AS own
+  FROM everyone FULL JOIN sums USING (fight_id, name) JOIN fights f USING (fight_id))
+SELECT fight_id, name, outbound_hit_sum, inbound_hit_sum, outbound_heal_sum, outbound_full_heal_sum, inbound_heal_sum, inbound_full_heal_sum, is_target, CAST(CASE WHEN is_target THEN whole ELSE coalesce(own, 0) END AS BIGINT) AS duration,
+  CASE WHEN name LIKE 'Player%' THEN 'RNG' END AS class, CAST(NULL AS VARCHAR) AS pet_owner FROM joined WHERE is_target OR outbound_hit_sum > 0 OR inbound_hit_sum > 0 OR outbound_heal_sum > 0""")
+def healers_and_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Participants with their healing, and class and owner as known when the fight ended; who was idle is left out."""
+    t = Tables(spark, sf_dir)
+    people = fights.with_finish_state(rollups.participant_rollup(t.rows, _heals(t)), t.fights, t.changes)
+    return people.select("fight_id", "name", "outbound_hit_sum", "inbound_hit_sum", "outbound_heal_sum", "outbound_full_heal_sum", "inbound_heal_sum", "inbound_full_heal_sum", "is_target", "duration", "class", "pet_owner")
+
+
+@query(_FIGHTS + expected.HEALS + """, beats AS (SELECT fight_id, foe, source, target, amount, CAST(greatest(0, CAST(epoch(ts) AS BIGINT) // 6 - CAST(epoch(started_on) AS BIGINT) // 6) AS BIGINT) AS tick FROM (SELECT fight_id, fight_foe AS foe, source, target, amount, ts, started_on FROM healed))
+SELECT fight_id, name, metric, tick, CAST(sum(amount) AS BIGINT) AS value FROM (SELECT fight_id, source AS name, 'hps' AS metric, tick, amount FROM beats UNION ALL SELECT fight_id, target, 'inbound_hps', tick, amount FROM beats) GROUP BY 1, 2, 3, 4 HAVING sum(amount) <> 0""")
+def heal_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Healing done and received in six-second ticks."""
+    return ticks.tick_series(_heals(Tables(spark, sf_dir)))
+
+
+@query(_FIGHTS + expected.HEALS + " SELECT fight_id, source AS name, 'heal' AS type, spell, count(*) AS hit_count, CAST(sum(amount) AS BIGINT) AS hit_sum, max(amount) AS hit_max, CAST(sum(full_amount) AS BIGINT) AS full_sum, CAST(row_number() OVER (PARTITION BY fight_id, source ORDER BY sum(amount) DESC, spell) AS INTEGER) AS place FROM healed GROUP BY 1, 2, 3, 4")
+def heal_spells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heals by caster and spell, in their order."""
+    found = rollups.ordered_children(rollups.spell_rollup(_heals(Tables(spark, sf_dir))), "hit_sum", "spell", ("fight_id", "name", "type"))
+    return found.drop("crit_count", "crit_sum", "twin_count")
 
 
 @query()
 def exact_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fights with timeouts checked as a live reader does."""
-    found = fights.assign_fights_exact(rendered.combat(spark, sf_dir).drop("party"))
+    """Fights with timeouts checked as a live reader does; tested against a replay."""
+    found = fights.assign_fights_exact(rendered.combat(spark, sf_dir))
     return found.groupBy("log_id", "foe", "start_seq").agg(F.max("seq").alias("end_seq"), F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(_COMBAT + " SELECT log_id, CASE WHEN source = foe || '''s corpse' THEN source ELSE foe END AS foe, count(*) AS n FROM combat WHERE kind IN ('hit', 'miss') AND j >= 3 AND source IS NOT NULL GROUP BY 1, 2")
 def resolved_foes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The foe of each hit and miss, inferred from who lists, parties, loot and earlier fights."""
-    foes, _ = entities.resolve_foes(rendered.events(spark, sf_dir))
-    return foes.groupBy("log_id", "foe").agg(F.count(F.lit(1)).alias("n"))
+    found, _ = entities.foes_and_changes(rendered.entity_states(spark, sf_dir))
+    return found.groupBy("log_id", "foe").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(_COMBAT + """, told AS (SELECT log_id, name, true AS player, true AS who FROM extra WHERE kind = 'who'
-  UNION ALL SELECT log_id, actor, true, false FROM raw WHERE i % 97 <> 0 AND i % 41 = 0 UNION ALL SELECT log_id, 'Larry', true, false FROM raw
-  UNION ALL SELECT log_id, source, false, false FROM combat WHERE kind IN ('hit', 'miss') UNION ALL SELECT log_id, foe, false, false FROM combat WHERE kind = 'death')
-SELECT log_id, name, bool_or(player) AS is_player, CASE WHEN bool_or(who) THEN 'RNG' END AS class, CASE WHEN bool_or(who) THEN CAST(65 AS INTEGER) END AS level FROM told GROUP BY 1, 2""")
+@query(_COMBAT + """, told AS (SELECT log_id, name, true AS player, true AS who, false AS seen FROM extra WHERE kind = 'who'
+  UNION ALL SELECT log_id, actor, true, false, false FROM raw WHERE j >= 3 AND i % 97 <> 0 AND i % 41 = 0 UNION ALL SELECT log_id, name, false, false, true FROM extra WHERE kind = 'consider' UNION ALL SELECT log_id, name, false, false, false FROM extra WHERE kind = 'pdeath'
+  UNION ALL SELECT log_id, 'Larry', true, false, false FROM raw UNION ALL SELECT log_id, actor, true, false, false FROM aside WHERE k = 0 UNION ALL SELECT log_id, foe, false, false, k = 1 FROM aside WHERE k IN (1, 10)
+  UNION ALL SELECT log_id, 'Bulwark', false, false, false FROM aside WHERE k = 8 UNION ALL SELECT log_id, source, false, false, false FROM combat WHERE kind IN ('hit', 'miss') AND source IS NOT NULL
+  UNION ALL SELECT log_id, target, false, false, false FROM combat WHERE kind IN ('hit', 'miss') AND source IS NOT NULL AND j >= 3 UNION ALL SELECT log_id, foe, false, false, false FROM combat WHERE kind = 'death'
+  UNION ALL SELECT log_id, actor || '`s ward', false, false, false FROM combat WHERE kind = 'heal' AND i % 19 = 0 AND j >= 3)
+SELECT log_id, name, bool_or(player) AS is_player, CASE WHEN bool_or(who) THEN 'RNG' WHEN name = 'Bulwark' THEN 'WAR' END AS class, CAST(CASE WHEN bool_or(who) THEN 65 WHEN bool_or(seen) THEN 44 END AS INTEGER) AS level FROM told GROUP BY 1, 2""")
 def known_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, changes = entities.resolve_foes(rendered.events(spark, sf_dir))
+    _, changes = entities.foes_and_changes(rendered.entity_states(spark, sf_dir))
     return entities.current_entities(changes).select("log_id", "name", "is_player", "class", "level")
 
 
-@query(_FIGHTS + " SELECT l.zone, l.mob, l.item, count(*) AS n FROM (SELECT last_value(CASE WHEN kind = 'zone' THEN name END IGNORE NULLS) OVER (PARTITION BY log_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS zone, kind, other AS mob, name AS item FROM extra WHERE kind IN ('zone', 'loot')) l WHERE l.kind = 'loot' AND l.zone IS NOT NULL AND l.item <> 'Gem0' GROUP BY 1, 2, 3")
+@query(_COMBAT + " SELECT l.zone, l.mob, l.item, count(*) AS n FROM (SELECT last_value(CASE WHEN kind = 'zone' THEN name END IGNORE NULLS) OVER (PARTITION BY log_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS zone, kind, other AS mob, name AS item FROM (SELECT log_id, seq, kind, name, other FROM extra WHERE kind IN ('zone', 'loot') UNION ALL SELECT log_id, seq, 'rot', gem, foe FROM aside WHERE k = 2)) l WHERE l.kind <> 'zone' AND l.zone IS NOT NULL AND l.item <> 'Gem0' GROUP BY 1, 2, 3")
 def drop_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loot and what was left to rot, by zone and mob, from servers of the standard kind."""
     ignore = spark.sql("SELECT 'Gem0' AS item")
-    return loot.drop_counts(loot.drops(rendered.events(spark, sf_dir), ignore))
+    e = rendered.events(spark, sf_dir)
+    return loot.drop_counts(loot.drops(e.where(logs.is_standard_server(F.col("server"))), ignore))
 
 
 @query(_FIGHTS + " SELECT p.fight_id, p.name, p.outbound_hit_sum AS total, CAST(p.outbound_hit_sum // f.duration AS BIGINT) AS dps, CAST(p.outbound_hit_sum * 1000 // nullif(f.hp, 0) AS BIGINT) AS permille_of_hp, CAST(p.outbound_hit_sum * 1000 // nullif(max(p.outbound_hit_sum) OVER (PARTITION BY p.fight_id), 0) AS BIGINT) AS permille_of_top FROM people p JOIN fights f USING (fight_id) WHERE NOT p.is_target")
@@ -291,14 +262,28 @@ def pinned_players(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_FIGHTS + """, listed AS (SELECT f.*, p.inbound_hit_count AS hits, (SELECT count(*) FROM people q WHERE q.fight_id = f.fight_id AND NOT q.is_target) AS n FROM fights f LEFT JOIN people p ON p.fight_id = f.fight_id AND p.is_target)
-SELECT fight_id, log_id, foe, status, hp, duration, CAST(hp // duration AS BIGINT) AS hp_per_second, CAST(n AS BIGINT) AS people FROM listed WHERE NOT ((duration < 10 OR coalesce(hits, 0) < 5 OR hp < 1000) AND status = 'Timeout')""")
+SELECT fight_id, log_id, foe, CAST(row_number() OVER (PARTITION BY log_id ORDER BY updated_on DESC, fight_id) AS INTEGER) AS place, coalesce(zone, 'Unknown') AS zone, strftime(updated_on, '%b %d %H:%M') AS ended, status, hp, duration, CAST(hp // duration AS BIGINT) AS hp_per_second, party || ': ' || n AS party FROM listed WHERE NOT ((duration < 10 OR coalesce(hits, 0) < 5 OR hp < 1000) AND status = 'Timeout')""")
 def fight_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
     found = reports.fight_list(t.fights, rollups.participant_rollup(t.rows))
-    return found.select("fight_id", "log_id", "foe", "status", "hp", "duration", "hp_per_second", F.split("party", ": ").getItem(1).cast("long").alias("people"))
+    return found.withColumn("ended", names.fmt_date(F.col("updated_on"), F.lit("2024-06-01").cast("timestamp"))).drop("updated_on")
 
 
-@query(_FIGHTS + " SELECT fight_id, foe FROM fights f WHERE foe = 'Mob3' OR EXISTS (SELECT 1 FROM people p WHERE p.fight_id = f.fight_id AND p.name LIKE 'Mob3%')")
+@query(_FIGHTS + " SELECT f.fight_id, f.foe FROM fights f LEFT JOIN people p ON p.fight_id = f.fight_id AND p.is_target WHERE status = 'Killed' AND f.duration >= 10 AND coalesce(p.inbound_hit_count, 0) >= 5 AND f.hp >= 1000")
+def published_fights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = Tables(spark, sf_dir)
+    return reports.publishable(t.fights, rollups.participant_rollup(t.rows)).select("fight_id", "foe")
+
+
+@query(expected.SESSIONS + ", one AS (SELECT log_id, CAST(started_on AS DATE) AS d, party, zone FROM fights QUALIFY row_number() OVER (PARTITION BY log_id ORDER BY start_seq) = 1) SELECT f.fight_id FROM fights f JOIN one o ON o.log_id = f.log_id AND o.d = CAST(f.started_on AS DATE) AND o.party = f.party AND o.zone = f.zone")
+def same_evening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fights of the day, party and zone of each log's first."""
+    found = Tables(spark, sf_dir).fights
+    first = found.groupBy("log_id").agg(F.min_by("fight_id", "start_seq").alias("fight_id"))
+    return reports.same_session(found, first, by_zone=True).select("fight_id")
+
+
+@query(_FIGHTS + " SELECT fight_id, foe FROM fights f WHERE foe = 'Mob3' OR coalesce(lower(zone), '') LIKE '%mob3%' OR EXISTS (SELECT 1 FROM people p WHERE p.fight_id = f.fight_id AND p.name LIKE 'Mob3%')")
 def fight_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
     return reports.search_fights(t.fights, rollups.participant_rollup(t.rows), "MOB3").select("fight_id", "foe")
@@ -384,6 +369,50 @@ def merged_fights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.merged_participants(members, rollups.participant_rollup(t.rows), merge.merged_series(members, t.fights, merge.targets_as_x(ticks.tick_series(t.rows), t.fights)))
 
 
+_BY_ZONE = _FIGHTS + """, m AS (SELECT fight_id, log_id || '|' || coalesce(zone, 'none') AS merge_id, started_on, updated_on, foe, hp, CAST(epoch(started_on) AS BIGINT) // 6 AS head, CAST(epoch(updated_on) AS BIGINT) // 6 AS tail FROM fights),
+covered AS (SELECT DISTINCT merge_id, unnest(range(head, tail + 1)) AS pos FROM m), spots AS (SELECT merge_id, pos, row_number() OVER (PARTITION BY merge_id ORDER BY pos) - 1 AS n FROM covered),
+offsets AS (SELECT m.merge_id, m.fight_id, m.foe, CAST(p.n AS BIGINT) AS "offset" FROM m JOIN spots p ON p.merge_id = m.merge_id AND p.pos = m.head),
+moved AS (SELECT merge_id, CASE WHEN s.name = o.foe THEN 'X' ELSE s.name END AS name, metric, tick + "offset" AS tick, value FROM series s JOIN offsets o USING (fight_id)),
+totals AS (SELECT merge_id, CAST(epoch(max(updated_on)) - epoch(min(started_on)) + 1 AS BIGINT) AS total FROM m GROUP BY 1),
+long AS (SELECT t.merge_id, CAST(greatest(1, least(coalesce((SELECT max(tick) + 1 FROM moved x WHERE x.merge_id = t.merge_id AND x.name = 'X') * 6, 0), total)) AS BIGINT) AS duration FROM totals t)"""
+
+
+def _by_zone(f: DataFrame) -> DataFrame:
+    return merge.unmerged(f).select(F.concat_ws("|", "log_id", F.coalesce("zone", F.lit("none"))).alias("merge_id"), "fight_id")
+
+
+@query(_BY_ZONE + " SELECT merge_id AS fight_id, duration FROM long")
+def merged_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How long the merged fights of a zone took, without gaps and idle ends."""
+    t = Tables(spark, sf_dir)
+    members = _by_zone(t.fights)
+    moved = merge.merged_series(members, t.fights, merge.targets_as_x(ticks.tick_series(t.rows), t.fights))
+    return merge.merged_duration(merge.merged_header(members, t.fights), moved).select("fight_id", "duration")
+
+
+@query(_BY_ZONE + " SELECT merge_id AS fight_id, name, metric, CASE WHEN duration > 600 THEN tick // 5 ELSE tick END AS tick, CAST(sum(value) AS BIGINT) AS value FROM moved JOIN long USING (merge_id) WHERE duration <= 3000 GROUP BY 1, 2, 3, 4")
+def fitted_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Series of a zone's merged fights, in buckets that fit their length."""
+    t = Tables(spark, sf_dir)
+    members = _by_zone(t.fights)
+    moved = merge.merged_series(members, t.fights, merge.targets_as_x(ticks.tick_series(t.rows), t.fights))
+    return merge.fit_series(merge.merged_duration(merge.merged_header(members, t.fights), moved), moved)
+
+
+@query(_BY_ZONE + """, sums AS (SELECT m.merge_id, CASE WHEN is_target THEN 'X' ELSE name END AS name, is_target, CAST(sum(outbound_hit_sum) AS BIGINT) AS a, CAST(sum(inbound_melee_sum) AS BIGINT) AS b FROM people JOIN m USING (fight_id) GROUP BY 1, 2, 3),
+counted AS (SELECT *, count(*) FILTER (NOT is_target) OVER (PARTITION BY merge_id) AS n FROM sums), many AS (SELECT * FROM counted WHERE n > 8 AND NOT is_target), folded AS (
+  SELECT merge_id, CASE WHEN a < 0.6 * max(a) OVER w THEN '*Other' ELSE name END AS name, a, 0 AS b FROM many WINDOW w AS (PARTITION BY merge_id)
+  UNION ALL SELECT merge_id, CASE WHEN b < 0.1 * max(b) OVER w THEN '*Other' ELSE name END, 0, b FROM many WINDOW w AS (PARTITION BY merge_id))
+SELECT merge_id AS fight_id, name, CAST(sum(a) AS BIGINT) AS outbound_hit_sum, CAST(sum(b) AS BIGINT) AS inbound_melee_sum, CAST(0 AS BIGINT) AS outbound_heal_sum FROM folded GROUP BY 1, 2 HAVING sum(a) > 0 OR sum(b) > 0
+UNION ALL SELECT merge_id, name, a, b, 0 FROM counted WHERE n <= 8 OR is_target""")
+def merged_crowds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Participants of a zone's merged fights; where they are many, the long tail is one."""
+    t = Tables(spark, sf_dir)
+    named = rollups.participant_rollup(t.rows).withColumn("name", F.when(F.col("is_target"), "X").otherwise(F.col("name"))).withColumn("outbound_heal_sum", F.lit(0).cast("long"))
+    return merge.fold_crowds(merge.merged_rollup(_by_zone(t.fights), named.drop("duration"), ["name", "is_target"]), 8, damage=0.6)
+
+
+
 _TAIL = """ SELECT fight_id, name, CAST(sum(a) AS BIGINT) AS outbound_hit_sum, CAST(sum(b) AS BIGINT) AS inbound_melee_sum, CAST(0 AS BIGINT) AS outbound_heal_sum FROM (
   SELECT fight_id, CASE WHEN outbound_hit_sum < 0.3 * max(outbound_hit_sum) OVER w THEN '*Other' ELSE name END AS name, outbound_hit_sum AS a, 0 AS b FROM people WINDOW w AS (PARTITION BY fight_id)
   UNION ALL SELECT fight_id, CASE WHEN inbound_melee_sum < 0.3 * max(inbound_melee_sum) OVER w THEN '*Other' ELSE name END, 0, inbound_melee_sum FROM people WINDOW w AS (PARTITION BY fight_id)
@@ -402,36 +431,67 @@ def anonymous_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.anonymize(people, F.col("rank_in_fight"))[1]
 
 
-_RAIDS = _FIGHTS + """, marks AS (SELECT DISTINCT log_id, seq, CAST(NULL AS VARCHAR) AS zone, CAST(NULL AS VARCHAR) AS party FROM acts
-  UNION ALL SELECT log_id, seq, name, NULL FROM extra WHERE kind = 'zone' UNION ALL SELECT log_id, seq, NULL, name FROM extra WHERE kind = 'party'),
-placed AS (SELECT log_id, seq, last_value(zone IGNORE NULLS) OVER w AS z, last_value(CASE party WHEN 'RaidJoined' THEN 'Raid' WHEN 'RaidLeft' THEN 'Group' END IGNORE NULLS) OVER w AS p,
-    last_value(CASE WHEN party IN ('RaidJoined', 'RaidLeft') THEN seq END IGNORE NULLS) OVER w AS p_seq, last_value(CASE WHEN party = 'GroupLeft' THEN seq END IGNORE NULLS) OVER w AS g_seq
-  FROM marks WINDOW w AS (PARTITION BY log_id ORDER BY seq ROWS UNBOUNDED PRECEDING)),
-held AS (SELECT fight_id, first(z ORDER BY a.seq) AS zone, last(CASE WHEN p = 'Group' AND g_seq > p_seq THEN 'Solo' ELSE p END ORDER BY a.seq) AS party FROM assigned a JOIN placed USING (log_id, seq) GROUP BY 1),
-part AS (SELECT f.*, h.zone, replace(h.zone, 'Zone', 'Raid') AS raid, foe = 'Mob8' AND status = 'Killed' AS ended FROM fights f JOIN held h USING (fight_id) WHERE party = 'Raid' AND zone IS NOT NULL),
-rounds AS (SELECT *, coalesce(sum(CAST(ended AS INTEGER)) OVER (PARTITION BY log_id, raid ORDER BY updated_on, end_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS turn FROM part),
-hours AS (SELECT *, CAST(epoch(started_on) - epoch(min(started_on) OVER (PARTITION BY log_id, raid, turn)) AS BIGINT) // 3601 AS hour FROM rounds)
-SELECT sha256(log_id || '|' || raid || '|' || CAST(turn AS BIGINT) || '|' || hour) AS merge_id, log_id, raid, zone, count(*) AS cohort_count, bool_or(ended) AS finished, CAST(sum(hp) AS BIGINT) AS hp FROM hours GROUP BY log_id, raid, zone, turn, hour"""
+_RAIDS = expected.RAID_SESSIONS + """, part AS (SELECT *, replace(zone, 'Zone', 'Raid') AS raid, foe = 'Mob8' AND status = 'Killed' AS ended, epoch(started_on) AS began FROM fights WHERE party = 'Raid' AND zone IS NOT NULL),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY log_id, raid ORDER BY updated_on, end_seq) AS n FROM part),
+chain AS (SELECT log_id, raid, n, fight_id, began AS since, 0 AS k, ended FROM numbered WHERE n = 1
+  UNION ALL SELECT x.log_id, x.raid, x.n, x.fight_id, CASE WHEN c.ended OR x.began - c.since > 3600 THEN x.began ELSE least(c.since, x.began) END, CASE WHEN c.ended OR x.began - c.since > 3600 THEN c.k + 1 ELSE c.k END, x.ended
+  FROM chain c JOIN numbered x ON x.log_id = c.log_id AND x.raid = c.raid AND x.n = c.n + 1),
+mobs AS (SELECT c.log_id, c.raid, c.k, foe, count(*) AS n, sum(hp) AS s FROM chain c JOIN part USING (fight_id) GROUP BY ALL), notes AS (SELECT log_id, raid, k, string_agg(n || ' x ' || foe, ', ' ORDER BY s DESC, foe) AS mob_notes FROM mobs GROUP BY ALL)
+SELECT c.log_id, c.raid AS name, any_value(p.zone) AS zone, min(p.start_seq) AS start_seq, min(p.started_on) AS started_on, max(p.updated_on) AS updated_on, count(*) AS cohort_count, count(*) AS mob_count, bool_or(p.ended) AS finished, CAST(sum(hp) AS BIGINT) AS hp,
+  any_value(mob_notes) AS mob_notes, 'Raid' AS party, CAST(epoch(max(updated_on)) - epoch(min(started_on)) + 1 AS BIGINT) AS total_duration FROM chain c JOIN part p USING (fight_id) JOIN notes o ON o.log_id = c.log_id AND o.raid = c.raid AND o.k = c.k GROUP BY c.log_id, c.raid, c.k"""
 
 
 @query(_RAIDS)
 def raids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fights of raids by template: one raid a zone, whose last mob ends it."""
+    """Raids by template: one a zone, whose last mob ends it and with it the fights of its other mobs."""
     templates = spark.sql("SELECT concat('Raid', z) AS raid, concat('Zone', z) AS zone, concat('Mob', m) AS mob, m = 8 AS ends_on_death FROM (SELECT explode(sequence(0, 4)) AS z) CROSS JOIN (SELECT explode(sequence(0, 8)) AS m)")
     t = Tables(spark, sf_dir)
-    members, found = merge.raid_membership(t.fights, templates)
-    counted = members.join(t.fights.select("fight_id", "hp"), "fight_id").groupBy("merge_id").agg(F.sum("hp").alias("hp"))
-    return found.join(counted, "merge_id")
+    found = store.stored(fights.without_friends(fights.fight_table(rendered.assigned(t.events, templates)), t.changes), "raid_fights")
+    members, told = merge.raid_membership(found, templates)
+    start = members.join(found.select("fight_id", "log_id", "start_seq"), "fight_id").groupBy(F.col("merge_id").alias("fight_id"), "log_id").agg(F.min("start_seq").alias("start_seq"))
+    headers = merge.raid_headers(members, told, found).join(start, "fight_id")
+    return headers.select("log_id", "name", "zone", "start_seq", "started_on", "updated_on", "cohort_count", "mob_count", "finished", "hp", "mob_notes", "party", "total_duration")
+
 
+_PSEUDO = """pseudo AS (SELECT log_id, ts, seq, name, '*Died' AS spell FROM extra WHERE kind = 'pdeath' UNION ALL SELECT log_id, ts, seq, foe, '*Died' FROM combat WHERE kind = 'death'
+  UNION ALL SELECT log_id, ts, seq, actor, CASE k WHEN 8 THEN '*Shielded by Bulwark' ELSE '*Rescued by DI' END FROM aside WHERE k IN (8, 9))"""
 
-@query(_FIGHTS + " SELECT fight_id, name, '*Died' AS spell, CAST(epoch(d.ts) - epoch(f.started_on) AS BIGINT) AS time FROM people p JOIN fights f USING (fight_id) JOIN (SELECT log_id, ts, name FROM extra WHERE kind = 'pdeath' UNION ALL SELECT log_id, ts, foe FROM combat WHERE kind = 'death') d USING (name) WHERE d.log_id = f.log_id AND epoch(d.ts) - epoch(f.started_on) >= -10 AND d.ts <= f.updated_on")
+
+@query(_FIGHTS + f", {_PSEUDO} SELECT fight_id, name, spell, CAST(epoch(d.ts) - epoch(f.started_on) AS BIGINT) AS time FROM people p JOIN fights f USING (fight_id) JOIN pseudo d USING (name) WHERE d.log_id = f.log_id AND epoch(d.ts) - epoch(f.started_on) >= -10 AND d.ts <= f.updated_on")
 def death_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Deaths as buffs of the participants of fights around them."""
+    """Deaths, shields and rescues as buffs of the participants of fights around them."""
     t = Tables(spark, sf_dir)
     marks = buffs.pseudo_buffs(t.events)
     return buffs.buffs_in_fight(marks, rollups.participant_rollup(t.rows), t.fights).drop("seq")
 
 
+@query(_COMBAT + f""", {_PSEUDO}, casts AS (SELECT log_id, seq, name, coalesce(other, 'Bolt') AS spell, true AS cast FROM extra WHERE kind = 'casting' UNION ALL SELECT log_id, seq, name, 'Aura', false FROM extra WHERE kind = 'raw'),
+known AS (SELECT *, last_value(CASE WHEN "cast" THEN spell END IGNORE NULLS) OVER (PARTITION BY log_id, name ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM casts)
+SELECT log_id, seq, name AS target, 'Shield of Dew Rk. II' AS spell, 30 AS duration_ticks FROM known WHERE "cast" AND spell = 'Shield'
+UNION ALL SELECT log_id, seq, name, 'Dew Aura', 50 FROM known WHERE NOT "cast" AND coalesce(before, '') <> 'Shield' UNION ALL SELECT log_id, seq, name, spell, NULL FROM pseudo""")
+def buffs_on_players(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Buffs by self casts and landing texts, but for texts that the target's own cast explains, and what counts as one."""
+    fields = spark.sql("SELECT id, name, target, formula, cap FROM VALUES (1, 'Shield of Dew', '6', '30', '30'), (2, 'Dew Aura I', '41', '50', '50') AS t(id, name, target, formula, cap)")
+    given = {0: F.col("id"), 1: F.col("name"), 11: F.col("formula"), 12: F.col("cap"), 30: F.col("target")}
+    split = fields.select(F.array(*[given.get(k, F.lit(255)).cast("string") for k in range(spells.FIELDS)]).alias("f"))
+    texts = spark.sql("SELECT id, land_self, land_others, '' AS wears_off FROM VALUES (1, 'You feel dewy.', ' glistens.'), (2, 'You feel dewy.', ' glistens.') AS t(id, land_self, land_others)")
+    order = spark.sql("SELECT spell, place FROM VALUES ('Shield of Dew', 0), ('Dew Aura I', 1) AS t(spell, place)")
+    tracked = buffs.tracked_spells(spells.spells_from_fields(split, texts), order)
+    return buffs.buff_events(rendered.events(spark, sf_dir), tracked).drop("ts")
+
+
+@query("SELECT 'P' || replace(c_name, 'Customer#', '') AS name, CAST(c_custkey % 90 AS INTEGER) AS level, 'ENC' AS class, true AS is_player, 'Friend' AS type FROM customer WHERE c_custkey % 90 > 0")
+def roster_people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as the lines of roster exports, read and taken as who events."""
+    name = F.concat(F.lit("P"), F.replace("c_name", F.lit("Customer#"), F.lit("")))
+    guild, raid = F.concat_ws("\t", name, F.col("c_custkey") % 90, F.lit("Enchanter"), F.lit("Member")), F.concat_ws("\t", F.col("c_custkey") % 12 + 1, name, F.col("c_custkey") % 90, F.lit("Enchanter"))
+    rows = table(spark, sf_dir, "customer").where("c_custkey % 90 > 0").select(F.col("c_custkey").alias("seq"), F.when(F.col("c_custkey") % 2 == 0, guild).otherwise(raid).alias("line"), F.lit("Guild_test-20240105-101500.txt").alias("path"))
+    told = rosters.as_who_events(rosters.parse_rosters(rows), F.lit("roster"), F.monotonically_increasing_id())
+    columns = [F.lit(None).cast(k).alias(c) for c, k in (("owner", "string"), *rules.FAMILY_COLUMNS.items()) if c not in told.columns]
+    _, changes = entities.resolve_foes(store.stored(told.select("*", *columns, F.lit("").alias("text")), "roster"))
+    return entities.current_entities(changes).select("name", "level", "class", "is_player", "type")
+
+
 @query(_FIGHTS + " SELECT fight_id, foe, count(*) AS n_people, CAST(sum(outbound_hit_sum) AS BIGINT) AS total FROM people JOIN fights USING (fight_id) GROUP BY 1, 2")
 def fight_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested documents, one a fight; the counts are read from the nested lists."""
@@ -448,15 +508,15 @@ def pets_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.attack_rollup(rollups.merge_pets(t.rows, owners))
 
 
-@query(_COMBAT + " SELECT log_id, source AS name, TIMESTAMP '2024-01-01' + to_seconds(CAST(epoch(ts) - epoch(TIMESTAMP '2024-01-01') AS BIGINT) // 6 * 6) AS window_start, CAST(sum(amount) AS BIGINT) AS damage FROM combat WHERE kind = 'hit' GROUP BY 1, 2, 3")
+@query(_COMBAT + " SELECT log_id, source AS name, TIMESTAMP '2024-01-01' + to_seconds(CAST(epoch(ts) - epoch(TIMESTAMP '2024-01-01') AS BIGINT) // 6 * 6) AS window_start, CAST(sum(amount) AS BIGINT) AS damage FROM combat WHERE kind = 'hit' AND source IS NOT NULL GROUP BY 1, 2, 3")
 def tumbling_damage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return live.tumbling_damage(rendered.combat(spark, sf_dir))
+    return live.tumbling_damage(rendered.events(spark, sf_dir).where("source is not null"))
 
 
-@query(_COMBAT + ", g AS (SELECT *, CASE WHEN epoch(ts) - epoch(lag(ts) OVER w) < 15 THEN 0 ELSE 1 END AS isnew FROM combat WHERE kind IN ('hit', 'miss') WINDOW w AS (PARTITION BY log_id, foe ORDER BY seq)), r AS (SELECT *, sum(isnew) OVER (PARTITION BY log_id, foe ORDER BY seq ROWS UNBOUNDED PRECEDING) AS run FROM g) SELECT log_id, foe, min(ts) AS started_on, count(*) AS n, CAST(coalesce(sum(amount) FILTER (kind = 'hit'), 0) AS BIGINT) AS damage FROM r GROUP BY log_id, foe, run")
+@query(_COMBAT + expected.ACTS + expected.placed("found", "swung") + ", g AS (SELECT a.*, CASE WHEN epoch(ts) < max(epoch(ts) + CASE WHEN party = 'Raid' THEN 120 ELSE 15 END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS isnew FROM swung a JOIN found p ON p.log_id = a.log_id AND p.seq = a.seq WHERE kind IN ('hit', 'miss') WINDOW w AS (PARTITION BY a.log_id, foe ORDER BY a.seq)), r AS (SELECT *, sum(isnew) OVER (PARTITION BY log_id, foe ORDER BY seq ROWS UNBOUNDED PRECEDING) AS run FROM g) SELECT log_id, foe, min(ts) AS started_on, count(*) AS n, CAST(coalesce(sum(amount) FILTER (kind = 'hit'), 0) AS BIGINT) AS damage FROM r GROUP BY log_id, foe, run")
 def quick_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = rendered.combat(spark, sf_dir).withColumn("party", F.lit(None).cast("string"))
-    return live.quick_sessions(rows)
+    """Sessions by idle gap alone; every row keeps its session open for its own gap."""
+    return live.quick_sessions(rendered.combat(spark, sf_dir).where("foe is not null and source is not null"))
 
 
 @query("""SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY min(event_id)) AS INTEGER) AS session, count(*) AS n, CAST(sum(floor(value * 100)) AS BIGINT) AS cents, bool_or(event_type = 'purchase') AS ended FROM (

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skirmish.functions.text import fmt_num
+from skirmish.operators.merge import unmerged
+from skirmish.operators.rollups import trash
 
 
 def per_second(total: Column, duration: Column) -> Column:
@@ -84,20 +86,17 @@ def shares(participants: DataFrame, fights: DataFrame) -> DataFrame:
 def fight_list(fights: DataFrame, participants: DataFrame) -> DataFrame:
     """Fights with what a list shows: zone, end, hit points, duration, hit points per second and party with its size.
 
-    Fights that timed out as trash are left out. Newest first is the ``rank``.
+    Fights that timed out as trash are left out; ``place`` numbers a log's fights, newest first.
     """
     target = participants.where("is_target").select("fight_id", F.col("inbound_hit_count").alias("hit_count"))
     people = participants.where(~F.col("is_target")).groupBy("fight_id").agg(F.count(F.lit(1)).alias("_n"))
     rows = fights.join(target, "fight_id", "left").join(people, "fight_id", "left")
-    trash = (F.col("duration") < 10) | (F.coalesce("hit_count", F.lit(0)) < 5) | (F.col("hp") < 1000)
-    kept = rows.where(~(trash & (F.col("status") == "Timeout")))
+    dull = trash(F.col("duration"), F.coalesce("hit_count", F.lit(0)), F.col("hp"))
+    kept = rows.where(~(dull & (F.col("status") == "Timeout")))
     zone = F.coalesce("zone", F.lit("Unknown")) if "zone" in fights.columns else F.lit("Unknown")
     party = F.col("party") if "party" in fights.columns else F.lit("Solo")
-    return kept.select("fight_id", "log_id", "foe", zone.alias("zone"), "updated_on", "status", "hp", "duration", per_second(F.col("hp"), F.col("duration")).alias("hp_per_second"), F.concat(party, F.lit(": "), F.coalesce("_n", F.lit(0))).alias("party"))
-
-
-def newest_first(listed: DataFrame) -> DataFrame:
-    return listed.orderBy(F.col("updated_on").desc(), "fight_id")
+    newest = Window.partitionBy("log_id").orderBy(F.col("updated_on").desc(), "fight_id")
+    return kept.select("fight_id", "log_id", "foe", F.row_number().over(newest).alias("place"), zone.alias("zone"), "updated_on", "status", "hp", "duration", per_second(F.col("hp"), F.col("duration")).alias("hp_per_second"), F.concat(party, F.lit(": "), F.coalesce("_n", F.lit(0))).alias("party"))
 
 
 def search_fights(fights: DataFrame, participants: DataFrame, text: str) -> DataFrame:
@@ -109,14 +108,16 @@ def search_fights(fights: DataFrame, participants: DataFrame, text: str) -> Data
     return joined.where(F.lower("foe").contains(low) | zone | F.coalesce("_p", F.lit(False))).drop("_p")
 
 
-def same_session(fights: DataFrame, fight_id: str, by_zone: bool = False) -> DataFrame:
-    """Fights of the same day and party (and zone) as one."""
-    keys = ["_day", "party", *(["zone"] if by_zone else [])]
-    dated = fights.withColumn("_day", F.to_date("started_on"))
-    one = dated.where(F.col("fight_id") == fight_id).select(*keys).distinct()
+def same_session(fights: DataFrame, chosen: DataFrame, by_zone: bool = False, log_tz: str = "UTC") -> DataFrame:
+    """Unmerged fights of the same local day and party (and zone) as one of the ``chosen`` (fight_id), of the same log."""
+    keys = ["log_id", "_day", "party", *(["zone"] if by_zone else [])]
+    dated = unmerged(fights).withColumn("_day", F.to_date(F.from_utc_timestamp("started_on", log_tz)))
+    one = dated.join(chosen.select("fight_id"), "fight_id", "left_semi").select(*keys).distinct()
     return dated.join(one, keys, "left_semi").drop("_day")
 
 
-def publishable(fights: DataFrame) -> DataFrame:
-    """Killed fights that are no trash; needs hit_count."""
-    return fights.where((F.col("status") == "Killed") & (F.col("duration") >= 10) & (F.col("hit_count") >= 5) & (F.col("hp") >= 1000))
+def publishable(fights: DataFrame, participants: DataFrame) -> DataFrame:
+    """Killed fights that are no trash."""
+    hits = participants.where("is_target").select("fight_id", F.col("inbound_hit_count").alias("_hits"))
+    joined = fights.join(hits, "fight_id", "left")
+    return joined.where((F.col("status") == "Killed") & ~trash(F.col("duration"), F.coalesce("_hits", F.lit(0)), F.col("hp"))).drop("_hits")

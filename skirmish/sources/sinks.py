@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 
 def nest_fights(fights: DataFrame, participants: DataFrame, attacks: DataFrame | None = None, series: DataFrame | None = None) -> DataFrame:
@@ -27,11 +27,14 @@ def write_json(df: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def write_once(df: DataFrame, path: str, key: str = "fight_id") -> None:
-    """Append the rows whose key the table at ``path`` does not have; keys that come twice are written once."""
+    """Append the rows whose key the table at ``path`` does not have; keys that come twice are written once.
+
+    Of the table only the key column is read. Only a missing table counts as a first write.
+    """
     fresh = df.dropDuplicates([key])
     try:
-        known = df.sparkSession.read.parquet(path).select(key)
-        fresh = fresh.join(known, key, "left_anti")
-    except AnalysisException:
-        pass  # the first write
+        fresh = fresh.join(df.sparkSession.read.parquet(path).select(key), key, "left_anti")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
     fresh.write.mode("append").parquet(path)

@@ -2,10 +2,26 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a local session without it gets a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    made = f"file://{tempfile.mkdtemp(prefix='skirmish-')}"
+    spark.conf.set("spark.checkpoint.dir", made)
+    return made
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -15,14 +31,32 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     patterns run once a line, later filters are pushed into Parquet instead of
     into the patterns, and a lost executor means a reread.
     """
-    spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = f"file://{tempfile.mkdtemp(prefix='skirmish-')}"
-        spark.conf.set("spark.checkpoint.dir", shared)
-    path = f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_kept: dict[tuple, str] = {}
+
+
+def stored_once(source: DataFrame, label: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` gives, stored at its first use in a session and read at later ones.
+
+    The key is the list of files that ``source`` reads: tables are written once, and
+    one that changes has other files.
+    """
+    spark = source.sparkSession
+    key = (spark.sparkContext.applicationId, shared_folder(spark), label, hashlib.sha256("|".join(sorted(source.inputFiles())).encode()).hexdigest())
+    if key in _kept:
+        try:
+            return spark.read.parquet(_kept[key])
+        except AnalysisException:  # its folder was cleared
+            del _kept[key]
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    found = make()
+    found.write.parquet(path)
+    _kept[key] = path
+    return spark.read.schema(found.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:
