@@ -72,3 +72,8 @@ def buffs_in_fight(buffs: DataFrame, participants: DataFrame, fights: DataFrame,
     met = people.join(given, ["log_id", "name", "_b"])
     offset = F.unix_timestamp("ts") - F.unix_timestamp("started_on")
     return met.where((offset >= -lead) & (F.col("ts") <= F.col("updated_on"))).select("fight_id", "name", "spell", "seq", offset.alias("time"))
+
+
+def stream_buffs(buffs: DataFrame, watermark: str = "5 minutes") -> DataFrame:
+    """Buffs of a stream, each once; what is older than the watermark is forgotten."""
+    return buffs.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["log_id", "target", "spell", "ts"])

@@ -36,6 +36,15 @@ def merged_series(membership: DataFrame, fights: DataFrame, series: DataFrame) -
     return moved.groupBy(F.col("merge_id").alias("fight_id"), "name", "metric", "tick").agg(F.sum("value").alias("value"))
 
 
+def shifted_buffs(membership: DataFrame, fights: DataFrame, buffs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """Buffs (fight_id, name, spell, time) of fights, at their seconds on the merged timeline: moved by whole ticks, and by where in a tick the fights start."""
+    at = membership.join(fights.select("fight_id", F.unix_timestamp("started_on").alias("s")), "fight_id")
+    first = at.groupBy("merge_id").agg((F.min("s") % width).alias("lead"))
+    moved = buffs.join(timeline(membership, fights, width), "fight_id").join(at.select("fight_id", "merge_id", "s"), ["fight_id", "merge_id"]).join(first, "merge_id")
+    time = F.col("time") + F.col("offset") * width + F.col("s") % width - F.col("lead")
+    return moved.select(F.col("merge_id").alias("fight_id"), "name", "spell", time.alias("time"))
+
+
 def targets_as_x(series: DataFrame, fights: DataFrame) -> DataFrame:
     """Series of fights' targets under the name that merged targets have."""
     foes = fights.select("fight_id", F.col("foe").alias("_foe"))

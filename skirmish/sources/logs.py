@@ -45,10 +45,15 @@ def read_logs(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def stream_logs(spark: SparkSession, folder: str, files_per_trigger: int = 16) -> DataFrame:
-    """The same lines from a folder of chunk files that a shipper adds to; a chunk is one file named like its log."""
-    lines = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(folder)
-    lines = lines.select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("_path"))
-    return _named(lines).select("log_id", F.lit(0).cast("long").alias("seq"), "owner", "server", "line")
+    """The same lines from a folder of chunk files that a shipper adds to; a chunk is one file named like its log.
+
+    A chunk is read as one text and split, so ``seq`` orders lines by the time their
+    chunk was written, then by their place in it.
+    """
+    chunks = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).option("wholetext", True).text(folder)
+    place = F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")).alias("_at", "line")
+    lines = chunks.select(F.col("_metadata.file_path").alias("_path"), F.unix_millis("_metadata.file_modification_time").alias("_written"), place)
+    return _named(lines).select("log_id", (F.col("_written") * (1 << 20) + F.col("_at")).alias("seq"), "owner", "server", "line")
 
 
 def numbered(lines: DataFrame) -> DataFrame:

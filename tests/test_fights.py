@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from skirmish.operators import buffs, entities, fights, loot, merge, rollups, ticks
+from skirmish.operators import buffs, entities, fights, loot, merge, rollups, rules, ticks
 from skirmish.plans import queries, reports
 
 SCHEMA = "log_id string, seq long, t long, kind string, source string, target string, amount long, full_amount long, type string, spell string, mods array<string>, name string, killshot string, channel string, message string, status string, foe string, owner string, text string, class string, level int, faction string, item string, server string"
@@ -73,12 +73,77 @@ def test_party_and_zone(table):
 
 
 def test_pending_hits(table):
-    df = table(hit(0, foe=None), hit(1, source="X", target="Y", foe=None), hit(50), hit(55))
-    _, table_ = sessions(df)
-    joined = fights.pending_hits(df.where("kind = 'hit'"), table_).collect()
-    assert [(r["seq"], r["foe"]) for r in joined] == [(0, "Mob")]
+    df = table(hit(0, foe=None, amount=7), hit(1, source="X", target="Y", foe=None), hit(50), hit(55))
+    rows, _ = sessions(df)
+    joined = fights.pending_hits(df.where("kind = 'hit'"), rows)
+    assert [(r["seq"], r["foe"]) for r in joined.collect()] == [(0, "Mob")]
+    fight = fights.fight_table(rows.unionByName(joined)).first()
+    # it counts for the hit points, in the first tick, but the fight starts with its own first hit
+    assert (fight["hp"], fight["start_seq"], fight["duration"]) == (27, 2, 6)
     late = table(hit(0, foe=None), hit(61))
-    assert fights.pending_hits(late, sessions(late)[1]).count() == 0
+    assert fights.pending_hits(late, sessions(late)[0]).count() == 0
+
+
+def test_hits_without_source_and_fights_without_anyone(table):
+    df = table(hit(0, source=None, foe="Mob"), hit(1), miss(40), death(41), hit(60, source="Mob", target="Mob", foe="Mob"), death(61))
+    # a hit by nobody opens nothing; a fight of misses and one of a mob against itself have no participant
+    assert found(df) == [("Mob", 1, 1, "Timeout", 10, 1)]
+
+
+def test_raids_wait_longer_and_a_boss_ends_its_mobs(table, spark):
+    raid = {"party": "Raid", "zone": "Z"}
+    df = table(hit(0), hit(100), hit(101, target="Boss", foe="Boss"), death(102, "Boss"), hit(104), hit(230)).withColumns({k: F.lit(v) for k, v in raid.items()})
+    assert [x[:4] for x in found(df)] == [("Mob", 0, 4, "Timeout"), ("Boss", 2, 3, "Killed"), ("Mob", 5, 5, "Timeout")]
+    templates = spark.createDataFrame([("R", "Z", "Mob", False), ("R", "Z", "Boss", True)], "raid string, zone string, mob string, ends_on_death boolean")
+    forced = fights.fight_table(fights.assign_fights(fights.with_killshots(merge.boss_terminators(df, templates)))).orderBy("start_seq").collect()
+    assert [(r["foe"], r["start_seq"], r["end_seq"], r["status"]) for r in forced] == [("Mob", 0, 1, "Timeout"), ("Boss", 2, 3, "Killed"), ("Mob", 4, 4, "Timeout"), ("Mob", 5, 5, "Timeout")]
+
+
+def test_corpses_and_wards(table):
+    df = table(hit(0, "A's corpse"), hit(1, "Mob's corpse", "A", foe="Mob's corpse"), hit(2, "B's corpse", "C", foe=None), {"kind": "heal", "source": "A`s ward"})
+    assert [(r["seq"], r["source"]) for r in rules.normalize_sources(rules.without_corpses(df)).orderBy("seq").collect()] == [(0, "A"), (2, "B's corpse"), (3, "A")]
+
+
+def test_what_a_log_last_told_over_its_ranges(table):
+    r = random.Random(2)
+    rows = [r.choice([{"kind": "zone", "name": f"Z{i}"}, {"kind": "raw"}, {"kind": "raw"}, {"kind": "xp", "type": "GroupXP"}, {"kind": "chat", "channel": "raid"}, {"kind": "party", "name": "Me", "status": "GroupLeft"}]) for i in range(60)]
+    df = table(*rows)
+    whole, cut = ({x["seq"]: (x["zone"], x["party"]) for x in fights.with_party(fights.with_zone(df, b), b).collect()} for b in (1000, 4))
+    assert whole == cut and len(whole) == 60
+    zone = None
+    for i, row in enumerate(rows):
+        zone = row["name"] if row["kind"] == "zone" else zone
+        assert whole[i][0] == zone
+
+
+def test_friends_are_no_fights_and_states_are_those_at_the_end(table):
+    df = table(hit(0, "A", "Pal", foe="Pal"), hit(1), {"kind": "who", "name": "Pal", "class": "RNG"}, {"kind": "who", "name": "A", "class": "WAR"}, hit(3), death(4), {"kind": "who", "name": "A", "class": "CLR"}, {"t": 9, "kind": "raw"}, hit(10, "A", "Pal", foe="Pal"))
+    rows, table_ = sessions(df)
+    changes = entities.resolve_foes(df)[1]
+    kept = fights.without_friends(table_, changes)
+    assert sorted(r["foe"] for r in kept.collect()) == ["Mob"]
+    people = fights.with_finish_state(rollups.participant_rollup(fights.in_fights(rows, kept)), kept, changes)
+    assert {r["name"]: r["class"] for r in people.collect()} == {"A": "WAR", "Mob": None}
+
+
+def test_last_fight_is_forgotten_when_any_fight_ends(table):
+    df = table(hit(0, target="Rat", foe="Rat"), hit(12), {"t": 14, "kind": "heal", "source": "A", "target": "A"}, {"t": 16, "kind": "heal", "source": "A", "target": "A"}, death(20), {"t": 21, "kind": "heal", "source": "A", "target": "A"})
+    rows, table_ = sessions(df)
+    last = {r["seq"]: r["last_fight"] for r in fights.last_fight(df.where("kind = 'heal'"), rows, table_).collect()}
+    mob = table_.where("foe = 'Mob'").first()["fight_id"]
+    # at 15 s the rat's fight times out
+    assert last == {2: mob, 3: None, 5: None}
+
+
+def test_casters_join_the_last_fight(table):
+    df = table(hit(0), {"t": 1, "kind": "casting", "source": "C"}, {"t": 1, "kind": "casting", "source": "X"}, {"t": 2, "kind": "casting", "source": "Mob"}, {"t": 3, "kind": "heal", "source": "C", "target": "D", "amount": 1, "full_amount": 1})
+    rows, table_ = sessions(df)
+    friends = df.where("seq = 1").selectExpr("log_id", "seq", "'C' AS name")
+    casts = fights.attribute_casts(df.where("kind = 'casting'"), rows, table_, friends)
+    assert {(r["member"], r["since"]) for r in casts.collect()} == {("C", 1), ("Mob", 3)}
+    healed = df.where("kind = 'heal'").drop("foe")
+    assert fights.attribute_heals(healed, rows, table_).count() == 0
+    assert fights.attribute_heals(healed, rows, table_, joined_by=casts).count() == 1
 
 
 def test_exact_replay_that_checks_at_every_event_equals_windows(table, spark):
@@ -97,6 +162,41 @@ def test_exact_replay_that_checks_at_every_event_equals_windows(table, spark):
     assert whole > 3
 
 
+def test_exact_replay_against_a_plain_one(table):
+    """Checks every five seconds at most, by a loop over all events of each log."""
+    r = random.Random(8)
+    rows, t = [], 0
+    for i in range(400):
+        t += r.choice([0, 1, 2, 3, 7, 14, 16, 40, 130])
+        foe = r.choice(["Mob", "Rat", "Bat"])
+        more = {"log_id": "ab"[i % 2], "party": r.choice(["Raid", None, None])}
+        rows.append(r.choice([hit(t, target=foe, foe=foe), miss(t, target=foe) | {"foe": foe}, death(t, foe), death(t, "A", foe), {"t": t, "kind": "raw"}]) | more)
+    df = table(*rows).join(table().sparkSession.createDataFrame([(i, x["party"]) for i, x in enumerate(rows)], "seq long, party string"), "seq")
+    want = set()
+    for log in "ab":
+        open_at, seen, last = {}, {}, None
+        for i, x in enumerate(rows):
+            if x["log_id"] != log:
+                continue
+            if last is None or x["t"] - last >= 5:
+                last = x["t"]
+                for foe in list(seen):
+                    if seen[foe] + (120 if x["party"] else 15) <= x["t"]:
+                        del seen[foe], open_at[foe]
+            if x["kind"] in ("hit", "miss"):
+                open_at.setdefault(x["foe"], i)
+                seen[x["foe"]] = x["t"]
+                want.add((i, x["foe"], open_at[x["foe"]]))
+            elif x["kind"] == "death":
+                who = x["name"] if x["name"] in seen else x["killshot"] if x["killshot"] in seen else None
+                if who:
+                    want.add((i, who, open_at[who]))
+                    seen[who] = x["t"]
+                if x["name"] in seen:
+                    del seen[x["name"]], open_at[x["name"]]
+    assert {(x["seq"], x["foe"], x["start_seq"]) for x in fights.assign_fights_exact(df).collect()} == want
+
+
 def test_exact_replay_revives_what_no_event_checked(table):
     df = table(hit(0), {"t": 14, "kind": "raw"}, hit(17))
     assert fights.assign_fights_exact(df).select("fight_id").distinct().count() == 1
@@ -117,7 +217,7 @@ def test_rollups(table):
     rows, table_ = _rows(df)
     people = {r["name"]: r for r in rollups.participant_rollup(rows).collect()}
     mob, a = people["Mob"], people["A"]
-    assert (mob["inbound_hit_sum"], mob["inbound_hit_count"], mob["inbound_melee_sum"], mob["is_target"], mob["duration"]) == (650, 3, 450, True, 7)
+    assert (mob["inbound_hit_sum"], mob["inbound_hit_count"], mob["inbound_melee_sum"], mob["is_target"], mob["duration"]) == (650, 3, 450, True, 8)
     assert (a["outbound_hit_sum"], a["outbound_miss_count"], a["inbound_miss_count"], a["inbound_strike_count"], a["rank_in_fight"]) == (300, 1, 3, 1, 2)
     defense = {r["type"]: (r["count"], r["attempts"]) for r in rollups.defense_rollup(rows, rollups.participant_rollup(rows)).where("name = 'A'").collect()}
     # 1 melee + 3 misses - 1 strike, less the misses whose turn was before
@@ -152,6 +252,7 @@ def test_heals_query_against_brute_force(table, monkeypatch):
     df = table(*rows)
     assigned, fights_ = sessions(df)
     hits = [(x["seq"], x["fight_id"], {x["source"], x["target"]}) for x in assigned.where("kind in ('hit', 'miss')").collect()]
+    at = {x["seq"]: x["ts"].timestamp() for x in df.collect()}
     opened = sorted((f.asDict() | {"last": f["updated_on"].timestamp()} for f in fights_.collect()), key=lambda f: f["start_seq"])
     changes = sorted((x["seq"], x["name"], x["type"]) for x in entities.resolve_foes(df)[1].collect())
     want, tiers = {}, set()
@@ -159,8 +260,9 @@ def test_heals_query_against_brute_force(table, monkeypatch):
         live = [f for f in opened if f["start_seq"] < h["seq"] and (h["seq"] < f["end_seq"] if f["status"] == "Killed" else h["ts"].timestamp() < f["last"] + 15)]
         named = [f for f in live if any(s < h["seq"] and f["fight_id"] == g and m & {h["source"], h["target"]} for s, g, m in hits)]
         # a kill forgets the last fight
-        marks = [(s, g) for s, g, _ in hits] + [(f["end_seq"], None) for f in opened if f["status"] == "Killed"]
-        last = max((m for m in marks if m[0] < h["seq"]), default=(0, None), key=lambda m: m[0])[1]
+        # and so does a fight that times out, 15 s after its last row
+        marks = [(at[s], s, g) for s, g, _ in hits] + [(f["last"], f["end_seq"], None) if f["status"] == "Killed" else (f["last"] + 15, -1, None) for f in opened]
+        last = max((m for m in marks if m[:2] < (h["ts"].timestamp(), h["seq"])), default=(0, 0, None), key=lambda m: (*m[:2], m[2] is None))[2]
         types = [k for s, n, k in changes if n == h["source"] and s <= h["seq"]]
         first = [f for f in named if f["fight_id"] == last] or named
         if h["source"] == "A`s pet" and (types or ["Unknown"])[-1] == "Unknown":
@@ -175,7 +277,7 @@ def test_heals_query_against_brute_force(table, monkeypatch):
 
     class Given:
         def __init__(self, *_):
-            self.events, self.assigned, self.fights = df, assigned, fights_
+            self.events, self.assigned, self.fights, self.changes = df, assigned, fights_, entities.resolve_foes(df)[1]
 
     monkeypatch.setattr(queries, "Tables", Given)
     got = {(x["fight_id"], x["name"], x["target"]): x["hit_sum"] for x in queries.heals_in_fights(None, "").collect()}
@@ -231,6 +333,34 @@ def test_raids(spark):
     assert sorted((r["cohort_count"], r["finished"]) for r in raids.collect()) == [(1, False), (2, True)]
 
 
+def test_a_raid_takes_no_fight_over_an_hour_after_it_began(spark):
+    # at 0:00, 1:01:00 and 2:00:30: the third is within an hour of the second
+    rows = [(f"f{i}", "a", "Add", "Z", "Raid", "Killed", s, s + 10, 10) for i, s in enumerate([0, 3660, 7230])]
+    table_ = spark.createDataFrame(rows, "fight_id string, log_id string, foe string, zone string, party string, status string, s long, e long, hp long").selectExpr("*", "timestamp_seconds(s) AS started_on", "timestamp_seconds(e) AS updated_on", "e AS end_seq")
+    templates = spark.createDataFrame([("R", "Z", "Add", False)], "raid string, zone string, mob string, ends_on_death boolean")
+    assert sorted(r["cohort_count"] for r in merge.raid_membership(table_, templates)[1].collect()) == [1, 2]
+
+
+def test_very_long_merges_have_no_series(spark):
+    header = spark.createDataFrame([("a", 3001), ("b", 601), ("c", 600)], "fight_id string, duration long")
+    series = spark.createDataFrame([(f, "A", "dps", t, 1) for f in "abc" for t in (0, 4, 5)], "fight_id string, name string, metric string, tick long, value long")
+    assert sorted((r["fight_id"], r["tick"], r["value"]) for r in merge.fit_series(header, series).collect()) == [("b", 0, 2), ("b", 1, 1), ("c", 0, 1), ("c", 4, 1), ("c", 5, 1)]
+
+
+@pytest.mark.parametrize(("said", "told"), [("Attacking a moss golem Master.", True), ("Sorry, Master... calming down.", True), ("By your command, master.", True), ("I live again...", True), ("I met the Master", False), ("Following you, Master", False)])
+def test_pets_tell_their_master(table, said, told):
+    changes = entities.resolve_foes(table({"kind": "chat", "source": "Kebn", "channel": "tell", "message": said}))[1].where("name = 'Kebn'").collect()
+    assert bool(changes and changes[-1]["owner"] == "Me") == told
+
+
+def test_class_from_most_casts(table, spark):
+    dim = spark.createDataFrame([("Zap", 1, "WIZ"), ("Mend", 1, "CLR"), ("Both", 2, "CLR,WIZ")], "name string, class_count int, classes string").selectExpr("*", "0 AS duration_ticks", "5 AS target", "CAST(NULL AS STRING) AS land_pet")
+    cast = [{"kind": "casting", "source": "W", "type": "Spell", "spell": x} for x in ("Mend", "Zap", "Zap", "Both", "Mend")]
+    changes = entities.resolve_foes(table(*cast), dim)[1].where("name = 'W'").orderBy("seq").collect()
+    # of those that tie, the first
+    assert [r["class"] for r in changes] == ["CLR", "CLR", "WIZ", "CLR"]
+
+
 def known(changes, name):
     return {r["name"]: r for r in entities.current_entities(changes).collect()}[name]
 

@@ -3,13 +3,16 @@
 import datetime
 import os
 
+import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from skirmish.functions import text as names
+from skirmish.operators import merge
 from skirmish.operators.fights import assign_fights, fight_table
 from skirmish.operators.lines import split_lines
 from skirmish.operators.rules import extract_events
-from skirmish.plans import rendered
+from skirmish.plans import reports
 from skirmish.sources import logs, rosters, sinks, spells
 from skirmish.streaming import live
 
@@ -17,13 +20,13 @@ LINE = "[Sun Jul 05 20:31:{:02d} 2020] {}"
 
 
 def test_read_logs(spark, tmp_path):
-    path = tmp_path / "eqlog_laRRy_erollisi-2020-07-05.txt"
+    path = tmp_path / "eqlog_pELL_vox-2020-07-05.txt"
     path.write_text("\n".join(LINE.format(i, f"You slash a rat for {i} points of damage.") for i in range(5)))
     rows = logs.read_logs(spark, str(path)).orderBy("seq").collect()
-    assert [(r["owner"], r["server"]) for r in rows][:1] == [("Larry", "erollisi")]
+    assert [(r["owner"], r["server"]) for r in rows][:1] == [("Pell", "vox")]
     assert [r["line"][-20:] for r in rows] == [LINE.format(i, f"You slash a rat for {i} points of damage.")[-20:] for i in range(5)]
     events = extract_events(split_lines(logs.read_logs(spark, str(path)), "America/New_York")).orderBy("seq").collect()
-    assert events[0]["source"] == "Larry" and events[0]["ts"].hour == 0
+    assert events[0]["source"] == "Pell" and events[0]["ts"].hour == 0
     assert [r["seq"] for r in logs.numbered(logs.read_logs(spark, str(path))).orderBy("seq").collect()] == [1, 2, 3, 4, 5]
 
 
@@ -66,13 +69,11 @@ def test_write_once(spark, tmp_path):
 def test_functions(spark):
     df = spark.createDataFrame([(999, "Long name here"), (1250, "x"), (78_400, "y"), (4_560_000, "z"), (1_234_000_000, "w")], "n long, s string")
     assert [r[0] for r in df.orderBy("n").select(names.fmt_num(F.col("n"))).collect()] == ["999", "1.3K", "78K", "4.56M", "1.23B"]
-    row = spark.range(1).select(names.clip(F.lit("Long name here"), 8), names.pet_owner(F.lit("Bob`s warder")), names.pet_owner(F.lit("Eye of Al")), names.strip_rank(F.lit("Claw of Selig Rk. II")), names.is_pet_name(F.lit("Jabober")), names.fix_name(F.lit("YOUR"), F.lit("Me"))).first()
-    assert tuple(row) == ("Long n..", "Bob", "Al", "Claw of Selig", True, "Me")
+    row = spark.range(1).select(names.clip(F.lit("Long name here"), 8), names.pet_owner(F.lit("Bob`s warder")), names.pet_owner(F.lit("Eye of Al")), names.strip_rank(F.lit("Rime Lance Rk. II")), names.is_pet_name(F.lit("Jabober")), names.fix_name(F.lit("YOUR"), F.lit("Me"))).first()
+    assert tuple(row) == ("Long n..", "Bob", "Al", "Rime Lance", True, "Me")
 
 
-def _combat(spark, folder):
-    lines = ["A slashes Mob0 for 10 points of damage.", "Mob0 bites A for 5 points of damage.", "A slashes Mob1 for 7 points of damage.", "Mob0 has been slain by A!"]
-    chunks = [[LINE.format(i, x) for i, x in enumerate(lines)], [LINE.format(40, "A slashes Mob1 for 3 points of damage.")], ["[Sun Jul 05 21:31:00 2020] A slashes Rat for 1 points of damage."]]
+def _chunks(folder, chunks):
     folder.mkdir()
     for k, chunk in enumerate(chunks):
         path = folder / f"eqlog_Me_test-{k}.txt"
@@ -81,18 +82,66 @@ def _combat(spark, folder):
     return str(folder)
 
 
-def test_stream_of_fights(spark, tmp_path):
-    folder = _combat(spark, tmp_path / "in")
-    lines = logs.stream_logs(spark, folder, 1).withColumn("log_id", F.lit("log"))
-    query = live.publish(live.stream_fights(rendered.with_foe(live.live_events(lines))), str(tmp_path / "out"), str(tmp_path / "state")).trigger(availableNow=True).start()
+def _with_mobs(rows):
+    mob = F.when(F.col("source").startswith("Mob"), F.col("source")).when(F.col("target").startswith("Mob"), F.col("target"))
+    return rows.withColumn("foe", F.when(F.col("kind") == "death", F.col("name")).when(F.col("kind").isin("hit", "miss"), mob))
+
+
+def _ran(writer):
+    query = writer.trigger(availableNow=True).start()
     query.awaitTermination(120)
-    got = sorted((r["foe"], r["status"], r["hp"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
-    assert got[:2] == [("Mob0", "Killed", 10), ("Mob1", "Timeout", 7)]
+    return query
+
+
+def test_stream_of_fights(spark, tmp_path):
+    lines = ["A slashes Mob0 for 10 points of damage.", "Mob0 bites A for 5 points of damage.", "A slashes Mob1 for 7 points of damage.", "Mob0 has been slain by A!"]
+    # a new fight opens in the second in which the old one ended, after the death
+    again = [LINE.format(3, "A slashes Mob0 for 1 point of damage.")]
+    late = ["[Sun Jul 05 20:01:00 2020] A slashes Mob2 for 9 points of damage."]
+    chunks = [[LINE.format(i, x) for i, x in enumerate(lines)] + again, [LINE.format(40, "A slashes Mob1 for 3 points of damage.")], ["[Sun Jul 05 21:31:00 2020] A slashes Mob3 for 1 points of damage."], late]
+    lines = logs.stream_logs(spark, _chunks(tmp_path / "in", chunks), 1).withColumn("log_id", F.lit("log"))
+    found = live.stream_fights(_with_mobs(live.live_events(lines)), opened=True)
+    query = _ran(live.publish(found, str(tmp_path / "out"), str(tmp_path / "state"), ["log_id", "foe", "started_on", "status"]))
+    got = sorted((r["foe"], r["started_on"].second, r["status"], r["hp"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [("Mob0", 0, "Killed", 10), ("Mob0", 0, "Open", 0), ("Mob0", 3, "Open", 0), ("Mob0", 3, "Timeout", 1), ("Mob1", 2, "Open", 0), ("Mob1", 2, "Timeout", 7), ("Mob1", 40, "Open", 0), ("Mob1", 40, "Timeout", 3), ("Mob3", 0, "Open", 0)]
+    assert live.late_rows(query) == 1
+
+
+def test_stream_of_drops(spark, tmp_path):
+    first = ["--A has looted a Nail from Rat's corpse.--", "You have entered Orr.", "--A has looted a Nail from Rat's corpse.--"]
+    second = ["--2 Cup were left on Rat's corpse.--", "--A has looted a Rag from Rat's corpse.--", "--A has looted a Bag.--"]
+    lines = logs.stream_logs(spark, _chunks(tmp_path / "in", [[LINE.format(5, x) for x in first], [LINE.format(9, x) for x in second]]), 1).withColumn("log_id", F.lit("log"))
+    _ran(live.append_json(live.stream_drops(live.live_events(lines), spark.sql("SELECT 'Rag' AS item")), str(tmp_path / "out"), str(tmp_path / "state")))
+    assert sorted((r["zone"], r["mob"], r["item"]) for r in spark.read.json(str(tmp_path / "out")).collect()) == [("Orr", "Rat", "Cup"), ("Orr", "Rat", "Nail")]
+
+
+def test_buffs_move_with_their_fights(spark):
+    fights = spark.sql("SELECT 'a' AS fight_id, timestamp_seconds(0) AS started_on, timestamp_seconds(11) AS updated_on UNION ALL SELECT 'b', timestamp_seconds(600), timestamp_seconds(611)")
+    buffs = spark.sql("SELECT explode(array('a', 'b')) AS fight_id, 'N' AS name, 'S' AS spell, 3L AS time")
+    assert sorted(r["time"] for r in merge.shifted_buffs(fights.selectExpr("'m' AS merge_id", "fight_id"), fights, buffs).collect()) == [3, 15]
+
+
+def test_write_once_needs_its_key(spark, tmp_path):
+    spark.range(1).write.parquet(str(tmp_path / "other"))
+    with pytest.raises(AnalysisException):
+        sinks.write_once(spark.createDataFrame([("a", 1)], "fight_id string, x int"), str(tmp_path / "other"))
+    sinks.write_json(spark.range(3), str(tmp_path / "json"))
+    assert spark.read.json(str(tmp_path / "json")).count() == 3
+
+
+def test_dates_and_sessions(spark):
+    day = F.lit("2024-06-01").cast("timestamp")
+    row = spark.range(1).select(names.fmt_date(F.lit("2024-02-03 04:05:06").cast("timestamp"), day), names.fmt_date(F.lit("2023-02-03 04:05:06").cast("timestamp"), day), logs.is_standard_server(F.lit("teek")), logs.is_standard_server(F.lit("vox")), logs.is_standard_server(F.lit(None).cast("string")), names.unlikely_click(F.lit("Zap IV"), F.lit(3)), names.unlikely_click(F.lit("Zap"), F.lit(3))).first()
+    assert tuple(row) == ("Feb 03 04:05", "Feb 03  2023", False, True, False, True, False)
+    # 23:30 and 00:30 in New York are two days, in UTC one
+    fights = spark.sql("SELECT 'a' AS log_id, id AS fight_id, 'Solo' AS party, CAST(t AS TIMESTAMP) AS started_on, 'Z' AS zone, m AS mob_count FROM VALUES ('x', '2024-01-02 04:30:00', 0), ('y', '2024-01-02 05:30:00', 0), ('z', '2024-01-02 04:40:00', 3) AS v(id, t, m)")
+    chosen = spark.sql("SELECT 'x' AS fight_id")
+    assert [sorted(r["fight_id"] for r in reports.same_session(fights, chosen, log_tz=tz).collect()) for tz in ("UTC", "America/New_York")] == [["x", "y"], ["x"]]
 
 
 def test_quick_sessions_equal_windows(spark):
-    rows = [("a", i, "Mob", "hit", t, 1) for i, t in enumerate([0, 14, 29, 43, 58, 100])]
-    df = spark.createDataFrame(rows, "log_id string, seq long, foe string, kind string, t long, amount long").selectExpr("*", "timestamp_seconds(t) AS ts", "CAST(NULL AS STRING) AS party", "'Mob' AS target", "CAST(NULL AS STRING) AS name")
+    rows = [("a", i, "Mob", "A", "hit", t, 1) for i, t in enumerate([0, 14, 29, 43, 58, 100])]
+    df = spark.createDataFrame(rows, "log_id string, seq long, foe string, source string, kind string, t long, amount long").selectExpr("*", "timestamp_seconds(t) AS ts", "CAST(NULL AS STRING) AS party", "'Mob' AS target", "CAST(NULL AS STRING) AS name")
     quick = sorted((r["started_on"], r["damage"]) for r in live.quick_sessions(df).collect())
     exact = sorted((r["started_on"], r["hp"]) for r in fight_table(assign_fights(df)).collect())
     assert quick == exact and len(quick) == 4
