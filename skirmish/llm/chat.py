@@ -10,8 +10,9 @@ back gives the text as it was.
 
 Defined results: a null text or role is empty; equal turns are ordered by role,
 then text; a turn without a number comes first; repeated rows are turns each; rows
-without a conversation id are one conversation. A conversation is one value, so a
-task holds the one that it formats.
+without a conversation id are one conversation; an empty table gives no rows; other
+columns, whatever their names, are not read. A conversation is one value, however
+long, so a task holds the one that it formats.
 """
 
 from __future__ import annotations
@@ -62,7 +63,10 @@ def _state(turns: Column, template: Template) -> Column:
 
 
 def format_chats(rows: DataFrame, template: Template = CHAT, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """(conv_id, segments, formatted, valid_order, complete): one row a conversation."""
+    """(conv_id, segments, formatted, mask, valid_order, complete): one row a conversation.
+
+    ``mask`` has the places (start, length) in ``formatted`` of the text under the loss.
+    """
     given = F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     whole = rows.groupBy(F.col(conv_id).alias("conv_id")).agg(F.array_sort(F.collect_list(given)).alias("turns"))
 
@@ -79,11 +83,24 @@ def format_chats(rows: DataFrame, template: Template = CHAT, conv_id: str = "con
         "conv_id",
         "segments",
         F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"),
+        _mask(F.col("segments")).alias("mask"),
         (F.col("state") != _INVALID).alias("valid_order"),
         F.col("state").isin(*template.final).alias("complete"),
     )
 
 
+def _mask(segments: Column) -> Column:
+    """Places of the segments under the loss."""
+    place = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        size = F.length(x["text"])
+        found = F.array(F.struct(s["at"].alias("start"), size.alias("length")))
+        return F.struct((s["at"] + size).alias("at"), F.when(x["loss"], F.concat(s["out"], found)).otherwise(s["out"]).alias("out"))
+
+    return F.aggregate(segments, place, step, lambda s: s["out"])
+
+
 def read_back(formatted: Column, template: Template = CHAT) -> Column:
     """The turns (role, text) that a formatted text holds."""
     raw = F.slice(F.split(formatted, _literal(template.start)), F.lit(2), F.greatest(F.size(F.split(formatted, _literal(template.start))) - 1, F.lit(0)))
@@ -102,10 +119,10 @@ def _literal(mark: str) -> str:
 
 
 def digest(chats: DataFrame, template: Template = CHAT) -> DataFrame:
-    """Counts and checksums of formatted conversations, all read from the formatted text and its segments."""
+    """Counts and checksums of formatted conversations, all read from the formatted text and its mask."""
     read = chats.withColumn("turns", read_back(F.col("formatted"), template))
-    loss = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
-    read = read.withColumn("loss", loss)
+    masked = F.transform("mask", lambda m: unescape(F.substring(F.col("formatted"), m["start"] + 1, m["length"])))
+    read = read.withColumn("loss", F.array_join(masked, ""))
     turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
         "conv_id",

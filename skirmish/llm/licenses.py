@@ -13,8 +13,10 @@ it holds a cue or could match a template: by the word pairs of the templates
 themselves (:func:`required`), so no match is passed over. A block is scored
 besides, and counts once if it is of a family that none of its lines is of.
 Lines without a cue that no template confirms are none, not unknown. Defined
-results: null and empty texts have no paragraph; repeated rows are rows each;
-ties go to the family first by name.
+results: null and empty texts have no paragraph; rows that repeat an id are one
+row of the result, with the paragraphs of all; an empty table gives no rows; other
+columns are not read; a very long text is split where it is read. Ties go to the
+family first by name.
 """
 
 from __future__ import annotations
@@ -43,6 +45,9 @@ NAMES = {
     "cc-by": ["cc by 4.0", "cc by 3.0", "creative commons attribution license", "creative commons attribution 4.0"],
     "cc-by-nc": ["cc by nc 4.0", "cc by nc 3.0", "creative commons attribution noncommercial", "creative commons attribution non commercial"],
     "cc-by-sa": ["cc by sa 4.0", "cc by sa 3.0", "creative commons attribution sharealike", "creative commons attribution share alike"],
+    "epl": ["eclipse public license", "epl 2.0 license"],
+    "unlicense": ["the unlicense", "unlicense org"],
+    "zlib": ["zlib license", "zlib libpng license"],
     "cc0": ["cc0 license", "cc0 1.0 universal", "cc0 public domain dedication", "dedicated to the public domain"],
     "gpl": ["gnu general public license", "gpl license", "gpl version 3", "gpl version 2"],
     "isc": ["isc license", "isc licence terms"],
@@ -52,12 +57,27 @@ NAMES = {
     "proprietary": ["all rights reserved", "all rights reserved copyright", "copyright all rights reserved", "proprietary license"],
 }
 WORDINGS = {
-    "apache-2.0": ["you may not use this file except in compliance with the license you may obtain a copy of the license at apache org licenses license 2.0"],
-    "bsd": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
-    "gpl": ["this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"],
-    "isc": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice"],
-    "mit": ["permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"],
+    "agpl": ["this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation"],
+    "apache-2.0": [
+        "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2.0",
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
+    ],
+    "bsd": [
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+        "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    ],
+    "epl": ["the accompanying program is provided under the terms of this eclipse public license agreement any use reproduction or distribution of the program constitutes recipient s acceptance of this agreement"],
+    "gpl": ["this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"],
+    "isc": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"],
+    "lgpl": ["this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"],
+    "mit": [
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",
+        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+    ],
     "mpl": ["this source code form is subject to the terms of the mozilla public license"],
+    "unlicense": ["this is free and unencumbered software released into the public domain"],
+    "zlib": ["permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"],
 }
 FRAMES = ["{}", "licensed under {}", "licensed under the {}", "released under the {}", "this work is licensed under the {}", "this work is licensed under {}", "distributed under the terms of the {}", "the code is available under the {} version 2.0", "spdx license identifier {}", "see the file for the {} text", "{} version 3", "covered by the {}", "published under {}"]
 #: Sentences that use the same words without naming a licence.
@@ -177,7 +197,7 @@ def classify(found: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> Data
 
 
 def scan(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, families, n_licensed, n_unknown) for documents with a licence or a cue: families by name, joined by commas."""
+    """(doc_id, families, n_licensed, n_unknown), a row for every id: families by name, joined by commas, and numbers of paragraphs."""
     found = classify(paragraphs(docs, doc_id, text), model, keep=("text_hash", "whole"))
     known = F.when(F.col("family") != UNKNOWN, F.col("family"))
     of_lines, of_block = F.when(~F.col("whole"), known), F.when(F.col("whole"), known)
@@ -197,4 +217,7 @@ def scan(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "tex
         F.when(more, 0).otherwise(F.col("n_unknown")).alias("n_unknown"),
     )
     sums = blocks.groupBy("doc_id").agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("families")))), ",").alias("families"), F.sum("n_licensed").alias("n_licensed"), F.sum("n_unknown").alias("n_unknown"))
-    return sums.where("n_licensed > 0 or n_unknown > 0")
+    every = docs.select(F.col(doc_id).alias("doc_id")).distinct()
+    sums = sums.withColumnRenamed("doc_id", "_of")
+    joined = every.join(sums, F.col("doc_id").eqNullSafe(F.col("_of")), "left")
+    return joined.select("doc_id", F.coalesce("families", F.lit("")).alias("families"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_licensed", "n_unknown")])

@@ -42,6 +42,7 @@ SHARD = 1 << 21
 #: An anchor with more bytes of distinct segments than this is dealt over several shards.
 HOT = 1 << 23
 _BATCH = 1 << 20
+_INNER = bytes(range(0x80, 0xC0))  # bytes of a character after its first
 _PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -339,25 +340,25 @@ def _with_spans(docs: DataFrame, min_bytes: int) -> tuple[DataFrame, str]:
 
 
 def removal_report(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) per document."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_kept_chars) per document; the last counts the characters whose first byte is left."""
 
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for text, spans in zip(batch.column(1), batch.column(2), strict=True):
                 text, runs = text.as_py() or b"", _runs(spans.as_py())
-                kept, at = hashlib.sha256(), 0
-                for lo, hi in runs:
+                kept, at, chars = hashlib.sha256(), 0, 0
+                for lo, hi in [*runs, (len(text), len(text))]:
                     kept.update(text[at:lo])
+                    chars += len(text[at:lo].translate(None, _INNER))
                     at = hi
-                kept.update(text[at:])
-                rows.append((len(text), sum(hi - lo for lo, hi in runs), len(runs), kept.hexdigest()))
-            n_bytes, removed, count, sums = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(sums, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                rows.append((len(text), sum(hi - lo for lo, hi in runs), len(runs), kept.hexdigest(), chars))
+            n_bytes, removed, count, sums, chars = zip(*rows, strict=True) if rows else ((), (), (), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(sums, pa.string()), pa.array(chars, pa.int64())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_kept_chars"])
 
     found, named = _with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), min_bytes)
     sent = found.select("doc_id", F.col("text").cast("binary").alias("text"), named)
-    return sent.mapInArrow(report, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return sent.mapInArrow(report, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_kept_chars long")
 
 
 def remove_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:

@@ -78,7 +78,7 @@ def test_licenses(spark, docs, tiny):
     ]
     df = op8_license_scan(spark, tiny(documents=docs(rows, extra=True)))
     got = {r["doc_id"]: (r["families"], r["n_licensed"], r["n_unknown"]) for r in df.collect()}
-    assert got == {1: ("mit", 2, 0), 2: ("gpl", 1, 0), 3: ("apache-2.0,cc-by-nc", 2, 0), 4: ("", 0, 1)}
+    assert got == {1: ("mit", 2, 0), 2: ("gpl", 1, 0), 3: ("apache-2.0,cc-by-nc", 2, 0), 4: ("", 0, 1), 5: ("", 0, 0), 6: ("", 0, 0), 7: ("", 0, 0)}
     assert "Python" not in _plan(df)
 
 
@@ -102,7 +102,31 @@ def test_licenses_by_their_real_wordings(spark, docs, tiny):
         (1, "intro\nAll rights reserved.\nmore", "en", "s"),
     ]
     got = {r["doc_id"]: (r["families"], r["n_licensed"], r["n_unknown"]) for r in op8_license_scan(spark, tiny(documents=docs(rows))).collect()}
-    assert got == {1: ("proprietary", 2, 0), 2: ("mit", 1, 0), 3: ("mit", 1, 0), 4: ("bsd", 1, 0)}
+    assert got == {1: ("proprietary", 2, 0), 2: ("mit", 1, 0), 3: ("mit", 1, 0), 4: ("bsd", 1, 0), 5: ("", 0, 0)}
+
+
+#: Texts as they stand in files, none of them among the phrases: wrapped, with what goes before and after.
+FILES = {
+    "isc": "Copyright 2020 Someone\n\nPermission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.",
+    "apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0",
+    "zlib": "Permission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:",
+    "epl": "This program and the accompanying materials are made available under the\nterms of the Eclipse Public License 2.0 which is available at the site.",
+    "bsd": "1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.",
+    "mit": "The above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.",
+    "lgpl": "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.",
+    "mpl": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this file,\nYou can obtain one at the site.",
+    "unlicense": "This is free and unencumbered software released into the public domain.",
+    "agpl": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU Affero General Public License as published by\nthe Free Software Foundation, either version 3 of the License.",
+}
+
+
+def test_licenses_as_they_stand_in_files(spark, docs, tiny):
+    names = sorted(FILES)
+    wrapped = [(i, "words before\n\n" + FILES[n] + "\n\nwords after", "en", "s") for i, n in enumerate(names)]
+    joined = [(100 + i, FILES[n].replace("\n", " "), "en", "s") for i, n in enumerate(names)]
+    got = {r["doc_id"]: r["families"].split(",") for r in op8_license_scan(spark, tiny(documents=docs(wrapped + joined))).collect()}
+    lost = [(n, k, got[i + k]) for i, n in enumerate(names) for k in (0, 100) if n not in got[i + k]]
+    assert not lost
 
 
 def test_no_template_is_passed_over(spark):

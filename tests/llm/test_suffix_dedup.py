@@ -19,7 +19,7 @@ def brute(rows, size):
                 gone[i : i + size] = b"\1" * size
         kept = bytes(x for x, y in zip(b, gone, strict=True) if not y)
         runs = sum(1 for i, y in enumerate(gone) if y and (i == 0 or not gone[i - 1]))
-        out.append((doc, len(b), sum(gone), runs, hashlib.sha256(kept).hexdigest()))
+        out.append((doc, len(b), sum(gone), runs, hashlib.sha256(kept).hexdigest(), sum(x & 0xC0 != 0x80 for x in kept)))
     return sorted(out, key=str)
 
 
