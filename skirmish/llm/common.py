@@ -8,6 +8,8 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import and_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -91,13 +93,14 @@ def small_batches(batches: Iterator[pa.RecordBatch], limit: int = 8 << 20) -> It
             yield batch.slice(at, step)
 
 
-def rank_in_groups(df: DataFrame, keys: Sequence[str], order: Column, out: str, buckets: int = 256) -> DataFrame:
+def rank_in_groups(df: DataFrame, keys: Sequence[str], order: Column, out: str, buckets: int = 256, carry: DataFrame | None = None) -> DataFrame:
     """Number the rows of each group from 0 by the long ``order``, without one task per group.
 
     ``order`` must be spread over all longs (a hash). Its top bits deal every
     group over ``buckets`` tasks in order; a row's number is its number in its
     bucket plus the sizes of the buckets before it. Null keys form a group.
-    Ties in ``order`` are numbered in any order.
+    Ties in ``order`` are numbered in any order. ``carry`` has the keys and columns to
+    add to their rows: they come with the sizes, bucket by bucket, so no group is one key.
     """
     width = 64 - (buckets - 1).bit_length()
     o, b, n, past, r, kb, *own = fresh_names(df, "_o", "_b", "_n", "_before", "_r", "_kb", *(f"_k{i}" for i in range(len(keys))))
@@ -107,12 +110,18 @@ def rank_in_groups(df: DataFrame, keys: Sequence[str], order: Column, out: str,
     sizes = sizes.withColumn(past, F.coalesce(F.sum(n).over(before), F.lit(0))).drop(n)
     inside = Window.partitionBy(*keys, b).orderBy(o)
     ranked = dealt.withColumn(r, F.row_number().over(inside) - 1)
-    sizes = sizes.select(*(F.col(k).alias(name) for name, k in zip(own, keys, strict=True)), F.col(b).alias(kb), past)
+    more = []
+    if carry is not None:
+        more = [c for c in carry.columns if c not in keys]
+        named = carry.withColumnsRenamed({k: f"{k}_of_carry" for k in keys})
+        met = reduce(and_, [F.col(k).eqNullSafe(F.col(f"{k}_of_carry")) for k in keys])
+        sizes = sizes.join(named, met).drop(*(f"{k}_of_carry" for k in keys))
+    sizes = sizes.select(*(F.col(k).alias(name) for name, k in zip(own, keys, strict=True)), F.col(b).alias(kb), past, *more)
     same = F.col(b) == F.col(kb)
     for name, k in zip(own, keys, strict=True):
         same &= F.col(k).eqNullSafe(F.col(name))
     joined = ranked.join(sizes, same, "left")
-    return joined.withColumn(out, (F.col(r) + F.col(past)).cast("long")).select(*df.columns, out)
+    return joined.withColumn(out, (F.col(r) + F.col(past)).cast("long")).select(*df.columns, out, *more)
 
 
 def with_columns_like(df: DataFrame, columns: Sequence[str] = DOCUMENT_COLUMNS) -> DataFrame:

@@ -112,9 +112,8 @@ def mix(docs: DataFrame, seed: int = 7, doc_id: str = "doc_id", text: str = "tex
     wanted = targets(histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))).withColumnRenamed("source", "_source")
     with_targets = histogram.join(wanted, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     plan = with_targets.groupBy("source").applyInPandas(_plan, "source string, size long, times int, extra long")
-    plan = materialize(plan.join(wanted, F.col("source").eqNullSafe(F.col("_source"))).select("_source", F.col("size").alias("_size"), "times", "extra", "source_size", "target"), "mix")
-    ranked = rank_in_groups(narrow, ["source", "size"], F.xxhash64(F.lit(seed), "key"), "rank")
-    chosen = ranked.join(plan, F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")))
+    plan = materialize(plan.join(wanted, F.col("source").eqNullSafe(F.col("_source"))).select("source", "size", "times", "extra", "source_size", "target"), "mix")
+    chosen = rank_in_groups(narrow, ["source", "size"], F.xxhash64(F.lit(seed), "key"), "rank", carry=plan)
     copies = F.col("times") + (F.col("rank") < F.col("extra")).cast("int")
     return chosen.select("doc_id", "key", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
 
