@@ -7,9 +7,10 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
+from skirmish.sources import store
 
 DATA = Path("/root/testdata/sf0.001")
-QUICK = ("rule_counts", "bad_lines", "fight_sessions", "participants", "tick_series", "merged_timeline", "merged_fights", "player_board", "raids", "known_entities", "folded_tail", "user_sessions", "order_attacks", "spell_dimension", "short_numbers", "fixed_names")
+QUICK = ("rule_counts", "bad_lines", "fight_sessions", "participants", "tick_series", "merged_timeline", "merged_fights", "player_board", "raids", "known_entities", "side_events", "unmatched_lines", "resolved_foes", "heals_in_fights", "healers_and_classes", "buffs_on_players", "fight_list", "published_fights", "merged_crowds", "fitted_series", "quick_sessions", "roster_people", "folded_tail", "user_sessions", "order_attacks", "spell_dimension", "short_numbers", "fixed_names")
 
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test tables")
 
@@ -30,8 +31,33 @@ def test_query(spark, name):
 
 
 def test_registry():
-    assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) > 45
+    assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) > 60
 
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_no_local_folder_on_a_cluster(spark, monkeypatch):
+    """Only a local session may do without a folder that all share."""
+
+    class Session:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:  # noqa: N801
+            master = "spark://somewhere:7077"
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        store.shared_folder(Session)
+
+
+def test_stored_once_follows_its_files(spark, tmp_path):
+    made = []
+    for k in (0, 0, 1):
+        if not (tmp_path / f"t{k}").exists():
+            spark.range(k + 1).write.parquet(str(tmp_path / f"t{k}"))
+        source = spark.read.parquet(str(tmp_path / f"t{k}"))
+        found = store.stored_once(source, "t", lambda s=source: made.append(1) or s.selectExpr("id * 2 AS id"))
+        assert found.count() == k + 1
+    assert len(made) == 2
