@@ -27,8 +27,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import fresh_names, giving_back, materialize
+from .common import fresh_names, giving_back, materialize, small_batches
 from .components import connected_components
 
 SEED = 42
@@ -40,6 +41,7 @@ _HELD = 1 << 20
 _SLOTS = 64
 _DENSE = 2
 _OUT = 1 << 16
+_NEAREST = 12
 
 
 def _hashes(text: bytes | None, words_each: int) -> list[int]:
@@ -212,13 +214,35 @@ def links(distinct: DataFrame, radius: int = 4, unit: int = 8192, column: str =
     return together.mapInArrow(compare, "a long, b long")
 
 
-def candidates(distinct: DataFrame, radius: int, unit: int = 1 << 16, column: str = "fingerprint", label: str | None = None) -> DataFrame:
+def _packed(counts: pa.Array) -> np.ndarray:
+    """Rows of ``_SLOTS`` bytes and a total: slot counts, 255 and more as 255; all 255 and total 0 where they are null."""
+    out = np.full((len(counts), _SLOTS + 8), 255, np.uint8)
+    out[:, _SLOTS:] = 0
+    known = np.flatnonzero(counts.is_valid().to_numpy(zero_copy_only=False))
+    if len(known):
+        slots = counts.drop_null().flatten().to_numpy().reshape(len(known), _SLOTS)
+        out[known, :_SLOTS] = np.minimum(slots, 255)
+        out[known, _SLOTS:] = np.ascontiguousarray(slots.sum(axis=1, dtype=np.int64)).view(np.uint8).reshape(-1, 8)
+    return out
+
+
+def _could_be_alike(x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether packed counts leave room for enough shared shingles: they share no more than the lesser counts, unless both are full."""
+    a, b = x[:, :_SLOTS], y[:, :_SLOTS]
+    least = np.minimum(a, b)
+    shared = least.sum(axis=1, dtype=np.int64)
+    totals = (np.ascontiguousarray(z[:, _SLOTS:]).view(np.int64).ravel() for z in (x, y))
+    return (least == 255).any(axis=1) | (shared >= similarity * (sum(totals) - shared))
+
+
+def candidates(distinct: DataFrame, radius: int, unit: int = 1 << 16, column: str = "fingerprint", label: str | None = None, similarity: float = 0.0) -> DataFrame:
     """(a, b, open): pairs of fingerprints within ``radius`` bits, each once: in the first bucket that holds both.
 
     Without ``label``, a bucket with more than ``_DENSE`` pairs a member gives a
     spanning forest of them, marked as open: all other pairs of the bucket are
     between fingerprints of open pairs. With it, every pair whose labels differ
-    comes. A task deals its rows as one array a bucket; buckets beyond ``unit``
+    comes, but for those whose ``counts`` (null: not known) leave no room for
+    ``similarity``: most pairs of a large group go where they are met. A task deals its rows as one array a bucket; buckets beyond ``unit``
     members are dealt as pairs of parts.
     """
     cuts = np.linspace(0, 64, radius + 3).round().astype(int)
@@ -238,7 +262,7 @@ def candidates(distinct: DataFrame, radius: int, unit: int = 1 << 16, column: st
             k, n = np.unique(keys(column_of(batch, 0)), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], ["k", "n"])
 
-    sent = distinct.select(F.col(column).alias("v"), *([F.col(label).alias("l")] if label else []))
+    sent = distinct.select(F.col(column).alias("v"), *([F.col(label).alias("l"), F.col("counts").alias("c")] if label else []))
     sizes = sent.select("v").mapInArrow(counted, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).where(F.col("n") > unit)
     large = sorted((r["k"], min(1023, -(-r["n"] // unit))) for r in sizes.collect())  # buckets are as many as there are keys, whatever the input
     large_keys, large_parts = np.array([k for k, _ in large], np.int64), np.array([n for _, n in large], np.int64)
@@ -269,13 +293,20 @@ def candidates(distinct: DataFrame, radius: int, unit: int = 1 << 16, column: st
             order = np.argsort(job, kind="stable")
             job, row = job[order], row[order]
             starts = np.flatnonzero(np.r_[True, job[1:] != job[:-1]])
-            offsets = pa.py_buffer((np.r_[starts, len(job)] * 8).astype(np.int32).tobytes())
-            sets = [pa.Array.from_buffers(pa.binary(), len(starts), [None, offsets, pa.py_buffer(column_of(batch, i)[row].tobytes())]) for i in range(batch.num_columns)]
-            yield pa.RecordBatch.from_arrays([pa.array(job[starts]), *sets], ["job", *(["v", "l"][: len(sets)])])
+            ends = np.r_[starts, len(job)]
+
+            def one_set(values: np.ndarray, width: int, ends=ends, row=row) -> pa.Array:
+                offsets = pa.py_buffer((ends * width).astype(np.int32).tobytes())
+                return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, offsets, pa.py_buffer(values[row].tobytes())])
 
-    dealt = sent.mapInArrow(deal, "job long, v binary" + (", l binary" if label else ""))
+            sets = [one_set(column_of(batch, i), 8) for i in range(min(batch.num_columns, 2))]
+            if batch.num_columns > 2:
+                sets.append(one_set(_packed(batch.column(2)), _SLOTS + 8))
+            yield pa.RecordBatch.from_arrays([pa.array(job[starts]), *sets], ["job", "v", "l", "c"][: len(sets) + 1])
 
-    def pairs(job: int, v: np.ndarray, labels: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    dealt = sent.mapInArrow(lambda batches: deal(small_batches(batches, 1 << 18)), "job long, v binary" + (", l binary, c binary" if label else ""))
+
+    def pairs(job: int, v: np.ndarray, labels: np.ndarray | None, packed: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
         k, i, j = job >> 20, job >> 10 & 1023, job & 1023
         n = k >> 2 * half
         own = own_part(v, int(parts_of(np.array([k]))[0])) if i != j else None
@@ -296,7 +327,8 @@ def candidates(distinct: DataFrame, radius: int, unit: int = 1 << 16, column: st
             here = (one == first[n]) & (alike.argmax(axis=1) == second[n])
             a, b = a[here], b[here]
             if labels is not None:
-                yield v[a], v[b], False
+                likely = _could_be_alike(packed[a], packed[b], similarity)
+                yield v[a[likely]], v[b[likely]], False
                 continue
             found.append((a, b, np.bitwise_count(v[a] ^ v[b])))
             held += len(a)
@@ -319,7 +351,7 @@ def candidates(distinct: DataFrame, radius: int, unit: int = 1 << 16, column: st
                         yield job, [np.concatenate(x) for x in zip(*held, strict=True)]
                         held = []
                     job = at
-                    held.append([np.frombuffer(x[r].as_buffer(), np.uint64) for x in sets])
+                    held.append([np.frombuffer(x[r].as_buffer(), np.uint8).reshape(-1, _SLOTS + 8) if i == 2 else np.frombuffer(x[r].as_buffer(), np.uint64) for i, x in enumerate(sets)])
             if held:
                 yield job, [np.concatenate(x) for x in zip(*held, strict=True)]
 
@@ -331,7 +363,7 @@ def candidates(distinct: DataFrame, radius: int, unit: int = 1 << 16, column: st
         for job, sets in buckets():
             if len(sets[0]) < 2:
                 continue
-            for x in pairs(job, sets[0], sets[1] if len(sets) > 1 else None):
+            for x in pairs(job, *sets, *[None] * (3 - len(sets))):
                 found.append(x)
                 rows += len(x[0])
                 if rows > _OUT:
@@ -409,6 +441,20 @@ def _apart(near: DataFrame, labelled: DataFrame, prints: DataFrame, unit: int =
     return found.where("la <> lb and (a <> b or ta < tb)").select(F.col("ta").alias("a"), F.col("tb").alias("b"))
 
 
+def _nearest(near: DataFrame, k: int = _NEAREST) -> DataFrame:
+    """Pairs to compare first: all of sparse buckets, and of dense ones those among the k nearest of either fingerprint.
+
+    The forests of a large group's many buckets have far more links than tie it
+    together; those left out come after, if they are between groups that are still apart.
+    """
+    ends = near.where("open").select("a", "b", F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).alias("far"))
+    kept = near.where("not open").select("a", "b")
+    for end in "ab":
+        order = Window.partitionBy(end).orderBy("far", "a", "b")
+        kept = kept.union(ends.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select("a", "b"))
+    return kept.distinct()
+
+
 def similar_groups(docs: DataFrame, words_each: int = 5, radius: int = 14, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text_hash, component_id) per document: groups of texts whose shingles are alike.
 
@@ -434,12 +480,13 @@ def similar_groups(docs: DataFrame, words_each: int = 5, radius: int = 14, simil
     found = _ends(near, "fingerprint").union(texts.join(first, "fingerprint").where("text_hash <> first").select("fingerprint")).distinct()
     wanted = texts.join(found, "fingerprint", "left_semi").select("text_hash")
     held = materialize(named.join(wanted, "text_hash", "left_semi").groupBy("text_hash").agg(F.min("text").alias("text")), "texts")
-    true = _true_pairs(same.union(of_texts(near)), held, texts, words_each, similarity)
+    true = _true_pairs(same.union(of_texts(_nearest(near))), held, texts, words_each, similarity)
     nodes = connected_components(true).withColumnRenamed("node", "text_hash")
     labelled = materialize(texts.join(nodes, "text_hash", "left").select("fingerprint", "text_hash", F.coalesce("component", "text_hash").alias("label")), "labels")
     prints = labelled.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
-    again = _ends(near.where("open"), "fingerprint").join(prints, "fingerprint").select("fingerprint", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.col("fingerprint")).alias("label"))
-    rest = materialize(candidates(again, radius, label="label").select("a", "b"), "near")
+    again = _ends(near.where("open"), "fingerprint").join(prints, "fingerprint").select("fingerprint", "n", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.col("fingerprint")).alias("label"))
+    again = again.join(texts.groupBy("fingerprint").agg(F.first("counts").alias("counts")), "fingerprint").withColumn("counts", F.when(F.col("n") == 1, F.col("counts")))
+    rest = materialize(candidates(again, radius, label="label", similarity=similarity).select("a", "b"), "near")
     many = prints.where("n > 1")
     either = near.where("not open").join(many.select(F.col("fingerprint").alias("a"), F.lit(True).alias("ma")), "a", "left").join(many.select(F.col("fingerprint").alias("b"), F.lit(True).alias("mb")), "b", "left")
     rest = rest.union(either.where("ma or mb").select("a", "b")).union(prints.where("low <> high").select("fingerprint", "fingerprint"))
