@@ -241,7 +241,7 @@ def candidates(distinct: DataFrame, radius: int, unit: int = 1 << 16, column: st
     Without ``label``, a bucket with more than ``_DENSE`` pairs a member gives a
     spanning forest of them, marked as open: all other pairs of the bucket are
     between fingerprints of open pairs. With it, every pair whose labels differ
-    comes, but for those whose ``counts`` (null: not known) leave no room for
+    comes, but for those whose ``counts`` (if it has them; null: not known) leave no room for
     ``similarity``: most pairs of a large group go where they are met. A task deals its rows as one array a bucket; buckets beyond ``unit``
     members are dealt as pairs of parts.
     """
@@ -262,7 +262,8 @@ def candidates(distinct: DataFrame, radius: int, unit: int = 1 << 16, column: st
             k, n = np.unique(keys(column_of(batch, 0)), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], ["k", "n"])
 
-    sent = distinct.select(F.col(column).alias("v"), *([F.col(label).alias("l"), F.col("counts").alias("c")] if label else []))
+    counted_too = label is not None and "counts" in distinct.columns
+    sent = distinct.select(F.col(column).alias("v"), *([F.col(label).alias("l")] if label else []), *([F.col("counts").alias("c")] if counted_too else []))
     sizes = sent.select("v").mapInArrow(counted, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).where(F.col("n") > unit)
     large = sorted((r["k"], min(1023, -(-r["n"] // unit))) for r in sizes.collect())  # buckets are as many as there are keys, whatever the input
     large_keys, large_parts = np.array([k for k, _ in large], np.int64), np.array([n for _, n in large], np.int64)
@@ -304,7 +305,7 @@ def candidates(distinct: DataFrame, radius: int, unit: int = 1 << 16, column: st
                 sets.append(one_set(_packed(batch.column(2)), _SLOTS + 8))
             yield pa.RecordBatch.from_arrays([pa.array(job[starts]), *sets], ["job", "v", "l", "c"][: len(sets) + 1])
 
-    dealt = sent.mapInArrow(lambda batches: deal(small_batches(batches, 1 << 18)), "job long, v binary" + (", l binary, c binary" if label else ""))
+    dealt = sent.mapInArrow(lambda batches: deal(small_batches(batches, 1 << 18)), "job long, v binary" + (", l binary" if label else "") + (", c binary" if counted_too else ""))
 
     def pairs(job: int, v: np.ndarray, labels: np.ndarray | None, packed: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
         k, i, j = job >> 20, job >> 10 & 1023, job & 1023
@@ -327,8 +328,10 @@ def candidates(distinct: DataFrame, radius: int, unit: int = 1 << 16, column: st
             here = (one == first[n]) & (alike.argmax(axis=1) == second[n])
             a, b = a[here], b[here]
             if labels is not None:
-                likely = _could_be_alike(packed[a], packed[b], similarity)
-                yield v[a[likely]], v[b[likely]], False
+                if packed is not None:
+                    likely = _could_be_alike(packed[a], packed[b], similarity)
+                    a, b = a[likely], b[likely]
+                yield v[a], v[b], False
                 continue
             found.append((a, b, np.bitwise_count(v[a] ^ v[b])))
             held += len(a)
