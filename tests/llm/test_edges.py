@@ -147,7 +147,7 @@ def _jaccard_groups(texts):
     return {find(i) for i in ids}
 
 
-def _without_repeats(texts, size=400):
+def _without_repeats(texts, size=cp.PASSAGE):
     seen = Counter(b[k : k + size] for t in texts.values() for b in [t.encode()] for k in range(len(b) - size + 1))
     out = {}
     for i, t in texts.items():
@@ -165,7 +165,7 @@ def _without_repeats(texts, size=400):
 def test_pipeline_against_brute_force(spark, docs, tiny):
     """Every stage on what the one before it gave; texts are plain ASCII, so no character is cut."""
     r = random.Random(6)
-    passage = " ".join(f"shared{i}" for i in range(90))
+    passage = " ".join(f"share{i}" for i in range(51))
     texts = {i: _prose(i, r.randint(60, 200), 3000) for i in range(40)}
     for i in range(40, 70):
         words = texts[r.randrange(40)].split()
