@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_output, chat, fingerprint, langid, licenses, mixing, packing, simhash, suffix_dedup, topk
+from . import binary_output, chat, codes, fingerprint, langid, licenses, mixing, naming, packing, simhash, suffix_dedup, topk, whitening
 from .common import table
 from .tokens import tokenizer_path
 
@@ -65,6 +65,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return naming.exact_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -76,6 +88,9 @@ QUERIES: dict[str, Query] = {
     "op8_license_scan": op8_license_scan,
     "op9_binary_output": op9_binary_output,
     "op10_packing": op10_packing,
+    "op11_whitening": op11_whitening,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 
 CHAT_SQL = r"""
@@ -100,4 +115,54 @@ SELECT conv_id, count(*) AS n_turns,
 FROM t GROUP BY conv_id
 """
 
-ORACLES: dict[str, str] = {"op7_chat_format": CHAT_SQL}
+
+
+def _codes_sql(rounds: int = codes.ROUNDS) -> str:
+    """The rounds one after the other, for vectors of one width."""
+    kept = f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor({codes.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS (
+  SELECT vec_id, part, v[part * (len(v) // 8) + 1 : (part + 1) * (len(v) // 8)] AS p FROM kept, range(8) AS r(part)
+), book0 AS (
+  SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, p AS e FROM parts
+  QUALIFY entry < {codes.ENTRIES}
+)"""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f""", near{k} AS (
+  SELECT vec_id, part, p, min(struct_pack(d := d, entry := entry)) AS best FROM (
+    SELECT vec_id, part, p, entry, list_sum(list_transform(list_zip(p, e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM parts JOIN book{k} USING (part)
+  ) GROUP BY vec_id, part, p
+)""")
+        if k < rounds:
+            steps.append(f""", mean{k} AS (
+  SELECT part, entry, list(m ORDER BY i) AS e FROM (
+    SELECT part, best.entry AS entry, i, CAST(sum(p[i]) AS HUGEINT) AS s, count(*) AS n,
+      CASE WHEN s >= 0 THEN s // n ELSE -((n - 1 - s) // n) END AS m
+    FROM near{k}, range(1, 9) AS r(i) GROUP BY part, best.entry, i
+  ) GROUP BY part, entry
+), book{k + 1} AS (
+  SELECT part, entry, CAST(coalesce(mean{k}.e, book{k}.e) AS BIGINT[]) AS e FROM book{k} LEFT JOIN mean{k} USING (part, entry)
+)""")
+    return kept + "".join(steps) + f""", coded AS (
+  SELECT vec_id, string_agg(printf('%02x', best.entry), '' ORDER BY part) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM near{rounds} GROUP BY vec_id
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY part, entry)) FROM book{rounds}) AS codebooks_sha256
+FROM coded JOIN kept USING (vec_id)
+"""
+
+
+DEDUP_SQL = r"""
+WITH t AS (
+  SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS clean FROM documents
+)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY clean) AS group_size,
+  row_number() OVER w = 1 AS kept, sha256(clean) AS text_sha256
+FROM t WINDOW w AS (PARTITION BY clean ORDER BY n DESC, doc_id NULLS LAST)
+"""
+
+ORACLES: dict[str, str] = {"op7_chat_format": CHAT_SQL, "op12_vector_codes": _codes_sql(), "op13_exact_dedup": DEDUP_SQL}

@@ -25,7 +25,7 @@ def _prose(seed, n=120, size=400):
     return " ".join(f"w{r.randrange(size)}" for _ in range(n))
 
 
-@pytest.mark.parametrize("name", [q for q in queries.QUERIES if q not in ("op3_exact_top_k", "op7_chat_format")])
+@pytest.mark.parametrize("name", [q for q in queries.QUERIES if q not in ("op3_exact_top_k", "op7_chat_format", "op11_whitening", "op12_vector_codes")])
 def test_empty_documents(spark, docs, tiny, name):
     folder = tiny(documents=docs([(1, "x", "en", "s")]).where("doc_id < 0"))
     assert queries.QUERIES[name](spark, folder).count() == 0
