@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import fresh_names
+
 UNKNOWN = "und"
 BUCKETS = 1 << 15
 ORDERS = 3
@@ -147,18 +149,22 @@ def _classify(texts: list[str | None], model: Model) -> tuple[list[str], np.ndar
 
 
 def predict(spark: SparkSession, docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns (all, if none are named) with ``lang_pred`` and ``score``; the text alone decides them."""
+    """``keep`` columns (all, if none are named), then ``lang_pred`` and ``score``; the text alone decides them.
+
+    No column is overwritten: where one has such a name, the new one gets underlines before it.
+    """
     shared = spark.sparkContext.broadcast((model.langs, model.matrix))
-    names = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
+    names = list(docs.columns if keep is None else keep)
+    lang_pred, sure = fresh_names(docs.select(*names), "lang_pred", "score")
     sent = docs.select(*names, *([] if text in names else [F.col(text).alias("_text")]))
     place = names.index(text) if text in names else len(names)
-    schema = docs.select(*names).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
+    schema = docs.select(*names).withColumns({lang_pred: F.lit(""), sure: F.lit(0.0)}).schema
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learned = Model(*shared.value)
         for batch in batches:
             langs, scores = _classify(batch.column(place).to_pylist(), learned)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*names, lang_pred, sure])
 
     return sent.mapInArrow(score, schema)
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline as cp
 from skirmish.llm import fingerprint, langid, mixing, queries, simhash, suffix_dedup, topk
 
-CLASH = ("_id", "_key", "_n", "_i", "_hash", "_text_hash", "_spans", "_runs", "_nth", "_times", "_copy", "_o", "_b", "_r", "copies", "component_id", "fingerprint", "_of")
+CLASH = ("_id", "_key", "_n", "_i", "_hash", "_text_hash", "_spans", "_runs", "_nth", "_times", "_copy", "_o", "_b", "_r", "copies", "component_id", "fingerprint", "_of", "score", "lang_pred")
 
 
 def _clashing(df):
@@ -42,7 +42,7 @@ def test_clashing_columns_keep_their_values(spark, docs):
     passage = " ".join(f"shared{i}" for i in range(80))
     rows = [(i, _prose(i), "en", f"s{i % 2}") for i in range(12)] + [(20, _prose(1), "en", "s0"), (21, passage + " " + _prose(31), "en", "s0"), (22, _prose(32) + " " + passage, "en", "s1"), (22, _prose(32) + " " + passage, "en", "s1"), (30, None, "en", None)]
     df = _clashing(docs(rows))
-    for out in (mixing.mixed(df), suffix_dedup.remove_repeats(df), simhash.one_of_each(df)):
+    for out in (cp.language_id(spark, df, ""), mixing.mixed(df), suffix_dedup.remove_repeats(df), simhash.one_of_each(df)):
         found = out.collect()
         assert out.columns == df.columns and found
         assert all(r[c] == f"{c}-{r['doc_id']}" for r in found for c in CLASH)

@@ -179,3 +179,16 @@ def test_alike_texts_beyond_ten_bits_are_one_group(spark, docs):
         if 10 < (fingerprint(texts[0], 5) ^ fingerprint(texts[1], 5)).bit_count() <= 14 and _groups(texts, 14) == [0, 0]:
             break
     assert [x["doc_id"] for x in simhash.one_of_each(docs([(i, t, "en", "s") for i, t in enumerate(texts)])).collect()] == [0]
+
+
+def test_repeated_lines_do_not_part_near_duplicates(spark):
+    """Texts that share four fifths of their distinct shingles are one group, though one line of each comes very often."""
+    r = random.Random(5)
+    rows = []
+    for k in range(20):
+        text = " ".join(f"w{r.randrange(5000)}" for _ in range(200))
+        for side in "ab":
+            line = " ".join(f"{side}{r.randrange(5000)}" for _ in range(8))
+            rows.append((2 * k + (side == "b"), text + (" " + line) * 60))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(x["doc_id"] for x in simhash.one_of_each(df).collect()) == list(range(0, 40, 2))
