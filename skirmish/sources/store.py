@@ -39,14 +39,31 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 _kept: dict[tuple, str] = {}
 
 
+def _state_of(source: DataFrame) -> str:
+    """A digest of the files that ``source`` reads, as their file system lists them now: path, length, time of change."""
+    spark = source.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    folders: dict[str, list[str]] = {}
+    for file in source.inputFiles():
+        folders.setdefault(file.rsplit("/", 1)[0], []).append(file)
+    told: list[str] = []
+    for folder, files in folders.items():
+        place = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
+        wanted = {f.rsplit("/", 1)[1] for f in files}
+        for found in place.getFileSystem(conf).listStatus(place):
+            if found.getPath().toUri().getRawPath().rsplit("/", 1)[1] in wanted:
+                told.append(f"{found.getPath()}|{found.getLen()}|{found.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(told)).encode()).hexdigest()
+
+
 def stored_once(source: DataFrame, label: str, make: Callable[[], DataFrame]) -> DataFrame:
     """What ``make`` gives, stored at its first use in a session and read at later ones.
 
-    The key is the list of files that ``source`` reads: tables are written once, and
-    one that changes has other files.
+    The key is what ``source`` reads: its files with their length and time of change,
+    so a table rewritten under its name is another one.
     """
     spark = source.sparkSession
-    key = (spark.sparkContext.applicationId, shared_folder(spark), label, hashlib.sha256("|".join(sorted(source.inputFiles())).encode()).hexdigest())
+    key = (spark.sparkContext.applicationId, shared_folder(spark), label, _state_of(source))
     if key in _kept:
         try:
             return spark.read.parquet(_kept[key])

@@ -61,3 +61,12 @@ def test_stored_once_follows_its_files(spark, tmp_path):
         found = store.stored_once(source, "t", lambda s=source: made.append(1) or s.selectExpr("id * 2 AS id"))
         assert found.count() == k + 1
     assert len(made) == 2
+
+
+def test_stored_once_sees_a_file_rewritten_under_its_name(spark, tmp_path):
+    at = tmp_path / "events with blank.parquet"
+    con = duckdb.connect()
+    for n in (5, 3):
+        con.execute(f"COPY (SELECT range AS id FROM range({n})) TO '{at}' (FORMAT parquet)")
+        source = spark.read.parquet(str(at))
+        assert store.stored_once(source, "r", lambda s=source: s.selectExpr("id + 1 AS id")).count() == n
