@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skirmish.functions.text import is_pet_name, pet_owner, unlikely_click
+from skirmish.operators.ordered import CHUNK, last_known
 from skirmish.sources.spells import is_pet_target
 
 FRIEND, FOE, UNKNOWN = "Friend", "Foe", "Unknown"
@@ -236,13 +237,18 @@ def fold_entities(events: DataFrame, spells: DataFrame | None = None) -> DataFra
 
 
 def entities_as_of(df: DataFrame, changes: DataFrame, name: str, seq: str) -> DataFrame:
-    """Adds type, is_player, pet_owner and class of a name as known at a row's ``seq``; a type falls back to the owner's."""
+    """Adds type, is_player, pet_owner and class of a name as known at a row's ``seq``; a type falls back to the owner's.
+
+    A name's rows are cut into ranges of its log, so one that is in all of a long log is many tasks.
+    """
     state = F.struct("type", "is_player", F.col("owner").alias("pet_owner"), "class")
     marks = changes.select("log_id", F.col("name").alias("_name"), F.col("seq").alias("_seq"), state.alias("_state"))
-    rows = df.withColumn("_name", F.col(name)).withColumn("_seq", F.col(seq)).withColumn("_row", F.lit(True))
-    both = rows.unionByName(marks, allowMissingColumns=True)
-    before = Window.partitionBy("log_id", "_name").orderBy("_seq", F.col("_row").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("_last", F.last("_state", ignorenulls=True).over(before)).where("_row")
+    rows = df.withColumns({"_name": F.col(name), "_seq": F.col(seq).cast("long"), "_row": F.lit(1)})
+    both = rows.unionByName(marks, allowMissingColumns=True).withColumn("_row", F.coalesce("_row", F.lit(0)))
+    named = both.where("_name is not null")
+    found = last_known(named, {"_last": F.col("_state")}, F.floor(F.col("_seq") / CHUNK), ("log_id", "_name"), ("_seq", "_row")).where("_row = 1")
+    nameless = rows.where("_name is null").withColumn("_last", F.lit(None).cast(found.schema["_last"].dataType))
+    found = found.select(*df.columns, "_last").unionByName(nameless.select(*df.columns, "_last"))
     return found.select(*df.columns, F.coalesce("_last.type", F.lit(UNKNOWN)).alias("type_of"), F.coalesce("_last.is_player", F.lit(False)).alias("is_player"), F.col("_last.pet_owner").alias("pet_owner"), F.col("_last.class").alias("class_of"))
 
 

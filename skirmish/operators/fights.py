@@ -15,35 +15,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skirmish.operators.entities import FRIEND, entities_as_of
+from skirmish.operators.ordered import CHUNK, last_known
 
 GROUP_GAP = 15
 RAID_GAP = 120
 PENDING = 60
-BUCKET = 60
-#: Lines of a log, by ``seq``, that one task looks at for what was last known.
-CHUNK = 1 << 20
 
 
 def seconds(ts: str | Column) -> Column:
     return F.unix_timestamp(ts)
 
 
-def last_known(rows: DataFrame, values: dict[str, Column], bucket: int = CHUNK) -> DataFrame:
-    """Adds columns: each the last value that was not null up to a row of the log, by ``seq``.
-
-    A log is cut into ranges of ``seq``, so a long one is many tasks: windows run
-    inside a range, and what the ranges before it left over comes from one row each.
-    """
-    cut = rows.withColumns({"_b": F.floor(F.col("seq") / bucket), **{f"_v_{n}": v for n, v in values.items()}})
-    inside = Window.partitionBy("log_id", "_b").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    told = cut.groupBy("log_id", "_b").agg(*[F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), F.col("seq"))).alias(f"_l_{n}") for n in values])
-    before = Window.partitionBy("log_id").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carried = told.select("log_id", "_b", *[F.last(f"_l_{n}", ignorenulls=True).over(before).alias(f"_c_{n}") for n in values])
-    found = cut.withColumns({f"_v_{n}": F.last(f"_v_{n}", ignorenulls=True).over(inside) for n in values})
-    joined = found.join(carried, ["log_id", "_b"])
-    return joined.select(*rows.columns, *[F.coalesce(f"_v_{n}", f"_c_{n}").alias(n) for n in values])
-
-
 def with_zone(events: DataFrame, bucket: int = CHUNK) -> DataFrame:
     """Adds ``zone``: the last zone entered in the log."""
     return last_known(events, {"zone": F.when(F.col("kind") == "zone", F.col("name"))}, bucket)
@@ -105,11 +87,8 @@ def assign_fights(combat: DataFrame, group_gap: int = GROUP_GAP, raid_gap: int =
     return rows.withColumn("fight_id", fight_key(F.col("log_id"), F.col("foe"), F.col("start_seq")))
 
 
-def fight_table(assigned: DataFrame) -> DataFrame:
-    """One row a fight. Those that only timed out without damage to the foe are discarded, and those in which nobody dealt or took any.
-
-    Pending hits (before ``start_seq``) count for the foe's hit points, not for the times.
-    """
+def _sessions(assigned: DataFrame) -> DataFrame:
+    """One row a fight that was opened; ``kept`` where it counts."""
     killed = (F.col("kind") == "death") & (F.col("name") == F.col("foe"))
     own = F.when(F.col("seq") >= F.col("start_seq"), F.col("seq"))
     landed = (F.col("kind") == "hit") & (F.col("amount") > 0)
@@ -123,10 +102,33 @@ def fight_table(assigned: DataFrame) -> DataFrame:
         F.coalesce(F.bool_or(landed & ((F.col("source") != F.col("foe")) | (F.col("target") != F.col("foe")))), F.lit(False)).alias("_anyone"),
         *extra,
     )
-    fights = fights.where(((F.col("status") == "Killed") | (F.col("hp") > 0)) & F.col("_anyone")).drop("_anyone")
+    return fights.withColumn("kept", ((F.col("status") == "Killed") | (F.col("hp") > 0)) & F.col("_anyone")).drop("_anyone")
+
+
+def fight_table(assigned: DataFrame) -> DataFrame:
+    """One row a fight. Those that only timed out without damage to the foe are discarded, and those in which nobody dealt or took any.
+
+    Pending hits (before ``start_seq``) count for the foe's hit points, not for the times.
+    """
+    fights = _sessions(assigned).where("kept").drop("kept")
     return fights.withColumn("duration", (seconds("updated_on") - seconds("started_on") + 1).cast("long"))
 
 
+def opened_fights(assigned: DataFrame, fights: DataFrame, gap: int = GROUP_GAP, raid_gap: int = RAID_GAP) -> DataFrame:
+    """(fight_id, log_id, foe, start_seq, started_on, end_seq, until, killed, kept, ghost) of every fight that was opened.
+
+    ``until`` is the second at which a kill or the gap ended it; ``kept`` are those of
+    ``fights``. A ghost timed out without damage: it is dropped, and never finished.
+    """
+    every = _sessions(assigned).drop("kept").join(fights.select("fight_id", F.lit(True).alias("kept")), "fight_id", "left")
+    idle = F.when(F.col("party") == "Raid", raid_gap).otherwise(gap) if "party" in every.columns else F.lit(gap)
+    killed = F.col("status") == "Killed"
+    return every.select(
+        "fight_id", "log_id", "foe", "start_seq", "started_on", "end_seq", (seconds("updated_on") + F.when(killed, 0).otherwise(idle)).alias("until"),
+        killed.alias("killed"), F.coalesce("kept", F.lit(False)).alias("kept"), (~killed & (F.col("hp") <= 0)).alias("ghost"),
+    )
+
+
 def without_friends(fights: DataFrame, changes: DataFrame) -> DataFrame:
     """Fights whose foe was no friend when they ended: players and pets fight before it is known what they are."""
     known = entities_as_of(fights.select("fight_id", "log_id", "foe", "end_seq"), changes, "foe", "end_seq")
@@ -159,83 +161,6 @@ def pending_hits(hits: DataFrame, assigned: DataFrame, within: int = PENDING) ->
     return joined.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", "_b", "_on")
 
 
-def last_fight(events: DataFrame, assigned: DataFrame, fights: DataFrame, group_gap: int = GROUP_GAP, raid_gap: int = RAID_GAP) -> DataFrame:
-    """Adds ``last_fight``: the fight last hit in the log before a row, null once any fight has finished since.
-
-    A kill finishes a fight where it stands, idle time a gap after the last row.
-    Only (log_id, seq, ts) of the rows are sorted.
-    """
-    gap = F.when(F.col("party") == "Raid", raid_gap).otherwise(group_gap) if "party" in fights.columns else F.lit(group_gap)
-    killed = F.col("status") == "Killed"
-    hits = assigned.where(F.col("kind").isin("hit", "miss") & (F.col("seq") >= F.col("start_seq"))).select("log_id", seconds("ts").alias("t"), "seq", F.struct(F.col("fight_id").alias("f")).alias("mark"))
-    ends = fights.select("log_id", (seconds("updated_on") + F.when(killed, 0).otherwise(gap)).alias("t"), F.when(killed, F.col("end_seq")).otherwise(-1).alias("seq"), F.struct(F.lit(None).cast("string").alias("f")).alias("mark"))
-    asked = events.select("log_id", seconds("ts").alias("t"), "seq", F.lit(None).cast("struct<f:string>").alias("mark"))
-    log = Window.partitionBy("log_id").orderBy("t", "seq", F.col("mark.f").isNull(), F.col("mark").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
-    found = asked.unionByName(hits).unionByName(ends).withColumn("last_fight", F.last("mark", ignorenulls=True).over(log)["f"]).where("mark is null")
-    return events.join(found.select("log_id", "seq", "last_fight"), ["log_id", "seq"])
-
-
-def members(assigned: DataFrame) -> DataFrame:
-    """(fight_id, member, since): who hit, missed or was hit in a fight, and from which row on."""
-    names = assigned.where(F.col("kind").isin("hit", "miss")).select("fight_id", F.greatest("seq", "start_seq").alias("seq"), F.explode(F.array("source", "target")).alias("member"))
-    return names.groupBy("fight_id", "member").agg(F.min("seq").alias("since"))
-
-
-def attribute_heals(heals: DataFrame, assigned: DataFrame, fights: DataFrame, friends: DataFrame | None = None, gap: int = GROUP_GAP, raid_gap: int = RAID_GAP, joined_by: DataFrame | None = None) -> DataFrame:
-    """Heals with the fight they count for: of the active ones the last hit if it has either name, else the oldest that has, else the newest if the healer is a friend.
-
-    Members are those who hit, missed or were hit before the heal, and those of
-    ``joined_by`` (fight_id, member, since), as casters are. Heals on the foe
-    itself count for nothing. Fights and heals meet per log and minute. ``friends``
-    has (log_id, name), or with ``seq`` those who are friends at that heal.
-    """
-    inside = members(assigned) if joined_by is None else members(assigned).unionByName(joined_by)
-    idle = F.when(F.col("party") == "Raid", raid_gap).otherwise(gap) if "party" in fights.columns else F.lit(gap)
-    end = seconds("updated_on") + F.when(F.col("status") == "Killed", 0).otherwise(idle)
-    active = fights.select("fight_id", "log_id", "foe", "start_seq", "end_seq", (F.col("status") == "Killed").alias("killed"), "started_on", end.alias("until"), F.explode(F.sequence(F.floor(seconds("started_on") / BUCKET), F.floor(end / BUCKET))).alias("b"))
-    asked = last_fight(heals.select("log_id", "seq", "ts", "source", "target"), assigned, fights, gap, raid_gap).withColumn("b", F.floor(seconds("ts") / BUCKET))
-    live = (F.col("seq") > F.col("start_seq")) & F.when(F.col("killed"), F.col("seq") < F.col("end_seq")).otherwise(seconds("ts") < F.col("until"))
-    meeting = asked.join(active, ["log_id", "b"]).where(live).select("log_id", "seq", "source", "target", "last_fight", "fight_id", "foe", "start_seq", "started_on")
-    either = meeting.select("log_id", "seq", "fight_id", F.explode(F.array_distinct(F.array("source", "target"))).alias("member"))
-    named = either.join(inside, ["fight_id", "member"]).where("since < seq").select("log_id", "seq", "fight_id").distinct().withColumn("named", F.lit(True))
-    meeting = meeting.join(named, ["log_id", "seq", "fight_id"], "left")
-    if friends is None:
-        meeting = meeting.withColumn("friend", F.lit(False))
-    else:
-        keys = ["log_id", "source", *(["seq"] if "seq" in friends.columns else [])]
-        meeting = meeting.join(friends.withColumnRenamed("name", "source").select(*keys).distinct().withColumn("friend", F.lit(True)), keys, "left")
-    tier = F.when(F.col("named") & F.col("last_fight").eqNullSafe(F.col("fight_id")), 1).when(F.col("named"), 2).when(F.col("friend"), 3)
-    order = Window.partitionBy("log_id", "seq").orderBy("tier", F.when(F.col("tier") == 3, -F.col("start_seq")).otherwise(F.col("start_seq")))
-    best = meeting.withColumn("tier", tier).where("tier is not null").withColumn("n", F.row_number().over(order)).where("n = 1")
-    best = best.where(~F.col("target").eqNullSafe(F.col("foe"))).select("log_id", "seq", "fight_id", "foe", "started_on")
-    return heals.drop("foe", "fight_id", "started_on").join(best, ["log_id", "seq"])
-
-
-def attribute_casts(casts: DataFrame, assigned: DataFrame, fights: DataFrame, friends: DataFrame) -> DataFrame:
-    """(fight_id, member, since): casters who joined the last fight by casting, as its foe or as a friend at that row (``friends``: log_id, seq, name)."""
-    known = friends.select("log_id", "seq", F.col("name").alias("source")).distinct().withColumn("friend", F.lit(True))
-    placed = last_fight(casts.select("log_id", "seq", "ts", "source"), assigned, fights).where("last_fight is not null").join(known, ["log_id", "seq", "source"], "left")
-    joined = placed.join(fights.select(F.col("fight_id").alias("last_fight"), "foe"), "last_fight").where((F.col("source") == F.col("foe")) | F.coalesce("friend", F.lit(False)))
-    return joined.groupBy(F.col("last_fight").alias("fight_id"), F.col("source").alias("member")).agg(F.min("seq").alias("since"))
-
-
-def attribute_deaths(deaths: DataFrame, assigned: DataFrame, fights: DataFrame) -> DataFrame:
-    """Deaths of others than a fight's foe: they count for the killer's open fight, without a killer for the last fight."""
-    touched = assigned.where(F.col("kind") == "touch").select("log_id", "seq", "fight_id", F.col("name").alias("died"))
-    closing = assigned.where((F.col("kind") == "death")).select("log_id", "seq")
-    alone = deaths.where(F.col("killshot").isNull()).join(closing, ["log_id", "seq"], "left_anti")
-    unknown = last_fight(alone, assigned, fights).where(F.col("last_fight").isNotNull()).select("log_id", "seq", F.col("last_fight").alias("fight_id"), F.col("name").alias("died"))
-    return touched.unionByName(unknown).join(fights.select("fight_id"), "fight_id", "left_semi")
-
-
-def cohorts(fights: DataFrame) -> DataFrame:
-    """Adds ``cohort_count``: other fights of the log that are open when a fight ends; a running sum over starts and ends."""
-    marks = fights.select("log_id", F.explode(F.array(F.struct(F.col("start_seq").alias("at"), F.lit(1).alias("d"), F.lit(None).cast("string").alias("fight_id")), F.struct(F.col("end_seq").alias("at"), F.lit(-1).alias("d"), F.col("fight_id")))).alias("m"))
-    log = Window.partitionBy("log_id").orderBy("m.at", F.col("m.d").desc(), "m.fight_id").rowsBetween(Window.unboundedPreceding, 0)
-    open_now = marks.withColumn("cohort_count", F.sum("m.d").over(log)).where("m.d = -1").select("m.fight_id", "cohort_count")
-    return fights.join(open_now, "fight_id")
-
-
 def reset_points(events: DataFrame, quiet: int = 5, idle: int = RAID_GAP) -> DataFrame:
     """Adds ``chunk``: it grows where nothing at all happened for ``quiet`` seconds and no combat for ``idle``.
 

@@ -25,6 +25,10 @@ WITH RECURSIVE raw AS (
   UNION ALL SELECT i * 32 + 4, i, j, log_id, ts, foe, actor, other, 'hit', NULL, foe, 7, NULL, 'dot', 'Creeping Doom', false, false, false FROM raw WHERE j >= 3 AND i % 37 = 0
   UNION ALL SELECT i * 32 + 21, i, j, log_id, ts, foe, actor, other, 'hit', actor || '''s corpse', foe, i % 50 + 1, NULL, 'dot', 'Plague Bolt', false, false, false FROM raw WHERE j >= 3 AND i % 89 = 0
   UNION ALL SELECT i * 32 + 22, i, j, log_id, ts, foe, actor, other, 'hit', foe || '''s corpse', actor, 3, NULL, 'dot', 'Rot', false, false, false FROM raw WHERE j >= 3 AND i % 83 = 0
+  UNION ALL SELECT i * 32 + 24, i, j, log_id, ts, foe, actor, other, 'heal', 'Medic' || (i % 5), actor, i % 90 + 1, i % 90 + 1, NULL, 'Light Touch', false, false, false FROM raw WHERE j >= 3 AND i % 59 = 0
+  UNION ALL SELECT i * 32 + 25, i, j, log_id, ts, foe, actor, other, 'heal', 'Medic' || (i % 5), 'Orphan' || (i % 7), 3, 3, NULL, 'Light Touch', false, false, false FROM raw WHERE j >= 3 AND i % 19 = 0
+  UNION ALL SELECT i * 32 + 26, i, j, log_id, ts, foe, actor, other, 'heal', 'Orphan' || (i % 7), 'Stray' || (i % 4), 2, 2, NULL, 'Light Touch', false, false, false FROM raw WHERE j >= 3 AND i % 13 = 0
+  UNION ALL SELECT i * 32 + 27, i, j, log_id, ts, foe, actor, other, 'heal', 'Stray' || (i % 4), 'Orphan' || ((i + 1) % 7), 1, 1, NULL, 'Light Touch', false, false, false FROM raw WHERE j >= 3 AND i % 17 = 0
 ), aside AS (
   SELECT i * 32 + 5 AS seq, i, log_id, ts, actor, other, foe, 'Gem' || (i % 6) AS gem, (i // 23) % 17 AS k FROM raw WHERE j >= 3 AND i % 23 = 0
 ), extra AS (
@@ -80,14 +84,15 @@ _SESSIONS = """, flagged AS (
   FROM combat c JOIN starts s ON s.log_id = c.log_id AND s.foe = c.foe WHERE c.kind = 'hit' AND c.j < 3 AND c.seq < s.start_seq AND epoch(s.opened_on) - epoch(c.ts) <= 60
   QUALIFY row_number() OVER (PARTITION BY c.log_id, c.seq ORDER BY s.start_seq) = 1
 ), assigned AS (SELECT * FROM kept_open UNION ALL SELECT * FROM pend
-), fights AS (
+), everyfight AS (
   SELECT fight_id, log_id, foe, start_seq, min(ts) FILTER (seq >= start_seq) AS started_on, max(ts) FILTER (seq >= start_seq) AS updated_on, max(seq) AS end_seq,
     CASE WHEN bool_or(kind = 'death') THEN 'Killed' ELSE 'Timeout' END AS status,
     CAST(coalesce(sum(CASE WHEN kind = 'hit' AND target = foe THEN amount END), 0) AS BIGINT) AS hp,
     first(zone ORDER BY seq) FILTER (seq >= start_seq) AS zone, coalesce(last(party ORDER BY seq) FILTER (seq >= start_seq), 'Solo') AS party,
-    CAST(epoch(max(ts) FILTER (seq >= start_seq)) - epoch(min(ts) FILTER (seq >= start_seq)) + 1 AS BIGINT) AS duration
+    CAST(epoch(max(ts) FILTER (seq >= start_seq)) - epoch(min(ts) FILTER (seq >= start_seq)) + 1 AS BIGINT) AS duration,
+    (bool_or(kind = 'death') OR coalesce(sum(CASE WHEN kind = 'hit' AND target = foe THEN amount END), 0) > 0) AND coalesce(bool_or(kind = 'hit' AND amount > 0 AND (source <> foe OR target <> foe)), false) AS kept
   FROM assigned GROUP BY fight_id, log_id, foe, start_seq
-  HAVING (bool_or(kind = 'death') OR coalesce(sum(CASE WHEN kind = 'hit' AND target = foe THEN amount END), 0) > 0) AND coalesce(bool_or(kind = 'hit' AND amount > 0 AND (source <> foe OR target <> foe)), false)
+), fights AS (SELECT * EXCLUDE (kept) FROM everyfight WHERE kept
 ), frows AS (
   SELECT a.*, f.started_on, f.duration AS fight_duration FROM assigned a JOIN fights f USING (fight_id)
 )"""
@@ -150,22 +155,59 @@ FIGHTS = (
 )"""
 )
 
-#: Heals and the fight each counts for; by then all healers are players.
-HEALS = """, gaps AS (SELECT *, epoch(updated_on) + CASE WHEN status = 'Killed' THEN 0 WHEN party = 'Raid' THEN 120 ELSE 15 END AS until FROM fights
-), turns AS (
+#: When every opened fight ends; ghosts time out without damage and are never finished.
+ENDED = """, ended AS (
+  SELECT *, status = 'Killed' AS killed, epoch(updated_on) + CASE WHEN status = 'Killed' THEN 0 WHEN party = 'Raid' THEN 120 ELSE 15 END AS until, status = 'Timeout' AND hp <= 0 AS ghost FROM everyfight
+)"""
+
+#: Heals and the fight each counts for: a replay heal by heal, which keeps who joined a fight by healing or being healed.
+HEALS = (
+    ENDED
+    + """, turns AS (
   SELECT log_id, epoch(ts) AS t, seq, fight_id, 1 AS mark FROM assigned WHERE kind IN ('hit', 'miss') AND seq >= start_seq
-  UNION ALL SELECT log_id, until, CASE WHEN status = 'Killed' THEN end_seq ELSE -1 END, '', 2 FROM gaps
+  UNION ALL SELECT log_id, until, CASE WHEN killed THEN end_seq ELSE -1 END, '', 2 FROM ended WHERE kept
   UNION ALL SELECT log_id, epoch(ts), seq, NULL, 0 FROM combat WHERE kind = 'heal'
+  UNION ALL SELECT log_id, epoch(ts), seq, NULL, 0 FROM extra WHERE kind = 'casting'
 ), lasts AS (
   SELECT log_id, seq, mark, last_value(fight_id IGNORE NULLS) OVER (PARTITION BY log_id ORDER BY t, seq, mark ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_id FROM turns
 ), inside AS (
-  SELECT fight_id, member, min(greatest(seq, start_seq)) AS since FROM (SELECT fight_id, seq, start_seq, unnest([source, target]) AS member FROM assigned WHERE kind IN ('hit', 'miss')) GROUP BY 1, 2
+  SELECT fight_id, member, min(since) AS since FROM (
+    SELECT fight_id, foe, unnest([source, target]) AS member, greatest(seq, start_seq) AS since FROM assigned WHERE kind IN ('hit', 'miss')
+    UNION ALL SELECT fight_id, foe, died, seq FROM assigned WHERE kind = 'touch'
+    UNION ALL SELECT f.fight_id, f.foe, c.name, c.seq FROM extra c JOIN lasts l ON l.log_id = c.log_id AND l.seq = c.seq AND l.mark = 0 JOIN ended f ON f.fight_id = l.last_id
+      WHERE c.kind = 'casting' AND c.seq > f.start_seq AND (f.ghost OR CASE WHEN f.killed THEN c.seq < f.end_seq ELSE epoch(c.ts) < f.until END)
+  ) WHERE member <> foe GROUP BY 1, 2
+), befriended AS (SELECT log_id, source AS name, min(seq) AS since FROM combat WHERE kind = 'heal' AND source LIKE 'Medic%' AND target LIKE 'Player%' GROUP BY 1, 2
 ), meeting AS (
-  SELECT c.*, g.fight_id, g.foe AS fight_foe, g.start_seq, g.started_on, l.last_id,
-    EXISTS (SELECT 1 FROM inside x WHERE x.fight_id = g.fight_id AND x.member IN (c.source, c.target) AND x.since < c.seq) AS named
-  FROM combat c JOIN gaps g ON g.log_id = c.log_id AND c.seq > g.start_seq AND CASE WHEN g.status = 'Killed' THEN c.seq < g.end_seq ELSE epoch(c.ts) < g.until END
-    JOIN lasts l ON l.log_id = c.log_id AND l.seq = c.seq AND l.mark = 0 WHERE c.kind = 'heal'
-), tiers AS (SELECT *, CASE WHEN named AND last_id = fight_id THEN 1 WHEN named THEN 2 ELSE 3 END AS tier FROM meeting
+  SELECT c.log_id, c.seq, c.source, c.target, g.fight_id, g.foe, g.start_seq, coalesce(l.last_id = g.fight_id, false) AS is_last,
+    CASE WHEN g.killed THEN c.seq < g.end_seq ELSE epoch(c.ts) < g.until END AS listed,
+    EXISTS (SELECT 1 FROM inside x WHERE x.fight_id = g.fight_id AND x.member IN (c.source, c.target) AND x.since < c.seq) AS named,
+    c.source LIKE 'Player%' OR EXISTS (SELECT 1 FROM befriended b WHERE b.log_id = c.log_id AND b.name = c.source AND b.since <= c.seq) AS friend
+  FROM combat c JOIN ended g ON g.log_id = c.log_id AND c.seq > g.start_seq JOIN lasts l ON l.log_id = c.log_id AND l.seq = c.seq AND l.mark = 0
+  WHERE c.kind = 'heal' AND (listed OR (g.ghost AND is_last))
+), asked AS (
+  SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY seq) AS n FROM (
+    SELECT log_id, seq, source, target, friend, list({'id': fight_id, 'foe': foe, 'at': start_seq, 'is_last': is_last, 'listed': listed, 'named': named}) AS choices
+    FROM meeting GROUP BY log_id, seq, source, target, friend)
+), walk AS (
+  SELECT DISTINCT log_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS fight_id, CAST(NULL AS VARCHAR) AS fight_foe, CAST([] AS VARCHAR[]) AS joined FROM asked
+  UNION ALL
+  SELECT log_id, n, seq, best.id, best.foe, CASE WHEN best IS NULL OR target = best.foe THEN joined ELSE list_distinct(list_concat(joined, [best.id || '|' || source, best.id || '|' || target])) END FROM (
+    SELECT h.log_id, h.n, h.seq, h.source, h.target, w.joined, list_sort(list_filter(list_transform(h.choices, lambda c: {
+      'tier': CASE WHEN (c.named OR list_contains(w.joined, c.id || '|' || h.source) OR list_contains(w.joined, c.id || '|' || h.target)) THEN CASE WHEN c.is_last THEN 1 ELSE 2 END WHEN h.friend AND c.listed THEN 3 END,
+      'o': CASE WHEN c.named OR list_contains(w.joined, c.id || '|' || h.source) OR list_contains(w.joined, c.id || '|' || h.target) THEN c.at ELSE -c.at END,
+      'id': c.id, 'foe': c.foe}), lambda x: x.tier IS NOT NULL))[1] AS best
+    FROM walk w JOIN asked h ON h.log_id = w.log_id AND h.n = w.n + 1
+  )
 ), healed AS (
-  SELECT * FROM (SELECT * FROM tiers QUALIFY row_number() OVER (PARTITION BY log_id, seq ORDER BY tier, CASE WHEN tier = 3 THEN -start_seq ELSE start_seq END) = 1) WHERE target <> fight_foe
+  SELECT c.*, w.fight_id, w.fight_foe, f.started_on FROM walk w JOIN combat c ON c.log_id = w.log_id AND c.seq = w.seq JOIN fights f ON f.fight_id = w.fight_id WHERE c.target <> w.fight_foe
 )"""
+)
+
+#: Other fights that are open when one ends.
+COHORTS = (
+    ENDED
+    + """ SELECT f.fight_id, count(g.fight_id) AS cohort_count FROM ended f LEFT JOIN ended g ON g.log_id = f.log_id AND g.fight_id <> f.fight_id AND
+  CASE WHEN f.killed THEN g.start_seq < f.end_seq AND CASE WHEN g.killed THEN g.end_seq > f.end_seq ELSE g.until > f.until END ELSE epoch(g.started_on) < f.until AND g.until >= f.until END
+WHERE f.kept GROUP BY 1"""
+)

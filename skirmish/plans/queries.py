@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skirmish.functions import text as names
-from skirmish.operators import buffs, entities, fights, loot, merge, rollups, rules, ticks
+from skirmish.operators import attribution, buffs, entities, fights, loot, merge, rollups, rules, ticks
 from skirmish.operators.lines import rejected_lines
 from skirmish.plans import expected, rendered, reports
 from skirmish.plans.rendered import Tables, table
@@ -155,30 +155,23 @@ def zone_and_party(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.where(F.col("kind") == "hit").select("seq", "zone", "party")
 
 
-@query(_FIGHTS + ", ends AS (SELECT log_id, start_seq AS pos, 1 AS d, CAST(NULL AS VARCHAR) AS fight_id FROM fights UNION ALL SELECT log_id, end_seq, -1, fight_id FROM fights), run AS (SELECT *, sum(d) OVER (PARTITION BY log_id ORDER BY pos, d DESC, fight_id ROWS UNBOUNDED PRECEDING) AS n_open FROM ends) SELECT fight_id, CAST(n_open AS BIGINT) AS cohort_count FROM run WHERE d = -1")
+@query(_FIGHTS + expected.COHORTS)
 def cohorts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fights.cohorts(Tables(spark, sf_dir).fights).select("fight_id", "cohort_count")
+    """Other fights that were open when one ended."""
+    t = Tables(spark, sf_dir)
+    return attribution.cohorts(t.assigned, t.fights).select("fight_id", "cohort_count")
 
 
 @query(_FIGHTS + " SELECT a.fight_id, a.died AS name, count(*) AS death_count FROM assigned a JOIN fights USING (fight_id) WHERE kind = 'touch' GROUP BY 1, 2")
 def deaths_in_fights(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
-    died = fights.attribute_deaths(t.events.where(F.col("kind") == "death"), t.assigned, t.fights)
+    died = attribution.attribute_deaths(t.events.where(F.col("kind") == "death"), t.assigned, t.fights)
     return rollups.death_rollup(died)
 
 
-def _friends_at(rows: DataFrame, changes: DataFrame) -> DataFrame:
-    """(log_id, seq, name): sources that were friends at their row; of an unknown pet the owner's type counts."""
-    who = entities.entities_as_of(rows.select("log_id", "seq", "source"), changes, "source", "seq")
-    who = who.select("log_id", "seq", "source", F.col("type_of").alias("own_type"), F.coalesce("pet_owner", names.pet_owner(F.col("source"))).alias("owner"))
-    who = entities.entities_as_of(who, changes, "owner", "seq")
-    kind = F.when(F.col("own_type") == entities.UNKNOWN, F.col("type_of")).otherwise(F.col("own_type"))
-    return who.where(kind == entities.FRIEND).select("log_id", "seq", F.col("source").alias("name"))
-
-
 def _heals(t: Tables) -> DataFrame:
-    healed = t.events.where(F.col("kind") == "heal").drop("foe")
-    return fights.attribute_heals(healed, t.assigned, t.fights, _friends_at(healed, t.changes))
+    """Heals in their fights, stored once a session: several queries sum them up."""
+    return store.stored_once(t.source, "heals", lambda: attribution.placed_heals(t.events, t.assigned, t.fights, t.changes))
 
 
 @query(_FIGHTS + expected.HEALS + " SELECT fight_id, source AS name, target, count(*) AS hit_count, CAST(sum(amount) AS BIGINT) AS hit_sum, CAST(sum(full_amount) AS BIGINT) AS full_sum, CAST(sum(full_amount) - sum(amount) AS BIGINT) AS overheal FROM healed GROUP BY 1, 2, 3 HAVING sum(amount) > 0")
@@ -235,7 +228,8 @@ def resolved_foes(spark: SparkSession, sf_dir: str) -> DataFrame:
   UNION ALL SELECT log_id, 'Larry', true, false, false FROM raw UNION ALL SELECT log_id, actor, true, false, false FROM aside WHERE k = 0 UNION ALL SELECT log_id, foe, false, false, k = 1 FROM aside WHERE k IN (1, 10)
   UNION ALL SELECT log_id, 'Bulwark', false, false, false FROM aside WHERE k = 8 UNION ALL SELECT log_id, source, false, false, false FROM combat WHERE kind IN ('hit', 'miss') AND source IS NOT NULL
   UNION ALL SELECT log_id, target, false, false, false FROM combat WHERE kind IN ('hit', 'miss') AND source IS NOT NULL AND j >= 3 UNION ALL SELECT log_id, foe, false, false, false FROM combat WHERE kind = 'death'
-  UNION ALL SELECT log_id, actor || '`s ward', false, false, false FROM combat WHERE kind = 'heal' AND i % 19 = 0 AND j >= 3)
+  UNION ALL SELECT log_id, actor || '`s ward', false, false, false FROM base WHERE kind = 'heal' AND i % 19 = 0 AND j >= 3
+  UNION ALL SELECT log_id, source, false, false, false FROM combat WHERE kind = 'heal' AND source LIKE 'Medic%' AND target LIKE 'Player%')
 SELECT log_id, name, bool_or(player) AS is_player, CASE WHEN bool_or(who) THEN 'RNG' WHEN name = 'Bulwark' THEN 'WAR' END AS class, CAST(CASE WHEN bool_or(who) THEN 65 WHEN bool_or(seen) THEN 44 END AS INTEGER) AS level FROM told GROUP BY 1, 2""")
 def known_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, changes = entities.foes_and_changes(rendered.entity_states(spark, sf_dir))
@@ -314,7 +308,7 @@ FROM people p JOIN fights f ON f.fight_id = p.fight_id LEFT JOIN notes n ON n.fi
 @query(_BOARD)
 def player_board(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
-    died = fights.attribute_deaths(t.events.where(F.col("kind") == "death"), t.assigned, t.fights).withColumnRenamed("died", "name")
+    died = attribution.attribute_deaths(t.events.where(F.col("kind") == "death"), t.assigned, t.fights).withColumnRenamed("died", "name")
     return reports.player_board(rollups.participant_rollup(t.rows), t.fights, rollups.attack_rollup(t.rows), died)
 
 

@@ -3,7 +3,8 @@
 Two seconds lie between events; actors and foes follow from ids, two foes at a
 time. Lines go through the same reader, rules and operators as real logs: who is
 friend or foe is inferred. Each log tells its players after three events, so what
-was hit before waits for its fight to open.
+was hit before waits for its fight to open. Medics heal players and orphans, orphans
+and strays one another: only earlier heals tell which fight these count for.
 """
 
 from __future__ import annotations
@@ -100,6 +101,10 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         more(20, late & (i % 89 == 0), foe, " scowls at you, ready to attack -- it appears quite formidable. (Lvl: 44)"),
         more(21, late & (i % 89 == 0), foe, " has taken ", i % 50 + 1, " damage from Plague Bolt by ", actor, "'s corpse."),
         more(23, late & (i % 47 == 0), "You feel dewy."),
+        more(24, late & (i % 59 == 0), "Medic", i % 5, " healed ", actor, " for ", i % 90 + 1, " hit points by Light Touch."),
+        more(25, late & (i % 19 == 0), "Medic", i % 5, " healed Orphan", i % 7, " for 3 hit points by Light Touch."),
+        more(26, late & (i % 13 == 0), "Orphan", i % 7, " healed Stray", i % 4, " for 2 hit points by Light Touch."),
+        more(27, late & (i % 17 == 0), "Stray", i % 4, " healed Orphan", (i + 1) % 7, " for 1 hit points by Light Touch."),
         more(22, late & (i % 83 == 0), actor, " has taken 3 damage from Rot by ", foe, "'s corpse."),
     ]
     spread = e.select("log_id", "event_id", "stamp", F.explode(F.filter(F.array(*extra), lambda x: x.isNotNull())).alias("x"))
@@ -142,8 +147,9 @@ class Tables:
     """The tables most queries share, built lazily from one log."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
+        self.source = table(spark, sf_dir, "events")
         self.events = combat(spark, sf_dir)
         self.changes = entities.foes_and_changes(entity_states(spark, sf_dir))[1]
-        self.assigned = stored_once(table(spark, sf_dir, "events"), "assigned", lambda: assigned(self.events))
-        self.fights = stored_once(table(spark, sf_dir, "events"), "fights", lambda: without_friends(fight_table(self.assigned), self.changes))
+        self.assigned = stored_once(self.source, "assigned", lambda: assigned(self.events))
+        self.fights = stored_once(self.source, "fights", lambda: without_friends(fight_table(self.assigned), self.changes))
         self.rows = in_fights(self.assigned, self.fights)

@@ -5,8 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from skirmish.operators import buffs, entities, fights, loot, merge, rollups, rules, ticks
-from skirmish.plans import queries, reports
+from skirmish.operators import attribution, buffs, entities, fights, loot, merge, rollups, rules, ticks
+from skirmish.plans import reports
 
 SCHEMA = "log_id string, seq long, t long, kind string, source string, target string, amount long, full_amount long, type string, spell string, mods array<string>, name string, killshot string, channel string, message string, status string, foe string, owner string, text string, class string, level int, faction string, item string, server string"
 FIELDS = [f.split()[0] for f in SCHEMA.split(", ")]
@@ -58,7 +58,7 @@ def test_a_foes_kill_keeps_its_fight_open(table):
 def test_deaths_are_attributed(table):
     df = table(hit(0), death(2, "A", "Mob"), death(3, "B", None), death(5), death(6, "C", None))
     rows, table_ = sessions(df)
-    died = fights.attribute_deaths(df.where("kind = 'death'"), rows, table_)
+    died = attribution.attribute_deaths(df.where("kind = 'death'"), rows, table_)
     assert sorted(r["died"] for r in died.collect()) == ["A", "B"]
 
 
@@ -129,7 +129,7 @@ def test_friends_are_no_fights_and_states_are_those_at_the_end(table):
 def test_last_fight_is_forgotten_when_any_fight_ends(table):
     df = table(hit(0, target="Rat", foe="Rat"), hit(12), {"t": 14, "kind": "heal", "source": "A", "target": "A"}, {"t": 16, "kind": "heal", "source": "A", "target": "A"}, death(20), {"t": 21, "kind": "heal", "source": "A", "target": "A"})
     rows, table_ = sessions(df)
-    last = {r["seq"]: r["last_fight"] for r in fights.last_fight(df.where("kind = 'heal'"), rows, table_).collect()}
+    last = {r["seq"]: r["last_fight"] for r in attribution.last_fight(df.where("kind = 'heal'"), rows, fights.opened_fights(rows, table_)).collect()}
     mob = table_.where("foe = 'Mob'").first()["fight_id"]
     # at 15 s the rat's fight times out
     assert last == {2: mob, 3: None, 5: None}
@@ -139,11 +139,12 @@ def test_casters_join_the_last_fight(table):
     df = table(hit(0), {"t": 1, "kind": "casting", "source": "C"}, {"t": 1, "kind": "casting", "source": "X"}, {"t": 2, "kind": "casting", "source": "Mob"}, {"t": 3, "kind": "heal", "source": "C", "target": "D", "amount": 1, "full_amount": 1})
     rows, table_ = sessions(df)
     friends = df.where("seq = 1").selectExpr("log_id", "seq", "'C' AS name")
-    casts = fights.attribute_casts(df.where("kind = 'casting'"), rows, table_, friends)
-    assert {(r["member"], r["since"]) for r in casts.collect()} == {("C", 1), ("Mob", 3)}
+    casts = attribution.attribute_casts(df.where("kind = 'casting'"), rows, table_, friends)
+    # the foe is the fight's target, no participant
+    assert {(r["member"], r["since"]) for r in casts.collect()} == {("C", 1)}
     healed = df.where("kind = 'heal'").drop("foe")
-    assert fights.attribute_heals(healed, rows, table_).count() == 0
-    assert fights.attribute_heals(healed, rows, table_, joined_by=casts).count() == 1
+    assert attribution.attribute_heals(healed, rows, table_).count() == 0
+    assert attribution.attribute_heals(healed, rows, table_, joined_by=casts).count() == 1
 
 
 def test_exact_replay_that_checks_at_every_event_equals_windows(table, spark):
@@ -231,57 +232,107 @@ def test_rollups(table):
 def test_heals(table):
     df = table(hit(0), {"t": 1, "kind": "heal", "source": "A", "target": "A", "amount": 201, "full_amount": 300}, {"t": 2, "kind": "heal", "source": "C", "target": "Mob", "amount": 5, "full_amount": 5}, {"t": 3, "kind": "heal", "source": "D", "target": "E", "amount": 5, "full_amount": 5})
     rows, table_ = sessions(df)
-    mine = fights.attribute_heals(df.where("kind = 'heal'").drop("foe"), rows, table_)
+    mine = attribution.attribute_heals(df.where("kind = 'heal'").drop("foe"), rows, table_)
     assert [r["seq"] for r in mine.collect()] == [1]
     sums = rollups.heals_by_name(mine).first()
     assert (sums["outbound_heal_sum"], sums["inbound_heal_sum"], sums["outbound_full_heal_sum"]) == (201, 201, 300)
     friends = df.selectExpr("log_id", "'D' AS name")
-    assert sorted(r["seq"] for r in fights.attribute_heals(df.where("kind = 'heal'").drop("foe"), rows, table_, friends).collect()) == [1, 3]
+    assert sorted(r["seq"] for r in attribution.attribute_heals(df.where("kind = 'heal'").drop("foe"), rows, table_, friends).collect()) == [1, 3]
 
 
-def test_heals_query_against_brute_force(table, monkeypatch):
-    """All three tiers, with friends as known at each heal."""
-    r = random.Random(11)
+def test_healed_and_healers_are_members(table):
+    heal = lambda t, a, b: {"t": t, "kind": "heal", "source": a, "target": b, "amount": t, "full_amount": t}
+    df = table(hit(0), heal(1, "H", "A"), heal(2, "H", "Z"), heal(3, "Z", "Q"), heal(4, "V", "W"), heal(5, "Q", "Mob"), heal(6, "Mob", "W"))
+    rows, table_ = sessions(df)
+    healed = attribution.attribute_heals(df.where("kind = 'heal'").drop("foe"), rows, table_)
+    assert sorted(r["seq"] for r in healed.collect()) == [1, 2, 3]
+
+
+class _Replay:
+    """Fights as a live reader keeps them: a list of the open ones with their members, and the one last hit."""
+
+    def __init__(self, opened, held, friends):
+        self.rows = {f["fight_id"]: f for f in opened}
+        self.held, self.friends = held, friends
+        self.live, self.inside, self.last, self.placed, self.tiers = [], {}, None, {}, set()
+
+    def finish(self, f):
+        self.live.remove(f)
+        if self.rows[f]["kept"]:
+            self.last = None
+
+    def take(self, r):
+        t, seq = r["ts"].timestamp(), r["seq"]
+        for f in [f for f in self.live if not self.rows[f]["killed"] and self.rows[f]["until"] <= t]:
+            self.finish(f)
+        for f, kind in self.held.get(seq, []):
+            foe = self.rows[f]["foe"]
+            if f not in self.inside:
+                self.live.append(f)
+                self.inside[f] = set()
+            if kind in ("hit", "miss"):
+                self.inside[f] |= {r["source"], r["target"]} - {foe}
+                self.last = f
+            elif kind == "touch":
+                self.inside[f] |= {r["name"]} - {foe}
+            elif kind == "death":
+                self.finish(f)
+        reach = self.last in self.live or (self.last is not None and self.rows[self.last]["ghost"])
+        if r["kind"] == "casting" and reach and (seq, r["source"]) in self.friends:
+            self.inside[self.last] |= {r["source"]} - {self.rows[self.last]["foe"]}
+        if r["kind"] == "heal":
+            self.heal(r, seq, reach)
+
+    def heal(self, r, seq, reach):
+        names = {r["source"], r["target"]}
+        if reach and self.inside[self.last] & names:
+            f, tier = self.last, 1
+        else:
+            named = [f for f in self.live if f != self.last and self.inside[f] & names]
+            newest = self.live[-1:] if (seq, r["source"]) in self.friends else []
+            f, tier = (named[0], 2) if named else (newest[0], 3) if newest else (None, 0)
+        if f and r["target"] != self.rows[f]["foe"]:
+            self.inside[f] |= names - {self.rows[f]["foe"]}
+            if self.rows[f]["kept"]:
+                self.placed[seq] = f
+                self.tiers.add(tier)
+
+
+@pytest.mark.parametrize("seed", [11, 12])
+def test_heals_against_a_replay(table, seed):
+    """All three ways, with members by heals and casts, friends as known at each row, and fights without damage."""
+    r = random.Random(seed)
     rows, t = [{"kind": "who", "name": "A"}], 0
-    for i in range(220):
+    for i in range(300):
         t += r.choice([0, 1, 1, 2, 3, 20])
         foe, who = r.choice([("Mob", "A"), ("Rat", "B"), ("Bat", "C"), ("Bat", "D")])
-        healed = {"t": t, "kind": "heal", "source": r.choice(["A", "B", "C", "H", "J", "K", "A`s pet"]), "target": r.choice(["A", "B", "H", "J", "X", "Mob"]), "amount": 2**20 + i, "full_amount": 2**20 + i}
+        healed = {"t": t, "kind": "heal", "source": r.choice(["A", "B", "C", "H", "J", "K", "L", "A`s pet"]), "target": r.choice(["A", "B", "H", "J", "L", "X", "Y", "Mob"]), "amount": 2**20 + i, "full_amount": 2**20 + i}
         told = {"t": t, "kind": "who", "name": r.choice(["H", "J"])}
-        rows.append(r.choice([hit(t, who, foe, foe=foe), hit(t, who, foe, foe=foe), healed, healed, death(t, foe)] + ([told] if i > 100 else [])))
+        cast = {"t": t, "kind": "casting", "source": r.choice(["A", "H", "K", "Bat"])}
+        missed = miss(t, who, "Ghost", foe="Ghost") if i % 3 == 0 else hit(t, who, foe, foe=foe)
+        rows.append(r.choice([hit(t, who, foe, foe=foe), missed, healed, healed, healed, cast, death(t, foe), death(t, who, foe)] + ([told] if i > 100 else [])))
     df = table(*rows)
     assigned, fights_ = sessions(df)
-    hits = [(x["seq"], x["fight_id"], {x["source"], x["target"]}) for x in assigned.where("kind in ('hit', 'miss')").collect()]
-    at = {x["seq"]: x["ts"].timestamp() for x in df.collect()}
-    opened = sorted((f.asDict() | {"last": f["updated_on"].timestamp()} for f in fights_.collect()), key=lambda f: f["start_seq"])
-    changes = sorted((x["seq"], x["name"], x["type"]) for x in entities.resolve_foes(df)[1].collect())
-    want, tiers = {}, set()
-    for h in df.where("kind = 'heal'").collect():
-        live = [f for f in opened if f["start_seq"] < h["seq"] and (h["seq"] < f["end_seq"] if f["status"] == "Killed" else h["ts"].timestamp() < f["last"] + 15)]
-        named = [f for f in live if any(s < h["seq"] and f["fight_id"] == g and m & {h["source"], h["target"]} for s, g, m in hits)]
-        # a kill forgets the last fight
-        # and so does a fight that times out, 15 s after its last row
-        marks = [(at[s], s, g) for s, g, _ in hits] + [(f["last"], f["end_seq"], None) if f["status"] == "Killed" else (f["last"] + 15, -1, None) for f in opened]
-        last = max((m for m in marks if m[:2] < (h["ts"].timestamp(), h["seq"])), default=(0, 0, None), key=lambda m: (*m[:2], m[2] is None))[2]
-        types = [k for s, n, k in changes if n == h["source"] and s <= h["seq"]]
-        first = [f for f in named if f["fight_id"] == last] or named
-        if h["source"] == "A`s pet" and (types or ["Unknown"])[-1] == "Unknown":
-            types = [k for s, n, k in changes if n == "A" and s <= h["seq"]]
-        friend = bool(types) and types[-1] == "Friend"
-        best = first[0] if first else live[-1] if live and friend else None
-        if best and h["target"] != best["foe"]:
-            tiers.add(1 if first and first[0]["fight_id"] == last else 2 if first else 3)
-            key = (best["fight_id"], h["source"], h["target"])
-            want[key] = want.get(key, 0) + h["amount"]
-    assert tiers == {1, 2, 3}
-
-    class Given:
-        def __init__(self, *_):
-            self.events, self.assigned, self.fights, self.changes = df, assigned, fights_, entities.resolve_foes(df)[1]
-
-    monkeypatch.setattr(queries, "Tables", Given)
-    got = {(x["fight_id"], x["name"], x["target"]): x["hit_sum"] for x in queries.heals_in_fights(None, "").collect()}
-    assert got == want
+    changes = entities.resolve_foes(df)[1]
+    held = {}
+    for x in assigned.collect():
+        held.setdefault(x["seq"], []).append((x["fight_id"], x["kind"]))
+    friends = {(x["seq"], x["name"]) for x in attribution.friends_at(df.where("kind in ('heal', 'casting')"), changes).collect()}
+    replay = _Replay([f.asDict() for f in fights.opened_fights(assigned, fights_).collect()], held, friends)
+    for x in df.orderBy("seq").collect():
+        replay.take(x)
+    got = {x["seq"]: x["fight_id"] for x in attribution.placed_heals(df, assigned, fights_, changes).collect()}
+    assert got == replay.placed and replay.tiers == {1, 2, 3}
+
+
+def test_cohorts_count_all_open_fights(table):
+    df = table(hit(0), miss(1, "A", "Rat", foe="Rat"), hit(2, "A", "Bat", foe="Bat"), death(3, "Bat"), hit(14, "A", "Cat", foe="Cat"), {"t": 40, "kind": "raw"})
+    rows, table_ = sessions(df)
+    # the bat dies beside two others; the mob times out at 15 beside rat and cat, the cat alone
+    assert {r["foe"]: r["cohort_count"] for r in attribution.cohorts(rows, table_).collect()} == {"Bat": 2, "Mob": 2, "Cat": 0}
+    both = table(hit(0), hit(0, "A", "Rat", foe="Rat"), {"t": 40, "kind": "raw"})
+    rows, table_ = sessions(both)
+    assert {r["foe"]: r["cohort_count"] for r in attribution.cohorts(rows, table_).collect()} == {"Mob": 1, "Rat": 1}
 
 
 def test_six_second_split(table):
