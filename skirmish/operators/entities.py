@@ -1,16 +1,18 @@
 """Who is friend or foe, a player, of which class, and whose pet: from weak evidence.
 
 Most rules are columns: each event gives evidence rows about a name. Only the foe
-of a pair depends on all before it and changes both names, so it is a fold: per
-log, in order, over narrow rows, with one small record a name. Rosters come in as
-who events (``rosters.as_who_events``).
+of a pair depends on all before it and changes both names, so it is a fold, in
+order, over narrow rows, with one small record a name; chunks of a log are folded
+apart and again where what they were given was wrong. Rosters come in as who events
+(``rosters.as_who_events``).
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,9 +20,14 @@ from pyspark.sql.window import Window
 from skirmish.functions.text import is_pet_name, pet_owner, unlikely_click
 from skirmish.operators.ordered import CHUNK, last_known
 from skirmish.sources.spells import is_pet_target
+from skirmish.sources.store import arrow_schema, stored
 
 FRIEND, FOE, UNKNOWN = "Friend", "Foe", "Unknown"
 PET_EMOTE_SECONDS = 5
+#: Rows of a log that one task folds, and the quantiles that a log is cut at.
+CHUNK_ROWS = 1 << 19
+_CUTS = 2048
+_TOLD = ("log_id", "seq", "name", "type", "is_player", "owner", "class", "level", "foe", "ts", "changed")
 _LEADER = r"^My leader is (\w+)\.$"
 # What pets tell their master.
 _MASTER = r"^(?:Attacking .+? Master|Sorry, Master\.\.\. calming down|Following you, Master|By your command, master|I live again\.\.)\.$"
@@ -106,7 +113,10 @@ def pet_emotes(events: DataFrame, spells: DataFrame, within: int = PET_EMOTE_SEC
     return met.select("log_id", "seq", F.substring(F.col("text"), F.lit(1), F.length("text") - F.length("land_pet")).alias("name"), "owner")
 
 
-_FOES = "log_id string, seq long, name string, type string, is_player boolean, owner string, class string, level int, foe string, ts timestamp, changed boolean"
+_STATE = "type string, is_player boolean, owner string, cls string, level int, aggro long, hints string, told boolean"
+_FOLDED = f"log_id string, chunk int, seq long, name string, type string, is_player boolean, owner string, class string, level int, foe string, ts long, changed boolean, left struct<{_STATE}>"
+_ROW = ("log_id", "chunk", "seq", "ts", "step", "a", "b", "type", "is_player", "clears_owner", "owner", "cls", "level", "hint", "a_owner", "b_owner", "a_pet", "b_pet")
+SEED, EVIDENCE, SWING, HEAL, DEATH = -1, 0, 1, 2, 3
 
 
 class _Known:
@@ -117,11 +127,20 @@ class _Known:
     def __init__(self, owner: str | None):
         self.type, self.player, self.owner, self.cls, self.level, self.aggro = UNKNOWN, False, owner, None, None, None
         self.hints: dict[str, int] = {}  # one entry a class at most
-        self.told: tuple | None = None
+        self.told = False
 
-    def hinted(self) -> str | None:
-        """The class whose spells were cast most, the first of those that tie."""
-        return max(self.hints, key=self.hints.__getitem__, default=None)
+    @classmethod
+    def read(cls, kept: dict) -> _Known:
+        k = cls(kept["owner"])
+        k.type, k.player, k.cls, k.level, k.aggro, k.told = kept["type"], kept["is_player"], kept["cls"], kept["level"], kept["aggro"], kept["told"]
+        k.hints = json.loads(kept["hints"])
+        return k
+
+    def kept(self) -> dict:
+        return {"type": self.type, "is_player": self.player, "owner": self.owner, "cls": self.cls, "level": self.level, "aggro": self.aggro, "hints": json.dumps(self.hints), "told": self.told}
+
+    def state(self) -> tuple:
+        return self.type, self.player, self.owner, self.cls or max(self.hints, key=self.hints.__getitem__, default=None), self.level
 
 
 def _decide(a: _Known, b: _Known, a_pet: bool, b_pet: bool) -> int:
@@ -138,56 +157,69 @@ def _decide(a: _Known, b: _Known, a_pet: bool, b_pet: bool) -> int:
     return 0 if a_pet == b_pet else 2 if a_pet else 1
 
 
-def _take(r, known: dict[str, _Known], out: list[tuple]) -> None:
-    """One row of the fold: evidence (step 0), a swing (1), a heal (2) or a death (3)."""
+class _Fold:
+    """The fold over one chunk of a log: what is known of each name, and what it tells."""
 
-    def state(name: str, owner) -> _Known:
-        if name not in known:
-            known[name] = _Known(owner if isinstance(owner, str) else None)
-        return known[name]
+    def __init__(self, log_id: str, chunk: int):
+        self.key, self.known, self.out = (log_id, chunk), {}, []
 
-    def tell(name: str, foe: str | None = None) -> None:
-        k = known[name]
-        state = (k.type, k.player, k.owner, k.cls or k.hinted(), k.level)
-        changed = r.step == 0 or state != k.told
-        if changed or foe:
-            out.append((r.log_id, r.seq, name, *state, foe, r.ts, changed))
-        k.told = state
+    def of(self, name: str, owner: str | None) -> _Known:
+        k = self.known.get(name)
+        if k is None:
+            k = self.known[name] = _Known(owner)
+        return k
 
-    k = state(r.a, r.a_owner)
-    if r.step == 0:
-        if r.type == "pet-friend":
-            if not k.player:
-                k.type, k.owner = FRIEND, r.owner
-        else:
-            k.type = r.type if isinstance(r.type, str) else k.type
-            k.owner = r.owner if isinstance(r.owner, str) and not k.player and k.owner is None else k.owner
-        k.player = k.player or r.is_player is True
-        k.owner = None if r.clears_owner is True else k.owner
-        k.cls = r.cls if isinstance(r.cls, str) else k.cls
-        k.level = int(r.level) if r.level == r.level and r.level is not None else k.level
-        if isinstance(r.hint, str):
-            k.hints[r.hint] = k.hints.get(r.hint, 0) + 1
-        tell(r.a)
-    elif r.step == 1:
-        other = state(r.b, r.b_owner)
-        if other.player:
-            k.aggro = r.t
-        friends = r.a == r.b or k.owner == r.b or other.owner == r.a or (k.player and other.player)
-        foe = 0 if friends else _decide(k, other, r.a_pet, r.b_pet)
-        if foe:
+    def tell(self, r: tuple, name: str, k: _Known, before: tuple | None, foe: str | None = None, always: bool = False) -> None:
+        """A row if the state is not what was told last; between two tellings it does not change."""
+        now = k.state()
+        changed = always or not k.told or now != before
+        if changed or foe:
+            self.out.append((*self.key, r[2], name, *now, foe, r[3], changed, None))
+        k.told = True
+
+    def take(self, r: tuple) -> None:
+        _, _, _, micros, step, a, b, type_, player, clears, owner, cls, level, hint, a_owner, b_owner, a_pet, b_pet = r
+        k = self.of(a, a_owner)
+        if step == SWING:
+            other = self.of(b, b_owner)
+            if other.player:
+                k.aggro = micros // 1_000_000
+            foe = 0 if a == b or k.owner == b or other.owner == a or (k.player and other.player) else _decide(k, other, a_pet, b_pet)
+            if not foe:
+                if not k.told:
+                    self.tell(r, a, k, None)
+                return
+            mine, its = k.state(), other.state()
             k.type, other.type = (FOE, FRIEND) if foe == 1 else (FRIEND, FOE)
-            tell(r.b)
-        tell(r.a, r.a if foe == 1 else r.b if foe == 2 else None)
-    elif r.step == 2:
-        if isinstance(r.b, str) and state(r.b, r.b_owner).player:
-            k.type = FRIEND
-            tell(r.a)
-    else:
-        k.aggro = None
-        if not k.player:
-            k.type = UNKNOWN
-            tell(r.a)
+            self.tell(r, b, other, its)
+            self.tell(r, a, k, mine, a if foe == 1 else b)
+        elif step == EVIDENCE:
+            if type_ == "pet-friend":
+                if not k.player:
+                    k.type, k.owner = FRIEND, owner
+            else:
+                k.type = type_ or k.type
+                k.owner = owner if owner is not None and not k.player and k.owner is None else k.owner
+            k.player = k.player or bool(player)
+            k.owner = None if clears else k.owner
+            k.cls = cls or k.cls
+            k.level = level if level is not None else k.level
+            if hint is not None:
+                k.hints[hint] = k.hints.get(hint, 0) + 1
+            self.tell(r, a, k, None, always=True)
+        elif step == HEAL:
+            if b is not None and self.of(b, b_owner).player:
+                before, k.type = k.state(), FRIEND
+                self.tell(r, a, k, before)
+        else:
+            k.aggro = None
+            if not k.player:
+                before, k.type = k.state(), UNKNOWN
+                self.tell(r, a, k, before)
+
+    def left(self) -> list[tuple]:
+        """What is known at the end of the chunk, a row a name that is in it."""
+        return [(*self.key, None, name, None, None, None, None, None, None, None, None, k.kept()) for name, k in self.known.items()]
 
 
 def resolve_foes(events: DataFrame, spells: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -199,13 +231,8 @@ def foes_and_changes(folded: DataFrame) -> tuple[DataFrame, DataFrame]:
     return folded.where(F.col("foe").isNotNull()).select("log_id", "seq", "foe"), folded.where("changed").drop("foe", "changed")
 
 
-def fold_entities(events: DataFrame, spells: DataFrame | None = None) -> DataFrame:
-    """The rows that :func:`foes_and_changes` tells apart.
-
-    One fold a log over narrow rows, which Spark sorts and streams: a task holds a
-    record a name, whatever the length of the log. Where no evidence tells a class,
-    it is that of most casts so far.
-    """
+def _rows(events: DataFrame, spells: DataFrame | None) -> DataFrame:
+    """What the fold takes, in the order of ``_ROW`` but for the chunk."""
     evidence = entity_evidence(events, spells).withColumn("hint", F.lit(None).cast("string"))
     if spells is not None:
         pets = pet_emotes(events, spells)
@@ -214,26 +241,91 @@ def fold_entities(events: DataFrame, spells: DataFrame | None = None) -> DataFra
         single = spells.where("class_count = 1").select(F.col("name").alias("spell"), F.col("classes").alias("hint"))
         casts = events.where((F.col("kind") == "casting") & F.col("source").isNotNull()).select("log_id", "seq", "ts", F.col("source").alias("name"), "spell")
         evidence = evidence.unionByName(casts.join(single, "spell").drop("spell"), allowMissingColumns=True)
-    facts = evidence.withColumns({"step": F.lit(0), "a": F.col("name")})
+    facts = evidence.withColumns({"step": F.lit(EVIDENCE), "a": F.col("name")})
     pair = F.col("kind").isin("hit", "miss") & F.col("source").isNotNull() & F.col("target").isNotNull()
-    combat = events.where(pair).select("log_id", "seq", "ts", F.lit(1).alias("step"), F.col("source").alias("a"), F.col("target").alias("b"))
-    heals = events.where((F.col("kind") == "heal") & F.col("source").isNotNull()).select("log_id", "seq", "ts", F.lit(2).alias("step"), F.col("source").alias("a"), F.col("target").alias("b"))
-    deaths = events.where(F.col("kind") == "death").select("log_id", "seq", "ts", F.lit(3).alias("step"), F.col("name").alias("a"))
-    rows = facts.drop("name").unionByName(combat, True).unionByName(heals, True).unionByName(deaths, True)
-    rows = rows.withColumns({"a_owner": pet_owner(F.col("a")), "b_owner": pet_owner(F.col("b")), "a_pet": F.coalesce(is_pet_name(F.col("a")), F.lit(False)), "b_pet": F.coalesce(is_pet_name(F.col("b")), F.lit(False)), "t": F.unix_timestamp("ts")})
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        log, known = None, {}
-        for rows in batches:
+    combat = events.where(pair).select("log_id", "seq", "ts", F.lit(SWING).alias("step"), F.col("source").alias("a"), F.col("target").alias("b"))
+    heals = events.where((F.col("kind") == "heal") & F.col("source").isNotNull()).select("log_id", "seq", "ts", F.lit(HEAL).alias("step"), F.col("source").alias("a"), F.col("target").alias("b"))
+    deaths = events.where(F.col("kind") == "death").select("log_id", "seq", "ts", F.lit(DEATH).alias("step"), F.col("name").alias("a"))
+    rows = facts.drop("name").unionByName(combat, True).unionByName(heals, True).unionByName(deaths, True).where(F.col("a").isNotNull())
+    pets = {f"{x}_pet": F.coalesce(is_pet_name(F.col(x)), F.lit(False)) for x in "ab"}
+    rows = rows.withColumnRenamed("class", "cls").withColumns({"a_owner": pet_owner(F.col("a")), "b_owner": pet_owner(F.col("b")), **pets, "ts": F.unix_micros("ts")})
+    return rows.select(*(c for c in _ROW if c != "chunk"))
+
+
+def _in_chunks(rows: DataFrame, size: int) -> DataFrame:
+    """Adds ``chunk``: logs are cut into stretches of about ``size`` rows, at quantiles of ``seq``."""
+    counted = rows.groupBy("log_id").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("seq", F.lit([k / _CUTS for k in range(1, _CUTS)]), F.lit(4 * _CUTS)).alias("c"))
+    each = F.greatest(F.lit(1), F.lit(_CUTS) * size / F.col("n")).cast("int")
+    long = counted.where(F.col("n") > size).select("log_id", F.array_distinct(F.filter("c", lambda x, i: (i + 1) % each == 0)).alias("cuts"))
+    met = rows.join(long, "log_id", "left")
+    return met.withColumn("chunk", F.coalesce(F.size(F.filter("cuts", lambda c: c < F.col("seq"))), F.lit(0)).cast("int")).select(*_ROW)
+
+
+def _fold(rows: DataFrame, seeds: DataFrame | None) -> DataFrame:
+    """One pass over the chunks of ``rows``, each from what ``seeds`` (log_id, chunk, name, seed) knew before it."""
+    given = rows.withColumn("seed", F.lit(None).cast(f"struct<{_STATE}>"))
+    if seeds is not None:
+        given = given.unionByName(seeds.select("log_id", "chunk", F.lit(-1).cast("long").alias("seq"), F.lit(SEED).alias("step"), F.col("name").alias("a"), "seed"), allowMissingColumns=True)
+    schema = arrow_schema(_FOLDED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fold: _Fold | None = None
+        for batch in batches:
             out: list[tuple] = []
-            for r in rows.itertuples():
-                if r.log_id != log:
-                    log, known = r.log_id, {}
-                _take(r, known, out)
-            yield pd.DataFrame(out, columns=["log_id", "seq", "name", "type", "is_player", "owner", "class", "level", "foe", "ts", "changed"])
-
-    ordered = rows.withColumnRenamed("class", "cls").repartition("log_id").sortWithinPartitions("log_id", "seq", "step")
-    return ordered.mapInPandas(fold, _FOES)
+            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if fold is None or fold.key != r[:2]:
+                    if fold is not None:
+                        out += fold.out + fold.left()
+                    fold = _Fold(*r[:2])
+                if r[4] == SEED:
+                    fold.known[r[5]] = _Known.read(r[-1])
+                else:
+                    fold.take(r[:-1])
+            if fold is not None:
+                out += fold.out
+                fold.out = []
+            yield _batch(out, schema)
+        if fold is not None:
+            yield _batch(fold.left(), schema)
+
+    ordered = given.select(*_ROW, "seed").repartition("log_id", "chunk").sortWithinPartitions("log_id", "chunk", "seq", "step")
+    return ordered.mapInArrow(run, _FOLDED)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def fold_entities(events: DataFrame, spells: DataFrame | None = None, size: int = CHUNK_ROWS) -> DataFrame:
+    """The rows that :func:`foes_and_changes` tells apart: the fold over who is what, in order, log by log.
+
+    A log is cut into chunks of ``size`` rows, each a task's work with one record a name.
+    All chunks are folded at once, as if nothing was known before them; then those for
+    which the chunks before left something else than they were given are folded again,
+    until there are none. A chunk is right once all before it are, so this ends, and with
+    what a fold from the start gives; as most names soon stay what they are, after a few
+    passes over few chunks. Where no evidence tells a class, it is that of most casts so far.
+    """
+    rows = stored(_in_chunks(_rows(events, spells), size), "chunked")
+    given = None
+    left = stored(_fold(rows, None), "folded")
+    cut = not rows.where("chunk > 0").isEmpty()
+    while cut:
+        states = left.where("left is not null").select("log_id", "chunk", "name", "left")
+        before = Window.partitionBy("log_id", "name").orderBy("chunk")
+        found = stored(states.withColumn("seed", F.lag("left").over(before)).where("seed is not null").select("log_id", "chunk", "name", "seed"), "seeds")
+        if given is None:
+            stale = found.select("log_id", "chunk").distinct()
+        else:
+            other = given.select("log_id", "chunk", "name", F.col("seed").alias("used"))
+            stale = found.join(other, ["log_id", "chunk", "name"], "left").where(~F.col("seed").eqNullSafe(F.col("used"))).select("log_id", "chunk").distinct()
+        stale = stored(stale, "stale")
+        if stale.isEmpty():
+            break
+        again = _fold(rows.join(stale, ["log_id", "chunk"], "left_semi"), found.join(stale, ["log_id", "chunk"], "left_semi"))
+        left, given = stored(left.join(stale, ["log_id", "chunk"], "left_anti").unionByName(again), "folded"), found
+    return left.where("left is null").withColumn("ts", F.timestamp_micros("ts")).select(*_TOLD)
 
 
 def entities_as_of(df: DataFrame, changes: DataFrame, name: str, seq: str) -> DataFrame:

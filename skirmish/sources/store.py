@@ -80,3 +80,11 @@ def spread(df: DataFrame) -> DataFrame:
     """Rows dealt over all cores if the input has fewer splits than that: one small or gzip file is one split, and patterns cost far more than the shuffle."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def arrow_schema(ddl: str):
+    """The Arrow schema of a schema given as text, for tasks that build batches."""
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(T._parse_datatype_string(ddl), prefers_large_types=False)
