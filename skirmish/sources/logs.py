@@ -26,9 +26,9 @@ def is_standard_server(server: Column) -> Column:
     return server.isNotNull() & ~server.isin(*NOT_STANDARD)
 
 
-def _named(lines: DataFrame) -> DataFrame:
-    """log_id is a file's name without folder and compression; owner and server come from it."""
-    name = F.regexp_extract(F.col("_path"), r"([^/]+?)(?:\.gz)?$", 1)
+def named_lines(lines: DataFrame) -> DataFrame:
+    """log_id is a file's name without folder, chunk number and compression; owner and server come from it."""
+    name = F.regexp_extract(F.col("_path"), r"([^/]+?)(?:\.\d+)?(?:\.gz)?$", 1)
     return lines.withColumns({"log_id": name, "owner": owner_of(name), "server": server_of(name)})
 
 
@@ -41,19 +41,23 @@ def read_logs(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     lines = spark.read.text(paths).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
     # one file is read by few tasks; lines of a task share the high bits of the id
     seq = F.col("_block") * (1 << 20) + F.col("_id").bitwiseAND((1 << 33) - 1)
-    return _named(lines).select("log_id", seq.alias("seq"), "owner", "server", "line")
+    return named_lines(lines).select("log_id", seq.alias("seq"), "owner", "server", "line")
 
 
 def stream_logs(spark: SparkSession, folder: str, files_per_trigger: int = 16) -> DataFrame:
     """The same lines from a folder of chunk files that a shipper adds to; a chunk is one file named like its log.
 
-    A chunk is read as one text and split, so ``seq`` orders lines by the time their
-    chunk was written, then by their place in it.
+    A chunk is read as one text and split, so ``seq`` orders lines by their chunk, then
+    by their place in it. Chunks of a log are ordered by the number that their names end
+    with (``.17``, ``.17.gz``). Without one it is the millisecond in which they were
+    written: where two may share one, as in stores that count seconds, number them, or
+    read whole logs as they grow (``growing.stream_growing``).
     """
     chunks = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).option("wholetext", True).text(folder)
     place = F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")).alias("_at", "line")
-    lines = chunks.select(F.col("_metadata.file_path").alias("_path"), F.unix_millis("_metadata.file_modification_time").alias("_written"), place)
-    return _named(lines).select("log_id", (F.col("_written") * (1 << 20) + F.col("_at")).alias("seq"), "owner", "server", "line")
+    number = F.regexp_extract("_metadata.file_path", r"\.(\d+)(?:\.gz)?$", 1).try_cast("long")
+    lines = chunks.select(F.col("_metadata.file_path").alias("_path"), F.coalesce(number, F.unix_millis("_metadata.file_modification_time")).alias("_written"), place)
+    return named_lines(lines).select("log_id", (F.col("_written") * (1 << 20) + F.col("_at")).alias("seq"), "owner", "server", "line")
 
 
 def numbered(lines: DataFrame) -> DataFrame:
