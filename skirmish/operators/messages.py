@@ -30,6 +30,8 @@ def third_person(verb: str) -> str:
 KINDS = {
     "short": ".+?",
     "long": ".+",
+    "plain": "[^.]+?",
+    "tongue": "[^,']+",
     "rest": ".*",
     "word": r"\w+",
     "number": r"\d+",

@@ -1,27 +1,25 @@
 """Typed events from texts: one table of rules, first match wins.
 
-A rule has a kind and forms; a form is a message template (see ``messages``) with
-what fills columns beside its slots: its pattern, a cue (a text that is cheap to
-look for before the pattern runs) and columns made of its groups.
-:func:`extract_events` turns the table into projections: the number of the first
-form that matches, that form's groups by one more run of its pattern, and columns
-made of the groups. All of it is column functions, so lines are matched where
-they are read, without a shuffle; the expression stays small, as forms that fill
-a column alike share a branch.
+A rule has a kind and forms; a form is one message of the game as a template (see
+``messages``) with what fills columns beside its slots: its pattern, a cue (a text that
+every such message holds) and columns made of its groups. One automaton over all cues
+tells which few patterns a line can match (see ``dispatch``). The number of the first
+that does, and its groups, come back as columns; all others are column functions of
+these, and forms that fill a column alike share a branch.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import partial, reduce
-from itertools import groupby
+from inspect import signature
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skirmish.functions.text import class_code, empty_to_null, fix_name, parse_mods
+from skirmish.operators.dispatch import Pattern, with_first_match
 from skirmish.operators.messages import FRENZY, compile_template
 
 #: Columns of every event beside log_id, seq, owner, server, ts, kind, text.
@@ -88,7 +86,8 @@ class Form:
     pattern: str
     columns: dict[str, Value]
     cue: str | None = None
-    unless: Made | None = None
+    unless: Callable[..., bool] | None = None
+    asked: tuple[int, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -100,22 +99,30 @@ class Rule:
 _PEOPLE = ("source", "target", "name", "killshot")
 
 
-def form(template: str, plain: Sequence[str] = (), unless: Made | None = None, **columns: Value) -> Form:
+def form(template: str, plain: Sequence[str] = (), unless: Callable[..., bool] | None = None, **columns: Value) -> Form:
     """A form from a message template: slots named like columns fill them, people as names but for those that are ``plain``.
 
-    Other columns are made of slots, which ``Made`` calls by name.
+    Other columns are made of slots, which ``Made`` calls by name; those of slots that the
+    message has not are null. ``unless`` takes the texts of the slots that it names.
     """
     told = compile_template(template)
 
     def placed(value: Value) -> Value:
-        return Made(value.by, tuple(told.slots[x] for x in value.of)) if isinstance(value, Made) else value
+        if not isinstance(value, Made):
+            return value
+        return Made(value.by, tuple(told.slots[x] for x in value.of)) if set(value.of) <= set(told.slots) else Is(None)
 
     filled: dict[str, Value] = {name: Who(n) if name in _PEOPLE and name not in plain else Group(n) for name, n in told.slots.items() if name in FAMILY_COLUMNS}
     filled |= {name: placed(value) for name, value in columns.items()}
     for name in ("source", "target"):
         if filled.get(name) == Is(_CORPSE):
             filled[name] = Who(told.slots[name], _CORPSE)
-    return Form(told.pattern, filled, told.cue, None if unless is None else placed(unless))
+    asked = tuple(told.slots[x] for x in signature(unless).parameters) if unless else ()
+    return Form(told.pattern, filled, told.cue, unless, asked)
+
+
+def _no_outcome(outcome: str) -> bool:
+    return outcome.rsplit(" ", 1)[-1] not in _OUTCOMES
 
 
 _CORPSE = "'s corpse"
@@ -154,23 +161,13 @@ def _outcome(m: Match, outcome: int) -> Column:
     return _one_of(_OUTCOMES, F.regexp_extract(m.group(outcome), r"(\w+)$", 1))
 
 
-def _of_you(m: Match, first: int, other: int) -> Column:
-    """A quirk kept: in "You have taken N damage from S by X" the source is you and the target X."""
-    return F.when(m.group(first) == "You", m.who(first)).otherwise(m.who(other))
-
-
-def _on_other(m: Match, first: int, other: int) -> Column:
-    return F.when(m.group(first) == "You", m.who(other)).otherwise(m.who(first))
-
+def _full(m: Match, full: int) -> Column:
+    return m.group(full).try_cast("long")
 
-def _full(m: Match, full: int, amount: int) -> Column:
-    return F.coalesce(m.group(full), m.group(amount)).try_cast("long")
 
-
-def _private(m: Match, to: int) -> Column:
-    channel = m.group(to)
-    tell = (channel == "you") | m.text.startswith("You told")
-    return F.when(tell, "tell").when(channel == "party", "group").otherwise(F.regexp_replace(channel, r":\d+$", ""))
+def _body(m: Match, source: int) -> Column:
+    """Whose body something was on."""
+    return fix_name(F.replace(F.trim(m.found(source)), F.lit(_CORPSE), F.lit("")), m.owner)
 
 
 _PUBLIC = {"say": "say", "says": "say", "shout": "shout", "shouts": "shout", "auction": "auction", "auctions": "auction", "say out of channel": "ooc", "says out of channel": "ooc"}
@@ -190,36 +187,88 @@ _QUANTITY = Made(lambda m, count: F.coalesce(m.group(count).try_cast("int"), F.l
 _ITEM = Made(lambda m, item: F.trim(m.group(item)), ("item",))
 _CLASS = Made(lambda m, n: class_code(m.group(n)), ("class",))
 _SPELL_OR_SONG = _word(casting="Spell", singing="Song", cast_a_spell="Spell", sing_a_song="Song")
-_HEALED = {"target": Made(_self, ("target", "source")), "full_amount": Made(_full, ("full", "amount")), "mods": _HEAL_MODS}
-_RECEIVED = {"source": Is(None), "full_amount": Made(_full, ("full", "amount"))}
+_HEALED = {"target": Made(_self, ("target", "source")), "full_amount": Made(_full, ("full",))}
+_RECEIVED = {"source": Is(None), "full_amount": Made(_full, ("full",))}
+_BODY = Made(_body, ("source",))
+_OUTCOME = Made(_outcome, ("outcome",))
+_SWUNG_AT = Made(lambda m, n: fix_name(F.regexp_replace(m.found(n), "^on ", ""), m.owner), ("target",))
+_CHANNEL = Made(lambda m, to: F.when(m.group(to) == "party", "group").otherwise(m.group(to)), ("to",))
+_PERCENT = Made(lambda m: empty_to_null(F.regexp_extract(m.text, r"\d+\.\d+", 0)).try_cast("decimal(12,6)"))
 _DOT, _DD, _DS = Is("dot"), Is("dd"), Is("ds")
 _JOINED, _LEFT = _word(group="GroupJoined", raid="RaidJoined"), _word(group="GroupLeft", party="GroupLeft", raid="RaidLeft")
 
+_HEALS = (
+    ("{source:plain} healed {target} over time for {amount}", _HEALED),
+    ("{target:word} has been healed over time for {amount}", _RECEIVED),
+    ("You have been healed over time for {amount}", _RECEIVED | {"target": _MINE}),
+    ("{source:plain} healed {target} for {amount}", _HEALED),
+    (r"{:long}\. {source:plain} healed {target} for {amount}", _HEALED),  # after what the heal looked like
+    ("{target} has been healed for {amount}", _RECEIVED),
+)
+_SPEECH = (
+    ("You told {to},", {"source": _MINE, "channel": Is("tell")}),
+    ("You say to your {to:word},", {"source": _MINE, "channel": _CHANNEL}),
+    ("You tell your {to:word},", {"source": _MINE, "channel": _CHANNEL}),
+    ("You tell {to:word}:{:number},", {"source": _MINE, "channel": _CHANNEL}),
+    ("You tell {to:word},", {"source": _MINE, "channel": _CHANNEL}),
+    ("{source} tells you,", {"channel": Is("tell")}),
+    ("{source} tells the {to:word},", {"channel": _CHANNEL}),
+    ("{source} tells {to:word}:{:number},", {"channel": _CHANNEL}),
+    ("{source} tells {to:word},", {"channel": _CHANNEL}),
+    *((f"{{source}} {said},", {"channel": Is(channel)}) for said, channel in _PUBLIC.items()),
+)
+
+
+def _spoken() -> tuple[Form, ...]:
+    """Each way to speak, plain and in a tongue; the raid's chat has a blank more before what is said."""
+    forms = []
+    for opening, columns in _SPEECH:
+        gap = " " if opening.endswith("tells the {to:word},") else ""
+        endings = [" '{message:long}'", " in {:tongue}, '{message:long}'", *([f" {gap}'{{message:long}}'"] if gap else [])]
+        forms += [form(opening + ending, **columns) for ending in endings]
+    return tuple(forms)
+
+
+def _healing() -> tuple[Form, ...]:
+    """Each way to tell of a heal, with and without the full amount and the spell; a pack's heals have no tag."""
+    forms = []
+    for opening, columns in _HEALS:
+        for full in (r" \({full}\)", ""):
+            for spell in (" by {spell}", *([] if "been" in opening or "over time" in opening else [""])):
+                own = dict(columns) if full else columns | {"full_amount": Made(lambda m, n: m.group(n).try_cast("long"), ("amount",))}
+                if opening.endswith("has been healed for {amount}"):
+                    forms.append(form(f"{opening}{full} hit points{spell}.", **own))
+                else:
+                    forms.append(form(f"{opening}{full} hit points{spell}.{{tag}}", mods=_HEAL_MODS, **own))
+    return tuple(forms)
+
+
+def _lines(templates: Sequence[str], **columns: Value) -> tuple[Form, ...]:
+    return tuple(form(t, **columns) for t in templates)
+
+
 DEFAULT_RULES: tuple[Rule, ...] = (
-    Rule("miss", (form("{source} (try|tries) to {:word} [on ]{target}, but {outcome}!{tag}", type=Made(_outcome, ("outcome",)), mods=_MISS_MODS, unless=Made(lambda m, n: _outcome(m, n).isNull(), ("outcome",))),)),
+    Rule("miss", (form("{source} tries to {:word} {target}, but {outcome}!{tag}", type=_OUTCOME, mods=_MISS_MODS, target=_SWUNG_AT, unless=_no_outcome), form("You try to {:word} {target}, but {outcome}!{tag}", source=_MINE, type=_OUTCOME, mods=_MISS_MODS, target=_SWUNG_AT, unless=_no_outcome))),
     Rule(
         "hit",
         (
-            form("{source:long} {verb:strike} {target} for {amount} point[s] of damage.{tag}", target=Made(_self, ("target", "source")), type=Made(_verb, ("verb",)), mods=_HIT_MODS, unless=Made(lambda m, n: m.group(n).startswith("by non-melee"), ("target",))),
+            form("{source:long} {verb:strike} {target} for {amount} point[s] of damage.{tag}", target=Made(_self, ("target", "source")), type=Made(_verb, ("verb",)), mods=_HIT_MODS, unless=lambda target: target.startswith("by non-melee")),
             form("{source} hit {target} for {amount} point[s] of {:word} damage by {spell}.{tag}", type=_DD, mods=_HIT_MODS),
+            form("{source} hit {target} for {amount} point[s] of non-melee damage.{tag}", type=_DD, mods=_HIT_MODS),
+            # quirk kept: what a named caster does to you counts as yours, on the caster
+            form("You have taken {amount} damage from {spell} by {target}.{tag}", source=_MINE, type=_DOT, mods=_HIT_MODS),
+            form("You have taken {amount} damage from {spell}.{tag}", target=_MINE, source=Is(None), type=_DOT, mods=_HIT_MODS),
+            form("You have taken {amount} damage by {spell}.{tag}", target=_MINE, source=Is(None), type=_DOT, mods=_HIT_MODS),
             form("{target} has taken {amount} damage from your {spell}.{tag}", source=_MINE, type=_DOT, mods=_HIT_MODS),
-            form("{first} (has|have) taken {amount} damage from {spell} by {other}.{tag}", source=Made(_of_you, ("first", "other")), target=Made(_on_other, ("first", "other")), type=_DOT, mods=_HIT_MODS),
-            form("{target} (has|have) taken {amount} damage (from|by) {spell}.{tag}", source=Is(None), type=_DOT, mods=_HIT_MODS),
-            form("{target} (is|are) {:word} by {source} {:word} for {amount} point[s] of non-melee damage(.|!)", type=_DS),
+            form("{target} has taken {amount} damage from {spell} by {source}.{tag}", type=_DOT, mods=_HIT_MODS),
+            form("{target} has taken {amount} damage from {spell}.{tag}", source=Is(None), type=_DOT, mods=_HIT_MODS),
+            form("{target} has taken {amount} damage by {spell}.{tag}", source=Is(None), type=_DOT, mods=_HIT_MODS),
+            form("{target} is {:word} by {source} {:word} for {amount} point[s] of non-melee damage.", type=_DS),
+            form("YOU are {:word} by {source} {:word} for {amount} point[s] of non-melee damage!", target=_MINE, type=_DS),
             form("{target} was chilled to the bone for {amount} point[s] of non-melee damage.", source=Made(lambda m, n: m.who(n), ("target",)), type=_DS),
-            form("{source} hit {target} for {amount} point[s] of non-melee damage.{tag}", type=_DD, mods=_HIT_MODS),
-        ),
-    ),
-    Rule(
-        "heal",
-        (
-            form(r"{source} healed {target} over time for {amount}[ \({full}\)] hit points by {spell}.{tag}", **_HEALED),
-            form(r"{target:word} (has|have) been healed over time for {amount}[ \({full}\)] hit points by {spell}.{tag}", **_RECEIVED, mods=_HEAL_MODS),
-            form(r"{source} healed {target} for {amount}[ \({full}\)] hit points[ by {spell}].{tag}", **_HEALED, unless=Made(lambda m, a, b: m.group(a).contains(".") | m.group(b).contains(". "), ("source", "target"))),
-            form(r"...\. {source} healed {target} for {amount}[ \({full}\)] hit points[ by {spell}].{tag}", **_HEALED),
-            form(r"{target} has been healed for {amount}[ \({full}\)] hit points by {spell}.", **_RECEIVED),
         ),
     ),
+    Rule("heal", _healing()),
     Rule(
         "casting",
         (
@@ -228,20 +277,16 @@ DEFAULT_RULES: tuple[Rule, ...] = (
             form("{source} begins to {what:cast a spell|sing a song}. <{spell:long}>", type=_SPELL_OR_SONG),
         ),
     ),
-    Rule("death", (form("{name:long} died."), form("{name:long} (have|has) been slain by {killshot:long}!"), form("You have slain {name:long}!", killshot=_MINE))),
-    Rule(
-        "chat",
-        (
-            form("{source} (say to your|tells the|tell your|tells|told|tell) {to}, [in {:long}, ][ ]'{message:long}'", channel=Made(_private, ("to",))),
-            form("{source} {how:" + "|".join(sorted(_PUBLIC, key=len, reverse=True)) + "}, [in {:long}, ]'{message:long}'", channel=Made(lambda m, how: _one_of(_PUBLIC, m.group(how)), ("how",))),
-        ),
-    ),
-    Rule("zone", (form("You have entered {name:long}.", plain=("name",), unless=Made(lambda m, n: m.group(n).isin(*_TRUE_ZONE), ("name",))),)),
+    Rule("death", (form("{name:long} died."), form("{name:long} has been slain by {killshot:long}!"), form("You have been slain by {killshot:long}!", name=_MINE), form("You have slain {name:long}!", killshot=_MINE))),
+    Rule("chat", _spoken()),
+    Rule("zone", (form("You have entered {name:long}.", plain=("name",), unless=lambda name: name in _TRUE_ZONE),)),
     Rule(
         "party",
         (
-            form("{name}[ (have|has)] joined the {what:group|raid}.", status=_JOINED),
-            form("{name} (have been|has been|has|were) (left|removed from) the {what:group|raid}.", status=_LEFT),
+            *_lines(("You have joined the {what:group|raid}.", "You joined the {what:group|raid}."), name=_MINE, status=_JOINED),
+            *_lines(("{name} has joined the {what:group|raid}.", "{name} joined the {what:group|raid}."), status=_JOINED),
+            *_lines(("You have left the {what:group|raid}.", "You have been removed from the {what:group|raid}.", "You were removed from the {what:group|raid}."), name=_MINE, status=_LEFT),
+            *_lines(("{name} has left the {what:group|raid}.", "{name} has been removed from the {what:group|raid}.", "{name} were removed from the {what:group|raid}."), status=_LEFT),
             form("You remove {name} from the {what:group|party|raid}.", status=_LEFT),
             form("* {name} has {what:left|entered} channel {:word}:{:number}", status=_word(left="ChannelLeft", entered="ChannelJoined")),
         ),
@@ -255,24 +300,32 @@ DEFAULT_RULES: tuple[Rule, ...] = (
             form(r"Targeted \(Player\): {name:word}", plain=("name",), level=Is(0)),
         ),
     ),
-    Rule("consider", (form(r"{name}[ -{note:long}] {faction:regard} -- {strength:long} \(Lvl: {level}\)", plain=("name",), rare=Made(lambda m, n: m.group(n).isNotNull(), ("note",))),)),
+    Rule(
+        "consider",
+        (
+            form(r"{name} - {:long} - {faction:regard} -- {strength:long} \(Lvl: {level}\)", plain=("name",), rare=Is(True)),
+            form(r"{name} {faction:regard} -- {strength:long} \(Lvl: {level}\)", plain=("name",), rare=Is(False)),
+        ),
+    ),
     Rule(
         "loot",
         (
-            form("--{name:word} {:word} looted {count:count} {item:thing}[ from {source:thing}][ ].--", source=_LIVING, item=_ITEM, qty=_QUANTITY),
-            form("{name:word} grabbed a {item:long} from {source:thing}[ ].", source=_LIVING, item=_ITEM, qty=Is(1)),
-            form("--{name:word} stole {item:long} from {source:long}!--", qty=Is(1), unless=Made(lambda m, n: m.group(n) == "coin", ("item",))),
+            *_lines(("--You have looted {count:count} {item:thing} from {source:thing}.--", "--You have looted {count:count} {item:thing}.--"), name=_MINE, source=_BODY, item=_ITEM, qty=_QUANTITY),
+            *_lines(("--{name:word} has looted {count:count} {item:thing} from {source:thing}.--", "--{name:word} has looted {count:count} {item:thing}.--"), source=_BODY, item=_ITEM, qty=_QUANTITY),
+            form("{name:word} grabbed a {item:long} from {source:thing}.", source=_BODY, item=_ITEM, qty=Is(1)),
+            form("--{name:word} stole {item:long} from {source:long}!--", qty=Is(1), unless=lambda item: item == "coin"),
         ),
     ),
     Rule(
         "rot",
         (
-            form("--{name:word} left {count:count} {item:thing} on {source:thing}[ ].--", source=_LIVING, item=_ITEM),
-            form("--{count:count} {item:long} (was|were) left on {source:thing}.--", source=_LIVING, item=_ITEM),
+            form("--You left {count:count} {item:thing} on {source:thing}.--", name=_MINE, source=_BODY, item=_ITEM),
+            form("--{name:word} left {count:count} {item:thing} on {source:thing}.--", source=_BODY, item=_ITEM),
+            *_lines(("--{count:count} {item:long} was left on {source:thing}.--", "--{count:count} {item:long} were left on {source:thing}.--"), source=_BODY, item=_ITEM),
         ),
     ),
     Rule("craft", (form("You have fashioned the items together to create {:title}: {item:thing}.", name=_MINE),)),
-    Rule("xp", (form("You gain[ed] {what:experience|party|raid}...", type=_word(experience="SoloXP", party="GroupXP", raid="RaidXP"), xp=Made(lambda m: empty_to_null(F.regexp_extract(m.text, r"\d+\.\d+", 0)).try_cast("decimal(12,6)"))),)),
+    Rule("xp", tuple(form(f"{gain} {{what:experience|party|raid}}...", type=_word(experience="SoloXP", party="GroupXP", raid="RaidXP"), xp=_PERCENT) for gain in ("You gain", "You gained"))),
     Rule("aaxp", (form(r"You have gained {amount} ability point\(s\)!  You now have {total} ability point\(s\)."),)),
     Rule("aa_purchase", (form('You have gained the ability "{name}" at a cost of {cost} ability point[s].', plain=("name",)), form("You have improved {name} at a cost of {cost} ability point[s].", plain=("name",)))),
     Rule("skill", (form(r"You have become better at {name:long}! \({level}\)", plain=("name",)),)),
@@ -281,8 +334,8 @@ DEFAULT_RULES: tuple[Rule, ...] = (
     Rule(
         "taunt",
         (
-            form("{source:word} (capture|has captured|was partially successful in capturing) {target:long}'s attention(.|!)"),
-            form("{source:word} (capture|has captured) {target:long}'s attention with (an unparalleled approach|your unparalleled reproach)!"),
+            *_lines(("You capture {target:long}'s attention!", "You capture {target:long}'s attention with your unparalleled reproach!"), source=_MINE),
+            *_lines(("{source:word} has captured {target:long}'s attention!", "{source:word} has captured {target:long}'s attention with an unparalleled approach!", "{source:word} was partially successful in capturing {target:long}'s attention.")),
             form("{source:word} captures the attention of everything in the area!"),
         ),
     ),
@@ -293,7 +346,7 @@ DEFAULT_RULES: tuple[Rule, ...] = (
             form("{source:word} rolled a {roll} on {item:long}.", min=Is(1), max=Is(1000)),
         ),
     ),
-    Rule("coin", (form("(You receive|Alive group members received) {:number}...", **{m: _metal(m) for m in ("platinum", "gold", "silver", "copper")}),)),
+    Rule("coin", tuple(form(f"{opening} {{:number}}...", **{m: _metal(m) for m in ("platinum", "gold", "silver", "copper")}) for opening in ("You receive", "Alive group members received"))),
     Rule("output_file", (form("Outputfile Complete: {file_name:rest}"),)),
     Rule(
         "cast_fail",
@@ -304,37 +357,12 @@ DEFAULT_RULES: tuple[Rule, ...] = (
             form("{source}'s {spell} spell fizzles!", type=Is("fizzle")),
         ),
     ),
-    Rule("cure", (form("{target} (is|are) cured of {spell} by {source}."),)),
+    Rule("cure", (*_lines(("You are cured of {spell} by {source}.",), target=_MINE), form("{target} is cured of {spell} by {source}."))),
 )
 #: Not among the defaults: the text has y before x.
 LOCATION = Rule("location", (form("Your Location is {y:whole}{:short}, {x:whole}{:short}, {z:whole}..."),))
 
 
-def _form_number(forms: Sequence[Form]) -> Column:
-    """The place of the first form that matches, or null; forms that follow one another share the look for their cue."""
-    parts = []
-    for cue, run in groupby(enumerate(forms), key=lambda x: x[1].cue):
-        number = None
-        for k, form in run:
-            test = F.col("text").rlike(form.pattern)
-            if form.unless is not None:
-                found = Match(partial(F.regexp_extract, F.col("text"), form.pattern))
-                test &= ~F.coalesce(form.unless.by(found, *form.unless.of), F.lit(False))
-            number = F.when(test, k) if number is None else number.when(test, k)
-        parts.append(F.when(F.col("text").contains(cue), number) if cue else number)
-    return F.coalesce(*parts)
-
-
-def _groups(forms: Sequence[Form]) -> Column:
-    """All groups of the form found, by one replacement: what stands before the match, then group after group. A line holds no line break."""
-    out = None
-    for k, form in enumerate(forms):
-        marks = "".join(f"\n${n + 1}" for n in range(re.compile(form.pattern).groups))
-        text = F.regexp_replace("text", F.lit(form.pattern), F.lit(marks + "\n"))
-        out = F.when(F.col("_form") == k, text) if out is None else out.when(F.col("_form") == k, text)
-    return F.split(out, "\n")
-
-
 def _column(name: str, kind: str, forms: Sequence[Form]) -> Column:
     """One column over all forms: forms that fill it alike share one branch, and all names are put right in one place."""
     ways: dict[Value, list[int]] = {}
@@ -361,13 +389,11 @@ def _value(way: Value, match: Match, kind: str) -> Column:
 def extract_events(lines: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES) -> DataFrame:
     """(log_id, seq, owner, server, ts, kind, text, family columns): kind is ``raw`` where no rule matches.
 
-    A number too large for its column is null. Form and groups come out of a
-    generator, as the optimizer would copy their patterns into every later filter
-    on a column if they were plain columns.
+    A number too large for its column is null. Lines are matched where they are read,
+    batch by batch (:func:`dispatch.first_match`): no shuffle, a few patterns a line.
     """
     kinds, forms = zip(*((r.kind, f) for r in rules for f in r.forms), strict=True)
-    numbered = lines.withColumn("_form", _form_number(forms))
-    found = numbered.select(*lines.columns, F.inline(F.array(F.struct("_form", _groups(forms).alias("_groups")))))
+    found = with_first_match(lines, [Pattern(f.pattern, f.cue, f.unless, f.asked) for f in forms], "text", "_form", "_groups")
     kind = F.coalesce(F.get(F.array(*map(F.lit, kinds)), F.col("_form")), F.lit("raw"))
     return found.select("log_id", "seq", "owner", "server", "ts", kind.alias("kind"), "text", *[_column(n, k, forms).alias(n) for n, k in FAMILY_COLUMNS.items()])
 

@@ -66,11 +66,11 @@ _ASIDE = f""" SELECT seq, {_KINDS}[k + 1] AS kind, CASE WHEN k IN (0, 10, 11, 14
 _INTS = ("level", "total", "cost", "min", "max", "roll", "gold", "copper")
 
 
-@query(_COMBAT + f", told AS ({_ASIDE.replace(chr(39) + 'Tear' + chr(39), chr(39) + 'Tin Ear ' + chr(39) + ' || (i % 5)')}) SELECT * REPLACE ({', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in ('amount', *_INTS))}) FROM told")
+@query(_COMBAT + f", told AS ({_ASIDE.replace(chr(39) + 'Tear' + chr(39), chr(39) + 'Tin Ear ' + chr(39) + ' || (i % 5)')} UNION ALL BY NAME SELECT seq, 'consider' AS kind, name, 44 AS level, false AS rare, 'it appears quite formidable.' AS strength FROM extra WHERE kind = 'consider') SELECT * REPLACE ({', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in ('amount', *_INTS))}) FROM told")
 def side_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chat, considering, trade, progress, dice, coins, cures and the like, with their columns."""
     kinds = ("chat", "consider", "rot", "craft", "xp", "aaxp", "aa_purchase", "skill", "shield", "rescued", "taunt", "dice", "coin", "output_file", "cast_fail", "cure")
-    e = rendered.events(spark, sf_dir).where(F.col("kind").isin(*kinds) & (F.col("seq") % rendered.PLACES == 5))
+    e = rendered.events(spark, sf_dir).where(F.col("kind").isin(*kinds))
     return e.select("seq", "kind", "source", "target", "name", "type", "spell", "item", "channel", "message", "rare", "strength", F.col("xp").cast("string").alias("xp"), "amount", *[F.col(c).cast("long").alias(c) for c in _INTS], "file_name")
 
 
