@@ -158,10 +158,15 @@ def _decide(a: _Known, b: _Known, a_pet: bool, b_pet: bool) -> int:
 
 
 class _Fold:
-    """The fold over one chunk of a log: what is known of each name, and what it tells."""
+    """The fold over one chunk of a log: what is known of each name, and what it tells.
+
+    A line can tell of a name more than once; one row is left of it, with what is known after.
+    """
 
     def __init__(self, log_id: str, chunk: int):
         self.key, self.known, self.out = (log_id, chunk), {}, []
+        self.line: tuple | None = None  # seq and time of the line
+        self.told: dict[str, tuple] = {}  # by name: the foe, and whether the state changed
 
     def of(self, name: str, owner: str | None) -> _Known:
         k = self.known.get(name)
@@ -169,16 +174,24 @@ class _Fold:
             k = self.known[name] = _Known(owner)
         return k
 
-    def tell(self, r: tuple, name: str, k: _Known, before: tuple | None, foe: str | None = None, always: bool = False) -> None:
-        """A row if the state is not what was told last; between two tellings it does not change."""
-        now = k.state()
-        changed = always or not k.told or now != before
+    def tell(self, name: str, k: _Known, before: tuple | None, foe: str | None = None, always: bool = False) -> None:
+        """The state is told if it is not what was told last; between two tellings it does not change."""
+        changed = always or not k.told or k.state() != before
         if changed or foe:
-            self.out.append((*self.key, r[2], name, *now, foe, r[3], changed, None))
+            also, had = self.told.get(name, (None, False))
+            self.told[name] = (foe or also, changed or had)
         k.told = True
 
+    def end_line(self) -> None:
+        for name, (foe, changed) in self.told.items():
+            self.out.append((*self.key, self.line[0], name, *self.known[name].state(), foe, self.line[1], changed, None))
+        self.told = {}
+
     def take(self, r: tuple) -> None:
         _, _, _, micros, step, a, b, type_, player, clears, owner, cls, level, hint, a_owner, b_owner, a_pet, b_pet = r
+        if self.line is None or r[2] != self.line[0]:
+            self.end_line()
+            self.line = (r[2], micros)
         k = self.of(a, a_owner)
         if step == SWING:
             other = self.of(b, b_owner)
@@ -187,12 +200,12 @@ class _Fold:
             foe = 0 if a == b or k.owner == b or other.owner == a or (k.player and other.player) else _decide(k, other, a_pet, b_pet)
             if not foe:
                 if not k.told:
-                    self.tell(r, a, k, None)
+                    self.tell(a, k, None)
                 return
             mine, its = k.state(), other.state()
             k.type, other.type = (FOE, FRIEND) if foe == 1 else (FRIEND, FOE)
-            self.tell(r, b, other, its)
-            self.tell(r, a, k, mine, a if foe == 1 else b)
+            self.tell(b, other, its)
+            self.tell(a, k, mine, a if foe == 1 else b)
         elif step == EVIDENCE:
             if type_ == "pet-friend":
                 if not k.player:
@@ -206,16 +219,16 @@ class _Fold:
             k.level = level if level is not None else k.level
             if hint is not None:
                 k.hints[hint] = k.hints.get(hint, 0) + 1
-            self.tell(r, a, k, None, always=True)
+            self.tell(a, k, None, always=True)
         elif step == HEAL:
             if b is not None and self.of(b, b_owner).player:
                 before, k.type = k.state(), FRIEND
-                self.tell(r, a, k, before)
+                self.tell(a, k, before)
         else:
             k.aggro = None
             if not k.player:
                 before, k.type = k.state(), UNKNOWN
-                self.tell(r, a, k, before)
+                self.tell(a, k, before)
 
     def left(self) -> list[tuple]:
         """What is known at the end of the chunk, a row a name that is in it."""
@@ -275,6 +288,7 @@ def _fold(rows: DataFrame, seeds: DataFrame | None) -> DataFrame:
             for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if fold is None or fold.key != r[:2]:
                     if fold is not None:
+                        fold.end_line()
                         out += fold.out + fold.left()
                     fold = _Fold(*r[:2])
                 if r[4] == SEED:
@@ -286,7 +300,8 @@ def _fold(rows: DataFrame, seeds: DataFrame | None) -> DataFrame:
                 fold.out = []
             yield _batch(out, schema)
         if fold is not None:
-            yield _batch(fold.left(), schema)
+            fold.end_line()
+            yield _batch(fold.out + fold.left(), schema)
 
     ordered = given.select(*_ROW, "seed").repartition("log_id", "chunk").sortWithinPartitions("log_id", "chunk", "seq", "step")
     return ordered.mapInArrow(run, _FOLDED)

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from skirmish.functions import text as names
 from skirmish.operators import attribution, buffs, entities, fights, loot, merge, rollups, rules, ticks
 from skirmish.operators.lines import rejected_lines
-from skirmish.plans import expected, rendered, reports
+from skirmish.plans import duel, expected, rendered, reports
 from skirmish.plans.rendered import Tables, table
 from skirmish.sources import logs, rosters, sinks, spells, store
 from skirmish.streaming import live
@@ -606,5 +606,18 @@ def registry_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rosters.import_registry(text, F.lit("2024-02-01").cast("date")).withColumn("updated_on", F.col("updated_on").cast("string"))
 
 
+@query(duel.FOES)
+def duel_foes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The foe of every swing in a log of duels: conflicts, pets, aggression and deaths decide."""
+    return entities.foes_and_changes(duel.folded(spark, sf_dir))[0]
+
+
+@query(duel.ENTITIES)
+def duel_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is known of everyone in the end: type, owner by tells, spells, landing texts and names, class by deeds and casts."""
+    changes = entities.foes_and_changes(duel.folded(spark, sf_dir))[1]
+    return entities.current_entities(changes).select("log_id", "name", "type", "is_player", "owner", "class", "level")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_damage(spark, sf_dir)
