@@ -115,17 +115,54 @@ def unmerged(fights: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
     return plain if chosen is None else plain.join(chosen.select("fight_id").distinct(), "fight_id", "left_semi")
 
 
+#: The sums that a fight's tail is told by, and what else goes with each.
+TAIL = {"outbound_hit_sum": ("damage", 0.05), "inbound_melee_sum": ("tanking", 0.1), "outbound_heal_sum": ("healing", 0.1)}
+#: The part of the tail that a series belongs to.
+SERIES_PARTS = {"dps": "damage", "tank_dps": "tanking", "inbound_hps": "tanking", "hps": "healing"}
+
+
+def tail_names(participants: DataFrame, damage: float = 0.05, tank: float = 0.1, heal: float = 0.1) -> DataFrame:
+    """(fight_id, name, part, alias): whose share of the largest is too small, by part: damage, tanking or healing. All become ``*Other``."""
+    shares = {"outbound_hit_sum": damage, "inbound_melee_sum": tank, "outbound_heal_sum": heal}
+    top = participants.groupBy("fight_id").agg(*[F.max(c).alias(f"_{c}") for c in TAIL])
+    parts = F.array(*[F.when(F.col(c) < F.col(f"_{c}") * shares[c], F.lit(part)) for c, (part, _) in TAIL.items()])
+    low = participants.join(top, "fight_id").select("fight_id", "name", F.explode(F.array_compact(parts)).alias("part"))
+    return low.withColumn("alias", F.lit(OTHER))
+
+
+def renamed(rows: DataFrame, names: DataFrame, column: str = "name", part: Column | None = None) -> DataFrame:
+    """Rows of fights with a name column replaced by its alias, where ``names`` (fight_id, name, alias) has one; of its ``part``, if they come in parts."""
+    of = names.select(F.col("fight_id").alias("_of_fight"), F.col("name").alias("_of"), F.col("alias").alias("_alias"), *([F.col("part").alias("_of_part")] if part is not None else []))
+    met = (F.col("fight_id") == F.col("_of_fight")) & (F.col(column) == F.col("_of"))
+    if part is not None:
+        met &= part == F.col("_of_part")
+    return rows.join(of, met, "left").withColumn(column, F.coalesce("_alias", column)).select(*rows.columns)
+
+
+def fold_rows(rows: DataFrame, names: DataFrame, part: str | Column, sums: list[str], most: list[str] | None = None) -> DataFrame:
+    """Child rows (attacks, defenses, heals, series) with the tail's under one name: ``sums`` add up, of ``most`` the largest stays, the rest are keys."""
+    told = renamed(rows, names, part=F.lit(part) if isinstance(part, str) else part)
+    keys = [c for c in rows.columns if c not in sums and c not in (most or [])]
+    return told.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums], *[F.max(c).alias(c) for c in most or []]).select(*rows.columns)
+
+
+def fold_series(series: DataFrame, names: DataFrame) -> DataFrame:
+    """Series with the tail's as one of ``*Other``, each metric by its own part."""
+    part = F.try_element_at(F.create_map(*[F.lit(x) for kv in SERIES_PARTS.items() for x in kv]), F.col("metric"))
+    return fold_rows(series, names, part, ["value"])
+
+
 def fold_tail(participants: DataFrame, damage: float = 0.05, tank: float = 0.1, heal: float = 0.1) -> DataFrame:
     """Small shares folded into one ``*Other``: damage, tanking and healing each against a share of the largest of the fight.
 
     Needs fight_id, name, outbound_hit_sum, inbound_melee_sum and outbound_heal_sum;
-    returns those, for names with anything left.
+    returns those, for names with anything left. Child rows follow by :func:`fold_rows`
+    and :func:`fold_series` with the same names.
     """
-    fight = Window.partitionBy("fight_id")
-    parts = [("outbound_hit_sum", damage), ("inbound_melee_sum", tank), ("outbound_heal_sum", heal)]
-    ranked = participants.withColumns({f"_{c}": F.max(c).over(fight) * share for c, share in parts})
-    spread = F.explode(F.array(*[F.struct(F.when(F.col(c) < F.col(f"_{c}"), OTHER).otherwise(F.col("name")).alias("name"), *[(F.col(c) if c == o else F.lit(0).cast("long")).alias(o) for o, _ in parts]) for c, _ in parts]))
-    rows = ranked.select("fight_id", spread.alias("r")).groupBy("fight_id", F.col("r.name").alias("name")).agg(*[F.sum(f"r.{c}").alias(c) for c, _ in parts])
+    names = tail_names(participants, damage, tank, heal)
+    each = [F.struct(F.lit(part).alias("part"), *[(F.col(c) if c == o else F.lit(0).cast("long")).alias(o) for o in TAIL]) for c, (part, _) in TAIL.items()]
+    spread = participants.select("fight_id", "name", F.explode(F.array(*each)).alias("r")).select("fight_id", "name", "r.*")
+    rows = renamed(spread, names, part=F.col("part")).groupBy("fight_id", "name").agg(*[F.sum(c).alias(c) for c in TAIL])
     return rows.where((F.col("outbound_hit_sum") > 0) | (F.col("inbound_melee_sum") > 0) | (F.col("outbound_heal_sum") > 0))
 
 
@@ -176,17 +213,27 @@ def raid_headers(membership: DataFrame, raids: DataFrame, fights: DataFrame) ->
     return merged_header(membership, fights).join(named, "fight_id").withColumns({"name": F.col("_name"), "zone": F.col("_zone")}).drop("_name", "_zone")
 
 
-def anonymize(participants: DataFrame, order: Column) -> tuple[DataFrame, DataFrame]:
-    """(participants, decoder): names become Player1, Player2, ... in order, owners after those they come with; targets keep theirs."""
+def anonymous_aliases(participants: DataFrame, order: Column, heals: DataFrame | None = None) -> DataFrame:
+    """(fight_id, name, alias): Player1, Player2, ... as names come up: a participant, its owner, then those it healed, by ``place``. Targets keep theirs.
+
+    ``heals`` has (fight_id, name, target, place).
+    """
     named = participants.withColumn("_o", order)
     owner = F.col("pet_owner") if "pet_owner" in participants.columns else F.lit(None).cast("string")
     said = named.where(~F.col("is_target")).select("fight_id", "_o", F.posexplode(F.array("name", owner)).alias("p", "name")).where("name is not null")
+    said = said.select("fight_id", "name", F.struct(F.col("_o").cast("long").alias("o"), F.col("p").alias("p"), F.lit(0).cast("long").alias("place")).alias("at"))
+    if heals is not None:
+        healers = named.where(~F.col("is_target")).select("fight_id", F.col("name").alias("healer"), "_o")
+        healed = heals.select("fight_id", F.col("name").alias("healer"), F.col("target").alias("name"), F.col("place").cast("long").alias("place")).join(healers, ["fight_id", "healer"])
+        said = said.unionByName(healed.select("fight_id", "name", F.struct(F.col("_o").cast("long").alias("o"), F.lit(2).alias("p"), "place").alias("at")).where("name is not null"))
     target = participants.where("is_target").select("fight_id", "name")
-    first = said.join(target, ["fight_id", "name"], "left_anti").groupBy("fight_id", "name").agg(F.min(F.struct("_o", "p")).alias("o"))
-    alias = F.concat(F.lit("Player"), F.row_number().over(Window.partitionBy("fight_id").orderBy("o", "name")))
-    decoder = first.select("fight_id", "name", alias.alias("alias"))
-    out = named.join(decoder, ["fight_id", "name"], "left").withColumn("name", F.coalesce("alias", "name")).drop("alias", "_o")
-    if "pet_owner" in participants.columns:
-        own = decoder.select("fight_id", F.col("name").alias("pet_owner"), F.col("alias").alias("_a"))
-        out = out.join(own, ["fight_id", "pet_owner"], "left").withColumn("pet_owner", F.coalesce("_a", "pet_owner")).drop("_a")
-    return out, decoder
+    first = said.join(target, ["fight_id", "name"], "left_anti").groupBy("fight_id", "name").agg(F.min("at").alias("at"))
+    alias = F.concat(F.lit("Player"), F.row_number().over(Window.partitionBy("fight_id").orderBy("at", "name")))
+    return first.select("fight_id", "name", alias.alias("alias"))
+
+
+def anonymize(participants: DataFrame, order: Column, heals: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(participants, decoder): names and owners by their aliases. Child tables follow by :func:`renamed` with the decoder, column by column."""
+    decoder = anonymous_aliases(participants, order, heals)
+    out = renamed(participants, decoder)
+    return renamed(out, decoder, "pet_owner") if "pet_owner" in participants.columns else out, decoder

@@ -425,6 +425,47 @@ def anonymous_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.anonymize(people, F.col("rank_in_fight"))[1]
 
 
+_LOW = """, low AS (SELECT fight_id, name, outbound_hit_sum < 0.3 * max(outbound_hit_sum) OVER (PARTITION BY fight_id) AS few_hits, inbound_melee_sum < 0.3 * max(inbound_melee_sum) OVER (PARTITION BY fight_id) AS little_taken FROM people)"""
+
+
+def _tail(t: Tables) -> DataFrame:
+    people = rollups.participant_rollup(t.rows).withColumn("outbound_heal_sum", F.lit(0).cast("long"))
+    return merge.tail_names(people, damage=0.3, tank=0.3)
+
+
+@query(_FIGHTS + _LOW + """ SELECT fight_id, CASE WHEN few_hits THEN '*Other' ELSE name END AS name, attack, CAST(sum(hit_count) AS BIGINT) AS hit_count, CAST(sum(hit_sum) AS BIGINT) AS hit_sum, max(hit_max) AS hit_max, CAST(sum(crit_count) AS BIGINT) AS crit_count, CAST(sum(crit_sum) AS BIGINT) AS crit_sum
+FROM attacks LEFT JOIN low USING (fight_id, name) GROUP BY 1, 2, 3""")
+def tail_attacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attacks, those of who did little damage together."""
+    t = Tables(spark, sf_dir)
+    rows = rollups.attack_rollup(t.rows).select("fight_id", "name", "attack", "hit_count", "hit_sum", "hit_max", "crit_count", "crit_sum")
+    return merge.fold_rows(rows, _tail(t), "damage", ["hit_count", "hit_sum", "crit_count", "crit_sum"], ["hit_max"])
+
+
+@query(_FIGHTS + _LOW + """ SELECT fight_id, CASE WHEN CASE metric WHEN 'dps' THEN few_hits ELSE little_taken END THEN '*Other' ELSE name END AS name, metric, tick, CAST(sum(value) AS BIGINT) AS value FROM series LEFT JOIN low USING (fight_id, name) GROUP BY 1, 2, 3, 4""")
+def tail_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Series of six-second ticks, those of the tail as one a metric."""
+    t = Tables(spark, sf_dir)
+    return merge.fold_series(ticks.tick_series(t.rows), _tail(t))
+
+
+@query(_FIGHTS + expected.HEALS + """, done AS (SELECT fight_id, source AS name, target, CAST(sum(amount) AS BIGINT) AS hit_sum FROM healed GROUP BY 1, 2, 3 HAVING sum(amount) > 0
+), listed AS (SELECT *, row_number() OVER (PARTITION BY fight_id, name ORDER BY hit_sum DESC, target) AS place FROM done
+), said AS (SELECT fight_id, name, rank_in_fight AS o, 0 AS p, 0 AS place FROM ranked WHERE NOT is_target UNION ALL SELECT l.fight_id, l.target, r.rank_in_fight, 2, l.place FROM listed l JOIN ranked r ON r.fight_id = l.fight_id AND r.name = l.name AND NOT r.is_target
+), firsts AS (SELECT s.fight_id, s.name, min({'o': o, 'p': p, 'place': s.place}) AS spot FROM said s JOIN fights f ON f.fight_id = s.fight_id AND f.foe <> s.name GROUP BY 1, 2
+), aliases AS (SELECT fight_id, name, 'Player' || row_number() OVER (PARTITION BY fight_id ORDER BY spot, name) AS alias FROM firsts)
+SELECT d.fight_id, coalesce(a.alias, d.name) AS name, coalesce(b.alias, d.target) AS target, d.hit_sum FROM done d JOIN ranked r ON r.fight_id = d.fight_id AND r.name = d.name
+LEFT JOIN aliases a ON a.fight_id = d.fight_id AND a.name = d.name LEFT JOIN aliases b ON b.fight_id = d.fight_id AND b.name = d.target""")
+def anonymous_heals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heals of participants with healers and healed by their aliases."""
+    t = Tables(spark, sf_dir)
+    people = rollups.participant_rollup(t.rows)
+    place = F.row_number().over(Window.partitionBy("fight_id", "name").orderBy(F.col("hit_sum").desc(), "target"))
+    done = rollups.heal_rollup(_heals(t)).join(people.select("fight_id", "name"), ["fight_id", "name"], "left_semi")
+    decoder = merge.anonymize(people, F.col("rank_in_fight"), done.withColumn("place", place))[1]
+    return merge.renamed(merge.renamed(done, decoder), decoder, "target").select("fight_id", "name", "target", "hit_sum")
+
+
 _RAIDS = expected.RAID_SESSIONS + """, part AS (SELECT *, replace(zone, 'Zone', 'Raid') AS raid, foe = 'Mob8' AND status = 'Killed' AS ended, epoch(started_on) AS began FROM fights WHERE party = 'Raid' AND zone IS NOT NULL),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY log_id, raid ORDER BY updated_on, end_seq) AS n FROM part),
 chain AS (SELECT log_id, raid, n, fight_id, began AS since, 0 AS k, ended FROM numbered WHERE n = 1

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -26,15 +26,36 @@ def write_json(df: DataFrame, path: str, mode: str = "append") -> None:
     df.write.mode(mode).json(path)
 
 
-def write_once(df: DataFrame, path: str, key: str = "fight_id") -> None:
-    """Append the rows whose key the table at ``path`` does not have; keys that come twice are written once.
+#: Parts by key that a table of :func:`write_once` has, and the column that names them.
+PARTS = 256
+PART = "key_part"
+
+
+def part_of(key: str) -> Column:
+    return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(PARTS)).cast("int")
+
+
+def unwritten(df: DataFrame, path: str, key: str) -> DataFrame:
+    """The rows of a batch whose key the table at ``path`` does not have, one a key.
 
-    Of the table only the key column is read. Only a missing table counts as a first write.
+    The table is parted by a hash of the key; only the parts that the batch's keys fall
+    into are read (there are at most ``PARTS``, so their numbers may come to the driver),
+    and of them the key column alone. Only a missing table counts as a first write.
     """
-    fresh = df.dropDuplicates([key])
+    fresh = df.dropDuplicates([key]).withColumn(PART, part_of(key))
     try:
-        fresh = fresh.join(df.sparkSession.read.parquet(path).select(key), key, "left_anti")
+        there = df.sparkSession.read.parquet(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-    fresh.write.mode("append").parquet(path)
+        return fresh
+    parts = [r[0] for r in fresh.select(PART).distinct().collect()]
+    return fresh.join(there.where(F.col(PART).isin(parts)).select(key, PART), [key, PART], "left_anti")
+
+
+def write_once(df: DataFrame, path: str, key: str = "fight_id") -> None:
+    """Append the rows whose key the table at ``path`` does not have; keys that come twice are written once.
+
+    The table has a column ``key_part`` more. A batch that is written again adds nothing.
+    """
+    unwritten(df, path, key).repartition(PART).write.mode("append").partitionBy(PART).parquet(path)

@@ -66,6 +66,23 @@ def test_write_once(spark, tmp_path):
     assert sorted(r["fight_id"] for r in spark.read.parquet(path).collect()) == ["a", "b", "c"]
 
 
+def test_write_once_reads_the_parts_of_its_keys_alone(spark, tmp_path, capsys):
+    path = str(tmp_path / "out")
+    ids = spark.range(2000).selectExpr("concat('f', id) AS fight_id", "id AS x")
+    sinks.write_once(ids, path)
+    batch = ids.where("x in (7, 8)").unionByName(spark.createDataFrame([("new", 1)], "fight_id string, x long"))
+    fresh = sinks.unwritten(batch, path, "fight_id")
+    assert [r["fight_id"] for r in fresh.collect()] == ["new"]
+    fresh.explain("formatted")
+    parts = {r[0] for r in batch.select(sinks.part_of("fight_id")).collect()}
+    told = capsys.readouterr().out
+    filters = [x for x in told.splitlines() if "PartitionFilters" in x and "key_part" in x]
+    assert filters and all(str(k) in filters[0] for k in parts)
+    for _ in range(2):
+        sinks.write_once(batch, path)
+    assert spark.read.parquet(path).count() == 2001
+
+
 def test_functions(spark):
     df = spark.createDataFrame([(999, "Long name here"), (1250, "x"), (78_400, "y"), (4_560_000, "z"), (1_234_000_000, "w")], "n long, s string")
     assert [r[0] for r in df.orderBy("n").select(names.fmt_num(F.col("n"))).collect()] == ["999", "1.3K", "78K", "4.56M", "1.23B"]
