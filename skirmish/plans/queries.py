@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skirmish.functions import text as names
 from skirmish.operators import attribution, buffs, entities, fights, loot, merge, rollups, rules, ticks
-from skirmish.operators.lines import rejected_lines
+from skirmish.operators.lines import rejected_lines, split_lines
 from skirmish.plans import duel, expected, rendered, reports
 from skirmish.plans.rendered import Tables, table
 from skirmish.sources import logs, rosters, sinks, spells, store
@@ -647,6 +647,58 @@ def registry_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rosters.import_registry(text, F.lit("2024-02-01").cast("date")).withColumn("updated_on", F.col("updated_on").cast("string"))
 
 
+_TOLD = """SELECT c_custkey, ['Gobaner', 'Jabn', 'Bob', 'Kebeker', 'Xan', 'Vartik', 'Lor', 'Zebarab'][c_custkey % 8 + 1] AS pet, ['Ancient: Fire', 'Zap IV', 'Zap Rk. II', 'Zap Rk.III', 'Zap'][c_custkey % 5 + 1] AS spell, c_custkey % 3 AS ticks,
+  ['Bob`s pet', 'Eye of Al', 'Al''s warder', 'Moe`s ward', 'Moe', 'Moe`s petal'][c_custkey % 6 + 1] AS who, ['himself', 'herself', 'itself', 'Rat'][c_custkey % 4 + 1] AS target, ['Critical', 'Lucky Critical', 'Twincast', 'Riposte Strikethrough', 'Flurry', 'Lucky Flurry', ''][c_custkey % 7 + 1] AS tag FROM customer"""
+
+
+def _tags(kind: str) -> str:
+    """The mods of a tag's words by the table of its kind, each once, sorted."""
+    known = " ".join(f"WHEN '{word}' THEN {mods!r}" for word, mods in names.MOD_WORDS[kind].items())
+    return f"array_to_string(list_sort(list_distinct(flatten(list_transform(string_split(lower(tag), ' '), lambda w: CASE w {known} ELSE [] END)))), ',')"
+
+
+@query(f"""WITH told AS ({_TOLD}) SELECT c_custkey, regexp_matches(pet, '^[GJKLVXZ]([aeio][bknrs]){{0,2}}(ab|er|n|tik)$') AS is_pet, starts_with(spell, 'Ancient:') OR regexp_matches(spell, 'Rk[.]\\s?I?II$') OR (regexp_matches(spell, '\\s[XVI]{{1,4}}$') AND ticks > 0) AS was_cast,
+  CASE WHEN who LIKE 'Eye of %' THEN who[8:] WHEN regexp_matches(who, '[''`]s (warder|ward|pet)$') THEN regexp_extract(who, '^(.+)[''`]s', 1) END AS owner, CASE WHEN target LIKE '%self' THEN who ELSE target END AS target,
+  {_tags('heal')} AS heal_tags, {_tags('miss')} AS miss_tags FROM told""")
+def name_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pets' names, spells that were cast, owners by names, reflexive targets and tags, on words dealt over customers."""
+    key = F.col("c_custkey")
+
+    def dealt(*words: str) -> Column:
+        return F.get(F.array(*map(F.lit, words)), (key % len(words)).cast("int"))
+
+    who, tag = dealt("Bob`s pet", "Eye of Al", "Al's warder", "Moe`s ward", "Moe", "Moe`s petal"), dealt("Critical", "Lucky Critical", "Twincast", "Riposte Strikethrough", "Flurry", "Lucky Flurry", "")
+    tags = {f"{k}_tags": F.array_join(F.array_sort(names.parse_mods(tag, k)), ",") for k in ("heal", "miss")}
+    return table(spark, sf_dir, "customer").select(
+        "c_custkey", names.is_pet_name(dealt("Gobaner", "Jabn", "Bob", "Kebeker", "Xan", "Vartik", "Lor", "Zebarab")).alias("is_pet"),
+        names.unlikely_click(dealt("Ancient: Fire", "Zap IV", "Zap Rk. II", "Zap Rk.III", "Zap"), key % 3).alias("was_cast"), names.pet_owner(who).alias("owner"),
+        names.reflexive(dealt("himself", "herself", "itself", "Rat"), who).alias("target"), *[c.alias(n) for n, c in tags.items()],
+    )
+
+
+_GATED = """WITH told AS (SELECT o_orderkey, CASE WHEN o_orderkey % 13 = 0 THEN TIMESTAMP '1990-05-05' ELSE date_trunc('second', o_orderdate) END AS ts,
+  CASE o_orderkey % 6 WHEN 0 THEN 'You cannot see your target.' WHEN 1 THEN 'You have entered an area where Bind Affinity is allowed.' WHEN 2 THEN 'You have entered Zone' || (o_orderkey % 9) || '.' WHEN 3 THEN 'You cannot see your target' ELSE 'Your Location is ' || (o_orderkey % 50) || '.25, -' || (o_orderkey % 7) || '.50, ' || (o_orderkey % 3) || '.75' END AS text FROM orders)
+SELECT o_orderkey AS seq, CASE WHEN year(ts) = 1990 THEN TIMESTAMP '1994-01-01' ELSE ts END AS ts, CASE WHEN o_orderkey % 6 = 2 THEN 'zone' WHEN o_orderkey % 6 > 3 THEN 'location' ELSE 'raw' END AS kind, CASE WHEN o_orderkey % 6 = 2 THEN 'Zone' || (o_orderkey % 9) END AS name,
+  CAST(CASE WHEN o_orderkey % 6 > 3 THEN o_orderkey % 50 END AS BIGINT) AS y, CAST(CASE WHEN o_orderkey % 6 > 3 THEN -(o_orderkey % 7) END AS BIGINT) AS x, CAST(CASE WHEN o_orderkey % 6 > 3 THEN o_orderkey % 3 END AS BIGINT) AS z
+FROM told WHERE o_orderkey % 6 <> 0 AND (year(ts) = 1990 OR (ts >= TIMESTAMP '1994-01-01' AND ts <= TIMESTAMP '1996-12-31'))"""
+
+
+@query(_GATED)
+def gated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines made of orders between two dates, without noise; zones that are none, and the location rule beside the defaults."""
+    key = F.col("o_orderkey")
+    stamp = F.when(key % 13 == 0, F.lit("1990-05-05").cast("timestamp")).otherwise(F.col("o_orderdate"))
+    place = F.concat(F.lit("Your Location is "), key % 50, F.lit(".25, -"), key % 7, F.lit(".50, "), key % 3, F.lit(".75"))
+    text = (
+        F.when(key % 6 == 0, "You cannot see your target.").when(key % 6 == 1, "You have entered an area where Bind Affinity is allowed.")
+        .when(key % 6 == 2, F.concat(F.lit("You have entered Zone"), key % 9, F.lit("."))).when(key % 6 == 3, "You cannot see your target").otherwise(place)
+    )
+    line = F.concat(F.lit("["), F.date_format(stamp, "EEE MMM dd HH:mm:ss yyyy"), F.lit("] "), text)
+    made = table(spark, sf_dir, "orders").select(F.lit("log").alias("log_id"), key.alias("seq"), F.lit("Ann").alias("owner"), F.lit("test").alias("server"), line.alias("line"))
+    e = rules.extract_events(split_lines(store.spread(made), min_date="1994-01-01", max_date="1996-12-31"), [*rules.DEFAULT_RULES, rules.LOCATION])
+    return e.select("seq", "ts", "kind", "name", *[F.col(c).cast("long").alias(c) for c in "yxz"])
+
+
 @query(duel.FOES)
 def duel_foes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The foe of every swing in a log of duels: conflicts, pets, aggression and deaths decide."""
