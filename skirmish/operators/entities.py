@@ -18,15 +18,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skirmish.functions.text import is_pet_name, pet_owner, unlikely_click
-from skirmish.operators.ordered import CHUNK, last_known
+from skirmish.operators.ordered import CHUNK, CHUNK_ROWS, in_chunks, last_known
 from skirmish.sources.spells import is_pet_target
 from skirmish.sources.store import arrow_schema, stored
 
 FRIEND, FOE, UNKNOWN = "Friend", "Foe", "Unknown"
 PET_EMOTE_SECONDS = 5
-#: Rows of a log that one task folds, and the quantiles that a log is cut at.
-CHUNK_ROWS = 1 << 19
-_CUTS = 2048
 _TOLD = ("log_id", "seq", "name", "type", "is_player", "owner", "class", "level", "foe", "ts", "changed")
 _LEADER = r"^My leader is (\w+)\.$"
 # What pets tell their master.
@@ -265,15 +262,6 @@ def _rows(events: DataFrame, spells: DataFrame | None) -> DataFrame:
     return rows.select(*(c for c in _ROW if c != "chunk"))
 
 
-def _in_chunks(rows: DataFrame, size: int) -> DataFrame:
-    """Adds ``chunk``: logs are cut into stretches of about ``size`` rows, at quantiles of ``seq``."""
-    counted = rows.groupBy("log_id").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("seq", F.lit([k / _CUTS for k in range(1, _CUTS)]), F.lit(4 * _CUTS)).alias("c"))
-    each = F.greatest(F.lit(1), F.lit(_CUTS) * size / F.col("n")).cast("int")
-    long = counted.where(F.col("n") > size).select("log_id", F.array_distinct(F.filter("c", lambda x, i: (i + 1) % each == 0)).alias("cuts"))
-    met = rows.join(long, "log_id", "left")
-    return met.withColumn("chunk", F.coalesce(F.size(F.filter("cuts", lambda c: c < F.col("seq"))), F.lit(0)).cast("int")).select(*_ROW)
-
-
 def _fold(rows: DataFrame, seeds: DataFrame | None) -> DataFrame:
     """One pass over the chunks of ``rows``, each from what ``seeds`` (log_id, chunk, name, seed) knew before it."""
     given = rows.withColumn("seed", F.lit(None).cast(f"struct<{_STATE}>"))
@@ -322,7 +310,7 @@ def fold_entities(events: DataFrame, spells: DataFrame | None = None, size: int
     what a fold from the start gives; as most names soon stay what they are, after a few
     passes over few chunks. Where no evidence tells a class, it is that of most casts so far.
     """
-    rows = stored(_in_chunks(_rows(events, spells), size), "chunked")
+    rows = stored(in_chunks(_rows(events, spells), size).select(*_ROW), "chunked")
     given = None
     left = stored(_fold(rows, None), "folded")
     cut = not rows.where("chunk > 0").isEmpty()

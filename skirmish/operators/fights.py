@@ -7,15 +7,17 @@ logs and foes spread over tasks.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skirmish.operators.entities import FRIEND, entities_as_of
-from skirmish.operators.ordered import CHUNK, last_known
+from skirmish.operators.ordered import CHUNK, CHUNK_ROWS, in_chunks, last_known
+from skirmish.sources.store import arrow_schema, stored
 
 GROUP_GAP = 15
 RAID_GAP = 120
@@ -161,70 +163,95 @@ def pending_hits(hits: DataFrame, assigned: DataFrame, within: int = PENDING) ->
     return joined.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", "_b", "_on")
 
 
-def reset_points(events: DataFrame, quiet: int = 5, idle: int = RAID_GAP) -> DataFrame:
-    """Adds ``chunk``: it grows where nothing at all happened for ``quiet`` seconds and no combat for ``idle``.
-
-    No fight, pending hit or timeout check reaches over such a point, so chunks
-    of a log can be worked on apart.
-    """
-    log = Window.partitionBy("log_id").orderBy("seq")
-    combat = F.last(F.when(F.col("kind").isin("hit", "miss", "death"), F.col("ts")), ignorenulls=True).over(log.rowsBetween(Window.unboundedPreceding, -1))
-    silent = (seconds("ts") - seconds(F.lag("ts").over(log)) >= quiet) & F.coalesce(seconds("ts") - seconds(combat) >= idle, F.lit(True))
-    return events.withColumn("chunk", F.sum(F.coalesce(silent, F.lit(False)).cast("long")).over(log.rowsBetween(Window.unboundedPreceding, 0)))
-
-
-_EXACT = "log_id string, seq long, foe string, start_seq long, role string"
+_EXACT = "log_id string, chunk int, seq long, foe string, start_seq long, role string, left string"
+_ROLE = ("log_id", "seq", "foe", "start_seq", "role")
 
 
 class _Replay:
-    """The fights of one chunk event by event, with timeouts looked at every few seconds only."""
+    """The open fights of one log event by event, with timeouts looked at every few seconds only."""
 
-    def __init__(self, group_gap: int, raid_gap: int, every: int):
+    def __init__(self, group_gap: int, raid_gap: int, every: int, left: str | None = None):
         self.gaps, self.every = (group_gap, raid_gap), every
-        self.live: dict[str, list] = {}  # foe -> [start_seq, last second]
-        self.checked: int | None = None
+        # foe -> [start_seq, last second], and when timeouts were looked at last
+        self.live, self.checked = json.loads(left) if left else ({}, None)
 
-    def take(self, r) -> tuple | None:
+    def left(self) -> str:
+        return json.dumps([self.live, self.checked])
+
+    def take(self, seq: int, t: int, kind: str, foe: str | None, killshot: str | None, party: str | None) -> tuple | None:
         live = self.live
-        if self.checked is None or r.t - self.checked >= self.every or self.checked > r.t:
-            gap = self.gaps[r.party == "Raid"]
-            for foe in [f for f, (_, at) in live.items() if at + gap <= r.t]:
-                del live[foe]
-            self.checked = r.t
-        if r.kind in ("hit", "miss") and isinstance(r.foe, str):
-            fight = live.setdefault(r.foe, [r.seq, r.t])
-            fight[1] = r.t
-            return r.log_id, r.seq, r.foe, fight[0], r.kind
-        if r.kind == "death":
-            if r.foe in live:
-                return r.log_id, r.seq, r.foe, live.pop(r.foe)[0], "death"
-            if r.killshot in live:
-                live[r.killshot][1] = r.t
-                return r.log_id, r.seq, r.killshot, live[r.killshot][0], "touch"
+        if self.checked is None or t - self.checked >= self.every or self.checked > t:
+            gap = self.gaps[party == "Raid"]
+            for old in [f for f, (_, at) in live.items() if at + gap <= t]:
+                del live[old]
+            self.checked = t
+        if kind in ("hit", "miss") and foe is not None:
+            fight = live.setdefault(foe, [seq, t])
+            fight[1] = t
+            return seq, foe, fight[0], kind
+        if kind == "death":
+            if foe in live:
+                return seq, foe, live.pop(foe)[0], "death"
+            if killshot in live:
+                live[killshot][1] = t
+                return seq, killshot, live[killshot][0], "touch"
         return None
 
 
-def assign_fights_exact(events: DataFrame, group_gap: int = GROUP_GAP, raid_gap: int = RAID_GAP, every: int = 5) -> DataFrame:
-    """(log_id, seq, foe, start_seq, role, fight_id) with timeouts checked as a live reader does: at most every 5 s, on any event.
+def _replayed(rows: DataFrame, seeds: DataFrame | None, gaps: tuple[int, int, int]) -> DataFrame:
+    """One pass over the chunks of ``rows``, each from the fights that ``seeds`` (log_id, chunk, seed) left open before it."""
+    given = rows.withColumn("seed", F.lit(None).cast("string"))
+    if seeds is not None:
+        given = given.unionByName(seeds.select("log_id", "chunk", F.lit(-1).cast("long").alias("seq"), "seed"), allowMissingColumns=True)
+    schema = arrow_schema(_EXACT)
 
-    A fight idle for a little longer than the gap can go on if no event came to
-    check it. Logs are cut at :func:`reset_points`, so a long log is many keys.
-    Rows are sorted by Spark and streamed; a task holds the open fights of one chunk.
-    """
-    party = F.col("party") if "party" in events.columns else F.lit(None).cast("string")
-    narrow = reset_points(events).select("log_id", "chunk", "seq", seconds("ts").alias("t"), "kind", "foe", "killshot", party.alias("party"))
+    def batch(found: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*found, strict=True)) or [()] * len(schema)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, state = None, None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, replay = None, None
         for rows in batches:
-            found = []
-            for r in rows.itertuples():
-                if (r.log_id, r.chunk) != key:
-                    key, state = (r.log_id, r.chunk), _Replay(group_gap, raid_gap, every)
-                row = state.take(r)
+            found: list[tuple] = []
+            for log_id, chunk, seq, *event, seed in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+                if (log_id, chunk) != key:
+                    if replay is not None:
+                        found.append((*key, None, None, None, None, replay.left()))
+                    key, replay = (log_id, chunk), _Replay(*gaps, seed)
+                    if seed is not None:
+                        continue
+                row = replay.take(seq, *event)
                 if row:
-                    found.append(row)
-            yield pd.DataFrame(found, columns=["log_id", "seq", "foe", "start_seq", "role"])
+                    found.append((*key, *row, None))
+            yield batch(found)
+        if replay is not None:
+            yield batch([(*key, None, None, None, None, replay.left())])
+
+    ordered = given.select("log_id", "chunk", "seq", "t", "kind", "foe", "killshot", "party", "seed")
+    return ordered.repartition("log_id", "chunk").sortWithinPartitions("log_id", "chunk", "seq").mapInArrow(run, _EXACT)
+
+
+def assign_fights_exact(events: DataFrame, group_gap: int = GROUP_GAP, raid_gap: int = RAID_GAP, every: int = 5, size: int = CHUNK_ROWS) -> DataFrame:
+    """(log_id, seq, foe, start_seq, role, fight_id) with timeouts checked as a live reader does: at most every 5 s, on any event.
 
-    found = narrow.repartition("log_id", "chunk").sortWithinPartitions("log_id", "chunk", "seq").mapInPandas(fold, _EXACT)
-    return found.withColumn("fight_id", fight_key(F.col("log_id"), F.col("foe"), F.col("start_seq")))
+    A fight idle for a little longer than the gap can go on if no event came to
+    check it, so a row depends on all before it. A log is cut into chunks of ``size``
+    rows, all of which are replayed at once as if no fight was open; a chunk is
+    replayed again if the one before it left other fights open than it was given,
+    until none is. Open fights hand over at once or soon, so that is a pass or two.
+    """
+    party = F.col("party") if "party" in events.columns else F.lit(None).cast("string")
+    narrow = events.select("log_id", "seq", seconds("ts").alias("t"), "kind", "foe", "killshot", party.alias("party"))
+    rows = stored(in_chunks(narrow, size), "chunked")
+    found, given = stored(_replayed(rows, None, (group_gap, raid_gap, every)), "replayed"), None
+    cut = not rows.where("chunk > 0").isEmpty()
+    while cut:
+        before = found.where("left is not null").select("log_id", (F.col("chunk") + 1).alias("chunk"), F.col("left").alias("seed"))
+        seeds = stored(before.join(rows.select("log_id", "chunk").distinct(), ["log_id", "chunk"], "left_semi"), "seeds")
+        used = seeds.withColumn("used", F.lit(None).cast("string")).select("log_id", "chunk", "used") if given is None else given.withColumnRenamed("seed", "used")
+        stale = stored(seeds.join(used, ["log_id", "chunk"]).where(~F.col("seed").eqNullSafe(F.col("used"))).select("log_id", "chunk"), "stale")
+        if stale.isEmpty():
+            break
+        again = _replayed(rows.join(stale, ["log_id", "chunk"], "left_semi"), seeds.join(stale, ["log_id", "chunk"], "left_semi"), (group_gap, raid_gap, every))
+        found, given = stored(found.join(stale, ["log_id", "chunk"], "left_anti").unionByName(again), "replayed"), seeds
+    return found.where("left is null").select(*_ROLE).withColumn("fight_id", fight_key(F.col("log_id"), F.col("foe"), F.col("start_seq")))

@@ -15,6 +15,9 @@ from pyspark.sql.window import Window
 
 #: Lines of a log, by ``seq``, that one task looks at.
 CHUNK = 1 << 20
+#: Rows of a log that one task folds, and the quantiles that a log is cut at.
+CHUNK_ROWS = 1 << 19
+_CUTS = 2048
 #: Seconds of a log that one task looks at, where rows come by time.
 SECONDS = 1 << 14
 
@@ -44,3 +47,12 @@ def running_sum(rows: DataFrame, value: Column, out: str, bucket: Column, keys:
     carried = cut.groupBy(*keys, "_b").agg(F.sum("_v").alias("_s")).select(*keys, "_b", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_c"))
     joined = cut.withColumn("_v", F.sum("_v").over(inside)).join(carried, [*keys, "_b"])
     return joined.withColumn(out, F.col("_v") + F.col("_c")).select(*rows.columns, out)
+
+
+def in_chunks(rows: DataFrame, size: int = CHUNK_ROWS) -> DataFrame:
+    """Adds ``chunk``: logs are cut into stretches of about ``size`` rows, at quantiles of ``seq``; rows of one ``seq`` stay together."""
+    counted = rows.groupBy("log_id").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("seq", F.lit([k / _CUTS for k in range(1, _CUTS)]), F.lit(4 * _CUTS)).alias("c"))
+    each = F.greatest(F.lit(1), F.lit(_CUTS) * size / F.col("n")).cast("int")
+    long = counted.where(F.col("n") > size).select("log_id", F.array_distinct(F.filter("c", lambda x, i: (i + 1) % each == 0)).alias("_cuts"))
+    met = rows.join(long, "log_id", "left")
+    return met.withColumn("chunk", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("seq"))), F.lit(0)).cast("int")).drop("_cuts")

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from skirmish.operators import entities
+from skirmish.operators import entities, ordered
 
 EVENTS = "log_id string, seq long, ts timestamp, owner string, kind string, source string, target string, name string, killshot string, type string, spell string, mods array<string>, channel string, message string, faction string, class string, level int, text string"
 
@@ -46,7 +46,7 @@ def spells(spark):
 def test_chunks_equal_one_fold(events, spells, with_spells):
     dim = spells if with_spells else None
     whole = entities.fold_entities(events, dim).collect()
-    chunked = entities._in_chunks(entities._rows(events, dim), 40)
+    chunked = ordered.in_chunks(entities._rows(events, dim), 40)
     assert chunked.select("chunk").distinct().count() > 12
     parts = entities.fold_entities(events, dim, 40).collect()
     assert sorted(map(str, parts)) == sorted(map(str, whole))
