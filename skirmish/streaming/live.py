@@ -135,6 +135,10 @@ def publish(stream: DataFrame, path: str, checkpoint: str, key: list[str] | None
     keys = key or ["log_id", "foe", "started_on"]
 
     def save(batch: DataFrame, _: int) -> None:
-        write_once(batch.withColumn("publish_id", F.sha2(F.concat_ws("|", *[F.col(k).cast("string") for k in keys]), 256)), path, "publish_id")
+        held = batch.withColumn("publish_id", F.sha2(F.concat_ws("|", *[F.col(k).cast("string") for k in keys]), 256)).persist()  # read twice
+        try:
+            write_once(held, path, "publish_id")
+        finally:
+            held.unpersist()
 
     return stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)

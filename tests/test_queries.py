@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 from skirmish.sources import store
 
 DATA = Path("/root/testdata/sf0.001")
-QUICK = ("rule_counts", "bad_lines", "fight_sessions", "participants", "tick_series", "merged_timeline", "merged_fights", "player_board", "raids", "known_entities", "side_events", "unmatched_lines", "resolved_foes", "heals_in_fights", "healers_and_classes", "buffs_on_players", "fight_list", "published_fights", "merged_crowds", "fitted_series", "quick_sessions", "roster_people", "folded_tail", "user_sessions", "order_attacks", "spell_dimension", "short_numbers", "fixed_names")
+QUICK = ("rule_counts", "bad_lines", "fight_sessions", "participants", "tick_series", "merged_timeline", "merged_fights", "player_board", "raids", "known_entities", "side_events", "unmatched_lines", "resolved_foes", "heals_in_fights", "healers_and_classes", "buffs_on_players", "fight_list", "published_fights", "merged_crowds", "fitted_series", "quick_sessions", "roster_people", "folded_tail", "user_sessions", "order_attacks", "spell_dimension", "short_numbers", "fixed_names", "duel_foes", "duel_entities", "name_tests", "gated_lines", "cohorts", "tail_attacks", "anonymous_heals")
 
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test tables")
 
