@@ -56,6 +56,19 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of :func:`materialize` that nothing reads any more; Spark drops the shuffle files of what led to them."""
+    for held in tables:
+        spark = held.sparkSession
+        jvm = spark.sparkContext._jvm
+        for folder in {f.rsplit("/", 1)[0] for f in held.inputFiles()}:
+            place = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
+            place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+    if tables:
+        gc.collect()
+        tables[0].sparkSession.sparkContext._jvm.System.gc()  # its cleaner follows the driver's collector
+
+
 def give_back() -> None:
     """Return freed memory to the system: Spark keeps worker processes, and what they hold counts beside the next task's."""
     gc.collect()

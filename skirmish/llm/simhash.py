@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import fresh_names, giving_back, materialize, small_batches
+from .common import discard, fresh_names, giving_back, materialize, small_batches
 from .components import connected_components
 
 SEED = 42
@@ -429,7 +429,9 @@ def _true_pairs(pairs: DataFrame, held: DataFrame, texts: DataFrame, words_each:
     wanted = _ends(likely, "text_hash")
     shingled = materialize(_with_shingles(held.join(wanted, "text_hash", "left_semi"), words_each).select("text_hash", "s"), "shingles")
     shared = F.size(F.array_intersect("sa", "sb"))
-    return materialize(joined(likely, shingled, "s").where(enough(shared, F.size("sa"), F.size("sb"))).select("a", "b"), "alike")
+    alike = materialize(joined(likely, shingled, "s").where(enough(shared, F.size("sa"), F.size("sb"))).select("a", "b"), "alike")
+    discard(likely, shingled)
+    return alike
 
 
 def _apart(near: DataFrame, labelled: DataFrame, prints: DataFrame, unit: int = 256) -> DataFrame:
@@ -495,9 +497,11 @@ def similar_groups(docs: DataFrame, words_each: int = 5, radius: int = 14, simil
     either = near.where("not open").join(many.select(F.col("fingerprint").alias("a"), F.lit(True).alias("ma")), "a", "left").join(many.select(F.col("fingerprint").alias("b"), F.lit(True).alias("mb")), "b", "left")
     rest = rest.union(either.where("ma or mb").select("a", "b")).union(prints.where("low <> high").select("fingerprint", "fingerprint"))
     rest = materialize(_apart(rest, labelled, prints), "apart")
+    discard(near)
     if not rest.isEmpty():
         true = true.union(_true_pairs(rest, held, texts, words_each, similarity))
         nodes = connected_components(true).withColumnRenamed("node", "text_hash")
+    discard(rest, labelled, held)
     linked = texts.join(nodes, "text_hash", "left").withColumn("component", F.coalesce("component", "text_hash"))
     least = linked.groupBy("component").agg(F.min("least").alias("component_id"))
     found = linked.select("text_hash", "component").join(least, "component").select("text_hash", "component_id")

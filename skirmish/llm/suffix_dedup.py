@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_names, giving_back, materialize
+from .common import discard, fresh_names, giving_back, materialize
 
 MIN_BYTES = 400
 GRAM = 16
@@ -299,6 +299,7 @@ def repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES, shard: int = SHA
     # written, so that the join deals both sides anew and Spark can split an anchor that very many segments share
     anchors = materialize(anchors.select(F.col("anchor").alias("_anchor"), (F.col("_lo") != F.col("_hi")).alias("mixed")), "anchors")
     repeated = materialize(every.join(anchors, F.col("anchor") == F.col("_anchor")).drop("_anchor"), "repeated")
+    discard(every, anchors)
     whole = repeated.where("not mixed").select("doc_id", "text_hash", F.col("at").alias("lo"), (F.col("at") + F.col("n") - 1 + min_bytes).alias("hi"))
 
     distinct = repeated.where("mixed").groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "text_hash", "at", "n")).alias("one"))
@@ -312,6 +313,7 @@ def repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES, shard: int = SHA
     content = F.substring("text", (F.col("c.at") + 1).cast("int"), F.col("c.n") + min_bytes - 1)
     rows = cut.select("c.*", content.alias("content")).repartition("anchor", "part").sortWithinPartitions("anchor", "part", "digest")
     found = materialize(_repeats(rows, min_bytes, shard), "repeats")
+    discard(distinct)
     verdict = found.where("window is null").select("anchor", "digest", "lo", "hi").union(_merged(found))
     verdict = verdict.select(F.col("anchor").alias("_anchor"), F.col("digest").alias("_digest"), "lo", "hi")
     part = repeated.where("mixed").join(verdict, (F.col("anchor") == F.col("_anchor")) & (F.col("digest") == F.col("_digest")))
