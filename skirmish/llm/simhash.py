@@ -38,7 +38,7 @@ _BLOCK = 1 << 15
 _TILE = 256
 _SMALL = 48
 _HELD = 1 << 20
-_SLOTS = 64
+_SLOTS = 128
 _DENSE = 2
 _OUT = 1 << 16
 _NEAREST = 12
