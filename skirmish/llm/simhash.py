@@ -39,9 +39,13 @@ _TILE = 256
 _SMALL = 48
 _HELD = 1 << 20
 _SLOTS = 128
+_FINE = 512
+_LEVELS = 3
+_PLANES = _FINE * _LEVELS // 8
 _DENSE = 2
 _OUT = 1 << 16
-_NEAREST = 12
+_CHUNK = 1 << 14
+_NEAREST = 4
 
 
 def _hashes(text: bytes | None, words_each: int) -> list[int]:
@@ -78,10 +82,17 @@ def fingerprints(docs: DataFrame, words_each: int = 4, text: str = "text", keep:
     return sent.mapInArrow(hashed, docs.select(*names).withColumn("fingerprint", F.lit(0).cast("long")).schema)
 
 
+def _planes(hashes: np.ndarray) -> bytes:
+    """Bits that tell which of ``_FINE`` slots hold one shingle at least, two at least, and so on to ``_LEVELS``."""
+    counts = np.bincount((hashes // _SLOTS % _FINE).astype(np.int64), minlength=_FINE)
+    return np.packbits(counts >= np.arange(1, _LEVELS + 1)[:, None]).tobytes()
+
+
 def _sketched(named: DataFrame, words_each: int) -> DataFrame:
-    """doc_id, text_hash, fingerprint of the distinct shingles and ``counts``: how many of them fall into each of ``_SLOTS`` slots.
+    """doc_id, text_hash, fingerprint of the distinct shingles, ``counts``, how many of them fall into each of ``_SLOTS`` slots, and their ``planes``.
 
-    Repeats of a shingle do not count, as they don't in the similarity that candidates are held to. Two texts share no more shingles than the lesser counts of all slots sum up to.
+    Repeats of a shingle do not count, as they don't in the similarity that candidates are held to. Two texts share no more shingles than the lesser
+    counts of all slots sum up to, nor more than the bits that their planes share and the lesser of what goes beyond either's planes.
     """
     sent = named.select("doc_id", "text_hash", F.col("text").cast("binary").alias("_text"))
 
@@ -89,15 +100,17 @@ def _sketched(named: DataFrame, words_each: int) -> DataFrame:
         for batch in batches:
             prints = np.zeros(batch.num_rows, np.uint64)
             counts = np.zeros((batch.num_rows, _SLOTS), np.int32)
+            planes: list[bytes] = []
             for i, x in enumerate(batch.column(2)):
                 hashes = np.unique(np.array(_hashes(x.as_py(), words_each), np.uint64))
                 prints[i] = _fingerprint(hashes)
-                # a text without words has one shingle of none
-                counts[i] = np.bincount(((hashes if len(hashes) else np.zeros(1, np.uint64)) % _SLOTS).astype(np.int64), minlength=_SLOTS)
+                hashes = hashes if len(hashes) else np.zeros(1, np.uint64)  # a text without words has one shingle of none
+                counts[i] = np.bincount((hashes % _SLOTS).astype(np.int64), minlength=_SLOTS)
+                planes.append(_planes(hashes))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * _SLOTS), pa.array(counts.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(prints.view(np.int64)), lists], ["doc_id", "text_hash", "fingerprint", "counts"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(prints.view(np.int64)), lists, pa.array(planes, pa.binary())], ["doc_id", "text_hash", "fingerprint", "counts", "planes"])
 
-    schema = named.select("doc_id", "text_hash", F.lit(0).cast("long").alias("fingerprint"), F.array(F.lit(0)).alias("counts")).schema
+    schema = named.select("doc_id", "text_hash", F.lit(0).cast("long").alias("fingerprint"), F.array(F.lit(0)).alias("counts"), F.lit("").cast("binary").alias("planes")).schema
     return sent.mapInArrow(lambda batches: giving_back(hashed(batches)), schema)
 
 
@@ -214,35 +227,50 @@ def links(distinct: DataFrame, radius: int = 4, unit: int = 8192, column: str =
     return together.mapInArrow(compare, "a long, b long")
 
 
-def _packed(counts: pa.Array) -> np.ndarray:
-    """Rows of ``_SLOTS`` bytes and a total: slot counts, 255 and more as 255; all 255 and total 0 where they are null."""
-    out = np.full((len(counts), _SLOTS + 8), 255, np.uint8)
-    out[:, _SLOTS:] = 0
+def _packed(counts: pa.Array, planes: pa.Array) -> np.ndarray:
+    """Rows of a total, planes and ``_SLOTS`` bytes: slot counts, 255 and more as 255; the total is 0 where they are null."""
+    out = np.zeros((len(counts), 8 + _PLANES + _SLOTS), np.uint8)
     known = np.flatnonzero(counts.is_valid().to_numpy(zero_copy_only=False))
     if len(known):
         slots = counts.drop_null().flatten().to_numpy().reshape(len(known), _SLOTS)
-        out[known, :_SLOTS] = np.minimum(slots, 255)
-        out[known, _SLOTS:] = np.ascontiguousarray(slots.sum(axis=1, dtype=np.int64)).view(np.uint8).reshape(-1, 8)
+        out[known, :8] = np.ascontiguousarray(slots.sum(axis=1, dtype=np.int64)).view(np.uint8).reshape(-1, 8)
+        out[known, 8:-_SLOTS] = np.frombuffer(b"".join(planes.take(pa.array(known)).to_pylist()), np.uint8).reshape(len(known), _PLANES)
+        out[known, -_SLOTS:] = np.minimum(slots, 255)
     return out
 
 
-def _could_be_alike(x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether packed counts leave room for enough shared shingles: they share no more than the lesser counts, unless both are full."""
-    a, b = x[:, :_SLOTS], y[:, :_SLOTS]
-    least = np.minimum(a, b)
-    shared = least.sum(axis=1, dtype=np.int64)
-    totals = (np.ascontiguousarray(z[:, _SLOTS:]).view(np.int64).ravel() for z in (x, y))
-    return (least == 255).any(axis=1) | (shared >= similarity * (sum(totals) - shared))
+def _room(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of packed rows, the most shingles that either pair can share, and how many both have; -1 where one of them is not known."""
+    (ta, pa_, sa), (tb, pb, sb) = ((np.ascontiguousarray(z[:, :8]).view(np.int64).ravel(), np.ascontiguousarray(z[:, 8:-_SLOTS]).view(np.uint64), z[:, -_SLOTS:]) for z in (x, y))
+
+    def bits(planes: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(planes).sum(axis=1, dtype=np.int64)
+
+    least = np.minimum(sa, sb)
+    most = bits(pa_ & pb) + np.minimum(ta - bits(pa_), tb - bits(pb))
+    most = np.where((least == 255).any(axis=1), most, np.minimum(most, least.sum(axis=1, dtype=np.int64)))
+    return np.where((ta == 0) | (tb == 0), -1, most), ta + tb
+
 
+def _likely(packed: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs of packed rows leave room for the similarity, and in thousandths how far from one each may be; 0 if not known."""
+    fits, far = [np.zeros(0, bool)], [np.zeros(0, np.int64)]
+    for at in range(0, len(a), _CHUNK):
+        most, both = _room(packed[a[at : at + _CHUNK]], packed[b[at : at + _CHUNK]])
+        fits.append((most < 0) | (most >= similarity * (both - most)))
+        far.append(np.where(most < 0, 0, 1000 - 1000 * most // np.maximum(both - most, 1)))
+    return np.concatenate(fits), np.concatenate(far)
 
-def candidates(distinct: DataFrame, radius: int, unit: int = 1 << 16, column: str = "fingerprint", label: str | None = None, similarity: float = 0.0) -> DataFrame:
-    """(a, b, open): pairs of fingerprints within ``radius`` bits, each once: in the first bucket that holds both.
+
+def candidates(distinct: DataFrame, radius: int, unit: int = 1 << 16, column: str = "fingerprint", label: str | None = None, similarity: float = 0.0, forest: bool = False, name: str | None = None) -> DataFrame:
+    """(a, b, open, far): pairs of fingerprints within ``radius`` bits, each once: in the first bucket that holds both.
 
     Without ``label``, a bucket with more than ``_DENSE`` pairs a member gives a
     spanning forest of them, marked as open: all other pairs of the bucket are
-    between fingerprints of open pairs. With it, every pair whose labels differ
-    comes, but for those whose ``counts`` (if it has them; null: not known) leave no room for
-    ``similarity``: most pairs of a large group go where they are met. A task deals its rows as one array a bucket; buckets beyond ``unit``
+    between fingerprints of open pairs. With it, every pair of rows whose labels differ
+    comes, by the long that ``name`` tells (its fingerprint, if none), but for those whose ``counts`` and ``planes`` (if it has them; null: not known) leave no room for
+    ``similarity``: most pairs of a large group go where they are met. With ``forest`` a spanning forest
+    of these comes, of those first that may be most alike. ``far`` is in bits, or where counts are known, in thousandths of unlikeness. A task deals its rows as one array a bucket; buckets beyond ``unit``
     members are dealt as pairs of parts.
     """
     cuts = np.linspace(0, 64, radius + 3).round().astype(int)
@@ -263,7 +291,7 @@ def candidates(distinct: DataFrame, radius: int, unit: int = 1 << 16, column: st
             yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], ["k", "n"])
 
     counted_too = label is not None and "counts" in distinct.columns
-    sent = distinct.select(F.col(column).alias("v"), *([F.col(label).alias("l")] if label else []), *([F.col("counts").alias("c")] if counted_too else []))
+    sent = distinct.select(F.col(column).alias("v"), *([F.col(label).alias("l"), F.col(name or column).alias("i")] if label else []), *([F.col("counts").alias("c"), F.col("planes").alias("p")] if counted_too else []))
     sizes = sent.select("v").mapInArrow(counted, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).where(F.col("n") > unit)
     large = sorted((r["k"], min(1023, -(-r["n"] // unit))) for r in sizes.collect())  # buckets are as many as there are keys, whatever the input
     large_keys, large_parts = np.array([k for k, _ in large], np.int64), np.array([n for _, n in large], np.int64)
@@ -282,7 +310,7 @@ def candidates(distinct: DataFrame, radius: int, unit: int = 1 << 16, column: st
             v = column_of(batch, 0)
             k, row = keys(v), np.repeat(np.arange(len(v)), len(first))
             parts = parts_of(k)
-            own = own_part(v[row], parts)
+            own = own_part(column_of(batch, 2)[row] if label else v[row], parts)
             jobs, rows = [], []
             for other in range(parts.max(initial=0)):
                 at = np.flatnonzero(parts > other)
@@ -300,17 +328,18 @@ def candidates(distinct: DataFrame, radius: int, unit: int = 1 << 16, column: st
                 offsets = pa.py_buffer((ends * width).astype(np.int32).tobytes())
                 return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, offsets, pa.py_buffer(values[row].tobytes())])
 
-            sets = [one_set(column_of(batch, i), 8) for i in range(min(batch.num_columns, 2))]
-            if batch.num_columns > 2:
-                sets.append(one_set(_packed(batch.column(2)), _SLOTS + 8))
-            yield pa.RecordBatch.from_arrays([pa.array(job[starts]), *sets], ["job", "v", "l", "c"][: len(sets) + 1])
+            sets = [one_set(column_of(batch, i), 8) for i in range(min(batch.num_columns, 3))]
+            if batch.num_columns > 3:
+                sets.append(one_set(_packed(batch.column(3), batch.column(4)), 8 + _PLANES + _SLOTS))
+            yield pa.RecordBatch.from_arrays([pa.array(job[starts]), *sets], ["job", "v", "l", "i", "c"][: len(sets) + 1])
 
-    dealt = sent.mapInArrow(lambda batches: deal(small_batches(batches, 1 << 18)), "job long, v binary" + (", l binary" if label else "") + (", c binary" if counted_too else ""))
+    dealt = sent.mapInArrow(lambda batches: deal(small_batches(batches, 1 << 18)), "job long, v binary" + (", l binary, i binary" if label else "") + (", c binary" if counted_too else ""))
 
-    def pairs(job: int, v: np.ndarray, labels: np.ndarray | None, packed: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    def pairs(job: int, v: np.ndarray, labels: np.ndarray | None, ids: np.ndarray | None, packed: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
         k, i, j = job >> 20, job >> 10 & 1023, job & 1023
         n = k >> 2 * half
-        own = own_part(v, int(parts_of(np.array([k]))[0])) if i != j else None
+        ids = v if ids is None else ids
+        own = own_part(ids, int(parts_of(np.array([k]))[0])) if i != j else None
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         held, dense = 0, False
         for lo in range(0, len(v), _TILE):
@@ -327,22 +356,23 @@ def candidates(distinct: DataFrame, radius: int, unit: int = 1 << 16, column: st
             alike[np.arange(len(a)), one] = False
             here = (one == first[n]) & (alike.argmax(axis=1) == second[n])
             a, b = a[here], b[here]
-            if labels is not None:
-                if packed is not None:
-                    likely = _could_be_alike(packed[a], packed[b], similarity)
-                    a, b = a[likely], b[likely]
-                yield v[a], v[b], False
+            far = np.bitwise_count(v[a] ^ v[b]).astype(np.int64)
+            if packed is not None:
+                fits, far = _likely(packed, a, b, similarity)
+                a, b, far = a[fits], b[fits], far[fits]
+            if labels is not None and not forest:
+                yield ids[a], ids[b], far, False
                 continue
-            found.append((a, b, np.bitwise_count(v[a] ^ v[b])))
+            found.append((a, b, far))
             held += len(a)
             if held > _HELD:  # the forest of a forest and more links is the forest of all
                 found, held, dense = [_span(len(v), *(np.concatenate(x) for x in zip(*found, strict=True)))], 0, True
         if found:
             a, b, far = (np.concatenate(x) for x in zip(*found, strict=True))
-            if dense or len(a) > _DENSE * len(np.unique(np.r_[a, b])):
+            if dense or forest or len(a) > _DENSE * len(np.unique(np.r_[a, b])):
                 a, b, far = _span(len(v), a, b, far)
                 dense = True
-            yield v[a], v[b], dense
+            yield ids[a], ids[b], far, dense
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def buckets() -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -354,19 +384,20 @@ def candidates(distinct: DataFrame, radius: int, unit: int = 1 << 16, column: st
                         yield job, [np.concatenate(x) for x in zip(*held, strict=True)]
                         held = []
                     job = at
-                    held.append([np.frombuffer(x[r].as_buffer(), np.uint8).reshape(-1, _SLOTS + 8) if i == 2 else np.frombuffer(x[r].as_buffer(), np.uint64) for i, x in enumerate(sets)])
+                    held.append([np.frombuffer(x[r].as_buffer(), np.uint8).reshape(-1, 8 + _PLANES + _SLOTS) if i == 3 else np.frombuffer(x[r].as_buffer(), np.uint64) for i, x in enumerate(sets)])
             if held:
                 yield job, [np.concatenate(x) for x in zip(*held, strict=True)]
 
-        def out(found: list[tuple[np.ndarray, np.ndarray, bool]]) -> pa.RecordBatch:
-            marks = np.concatenate([np.full(len(a), mark) for a, _, mark in found])
-            return pa.RecordBatch.from_arrays([*(pa.array(np.concatenate([x[i] for x in found]).view(np.int64)) for i in (0, 1)), pa.array(marks)], ["a", "b", "open"])
+        def out(found: list[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]) -> pa.RecordBatch:
+            marks = np.concatenate([np.full(len(a), mark) for a, _, _, mark in found])
+            far = np.concatenate([x[2] for x in found]).astype(np.int32)
+            return pa.RecordBatch.from_arrays([*(pa.array(np.concatenate([x[i] for x in found]).view(np.int64)) for i in (0, 1)), pa.array(marks), pa.array(far)], ["a", "b", "open", "far"])
 
         found, rows = [], 0
         for job, sets in buckets():
             if len(sets[0]) < 2:
                 continue
-            for x in pairs(job, *sets, *[None] * (3 - len(sets))):
+            for x in pairs(job, *sets, *[None] * (4 - len(sets))):
                 found.append(x)
                 rows += len(x[0])
                 if rows > _OUT:
@@ -375,7 +406,7 @@ def candidates(distinct: DataFrame, radius: int, unit: int = 1 << 16, column: st
         if found:
             yield out(found)
 
-    return dealt.repartition("job").sortWithinPartitions("job").mapInArrow(lambda batches: giving_back(compare(batches)), "a long, b long, open boolean")
+    return dealt.repartition("job").sortWithinPartitions("job").mapInArrow(lambda batches: giving_back(compare(batches)), "a long, b long, open boolean, far int")
 
 
 def near_duplicates(docs: DataFrame, words_each: int = 4, radius: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -409,10 +440,10 @@ def _ends(pairs: DataFrame, name: str) -> DataFrame:
     return pairs.select(F.col("a").alias(name)).distinct().union(pairs.select(F.col("b").alias(name)).distinct()).distinct()
 
 
-def _true_pairs(pairs: DataFrame, held: DataFrame, texts: DataFrame, words_each: int, similarity: float) -> DataFrame:
+def _true_pairs(pairs: DataFrame, held: DataFrame, words_each: int, similarity: float, texts: DataFrame | None = None) -> DataFrame:
     """Those of the pairs (a, b) of text hashes whose shingles have a Jaccard similarity of ``similarity``; ``held`` has the texts.
 
-    Pairs go before any text moves if even all shingles that their slots could share are too few.
+    With ``texts``, pairs go before any text moves if even all shingles that their slots could share are too few.
     """
     def joined(left: DataFrame, right: DataFrame, column: str) -> DataFrame:
         both = left.join(right.select(F.col("text_hash").alias("a"), F.col(column).alias("sa")), "a")
@@ -424,40 +455,26 @@ def _true_pairs(pairs: DataFrame, held: DataFrame, texts: DataFrame, words_each:
     def total(counts):
         return F.aggregate(counts, F.lit(0), lambda x, y: x + y)
 
-    most = total(F.zip_with("sa", "sb", lambda x, y: F.least(x, y)))
-    likely = materialize(joined(pairs, texts, "counts").where(enough(most, total(F.col("sa")), total(F.col("sb")))).select("a", "b"), "candidates")
+    likely = pairs
+    if texts is not None:
+        most = total(F.zip_with("sa", "sb", lambda x, y: F.least(x, y)))
+        likely = materialize(joined(pairs, texts, "counts").where(enough(most, total(F.col("sa")), total(F.col("sb")))).select("a", "b"), "candidates")
     wanted = _ends(likely, "text_hash")
     shingled = materialize(_with_shingles(held.join(wanted, "text_hash", "left_semi"), words_each).select("text_hash", "s"), "shingles")
     shared = F.size(F.array_intersect("sa", "sb"))
     alike = materialize(joined(likely, shingled, "s").where(enough(shared, F.size("sa"), F.size("sb"))).select("a", "b"), "alike")
-    discard(likely, shingled)
+    discard(shingled, *([likely] if texts is not None else []))
     return alike
 
 
-def _apart(near: DataFrame, labelled: DataFrame, prints: DataFrame, unit: int = 256) -> DataFrame:
-    """(a, b): the texts of pairs of fingerprints whose labels differ. Fingerprints of many texts meet part by part."""
-    sizes = prints.select("fingerprint", F.ceil(F.col("n") / unit).cast("int").alias("parts"))
-    dealt = labelled.join(sizes, "fingerprint").withColumn("part", F.pmod(F.xxhash64("text_hash"), F.col("parts")).cast("int"))
-    found = near
-    for c in "ab":
-        found = found.join(sizes.select(F.col("fingerprint").alias(c), F.col("parts").alias(f"n{c}")), c).withColumn(f"p{c}", F.explode(F.sequence(F.lit(0), F.col(f"n{c}") - 1))).drop(f"n{c}")
-    for c in "ab":
-        found = found.join(dealt.select(F.col("fingerprint").alias(c), F.col("part").alias(f"p{c}"), F.col("text_hash").alias(f"t{c}"), F.col("label").alias(f"l{c}")), [c, f"p{c}"])
-    return found.where("la <> lb and (a <> b or ta < tb)").select(F.col("ta").alias("a"), F.col("tb").alias("b"))
-
-
 def _nearest(near: DataFrame, k: int = _NEAREST) -> DataFrame:
-    """Pairs to compare first: all of sparse buckets, and of dense ones those among the k nearest of either fingerprint.
+    """Of links, those among the k nearest of either end: what ties a large group together, mostly.
 
-    The forests of a large group's many buckets have far more links than tie it
-    together; those left out come after, if they are between groups that are still apart.
+    The forests of a large group's many buckets have far more; those left out
+    come after, if they are between groups that are still apart.
     """
-    ends = near.where("open").select("a", "b", F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).alias("far"))
-    kept = near.where("not open").select("a", "b")
-    for end in "ab":
-        order = Window.partitionBy(end).orderBy("far", "a", "b")
-        kept = kept.union(ends.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select("a", "b"))
-    return kept.distinct()
+    kept = [near.withColumn("r", F.row_number().over(Window.partitionBy(end).orderBy("far", "a", "b"))).where(F.col("r") <= k).select("a", "b") for end in "ab"]
+    return kept[0].union(kept[1]).distinct()
 
 
 def similar_groups(docs: DataFrame, words_each: int = 5, radius: int = 14, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -465,15 +482,14 @@ def similar_groups(docs: DataFrame, words_each: int = 5, radius: int = 14, simil
 
     Pairs within ``radius`` bits are candidates, and those with a Jaccard similarity
     of word shingles below ``similarity`` go. About one pair in twenty of just that
-    similarity lies beyond 14 bits and is lost, of closer pairs fewer. Of buckets with very many pairs, the
-    nearest that connect it are compared first; then all pairs of theirs that are
-    not in one group yet. Of texts that share a fingerprint the first goes before;
-    then each is compared with all of its own and of near fingerprints that are
-    not in one group with it.
+    similarity lies beyond 14 bits and is lost, of closer pairs fewer. Of buckets with very many pairs, those
+    that connect it and may be most alike are compared first; then all pairs of theirs that may be
+    alike and are not in one group yet. Of texts that share a fingerprint the first goes before;
+    then each meets all of its own and of near fingerprints that are not in one group with it.
     """
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     narrow = materialize(_sketched(named, words_each), "fingerprints")
-    texts = materialize(narrow.groupBy("fingerprint", "text_hash").agg(F.min("doc_id").alias("least"), F.first("counts").alias("counts")), "texts")
+    texts = materialize(narrow.groupBy("fingerprint", "text_hash").agg(F.min("doc_id").alias("least"), F.first("counts").alias("counts"), F.first("planes").alias("planes")), "texts")
     first = texts.groupBy("fingerprint").agg(F.min("text_hash").alias("first"))
 
     def of_texts(near: DataFrame) -> DataFrame:
@@ -486,22 +502,23 @@ def similar_groups(docs: DataFrame, words_each: int = 5, radius: int = 14, simil
     found = _ends(near, "fingerprint").union(texts.join(first, "fingerprint").where("text_hash <> first").select("fingerprint")).distinct()
     wanted = texts.join(found, "fingerprint", "left_semi").select("text_hash")
     held = materialize(named.join(wanted, "text_hash", "left_semi").groupBy("text_hash").agg(F.min("text").alias("text")), "texts")
-    true = _true_pairs(same.union(of_texts(_nearest(near))), held, texts, words_each, similarity)
+    crowded = _ends(near.where("open"), "fingerprint")
+    members = first.join(crowded, "fingerprint").join(texts.select("fingerprint", F.col("text_hash").alias("first"), "counts", "planes"), ["fingerprint", "first"])
+    ties = candidates(members, radius, label="first", similarity=similarity, forest=True, name="first")
+    true = _true_pairs(same.union(of_texts(near.where("not open"))).union(_nearest(ties)), held, words_each, similarity, texts)
     nodes = connected_components(true).withColumnRenamed("node", "text_hash")
-    labelled = materialize(texts.join(nodes, "text_hash", "left").select("fingerprint", "text_hash", F.coalesce("component", "text_hash").alias("label")), "labels")
-    prints = labelled.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
-    again = _ends(near.where("open"), "fingerprint").join(prints, "fingerprint").select("fingerprint", "n", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.col("fingerprint")).alias("label"))
-    again = again.join(texts.groupBy("fingerprint").agg(F.first("counts").alias("counts")), "fingerprint").withColumn("counts", F.when(F.col("n") == 1, F.col("counts")))
-    rest = materialize(candidates(again, radius, label="label", similarity=similarity).select("a", "b"), "near")
-    many = prints.where("n > 1")
-    either = near.where("not open").join(many.select(F.col("fingerprint").alias("a"), F.lit(True).alias("ma")), "a", "left").join(many.select(F.col("fingerprint").alias("b"), F.lit(True).alias("mb")), "b", "left")
-    rest = rest.union(either.where("ma or mb").select("a", "b")).union(prints.where("low <> high").select("fingerprint", "fingerprint"))
-    rest = materialize(_apart(rest, labelled, prints), "apart")
+    labelled = texts.join(nodes, "text_hash", "left").withColumn("label", F.coalesce("component", "text_hash"))
+    # what has not been compared: all pairs of dense buckets, and of texts that are not their fingerprint's first
+    many = texts.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fingerprint")
+    either = [near.where("not open").join(many.withColumnRenamed("fingerprint", x), x, "left_semi").select(F.col(y).alias("fingerprint")) for x, y in ("ab", "ba")]
+    again = crowded.union(many).union(either[0]).union(either[1]).distinct()
+    rest = candidates(labelled.join(again, "fingerprint", "left_semi"), radius, label="label", similarity=similarity, name="text_hash")
+    rest = materialize(rest.select("a", "b"), "apart")
     discard(near)
     if not rest.isEmpty():
-        true = true.union(_true_pairs(rest, held, texts, words_each, similarity))
+        true = true.union(_true_pairs(rest, held, words_each, similarity))
         nodes = connected_components(true).withColumnRenamed("node", "text_hash")
-    discard(rest, labelled, held)
+    discard(rest, held)
     linked = texts.join(nodes, "text_hash", "left").withColumn("component", F.coalesce("component", "text_hash"))
     least = linked.groupBy("component").agg(F.min("least").alias("component_id"))
     found = linked.select("text_hash", "component").join(least, "component").select("text_hash", "component_id")
