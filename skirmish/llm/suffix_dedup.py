@@ -38,7 +38,7 @@ from .common import discard, fresh_names, giving_back, materialize
 
 MIN_BYTES = 400
 GRAM = 16
-SHARD = 1 << 21
+SHARD = 1 << 20
 #: An anchor with more bytes of distinct segments than this is dealt over several shards.
 HOT = 1 << 23
 _BATCH = 1 << 20
