@@ -107,3 +107,15 @@ def test_conflicts_pets_and_leaders(events):
                     known[foe], known[a if foe == b else b] = "Foe", "Friend"
                     want[(log, r["seq"])] = foe
     assert {(r["log_id"], r["seq"]): r["foe"] for r in foes.collect()} == want
+
+
+def test_order_of_what_one_line_tells(spark):
+    """A log's first line tells of its owner, too: rows may arrive in any order, that the owner is a player comes first."""
+    names = [c.split()[0] for c in EVENTS.split(", ")]
+    rows = [{"log_id": "taunted", "kind": "taunt", "source": "M1", "target": "P0"}, {"log_id": "bound", "kind": "heal", "source": "M1", "target": "P0", "spell": "Bond"}]
+    df = spark.createDataFrame([tuple({"seq": 1, "ts": 1_700_000_000, "owner": "P0", **x}.get(c) for c in names) for x in rows], EVENTS.replace("ts timestamp", "ts long")).withColumn("ts", F.timestamp_seconds("ts"))
+    spells = spark.createDataFrame([("Bond", "MAG", 1, 0, 14, None)], "name string, classes string, class_count int, duration_ticks int, target int, land_pet string")
+    told = entities._rows(df, spells).withColumn("chunk", F.lit(0)).coalesce(1)
+    for arrived in (F.col("is_player").desc_nulls_last(), F.col("is_player").asc_nulls_first()):
+        found = entities._fold(told.sortWithinPartitions(arrived), None).where("left is null AND name = 'P0'").collect()
+        assert {(r["log_id"], r["type"], r["is_player"], r["owner"]) for r in found} == {("taunted", "Foe", True, None), ("bound", "Friend", True, None)}
