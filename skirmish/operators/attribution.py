@@ -7,21 +7,24 @@ A heal goes to the open fight last hit, if a member of it heals or is healed; el
 the oldest open fight with such a member; else, if the healer is a friend, to the
 newest. Healer and healed are members from then on, so a heal decides about later
 ones. Which fights a heal could go to does not depend on that and is joined once. Who
-is a member does: placements are made with the members known so far, and those whose
-members change by them are made again, until none is. A placement rests on earlier
-rows alone, so there is one end, and it is that of a replay row by row.
+is a member does, so that is a fold over narrow rows, in order; chunks of a log are
+folded at once, and again where the chunks before left other members than was given.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from skirmish.functions.text import pet_owner
 from skirmish.operators.entities import FRIEND, UNKNOWN, entities_as_of
 from skirmish.operators.fights import GROUP_GAP, RAID_GAP, opened_fights
-from skirmish.operators.ordered import SECONDS, last_known, running_sum
-from skirmish.sources.store import stored
+from skirmish.operators.ordered import CHUNK_ROWS, SECONDS, last_known, running_sum, stored_in_chunks
+from skirmish.sources.store import arrow_schema, stored
 
 BUCKET = 60
 
@@ -48,10 +51,10 @@ def last_fight(events: DataFrame, assigned: DataFrame, opened: DataFrame, bucket
 
 
 def _members(assigned: DataFrame) -> DataFrame:
-    """(fight_id, member, since): who hit, missed or was hit in a fight, or died by its foe, and from which row on. The foe itself is none."""
+    """(log_id, foe, start_seq, member, since): who hit, missed or was hit in a fight, or died by its foe, and from which row on. The foe itself is none."""
     named = F.when(F.col("kind").isin("hit", "miss"), F.array("source", "target")).when(F.col("kind") == "touch", F.array("name"))
-    names = assigned.select("fight_id", "foe", F.greatest("seq", "start_seq").alias("since"), F.explode(named).alias("member"))
-    return names.where("member <> foe").select("fight_id", "member", "since")
+    names = assigned.select("log_id", "foe", "start_seq", F.greatest("seq", "start_seq").alias("since"), F.explode(named).alias("member"))
+    return names.where("member <> foe")
 
 
 def casters(casts: DataFrame, assigned: DataFrame, opened: DataFrame, friends: DataFrame) -> DataFrame:
@@ -70,7 +73,7 @@ def _open_at(seq: Column, t: Column, ghosts: bool = False) -> Column:
 
 
 def _choices(heals: DataFrame, assigned: DataFrame, opened: DataFrame, friends: DataFrame | None) -> DataFrame:
-    """(log_id, seq, source, target, fight_id, foe, start_seq, is_last, listed, friend): every open fight for every heal, by log and minute."""
+    """(log_id, seq, source, target, foe, start_seq, is_last, listed, friend): every open fight for every heal, by log and minute."""
     asked = last_fight(heals.select("log_id", "seq", "ts", "source", "target"), assigned, opened)
     if friends is None:
         asked = asked.withColumn("friend", F.lit(False))
@@ -79,7 +82,7 @@ def _choices(heals: DataFrame, assigned: DataFrame, opened: DataFrame, friends:
         asked = asked.join(friends.withColumnRenamed("name", "source").select(*keys).distinct().withColumn("friend", F.lit(True)), keys, "left")
     of = ("fight_id", "log_id", "foe", "start_seq", "end_seq", "until", "killed", "ghost")
     listed = _open_at(F.col("seq"), _seconds("ts"))
-    columns = ("log_id", "seq", "source", "target", "fight_id", "foe", "start_seq", "is_last", "listed", "friend")
+    columns = ("log_id", "seq", "source", "target", "foe", "start_seq", "is_last", "listed", "friend")
     first = asked.join(opened.select(*of).withColumnRenamed("log_id", "_log"), F.col("last_fight") == F.col("fight_id"))
     first = first.where(_open_at(F.col("seq"), _seconds("ts"), ghosts=True)).withColumns({"is_last": F.lit(True), "listed": listed}).select(*columns)
     minutes = F.sequence(F.floor(_seconds("started_on") / BUCKET), F.floor(F.col("until") / BUCKET))
@@ -89,28 +92,115 @@ def _choices(heals: DataFrame, assigned: DataFrame, opened: DataFrame, friends:
     return first.unionByName(others)
 
 
-def _since(members: DataFrame) -> DataFrame:
-    return members.groupBy("fight_id", "member").agg(F.min("since").alias("since"))
-
-
-def _place(choices: DataFrame, members: DataFrame) -> DataFrame:
-    """(log_id, seq, fight_id, foe, source, target): each heal's fight, given who is a member since when."""
-    named = choices.select("log_id", "seq", "fight_id", F.explode(F.array_distinct(F.array("source", "target"))).alias("member"))
-    named = named.join(members, ["fight_id", "member"]).where("since < seq").select("log_id", "seq", "fight_id").distinct().withColumn("named", F.lit(True))
-    tier = F.when(F.col("named") & F.col("is_last"), 1).when(F.col("named"), 2).when(F.coalesce("friend", F.lit(False)) & F.col("listed"), 3)
-    rated = choices.join(named, ["log_id", "seq", "fight_id"], "left").withColumn("tier", tier).where("tier is not null")
-    best = rated.groupBy("log_id", "seq").agg(F.min_by(F.struct("fight_id", "foe", "source", "target"), F.struct("tier", F.when(F.col("tier") == 3, -F.col("start_seq")).otherwise(F.col("start_seq")))).alias("p"))
-    return best.select("log_id", "seq", "p.*")
-
-
-def _joined_by(placed: DataFrame) -> DataFrame:
-    """Who became a member by a heal; heals of the foe itself make none."""
-    done = placed.where(~F.col("target").eqNullSafe(F.col("foe")))
-    names = done.select("fight_id", "foe", F.col("seq").alias("since"), F.explode(F.array("source", "target")).alias("member"))
-    return names.where("member <> foe").select("fight_id", "member", "since")
+_PLACED = "log_id string, chunk int, seq long, foe string, start_seq long, left array<string>"
+_ROW = ("log_id", "chunk", "seq", "step", "foe", "start_seq", "source", "target", "is_last", "listed", "friend")
+SEED, CHOICE, MEMBER = -1, 0, 1
+
+
+class _Healing:
+    """Who is a member of which fights, row by row, and the heals placed by that. A fight is its foe and first row."""
+
+    def __init__(self, log_id: str, chunk: int):
+        self.key, self.out = (log_id, chunk), []
+        self.members: dict[tuple, set] = {}
+        self.heal: tuple | None = None  # seq, source and target of the heal whose choices are read
+        self.best: tuple | None = None  # rank and fight
+
+    def take(self, r: tuple) -> None:
+        _, _, seq, step, foe, start, source, target, is_last, listed, friend, seed = r
+        if self.heal and (step != CHOICE or seq != self.heal[0]):
+            self.place()
+        known = self.members.setdefault((foe, start), set())
+        if step == SEED:
+            known.update(seed)
+        elif step == MEMBER:
+            known.add(source)
+        else:
+            self.heal = seq, source, target
+            if source in known or target in known:
+                rank = (1 if is_last else 2, start)
+            elif friend and listed:
+                rank = (3, -start)
+            else:
+                return
+            if self.best is None or rank < self.best[0]:
+                self.best = rank, (foe, start)
+
+    def place(self) -> None:
+        """Heals of the foe itself count for nothing and make no member."""
+        if self.best and self.heal[2] != self.best[1][0]:
+            seq, *names = self.heal
+            fight = self.best[1]
+            self.out.append((*self.key, seq, *fight, None))
+            self.members[fight].update(n for n in names if n is not None and n != fight[0])
+        self.heal = self.best = None
+
+    def left(self) -> list[tuple]:
+        """The members at the end of the chunk, a row a fight that is in it."""
+        return [(*self.key, None, *fight, sorted(names)) for fight, names in self.members.items()]
+
+
+def _place(rows: DataFrame, seeds: DataFrame | None, cut: bool) -> DataFrame:
+    """One pass over the chunks of ``rows``, each from the members that ``seeds`` (log_id, chunk, foe, start_seq, seed) knew before it; with what each leaves, if logs are ``cut``."""
+    given = rows.withColumn("seed", F.lit(None).cast("array<string>"))
+    if seeds is not None:
+        given = given.unionByName(seeds.withColumns({"seq": F.lit(-1).cast("long"), "step": F.lit(SEED)}), allowMissingColumns=True)
+    schema = arrow_schema(_PLACED)
+
+    def batch(found: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*found, strict=True)) or [()] * len(schema)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fold: _Healing | None = None
+
+        def end() -> list[tuple]:
+            fold.place()
+            return fold.out + (fold.left() if cut else [])
+
+        for rows in batches:
+            out: list[tuple] = []
+            for r in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+                if fold is None or fold.key != r[:2]:
+                    if fold is not None:
+                        out += end()
+                    fold = _Healing(*r[:2])
+                fold.take(r)
+            if fold is not None:
+                out += fold.out
+                fold.out = []
+            yield batch(out)
+        if fold is not None:
+            yield batch(end())
+
+    ordered = given.select(*_ROW, "seed").repartition("log_id", "chunk").sortWithinPartitions("log_id", "chunk", "seq", "step")
+    return ordered.mapInArrow(run, _PLACED)
+
+
+def _placed(rows: DataFrame, size: int) -> DataFrame:
+    """(log_id, seq, foe, start_seq): each heal's fight.
+
+    A log is cut into chunks of ``size`` rows, all of which are placed at once as if
+    no fight had members before; those that were given other members than the chunks
+    before them left are placed again, until there are none.
+    """
+    rows, cut = stored_in_chunks(rows, size)
+    found, given, keys = stored(_place(rows, None, cut), "placed"), None, ["log_id", "chunk", "foe", "start_seq"]
+    while cut:
+        before = Window.partitionBy("log_id", "foe", "start_seq").orderBy("chunk")
+        lefts = found.where("left is not null").select(*keys, F.lag("left").over(before).alias("seed"))
+        seeds = stored(lefts.where(F.size("seed") > 0), "seeds")
+        used = seeds.limit(0) if given is None else given
+        other = seeds.join(used.withColumnRenamed("seed", "used"), keys, "full").where(~F.col("seed").eqNullSafe(F.col("used")))
+        stale = stored(other.select("log_id", "chunk").distinct(), "stale")
+        if stale.isEmpty():
+            break
+        again = _place(rows.join(stale, ["log_id", "chunk"], "left_semi"), seeds.join(stale, ["log_id", "chunk"], "left_semi"), cut)
+        found, given = stored(found.join(stale, ["log_id", "chunk"], "left_anti").unionByName(again), "placed"), seeds
+    return found.where("left is null").select("log_id", "seq", "foe", "start_seq")
 
 
-def attribute_heals(heals: DataFrame, assigned: DataFrame, fights: DataFrame, friends: DataFrame | None = None, gap: int = GROUP_GAP, raid_gap: int = RAID_GAP, joined_by: DataFrame | None = None) -> DataFrame:
+def attribute_heals(heals: DataFrame, assigned: DataFrame, fights: DataFrame, friends: DataFrame | None = None, gap: int = GROUP_GAP, raid_gap: int = RAID_GAP, joined_by: DataFrame | None = None, size: int = CHUNK_ROWS) -> DataFrame:
     """Heals with the fight they count for (fight_id, foe, started_on), of those in ``fights``.
 
     Heals on the foe itself count for nothing. ``friends`` has (log_id, name), or with
@@ -118,22 +208,13 @@ def attribute_heals(heals: DataFrame, assigned: DataFrame, fights: DataFrame, fr
     are members by other acts, as casters are.
     """
     opened = opened_fights(assigned, fights, gap, raid_gap)
-    choices = stored(_choices(heals, assigned, opened, friends), "choices")
-    told = _members(assigned) if joined_by is None else _members(assigned).unionByName(joined_by)
-    base = members = stored(_since(told), "members")
-    placed = stored(_place(choices, members), "placed")
-    while True:
-        grown = stored(_since(base.unionByName(_joined_by(placed))), "members")
-        before = members.withColumnRenamed("since", "was")
-        changed = grown.join(before, ["fight_id", "member"], "full").where(~F.col("since").eqNullSafe(F.col("was"))).select("fight_id", "member", F.least("since", "was").alias("after"))
-        touched = choices.select("log_id", "seq", "fight_id", F.explode(F.array("source", "target")).alias("member")).join(changed, ["fight_id", "member"])
-        again = stored(touched.where("seq > after").select("log_id", "seq").distinct(), "again")
-        if again.isEmpty():
-            break
-        redone = _place(choices.join(again, ["log_id", "seq"], "left_semi"), grown)
-        placed, members = stored(placed.join(again, ["log_id", "seq"], "left_anti").unionByName(redone), "placed"), grown
-    best = placed.where(~F.col("target").eqNullSafe(F.col("foe"))).select("log_id", "seq", "fight_id", "foe")
-    best = best.join(fights.select("fight_id", "started_on"), "fight_id")
+    fight = ("log_id", "foe", "start_seq")
+    told = _members(assigned)
+    if joined_by is not None:
+        told = told.unionByName(joined_by.join(opened.select("fight_id", *fight), "fight_id").select(*fight, "member", "since"))
+    members = told.groupBy(*fight, F.col("member").alias("source")).agg(F.min("since").alias("seq")).withColumn("step", F.lit(MEMBER))
+    rows = _choices(heals, assigned, opened, friends).withColumn("step", F.lit(CHOICE)).unionByName(members, allowMissingColumns=True)
+    best = _placed(rows.select(*(c for c in _ROW if c != "chunk")), size).join(fights.select("fight_id", *fight, "started_on"), [*fight]).drop("start_seq")
     return heals.drop("foe", "fight_id", "started_on").join(best, ["log_id", "seq"])
 
 

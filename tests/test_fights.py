@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from skirmish.operators import attribution, buffs, entities, fights, loot, merge, rollups, rules, ticks
+from skirmish.operators import attribution, buffs, entities, fights, loot, merge, ordered, rollups, rules, ticks
 from skirmish.plans import reports
 
 SCHEMA = "log_id string, seq long, t long, kind string, source string, target string, amount long, full_amount long, type string, spell string, mods array<string>, name string, killshot string, channel string, message string, status string, foe string, owner string, text string, class string, level int, faction string, item string, server string"
@@ -458,3 +458,28 @@ def test_drops(table, spark):
     df = table({"kind": "loot", "item": "Gem", "source": "Rat"}, {"kind": "zone", "name": "Z"}, {"kind": "loot", "item": "Gem", "source": "Rat"}, {"kind": "rot", "item": "Gem", "source": "Rat"}, {"kind": "loot", "item": "Junk", "source": "Rat"}, {"kind": "loot", "item": "Gem"})
     got = loot.drop_counts(loot.drops(df, spark.sql("SELECT 'Junk' AS item"))).collect()
     assert [(r["zone"], r["mob"], r["item"], r["n"]) for r in got] == [("Z", "Rat", "Gem", 2)]
+
+
+def _chain():
+    """Each of twelve heals makes the healer of the next a member."""
+    return [{"t": 1 + k, "kind": "heal", "source": f"P{k}" if k else "A", "target": f"P{k + 1}", "amount": 1, "full_amount": 1} for k in range(12)]
+
+
+def test_a_chain_of_heals_is_no_chain_of_passes(table, monkeypatch):
+    df = table(hit(0), *_chain())
+    rows, table_ = sessions(df)
+    written = []
+    for module in (m for m in (attribution, ordered) if hasattr(m, "stored")):
+        monkeypatch.setattr(module, "stored", lambda df, label, f=module.stored: written.append(label) or f(df, label))
+    healed = attribution.attribute_heals(df.where("kind = 'heal'").drop("foe"), rows, table_)
+    assert healed.count() == 12 and len(written) < 12
+
+
+def test_heals_in_chunks(table):
+    """Members are handed over to the chunks after; a fight that ended takes none along."""
+    df = table(hit(0), *_chain(), death(14), hit(40), *[{**h, "t": h["t"] + 40} for h in _chain()[3:]], {"t": 54, "kind": "heal", "source": "A", "target": "P4", "amount": 1, "full_amount": 1})
+    rows, table_ = sessions(df)
+    healed = df.where("kind = 'heal'").drop("foe")
+    whole = sorted(map(str, attribution.attribute_heals(healed, rows, table_).collect()))
+    assert len(whole) == 13
+    assert sorted(map(str, attribution.attribute_heals(healed, rows, table_, size=4).collect())) == whole
