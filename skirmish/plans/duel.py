@@ -73,14 +73,14 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     stamp = F.date_format(F.timestamp_seconds(F.lit(1704067200) + 2 * i), "EEE MMM dd HH:mm:ss yyyy")
     log = F.concat(F.lit("eqlog_Ann_"), F.floor(i / EVENTS_A_LOG).cast("string"))
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select(log.alias("log_id"), i.alias("seq"), F.lit(OWNER).alias("owner"), F.lit("test").alias("server"), F.concat(F.lit("["), stamp, F.lit("] "), said).alias("line"))
+    return spread(spark.read.parquet(f"{sf_dir}/events.parquet")).select(log.alias("log_id"), i.alias("seq"), F.lit(OWNER).alias("owner"), F.lit("test").alias("server"), F.concat(F.lit("["), stamp, F.lit("] "), said).alias("line"))
 
 
 def folded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fold over who is what, with spells; logs are folded in several chunks each. Stored once a session."""
 
     def make() -> DataFrame:
-        events = extract_events(split_lines(spread(lines(spark, sf_dir))))
+        events = extract_events(split_lines(lines(spark, sf_dir)))
         return entities.fold_entities(events, spell_table(spark), CHUNK_ROWS)
 
     return stored_once(spark.read.parquet(f"{sf_dir}/events.parquet"), "duel", make)

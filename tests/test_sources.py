@@ -13,7 +13,7 @@ from skirmish.operators.fights import assign_fights, fight_table
 from skirmish.operators.lines import split_lines
 from skirmish.operators.rules import extract_events
 from skirmish.plans import reports
-from skirmish.sources import logs, rosters, sinks, spells
+from skirmish.sources import logs, rosters, sinks, spells, store
 from skirmish.streaming import live
 
 LINE = "[Sun Jul 05 20:31:{:02d} 2020] {}"
@@ -162,3 +162,11 @@ def test_quick_sessions_equal_windows(spark):
     quick = sorted((r["started_on"], r["damage"]) for r in live.quick_sessions(df).collect())
     exact = sorted((r["started_on"], r["hp"]) for r in fight_table(assign_fights(df)).collect())
     assert quick == exact and len(quick) == 4
+
+
+def test_spread_follows_the_rows(spark):
+    """Tasks that read by patterns get a number of rows, however many there are; few rows still meet all cores."""
+    cores = spark.sparkContext.defaultParallelism
+    assert store.spread(spark.range(0, 1000, 1, 2), 10).rdd.getNumPartitions() == 100
+    assert store.spread(spark.range(0, 1000, 1, 2)).rdd.getNumPartitions() == cores
+    assert store.spread(spark.range(0, 1000, 1, 200), 10).rdd.getNumPartitions() == 200
