@@ -19,7 +19,7 @@ whatever their names, are carried along by :func:`one_of_each`.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -262,6 +262,27 @@ def _likely(packed: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float)
     return np.concatenate(fits), np.concatenate(far)
 
 
+def _longs(batch: pa.RecordBatch, i: int) -> np.ndarray:
+    return np.ascontiguousarray(batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64)).view(np.uint64)
+
+
+def _counts(values: DataFrame, keys: Callable[[np.ndarray], np.ndarray], held: int = 1 << 18) -> DataFrame:
+    """(k, n): how many of the longs have a key, a row a key and task as long as a task has at most ``held`` keys; tasks are no more than cores, however many parts the input comes in."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k, n = np.empty(0, np.int64), np.empty(0, np.int64)
+        for batch in batches:
+            more, times = np.unique(keys(_longs(batch, 0)), return_counts=True)
+            k, at = np.unique(np.concatenate([k, more]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([n, times]), len(k)).astype(np.int64)
+            if len(k) > held:
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], ["k", "n"])
+                k, n = k[:0], n[:0]
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], ["k", "n"])
+
+    return values.coalesce(values.sparkSession.sparkContext.defaultParallelism).mapInArrow(counted, "k long, n long")
+
+
 def candidates(distinct: DataFrame, radius: int, unit: int = 1 << 16, column: str = "fingerprint", label: str | None = None, similarity: float = 0.0, forest: bool = False, name: str | None = None) -> DataFrame:
     """(a, b, open, far): pairs of fingerprints within ``radius`` bits, each once: in the first bucket that holds both.
 
@@ -282,17 +303,9 @@ def candidates(distinct: DataFrame, radius: int, unit: int = 1 << 16, column: st
         blocks = (v[:, None] >> shift & mask).astype(np.int64)
         return (np.arange(len(first)) << 2 * half | blocks[:, first] << half | blocks[:, second]).ravel()
 
-    def column_of(batch: pa.RecordBatch, i: int) -> np.ndarray:
-        return np.ascontiguousarray(batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64)).view(np.uint64)
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            k, n = np.unique(keys(column_of(batch, 0)), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], ["k", "n"])
-
     counted_too = label is not None and "counts" in distinct.columns
     sent = distinct.select(F.col(column).alias("v"), *([F.col(label).alias("l"), F.col(name or column).alias("i")] if label else []), *([F.col("counts").alias("c"), F.col("planes").alias("p")] if counted_too else []))
-    sizes = sent.select("v").mapInArrow(counted, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).where(F.col("n") > unit)
+    sizes = _counts(sent.select("v"), keys).groupBy("k").agg(F.sum("n").alias("n")).where(F.col("n") > unit)
     large = sorted((r["k"], min(1023, -(-r["n"] // unit))) for r in sizes.collect())  # buckets are as many as there are keys, whatever the input
     large_keys, large_parts = np.array([k for k, _ in large], np.int64), np.array([n for _, n in large], np.int64)
 
@@ -307,10 +320,10 @@ def candidates(distinct: DataFrame, radius: int, unit: int = 1 << 16, column: st
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = column_of(batch, 0)
+            v = _longs(batch, 0)
             k, row = keys(v), np.repeat(np.arange(len(v)), len(first))
             parts = parts_of(k)
-            own = own_part(column_of(batch, 2)[row] if label else v[row], parts)
+            own = own_part(_longs(batch, 2)[row] if label else v[row], parts)
             jobs, rows = [], []
             for other in range(parts.max(initial=0)):
                 at = np.flatnonzero(parts > other)
@@ -328,7 +341,7 @@ def candidates(distinct: DataFrame, radius: int, unit: int = 1 << 16, column: st
                 offsets = pa.py_buffer((ends * width).astype(np.int32).tobytes())
                 return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, offsets, pa.py_buffer(values[row].tobytes())])
 
-            sets = [one_set(column_of(batch, i), 8) for i in range(min(batch.num_columns, 3))]
+            sets = [one_set(_longs(batch, i), 8) for i in range(min(batch.num_columns, 3))]
             if batch.num_columns > 3:
                 sets.append(one_set(_packed(batch.column(3), batch.column(4)), 8 + _PLANES + _SLOTS))
             yield pa.RecordBatch.from_arrays([pa.array(job[starts]), *sets], ["job", "v", "l", "i", "c"][: len(sets) + 1])

@@ -192,3 +192,15 @@ def test_repeated_lines_do_not_part_near_duplicates(spark):
             rows.append((2 * k + (side == "b"), text + (" " + line) * 60))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(x["doc_id"] for x in simhash.one_of_each(df).collect()) == list(range(0, 40, 2))
+
+
+@pytest.mark.parametrize("held", [4, 1 << 18])
+def test_counts_follow_keys_not_parts(spark, held):
+    """Bucket sizes come as a row a key and task, however many parts the rows are dealt over."""
+    values = spark.range(0, 4096, 1, 64).selectExpr("id AS v")
+    rows = simhash._counts(values, lambda v: (v % np.uint64(16)).astype(np.int64), held).collect()
+    found = {}
+    for r in rows:
+        found[r["k"]] = found.get(r["k"], 0) + r["n"]
+    assert found == {k: 256 for k in range(16)}
+    assert held == 4 or len(rows) <= 16 * spark.sparkContext.defaultParallelism
