@@ -46,6 +46,9 @@ _DENSE = 2
 _OUT = 1 << 16
 _CHUNK = 1 << 14
 _NEAREST = 4
+_PART = 1 << 13
+_PARTS = 8
+_FEW = 512
 
 
 def _hashes(text: bytes | None, words_each: int) -> list[int]:
@@ -118,23 +121,27 @@ def as_hex(column: str):
     return F.lpad(F.lower(F.hex(F.col(column))), 16, "0")
 
 
-def _span(size: int, a: np.ndarray, b: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Those of the links that connect what all of them connect, taking links of fewer bits first."""
-    label = np.arange(size)
-    taken = []
-    for bits in np.unique(far):
-        at = np.flatnonzero(far == bits)
-        while True:
-            la, lb = label[a[at]], label[b[at]]
-            at, high, low = at[la != lb], np.maximum(la, lb)[la != lb], np.minimum(la, lb)[la != lb]
-            if not len(at):
-                break
-            roots, first = np.unique(high, return_index=True)  # each root is tied to one smaller root
-            taken.append(at[first])
-            label[roots] = low[first]
-            while (label != (up := label[label])).any():
-                label = up
-    kept = np.concatenate(taken) if taken else np.zeros(0, np.int64)
+def _span(size: int, a: np.ndarray, b: np.ndarray, far: np.ndarray, times: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Those of the links that connect what all of them connect, taking links of fewer bits first; and as often again, of the links that are left."""
+    kept, rest = [np.zeros(0, np.int64)], np.arange(len(a))
+    for _ in range(times):
+        label = np.arange(size)
+        taken = [np.zeros(0, np.int64)]
+        for bits in np.unique(far[rest]):
+            at = rest[far[rest] == bits]
+            while True:
+                la, lb = label[a[at]], label[b[at]]
+                at, high, low = at[la != lb], np.maximum(la, lb)[la != lb], np.minimum(la, lb)[la != lb]
+                if not len(at):
+                    break
+                roots, first = np.unique(high, return_index=True)  # each root is tied to one smaller root
+                taken.append(at[first])
+                label[roots] = low[first]
+                while (label != (up := label[label])).any():
+                    label = up
+        kept += taken
+        rest = np.setdiff1d(rest, np.concatenate(taken), assume_unique=True)
+    kept = np.concatenate(kept)
     return a[kept], b[kept], far[kept]
 
 
@@ -266,6 +273,10 @@ def _longs(batch: pa.RecordBatch, i: int) -> np.ndarray:
     return np.ascontiguousarray(batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64)).view(np.uint64)
 
 
+def _own_part(v: np.ndarray, parts: np.ndarray | int) -> np.ndarray:
+    return (v * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % parts
+
+
 def _counts(values: DataFrame, keys: Callable[[np.ndarray], np.ndarray], held: int = 1 << 18) -> DataFrame:
     """(k, n): how many of the longs have a key, a row a key and task as long as a task has at most ``held`` keys; tasks are no more than cores, however many parts the input comes in."""
 
@@ -283,17 +294,73 @@ def _counts(values: DataFrame, keys: Callable[[np.ndarray], np.ndarray], held: i
     return values.coalesce(values.sparkSession.sparkContext.defaultParallelism).mapInArrow(counted, "k long, n long")
 
 
+def _gathered(batch: pa.RecordBatch, job: np.ndarray, row: np.ndarray) -> pa.RecordBatch:
+    """A row a job: of each column the values of the job's rows, joined to one array of bytes."""
+    order = np.argsort(job, kind="stable")
+    job, row = job[order], row[order]
+    starts = np.flatnonzero(np.r_[True, job[1:] != job[:-1]])
+    ends = np.r_[starts, len(job)]
+
+    def one_set(values: np.ndarray, width: int) -> pa.Array:
+        offsets = pa.py_buffer((ends * width).astype(np.int32).tobytes())
+        return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, offsets, pa.py_buffer(values[row].tobytes())])
+
+    sets = [one_set(_longs(batch, i), 8) for i in range(min(batch.num_columns, 3))]
+    if batch.num_columns > 3:
+        sets.append(one_set(_packed(batch.column(3), batch.column(4)), 8 + _PLANES + _SLOTS))
+    return pa.RecordBatch.from_arrays([pa.array(job[starts]), *sets], ["job", "v", "l", "i", "c"][: len(sets) + 1])
+
+
+def _jobs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Of rows of :func:`_gathered` sorted by job, each job and its arrays."""
+    job, held = None, []
+    for batch in batches:
+        sets = [batch.column(i) for i in range(1, batch.num_columns)]
+        for r, at in enumerate(batch.column(0).to_pylist()):
+            if at != job and held:
+                yield job, [np.concatenate(x) for x in zip(*held, strict=True)]
+                held = []
+            job = at
+            held.append([np.frombuffer(x[r].as_buffer(), np.uint8).reshape(-1, 8 + _PLANES + _SLOTS) if i == 3 else np.frombuffer(x[r].as_buffer(), np.uint64) for i, x in enumerate(sets)])
+    if held:
+        yield job, [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def _compared(dealt: DataFrame, pairs: Callable[..., Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]]) -> DataFrame:
+    """(a, b, open, far): what ``pairs`` finds in each job."""
+
+    def out(found: list[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]) -> pa.RecordBatch:
+        marks = np.concatenate([np.full(len(a), mark) for a, _, _, mark in found])
+        far = np.concatenate([x[2] for x in found]).astype(np.int32)
+        return pa.RecordBatch.from_arrays([*(pa.array(np.concatenate([x[i] for x in found]).view(np.int64)) for i in (0, 1)), pa.array(marks), pa.array(far)], ["a", "b", "open", "far"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, rows = [], 0
+        for job, sets in _jobs(batches):
+            if len(sets[0]) < 2:
+                continue
+            for x in pairs(job, *sets):
+                found.append(x)
+                rows += len(x[0])
+                if rows > _OUT:
+                    yield out(found)
+                    found, rows = [], 0
+        if found:
+            yield out(found)
+
+    return dealt.repartition("job").sortWithinPartitions("job").mapInArrow(lambda batches: giving_back(compare(batches)), "a long, b long, open boolean, far int")
+
+
 def candidates(distinct: DataFrame, radius: int, unit: int = 1 << 16, column: str = "fingerprint", label: str | None = None, similarity: float = 0.0, forest: bool = False, name: str | None = None) -> DataFrame:
     """(a, b, open, far): pairs of fingerprints within ``radius`` bits, each once: in the first bucket that holds both.
 
     Without ``label``, a bucket with more than ``_DENSE`` pairs a member gives a
     spanning forest of them, marked as open: all other pairs of the bucket are
-    between fingerprints of open pairs. With it, every pair of rows whose labels differ
-    comes, by the long that ``name`` tells (its fingerprint, if none), but for those whose ``counts`` and ``planes`` (if it has them; null: not known) leave no room for
-    ``similarity``: most pairs of a large group go where they are met. With ``forest`` a spanning forest
-    of these comes, of those first that may be most alike. ``far`` is in bits, or where counts are known, in thousandths of unlikeness. A task deals its rows as one array a bucket; buckets beyond ``unit``
-    members are dealt as pairs of parts.
+    between fingerprints of open pairs. A task deals its rows as one array a bucket; buckets beyond ``unit``
+    members are dealt as pairs of parts. With ``label`` see :func:`_crowd`. ``far`` is in bits.
     """
+    if label is not None:
+        return _crowd(distinct, radius, min(unit, _PART), column, label, similarity, forest, name or column)
     cuts = np.linspace(0, 64, radius + 3).round().astype(int)
     shift, mask = cuts[:-1].astype(np.uint64), (np.uint64(1) << np.diff(cuts).astype(np.uint64)) - np.uint64(1)
     first, second = np.array(list(combinations(range(radius + 2), 2))).T
@@ -303,9 +370,8 @@ def candidates(distinct: DataFrame, radius: int, unit: int = 1 << 16, column: st
         blocks = (v[:, None] >> shift & mask).astype(np.int64)
         return (np.arange(len(first)) << 2 * half | blocks[:, first] << half | blocks[:, second]).ravel()
 
-    counted_too = label is not None and "counts" in distinct.columns
-    sent = distinct.select(F.col(column).alias("v"), *([F.col(label).alias("l"), F.col(name or column).alias("i")] if label else []), *([F.col("counts").alias("c"), F.col("planes").alias("p")] if counted_too else []))
-    sizes = _counts(sent.select("v"), keys).groupBy("k").agg(F.sum("n").alias("n")).where(F.col("n") > unit)
+    sent = distinct.select(F.col(column).alias("v"))
+    sizes = _counts(sent, keys).groupBy("k").agg(F.sum("n").alias("n")).where(F.col("n") > unit)
     large = sorted((r["k"], min(1023, -(-r["n"] // unit))) for r in sizes.collect())  # buckets are as many as there are keys, whatever the input
     large_keys, large_parts = np.array([k for k, _ in large], np.int64), np.array([n for _, n in large], np.int64)
 
@@ -315,51 +381,29 @@ def candidates(distinct: DataFrame, radius: int, unit: int = 1 << 16, column: st
         at = np.minimum(np.searchsorted(large_keys, k), len(large_keys) - 1)
         return np.where(large_keys[at] == k, large_parts[at], 1)
 
-    def own_part(v: np.ndarray, parts: np.ndarray | int) -> np.ndarray:
-        return (v * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % parts
-
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v = _longs(batch, 0)
             k, row = keys(v), np.repeat(np.arange(len(v)), len(first))
             parts = parts_of(k)
-            own = own_part(_longs(batch, 2)[row] if label else v[row], parts)
+            own = _own_part(v[row], parts)
             jobs, rows = [], []
             for other in range(parts.max(initial=0)):
                 at = np.flatnonzero(parts > other)
                 jobs.append(k[at] << 20 | np.minimum(own[at], other) << 10 | np.maximum(own[at], other))
                 rows.append(row[at])
-            if not jobs:
-                continue
-            job, row = np.concatenate(jobs), np.concatenate(rows)
-            order = np.argsort(job, kind="stable")
-            job, row = job[order], row[order]
-            starts = np.flatnonzero(np.r_[True, job[1:] != job[:-1]])
-            ends = np.r_[starts, len(job)]
-
-            def one_set(values: np.ndarray, width: int, ends=ends, row=row) -> pa.Array:
-                offsets = pa.py_buffer((ends * width).astype(np.int32).tobytes())
-                return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, offsets, pa.py_buffer(values[row].tobytes())])
-
-            sets = [one_set(_longs(batch, i), 8) for i in range(min(batch.num_columns, 3))]
-            if batch.num_columns > 3:
-                sets.append(one_set(_packed(batch.column(3), batch.column(4)), 8 + _PLANES + _SLOTS))
-            yield pa.RecordBatch.from_arrays([pa.array(job[starts]), *sets], ["job", "v", "l", "i", "c"][: len(sets) + 1])
-
-    dealt = sent.mapInArrow(lambda batches: deal(small_batches(batches, 1 << 18)), "job long, v binary" + (", l binary, i binary" if label else "") + (", c binary" if counted_too else ""))
+            if jobs:
+                yield _gathered(batch, np.concatenate(jobs), np.concatenate(rows))
 
-    def pairs(job: int, v: np.ndarray, labels: np.ndarray | None, ids: np.ndarray | None, packed: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
+    def pairs(job: int, v: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
         k, i, j = job >> 20, job >> 10 & 1023, job & 1023
         n = k >> 2 * half
-        ids = v if ids is None else ids
-        own = own_part(ids, int(parts_of(np.array([k]))[0])) if i != j else None
+        own = _own_part(v, int(parts_of(np.array([k]))[0])) if i != j else None
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         held, dense = 0, False
         for lo in range(0, len(v), _TILE):
             a, b = np.nonzero(np.bitwise_count(v[lo : lo + _TILE, None] ^ v[None, lo:]) <= radius)
             a, b = a[a < b] + lo, b[a < b] + lo
-            if labels is not None:
-                a, b = a[labels[a] != labels[b]], b[labels[a] != labels[b]]
             if own is not None:
                 a, b = a[own[a] != own[b]], b[own[a] != own[b]]
             if not len(a):
@@ -369,57 +413,75 @@ def candidates(distinct: DataFrame, radius: int, unit: int = 1 << 16, column: st
             alike[np.arange(len(a)), one] = False
             here = (one == first[n]) & (alike.argmax(axis=1) == second[n])
             a, b = a[here], b[here]
-            far = np.bitwise_count(v[a] ^ v[b]).astype(np.int64)
-            if packed is not None:
-                fits, far = _likely(packed, a, b, similarity)
-                a, b, far = a[fits], b[fits], far[fits]
-            if labels is not None and not forest:
-                yield ids[a], ids[b], far, False
-                continue
-            found.append((a, b, far))
+            found.append((a, b, np.bitwise_count(v[a] ^ v[b]).astype(np.int64)))
             held += len(a)
             if held > _HELD:  # the forest of a forest and more links is the forest of all
                 found, held, dense = [_span(len(v), *(np.concatenate(x) for x in zip(*found, strict=True)))], 0, True
         if found:
             a, b, far = (np.concatenate(x) for x in zip(*found, strict=True))
-            if dense or forest or len(a) > _DENSE * len(np.unique(np.r_[a, b])):
+            if dense or len(a) > _DENSE * len(np.unique(np.r_[a, b])):
                 a, b, far = _span(len(v), a, b, far)
                 dense = True
-            yield ids[a], ids[b], far, dense
+            yield v[a], v[b], far, dense
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def buckets() -> Iterator[tuple[int, list[np.ndarray]]]:
-            job, held = None, []
-            for batch in batches:
-                sets = [batch.column(i) for i in range(1, batch.num_columns)]
-                for r, at in enumerate(batch.column(0).to_pylist()):
-                    if at != job and held:
-                        yield job, [np.concatenate(x) for x in zip(*held, strict=True)]
-                        held = []
-                    job = at
-                    held.append([np.frombuffer(x[r].as_buffer(), np.uint8).reshape(-1, 8 + _PLANES + _SLOTS) if i == 3 else np.frombuffer(x[r].as_buffer(), np.uint64) for i, x in enumerate(sets)])
-            if held:
-                yield job, [np.concatenate(x) for x in zip(*held, strict=True)]
+    dealt = sent.mapInArrow(lambda batches: deal(small_batches(batches, 1 << 18)), "job long, v binary")
+    return _compared(dealt, pairs)
 
-        def out(found: list[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]) -> pa.RecordBatch:
-            marks = np.concatenate([np.full(len(a), mark) for a, _, _, mark in found])
-            far = np.concatenate([x[2] for x in found]).astype(np.int32)
-            return pa.RecordBatch.from_arrays([*(pa.array(np.concatenate([x[i] for x in found]).view(np.int64)) for i in (0, 1)), pa.array(marks), pa.array(far)], ["a", "b", "open", "far"])
 
-        found, rows = [], 0
-        for job, sets in buckets():
-            if len(sets[0]) < 2:
+def _crowd(distinct: DataFrame, radius: int, unit: int, column: str, label: str, similarity: float, forest: bool, name: str) -> DataFrame:
+    """(a, b, open, far): every pair within ``radius`` bits whose labels differ, once, by the long that ``name`` tells.
+
+    Pairs whose ``counts`` and ``planes`` (if the rows have them; null: not known) leave no room for ``similarity`` are left out: most pairs
+    of a large group go where they are met. With ``forest`` spanning forests of these come, of those first that may be most alike.
+    ``far`` is in bits, or where counts are known, in thousandths of unlikeness.
+
+    Members of a crowd share most of their bits, and so most of the buckets that fingerprints agree on: dealt by buckets, each would
+    move, and each pair meet, some hundred times. So rows are dealt over parts of at most about ``unit``, and each pair of
+    parts is a job, in which every pair of rows meets once.
+    """
+    known = "counts" in distinct.columns
+    sent = distinct.select(F.col(column).alias("v"), F.col(label).alias("l"), F.col(name).alias("i"), *([F.col("counts").alias("c"), F.col("planes").alias("p")] if known else []))
+    rows = sent.count()
+    parts = max(1, -(-rows // unit), min(_PARTS, -(-rows // _FEW)))
+    times = -(-_PARTS // (2 * parts))  # with more parts, a row is in the forests of more jobs
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                row, other = np.repeat(np.arange(batch.num_rows), parts), np.tile(np.arange(parts), batch.num_rows)
+                own = _own_part(_longs(batch, 2), parts)[row]
+                yield _gathered(batch, np.minimum(own, other) * parts + np.maximum(own, other), row)
+
+    def pairs(job: int, v: np.ndarray, labels: np.ndarray, ids: np.ndarray, packed: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
+        i, j = divmod(job, parts)
+        own = _own_part(ids, parts)
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held = 0
+        for lo in range(0, len(left), _TILE):
+            here, there = left[lo : lo + _TILE], right[lo if i == j else 0 :]
+            a, b = np.nonzero(np.bitwise_count(v[here][:, None] ^ v[there]) <= radius)
+            if i == j:
+                a, b = a[a < b], b[a < b]
+            a, b = here[a], there[b]
+            a, b = a[labels[a] != labels[b]], b[labels[a] != labels[b]]
+            far = np.bitwise_count(v[a] ^ v[b]).astype(np.int64)
+            if packed is not None:
+                fits, far = _likely(packed, a, b, similarity)
+                a, b, far = a[fits], b[fits], far[fits]
+            if not forest:
+                yield ids[a], ids[b], far, False
                 continue
-            for x in pairs(job, *sets, *[None] * (4 - len(sets))):
-                found.append(x)
-                rows += len(x[0])
-                if rows > _OUT:
-                    yield out(found)
-                    found, rows = [], 0
+            found.append((a, b, far))
+            held += len(a)
+            if held > _HELD:  # the forests of forests and more links are forests of all
+                found, held = [_span(len(v), *(np.concatenate(x) for x in zip(*found, strict=True)), times)], 0
         if found:
-            yield out(found)
+            a, b, far = _span(len(v), *(np.concatenate(x) for x in zip(*found, strict=True)), times)
+            yield ids[a], ids[b], far, True
 
-    return dealt.repartition("job").sortWithinPartitions("job").mapInArrow(lambda batches: giving_back(compare(batches)), "a long, b long, open boolean, far int")
+    dealt = sent.mapInArrow(lambda batches: deal(small_batches(batches, max(1 << 16, (1 << 25) // parts))), "job long, v binary, l binary, i binary" + (", c binary" if known else ""))
+    return _compared(dealt, pairs)
 
 
 def near_duplicates(docs: DataFrame, words_each: int = 4, radius: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

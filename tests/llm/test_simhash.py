@@ -204,3 +204,26 @@ def test_counts_follow_keys_not_parts(spark, held):
         found[r["k"]] = found.get(r["k"], 0) + r["n"]
     assert found == {k: 256 for k in range(16)}
     assert held == 4 or len(rows) <= 16 * spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("n_parts", [3, 96])
+def test_a_crowd_is_dealt_over_few_jobs(spark, monkeypatch, n_parts):
+    """Members of a large group move as a row a pair of parts and task, not a row a bucket each; its forests connect it."""
+    r = np.random.default_rng(7)
+    flips = np.array([np.bitwise_or.reduce(np.uint64(1) << r.integers(0, 64, 5).astype(np.uint64)) for _ in range(3000)], np.uint64)
+    v = np.unique(np.uint64(r.integers(0, 2**63)) ^ flips).view(np.int64)
+    df = spark.createDataFrame([(int(x), int(x)) for x in v], "fingerprint long, label long").repartition(n_parts)
+    dealt = []
+    plain = type(df).repartition
+    monkeypatch.setattr(type(df), "repartition", lambda self, *by: (dealt.append(self) if by == ("job",) else None) or plain(self, *by))
+    found = simhash.candidates(df, 14, label="label", forest=True).select("a", "b").collect()
+    assert dealt[0].count() <= 36 * n_parts
+    place = {int(x): i for i, x in enumerate(v)}
+    label = np.arange(len(v))
+    for _ in range(len(v)):
+        was = label.copy()
+        for a, b in found:
+            label[place[a]] = label[place[b]] = min(label[place[a]], label[place[b]])
+        if (label == was).all():
+            break
+    assert (label == 0).all() and all(bin((a ^ b) & (2**64 - 1)).count("1") <= 14 for a, b in found)
