@@ -21,10 +21,12 @@ family first by name.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable
 from functools import reduce
 from itertools import product
 from math import ceil
-from operator import or_
+from operator import and_, or_
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
@@ -164,26 +166,54 @@ def required() -> list[tuple[str, ...]]:
     return sorted(found)
 
 
-def _cued(text: Column) -> Column:
-    low = F.lower(text)
+def _led(entries: list[tuple[str, ...]]) -> list[tuple[str, list[tuple[str, ...]]]]:
+    """The entries by a word that as many as possible have in common, so that few words are looked for in a text that has none of them."""
+    groups, left = [], list(entries)
+    while left:
+        times = Counter(w for words in left for w in words)
+        lead = max(sorted(times), key=lambda w: (times[w], len(w)))
+        groups.append((lead, [tuple(w for w in words if w != lead) for words in left if lead in words]))
+        left = [words for words in left if lead not in words]
+    return groups
+
+
+def _has_cue(low: Column) -> Column:
     return reduce(or_, [low.contains(cue) for cue in CUES])
 
 
+def _has_required(low: Column, entries: list[tuple[str, ...]]) -> Column:
+    every = lambda words: reduce(and_, [low.contains(w) for w in words], F.lit(True))
+    return reduce(or_, [low.contains(lead) & reduce(or_, map(every, rests)) for lead, rests in _led(entries)])
+
+
+def _lowered(text: Column, test: Callable[[Column], Column]) -> Column:
+    """The test of the lowered text, which is made once: outside a lambda Spark lowers it anew for each word looked for."""
+    return F.exists(F.array(F.lower(text)), test)
+
+
+def _cued(text: Column) -> Column:
+    return _lowered(text, _has_cue)
+
+
 def _may_match(text: Column) -> Column:
     """Whether a template could be found: a word of normal text is a part of the lowered text."""
-    low = F.lower(text)
-    return reduce(or_, [reduce(lambda a, b: a & b, [low.contains(w) for w in words]) for words in required()])
+    return _lowered(text, lambda low: _has_required(low, required()))
+
+
+def _scored_at_all(text: Column) -> Column:
+    """``_cued`` or ``_may_match``, without looking for words that hold a cue."""
+    more = [words for words in required() if not any(cue in w for w in words for cue in CUES)]
+    return _lowered(text, lambda low: _has_cue(low) | _has_required(low, more))
 
 
 def paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text_hash, at, whole, paragraph): lines and, if they have more than one, blocks that hold a cue or could match; ``at`` numbers the blocks from 0."""
-    scored = lambda c: _cued(c) | _may_match(c)
-    blocks = docs.where(scored(F.col(text))).select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.posexplode(F.split(F.col(text), r"\n[\x20\t\r]*\n")).alias("at", "block"))
+    blocks = docs.where(_scored_at_all(F.col(text))).select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.posexplode(F.split(F.col(text), r"\n[\x20\t\r]*\n")).alias("at", "block"))
     lines = F.transform(F.split("block", "\n"), lambda x: F.struct(F.lit(False).alias("whole"), x.alias("paragraph")))
     whole = F.array(F.struct(F.lit(True).alias("whole"), F.col("block").alias("paragraph")))
     every = F.when(F.size(lines) > 1, F.concat(lines, whole)).otherwise(lines)
-    found = blocks.where(scored(F.col("block"))).select("doc_id", "text_hash", "at", F.explode(every).alias("p")).select("doc_id", "text_hash", "at", "p.*")
-    return found.where(scored(F.col("paragraph")))
+    found = blocks.where(_scored_at_all(F.col("block"))).select("doc_id", "text_hash", "at", F.explode(every).alias("p")).select("doc_id", "text_hash", "at", "p.*")
+    return found.where(_scored_at_all(F.col("paragraph")))
 
 
 def classify(found: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:

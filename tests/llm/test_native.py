@@ -138,3 +138,12 @@ def test_no_template_is_passed_over(spark):
         texts += [t.upper(), " ".join(words[cut:]), " ".join(words[: len(words) - cut])]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     assert df.where(licenses._may_match(F.col("text"))).count() == len(texts)
+
+
+def test_a_text_is_lowered_once_where_words_are_looked_for(spark, docs):
+    """What is scored is what holds a cue or could match, and each of the three filters lowers its text once."""
+    texts = ["nothing", None, "", "GNU General", "the General Public", "Copyright", "rights\nreserved", "reserved", "Licence", *(t for part in licenses.WORDINGS.values() for t in part), *(" and ".join(w) for w in licenses.required())]
+    df = docs([(i, t, "en", "s") for i, t in enumerate(texts)])
+    plain = [t is not None and (any(c in t.lower() for c in licenses.CUES) or any(all(w in t.lower() for w in words) for words in licenses.required())) for t in texts]
+    assert [r["doc_id"] for r in df.where(licenses._scored_at_all(F.col("text"))).orderBy("doc_id").collect()] == [i for i, p in enumerate(plain) if p]
+    assert licenses.paragraphs(df)._jdf.queryExecution().optimizedPlan().toString().count("lower(") <= 3
