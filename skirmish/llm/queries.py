@@ -21,7 +21,8 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.removal_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.removal_report(docs, passage=suffix_dedup.PASSAGE)
 
 
 def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,9 @@
    shrinks by one from a start to the next, unless the characters before them
    differ, where it is compared anew. Neighbours that share ``min_bytes`` make a
    class; the starts of a class of two or more repeat.
+   A second length is read from the same prefixes: segments are cut for the
+   shorter one and reach as far as the longer one, so equal strings of either
+   length meet at one anchor.
 3. Merging. An anchor with more bytes than a shard holds is dealt over several;
    from each, one string of a class is sent on by its hash, and sorted runs of
    them are merged by binary search: a string found in another run repeats.
@@ -26,10 +29,11 @@ whatever their names, are carried along by :func:`remove_repeats`.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,8 +41,11 @@ from pyspark.sql import functions as F
 from .common import discard, fresh_names, giving_back, materialize
 
 MIN_BYTES = 400
+#: Bytes of a repeated passage: what 50 words have at least, but for very short ones.
+PASSAGE = 256
 GRAM = 16
-SHARD = 1 << 20
+#: Small enough that the arrays of a shard stay in a core's cache.
+SHARD = 1 << 17
 #: An anchor with more bytes of distinct segments than this is dealt over several shards.
 HOT = 1 << 23
 _BATCH = 1 << 20
@@ -100,8 +107,11 @@ def _cut_long(ends: np.ndarray, min_bytes: int, limit: int = 1 << 23) -> Iterato
         yield lo, min(lo + limit + min_bytes - 1, total)
 
 
-def segments(docs: DataFrame, min_bytes: int) -> DataFrame:
-    """(doc_id, text_hash, anchor, digest, at, n): every segment of every text of ``docs`` (doc_id, text_hash, text)."""
+def segments(docs: DataFrame, min_bytes: int, reach: int) -> DataFrame:
+    """(doc_id, text_hash, anchor, digest, at, n, size): every segment of every text of ``docs`` (doc_id, text_hash, text).
+
+    A segment's ``size`` bytes are those of its ``n`` starts' strings of ``reach`` bytes, as far as the text goes.
+    """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
@@ -116,41 +126,50 @@ def segments(docs: DataFrame, min_bytes: int) -> DataFrame:
                     whose, begin, count, anchor, lead = _segments(data, inside, min_bytes)
                     if not len(whose):
                         continue
-                    view = memoryview(joined)[lo:hi]
-                    found = np.fromiter((digest(view[a : a + n + min_bytes - 1], seed=d) for a, n, d in zip(begin.tolist(), count.tolist(), lead.tolist(), strict=True)), np.uint64, len(whose))
+                    view, begin = memoryview(joined), begin + lo
+                    size = np.minimum(count + reach - 1, ends[whose] - begin)
+                    seeds = lead << 32 | count
+                    found = np.fromiter((digest(view[a : a + n], seed=d) for a, n, d in zip(begin.tolist(), size.tolist(), seeds.tolist(), strict=True)), np.uint64, len(whose))
                     rows = pa.array(whose + row)
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(anchor), pa.array(found.view(np.int64)), pa.array(begin + lo - begins[whose]), pa.array(count.astype(np.int32))],
-                        ["doc_id", "text_hash", "anchor", "digest", "at", "n"],
+                        [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(anchor), pa.array(found.view(np.int64)), pa.array(begin - begins[whose]), pa.array(count.astype(np.int32)), pa.array(size.astype(np.int32))],
+                        ["doc_id", "text_hash", "anchor", "digest", "at", "n", "size"],
                     )
 
     sent = docs.select("doc_id", "text_hash", F.col("text").cast("binary").alias("text"))
-    return sent.mapInArrow(lambda batches: giving_back(find(batches)), "doc_id long, text_hash long, anchor long, digest long, at long, n int")
+    return sent.mapInArrow(lambda batches: giving_back(find(batches)), "doc_id long, text_hash long, anchor long, digest long, at long, n int, size int")
 
 
 def suffix_array(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Suffix array and ranks (from 1) by Larsson-Sadakane refinement."""
     n = len(data)
-    key = np.zeros(n + 8, np.uint64)
-    key[:n] = data
-    for shift in (1, 2, 4):
-        key[: n + 8 - shift] = (key[: n + 8 - shift] << np.uint64(8 * shift)) | key[shift:]
-    key = key[:n]
-    sa = np.argsort(key)
-    rank = np.zeros(n + 1, np.int64)  # the empty suffix has rank 0
-    slots, ordered, depth = np.arange(n), key[sa], 8
+    bits = n.bit_length()
+    b, low = np.uint64(bits), np.uint64((1 << bits) - 1)
+    depth = min(8, (64 - bits) // 8)
+    key = np.arange(n, dtype=np.uint64)  # a start behind its first bytes: sorting values is faster than sorting places
+    for i in range(min(depth, n)):
+        key[: n - i] |= data[i:].astype(np.uint64) << np.uint64(bits + 8 * (depth - 1 - i))
+    key.sort()
+    sa, ordered = (key & low).view(np.int64), key >> b
+    rank = np.zeros(n + 1, np.uint64)  # the empty suffix has rank 0
+    slots = np.arange(n)
     while True:
         new = np.r_[True, ordered[1:] != ordered[:-1]]
         first = np.flatnonzero(new)
         size = np.diff(np.r_[first, len(slots)])
-        rank[sa[slots]] = np.repeat(slots[first], size) + 1
+        rank[sa[slots]] = np.repeat(slots[first] + 1, size)
         slots = slots[np.repeat(size > 1, size)]
         if not len(slots):
-            return sa, rank[:n]
+            return sa, rank[:n].view(np.int64)
         tied = sa[slots]
-        ordered = rank[tied] * (n + 1) + rank[np.minimum(tied + depth, n)]
-        order = np.argsort(ordered)
-        sa[slots], ordered = tied[order], ordered[order]
+        key = rank[tied] << b | rank[np.minimum(tied + depth, n)]
+        if 3 * bits <= 64:
+            key = key << b | tied.view(np.uint64)
+            key.sort()
+            sa[slots], ordered = (key & low).view(np.int64), key >> b
+        else:
+            order = np.argsort(key)
+            sa[slots], ordered = tied[order], key[order]
         depth *= 2
 
 
@@ -200,43 +219,50 @@ def common_prefixes(data: np.ndarray, sa: np.ndarray, limit: int) -> np.ndarray:
     return (reach[source] - starts)[sa]
 
 
-def _classes(data: np.ndarray, min_bytes: int) -> np.ndarray:
-    """By start: a number that starts of equal min_bytes have in common; starts near the end of data have numbers too."""
+def _classes(data: np.ndarray, lengths: Sequence[int]) -> Iterator[np.ndarray]:
+    """For each length, by start: a number that starts of equal strings of that length have in common; starts near the end of data have numbers too."""
     sa, _ = suffix_array(data)
-    far = common_prefixes(data, sa, min_bytes)
-    out = np.empty(len(data), np.int64)
-    out[sa] = np.cumsum(far < min_bytes)
-    return out
+    far = common_prefixes(data, sa, max(lengths))
+    for length in lengths:
+        out = np.empty(len(data), np.int64)
+        out[sa] = np.cumsum(far < length)
+        yield out
 
 
-_FOUND = "anchor long, digest long, lo int, hi int, window long, part int"
+_FOUND = "anchor long, digest long, lo int, hi int, window long, part int, of int"
 
 
-def _repeats(rows: DataFrame, min_bytes: int, shard: int) -> DataFrame:
-    """Ranges of starts that repeat within a shard (window null), and one start of each class of an anchor dealt over several."""
+def _repeats(rows: DataFrame, lengths: Sequence[int], shard: int) -> DataFrame:
+    """By length (of): ranges of starts that repeat within a shard (window null), and one start of each class of an anchor dealt over several."""
 
     def solve(held: list[tuple]) -> pa.RecordBatch:
         data = np.frombuffer(b"".join(r[6] for r in held), np.uint8)
         counts = np.array([r[3] for r in held])
         ends = np.cumsum([len(r[6]) for r in held])
         begins = np.r_[0, ends[:-1]]
-        starts = np.repeat(begins - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-        whose = np.repeat(np.arange(len(held)), counts)
-        group = _classes(data, min_bytes)[starts]
-        copies = np.array([r[4] for r in held])[whose]
-        repeats = np.bincount(group, copies)[group] >= 2
-        flips = np.flatnonzero(np.diff(np.r_[0, repeats, 0]) | np.r_[1, np.diff(whose) != 0, 1])
-        runs = [(a, b) for a, b in zip(flips[:-1].tolist(), flips[1:].tolist(), strict=True) if repeats[a]]
-        out = [(*held[w := whose[a]][:2], a0 := int(starts[a] - begins[w]), a0 + b - a - 1, None, None) for a, b in runs]
+        every = np.repeat(begins - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        owner = np.repeat(np.arange(len(held)), counts)
         parts = np.array([r[5] for r in held])
-        if (parts[whose] >= 0).any():
-            _, one = np.unique(group, return_index=True)
-            for k in one[parts[whose[one]] >= 0].tolist():
-                r, at = held[whose[k]], int(starts[k])
-                window = xxhash.xxh3_64_intdigest(data[at : at + min_bytes].tobytes(), seed=1)
-                out.append((r[0], r[1], at - int(begins[whose[k]]), at - int(begins[whose[k]]), window - (1 << 64) * (window >> 63), r[5]))
-        names = ["anchor", "digest", "lo", "hi", "window", "part"]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
+        out = []
+        for length, classes in zip(lengths, _classes(data, lengths), strict=True):
+            fits = every + length <= ends[owner]
+            starts, whose = every[fits], owner[fits]
+            if not len(starts):
+                continue
+            group = classes[starts]
+            copies = np.array([r[4] for r in held])[whose]
+            repeats = np.bincount(group, copies)[group] >= 2
+            flips = np.flatnonzero(np.diff(np.r_[0, repeats, 0]) | np.r_[1, np.diff(whose) != 0, 1])
+            runs = [(a, b) for a, b in zip(flips[:-1].tolist(), flips[1:].tolist(), strict=True) if repeats[a]]
+            out += [(*held[w := whose[a]][:2], a0 := int(starts[a] - begins[w]), a0 + b - a - 1, None, None, length) for a, b in runs]
+            if (parts[whose] >= 0).any():
+                _, one = np.unique(group, return_index=True)
+                for k in one[parts[whose[one]] >= 0].tolist():
+                    r, at = held[whose[k]], int(starts[k])
+                    window = xxhash.xxh3_64_intdigest(data[at : at + length].tobytes(), seed=length)
+                    out.append((r[0], r[1], at - int(begins[whose[k]]), at - int(begins[whose[k]]), window - (1 << 64) * (window >> 63), r[5], length))
+        names = ["anchor", "digest", "lo", "hi", "window", "part", "of"]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,7 +296,7 @@ def _merged(found: DataFrame) -> DataFrame:
                     if i != j:
                         at = np.minimum(np.searchsorted(other, keys[mine]), len(other) - 1)
                         hit[mine] |= other[at] == keys[mine]
-            yield batch.filter(pa.array(hit)).select(["anchor", "digest", "lo", "hi"])
+            yield batch.filter(pa.array(hit)).select(["anchor", "digest", "lo", "hi", "of"])
 
     def batches_by_window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sorted rows cut only between different windows."""
@@ -288,43 +314,63 @@ def _merged(found: DataFrame) -> DataFrame:
             yield rest
 
     runs = found.where("window is not null").repartition("anchor", "window").sortWithinPartitions("window")
-    return runs.mapInArrow(search, "anchor long, digest long, lo int, hi int")
+    return runs.mapInArrow(search, "anchor long, digest long, lo int, hi int, of int")
 
 
-def repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES, shard: int = SHARD, hot: int = HOT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, text_hash, spans): for texts with repeats, their byte ranges [lo, hi) in any order; they may overlap."""
+def repeated_spans(docs: DataFrame, min_bytes: int | Sequence[int] = MIN_BYTES, shard: int = SHARD, hot: int = HOT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, text_hash, spans): for texts with repeats, their byte ranges [lo, hi) in any order; they may overlap.
+
+    ``min_bytes`` may be several lengths; a range says which it is ``of``.
+    """
+    lengths = sorted({min_bytes} if isinstance(min_bytes, int) else set(min_bytes))
+    reach = lengths[-1]
     named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    every = materialize(segments(named, min_bytes), "segments")
+    every = materialize(segments(named, lengths[0], reach), "segments")
     anchors = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n"), F.min("digest").alias("_lo"), F.max("digest").alias("_hi")).where("_n > 1")
     # written, so that the join deals both sides anew and Spark can split an anchor that very many segments share
     anchors = materialize(anchors.select(F.col("anchor").alias("_anchor"), (F.col("_lo") != F.col("_hi")).alias("mixed")), "anchors")
     repeated = materialize(every.join(anchors, F.col("anchor") == F.col("_anchor")).drop("_anchor"), "repeated")
-    discard(every, anchors)
-    whole = repeated.where("not mixed").select("doc_id", "text_hash", F.col("at").alias("lo"), (F.col("at") + F.col("n") - 1 + min_bytes).alias("hi"))
+    discard(every)
+    # starts of a length: those that have as many bytes before the text's end
+    ranges = [F.struct(F.col("at").alias("lo"), (F.col("at") + F.least(F.col("n") - 1 + k, "size")).alias("hi"), F.lit(k).alias("of")) for k in lengths]
+    whole = repeated.where("not mixed").select("doc_id", "text_hash", F.inline(F.array(*ranges))).where("hi - lo >= of")
 
-    distinct = repeated.where("mixed").groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "text_hash", "at", "n")).alias("one"))
+    distinct = repeated.where("mixed").groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "text_hash", "at", "n", "size")).alias("one"))
     distinct = materialize(distinct.select("anchor", "digest", "copies", "one.*"), "distinct")
-    sizes = distinct.groupBy("anchor").agg(F.sum(F.col("n") + min_bytes - 1).alias("bytes")).where(F.col("bytes") > hot)
+    discard(anchors)
+    sizes = distinct.groupBy("anchor").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > hot)
     sizes = sizes.select(F.col("anchor").alias("_anchor"), F.ceil(F.col("bytes") / (hot / 2)).cast("int").alias("parts"))
     dealt = distinct.join(sizes, F.col("anchor") == F.col("_anchor"), "left").drop("_anchor")
     dealt = dealt.withColumn("part", F.coalesce(F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int"), F.lit(-1)))
-    wanted = dealt.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_list(F.struct("anchor", "digest", "at", "n", "copies", "part")).alias("cuts"))
+    wanted = dealt.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_list(F.struct("anchor", "digest", "at", "n", "size", "copies", "part")).alias("cuts"))
     cut = named.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).select(F.col("text").cast("binary").alias("text"), F.explode("cuts").alias("c"))
-    content = F.substring("text", (F.col("c.at") + 1).cast("int"), F.col("c.n") + min_bytes - 1)
+    content = F.substring("text", (F.col("c.at") + 1).cast("int"), F.col("c.size"))
     rows = cut.select("c.*", content.alias("content")).repartition("anchor", "part").sortWithinPartitions("anchor", "part", "digest")
-    found = materialize(_repeats(rows, min_bytes, shard), "repeats")
+    found = materialize(_repeats(rows, lengths, shard), "repeats")
     discard(distinct)
-    verdict = found.where("window is null").select("anchor", "digest", "lo", "hi").union(_merged(found))
-    verdict = verdict.select(F.col("anchor").alias("_anchor"), F.col("digest").alias("_digest"), "lo", "hi")
+    verdict = found.where("window is null").select("anchor", "digest", "lo", "hi", "of").union(_merged(found))
+    verdict = verdict.select(F.col("anchor").alias("_anchor"), F.col("digest").alias("_digest"), "lo", "hi", "of")
     part = repeated.where("mixed").join(verdict, (F.col("anchor") == F.col("_anchor")) & (F.col("digest") == F.col("_digest")))
-    part = part.select("doc_id", "text_hash", (F.col("at") + F.col("lo")).alias("lo"), (F.col("at") + F.col("hi") + min_bytes).alias("hi"))
-    return whole.union(part).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    part = part.select("doc_id", "text_hash", (F.col("at") + F.col("lo")).alias("lo"), (F.col("at") + F.col("hi") + F.col("of")).alias("hi"), "of")
+    spans = whole.union(part).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("lo", "hi", "of")).alias("spans"))
+    spans = materialize(spans, "spans")  # so that all before is gone when texts are dealt out to meet them
+    discard(repeated, found)
+    return spans
+
 
+def _ranges(spans: pa.ListArray) -> Iterator[list[tuple[int, int, int]]]:
+    """(lo, hi, of) of every row's spans."""
+    lo, hi, of = (c.to_numpy().tolist() for c in spans.flatten().flatten())
+    at = 0
+    for k in pc.fill_null(pc.list_value_length(spans), 0).to_pylist():
+        yield list(zip(lo[at : at + k], hi[at : at + k], of[at : at + k], strict=True))
+        at += k
 
-def _runs(spans: list[dict] | None) -> list[list[int]]:
+
+def _runs(spans: list[tuple[int, int, int]]) -> list[list[int]]:
     """Maximal runs: spans that overlap or touch are one."""
     runs: list[list[int]] = []
-    for lo, hi in sorted((s["lo"], s["hi"]) for s in spans or ()):
+    for lo, hi, _ in sorted(spans):
         if runs and lo <= runs[-1][1]:
             runs[-1][1] = max(runs[-1][1], hi)
         else:
@@ -332,7 +378,7 @@ def _runs(spans: list[dict] | None) -> list[list[int]]:
     return runs
 
 
-def _with_spans(docs: DataFrame, min_bytes: int) -> tuple[DataFrame, str]:
+def _with_spans(docs: DataFrame, min_bytes: int | Sequence[int]) -> tuple[DataFrame, str]:
     """The documents and their spans, and the name of the column that has them."""
     own, other, of, named = fresh_names(docs, "_id", "_hash", "_text_hash", "_spans")
     spans = repeated_spans(docs, min_bytes).withColumnsRenamed({"doc_id": own, "text_hash": other, "spans": named})
@@ -341,26 +387,32 @@ def _with_spans(docs: DataFrame, min_bytes: int) -> tuple[DataFrame, str]:
     return joined.select(*docs.columns, named), named
 
 
-def removal_report(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_kept_chars) per document; the last counts the characters whose first byte is left."""
+def removal_report(docs: DataFrame, min_bytes: int = MIN_BYTES, passage: int | None = None) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_kept_chars) per document; the last counts the characters whose first byte is left.
+
+    With ``passage``, n_passage_bytes follows: the bytes covered by a string of
+    that length that starts elsewhere too. They are counted, not removed.
+    """
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_kept_chars long" + ", n_passage_bytes long" * (passage is not None)
 
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, spans in zip(batch.column(1), batch.column(2), strict=True):
-                text, runs = text.as_py() or b"", _runs(spans.as_py())
+            for text, spans in zip(batch.column(1), _ranges(batch.column(2)), strict=True):
+                text, runs = text.as_py() or b"", _runs([s for s in spans if s[2] == min_bytes])
                 kept, at, chars = hashlib.sha256(), 0, 0
                 for lo, hi in [*runs, (len(text), len(text))]:
                     kept.update(text[at:lo])
                     chars += len(text[at:lo].translate(None, _INNER))
                     at = hi
-                rows.append((len(text), sum(hi - lo for lo, hi in runs), len(runs), kept.hexdigest(), chars))
-            n_bytes, removed, count, sums, chars = zip(*rows, strict=True) if rows else ((), (), (), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(sums, pa.string()), pa.array(chars, pa.int64())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_kept_chars"])
+                shared = sum(hi - lo for lo, hi in _runs([s for s in spans if s[2] == passage]))
+                rows.append((len(text), sum(hi - lo for lo, hi in runs), len(runs), kept.hexdigest(), chars, shared))
+            columns = [pa.array([r[i] for r in rows], pa.string() if i == 3 else pa.int64()) for i in range(5 + (passage is not None))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [c.split()[0] for c in schema.split(", ")])
 
-    found, named = _with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), min_bytes)
+    found, named = _with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), min_bytes if passage is None else (min_bytes, passage))
     sent = found.select("doc_id", F.col("text").cast("binary").alias("text"), named)
-    return sent.mapInArrow(report, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_kept_chars long")
+    return sent.mapInArrow(report, schema)
 
 
 def remove_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
@@ -376,8 +428,8 @@ def remove_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, keep = [], []
-            for text, spans in zip(batch.column(place), batch.column(len(names)), strict=True):
-                text, runs = text.as_py(), _runs(spans.as_py())
+            for text, spans in zip(batch.column(place), _ranges(batch.column(len(names))), strict=True):
+                text, runs = text.as_py(), _runs(spans)
                 if not runs:
                     texts.append(text)
                     keep.append(True)

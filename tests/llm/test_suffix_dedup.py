@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from skirmish.llm import queries
 from skirmish.llm import suffix_dedup as sd
 
 
@@ -57,6 +58,34 @@ def test_against_brute_force(spark, monkeypatch, size, letters, seed, shard, hot
     assert sorted(map(tuple, sd.removal_report(df, size).collect()), key=str) == brute(rows, size)
 
 
+@pytest.mark.parametrize(("shard", "hot"), [(sd.SHARD, sd.HOT), (500, 900)])
+@pytest.mark.parametrize(("size", "short", "letters", "seed"), [(40, 25, "abcdefgh", 1), (30, 20, "ab", 2), (60, 20, "ab", 3)])
+def test_shorter_passages_are_counted_but_stay(spark, monkeypatch, size, short, letters, seed, shard, hot):
+    """What is removed is the same; the bytes of passages below min_bytes are seen too."""
+    rows = texts(size, letters, seed)
+    passage = texts(short, "mnopqrst", seed)[-1][1][: short + 5]
+    rows = [(i, None if t is None else t + passage if i is not None and i % 7 == 0 else t) for i, t in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    plain = sd.repeated_spans
+    monkeypatch.setattr(sd, "repeated_spans", lambda d, n: plain(d, n, shard, hot))
+    expected = sorted(((*a, b[2]) for a, b in zip(brute(rows, size), brute(rows, short), strict=True)), key=str)
+    assert sorted(map(tuple, sd.removal_report(df, size, short).collect()), key=str) == expected
+    assert any(r[6] > 0 == r[2] for r in expected)
+
+
+def test_query_sees_passages_of_51_words(spark, tmp_path):
+    """51 words in fewer than 400 bytes, shared by two documents: nothing is removed, but the passage is counted."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(6))
+    own = [" ".join(word() for _ in range(80)) for _ in range(3)]
+    passage = " ".join(word() for _ in range(51))
+    rows = [(0, f"{own[0]} {passage} x"), (1, f"{passage} {own[1]}"), (2, own[2])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x["doc_id"]: x for x in queries.op2_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert len(passage) < sd.MIN_BYTES and all(x["n_removed"] == 0 for x in got.values())
+    assert got[0]["n_passage_bytes"] >= len(passage) and got[1]["n_passage_bytes"] >= len(passage) and got[2]["n_passage_bytes"] == 0
+
+
 def test_suffix_array_and_common_prefixes():
     r = np.random.default_rng(1)
     for t in range(60):
