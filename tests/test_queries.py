@@ -30,6 +30,19 @@ def test_query(spark, name):
     assert rows(got, sorted(got.columns)) == rows(expected, sorted(got.columns))
 
 
+@pytest.mark.parametrize("name", ["fight_report", "merged_crowds", "tail_attacks", "tail_series"])
+def test_query_without_broadcasts(spark, name):
+    """Joins of large tables are by shuffles on both sides, whose parts are put together by size."""
+    limits = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    for limit in limits:
+        spark.conf.set(limit, "-1")
+    try:
+        test_query(spark, name)
+    finally:
+        for limit in limits:
+            spark.conf.unset(limit)
+
+
 def test_registry():
     assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) > 60
 
